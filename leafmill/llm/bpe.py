@@ -33,7 +33,7 @@ from leafmill.llm.textkit import binary_array, buffers, pieces
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Fragments remembered by a worker, and the longest one it remembers.
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 48
+CACHE_ENTRIES, CACHE_BYTES = 900_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -156,9 +156,11 @@ def slide_min_at(h: np.ndarray, w: int) -> np.ndarray:
     return best[:n]
 
 
-def strings(column: pa.Array) -> list[str]:
-    """Python strings of a column, nulls as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
+def split_texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of each text, nulls as empty."""
+    data, offs = buffers(column)
+    raw, at = data.tobytes(), offs.tolist()
+    return [raw[i:j] for i, j in zip(at, at[1:])]
 
 
 def binary_array(parts: list[bytes]) -> pa.Array:
