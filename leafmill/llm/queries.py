@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, secrets, token_files
-from leafmill.llm.common import fresh_path, table
+from leafmill.llm import bpe, language, secrets, token_files, toxicity
+from leafmill.llm.common import fresh_path, held_out, table
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +16,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~held_out(F.col("doc_id"))))
+    found = language.predict(docs, model, "text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    found = toxicity.score(docs, machine, "text", F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -30,6 +45,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_mixture": op1_language_mixture,
+    "op2_toxicity_fm": op2_toxicity_fm,
     "op3_secret_scan": op3_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op10_token_files": op10_token_files,

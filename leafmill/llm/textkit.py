@@ -18,6 +18,9 @@ PIECE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes that no letter run holds: ASCII other than letters.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -75,16 +78,16 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         at = end
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and where each document's words begin.
 
-    The third array has one entry per document and a last one: document i has
+    `space` marks the bytes between words.  The third array has one entry per document and a last one: document i has
     the words first[i]..first[i+1]-1.
     """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    is_word = ~_SPACE[data]
+    is_word = ~space[data]
     edge = np.empty(len(data) + 1, bool)
     edge[1:-1] = is_word[1:] != is_word[:-1]
     edge[0] = edge[-1] = True
@@ -98,23 +101,31 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; `lower` folds A-Z first."""
+    return prefix_hashes(data, starts, ends, (), lower)[0]
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...], lower: bool = False) -> list[np.ndarray]:
+    """Hashes of the words, then of their first k bytes for each k; a shorter word stands for itself."""
     table = _BYTE_LOWER if lower else _BYTE
-    out = np.empty(len(starts), np.uint64)
+    out = [np.empty(len(starts), np.uint64) for _ in range(1 + len(lengths))]
     at, n = 0, len(starts)
     while at < n:
         end = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE_BYTES, "right")))
-        s, e = starts[at:end], ends[at:end]
-        lo, length = s[0], e - s
-        chunk = data[lo : e[-1]]
+        lo = starts[at]
+        s, e = starts[at:end] - lo, ends[at:end] - lo
+        chunk = data[lo : lo + e[-1]]
         place = np.arange(len(chunk), dtype=np.int64)
-        total = np.repeat(s - lo, np.diff(np.append(s - lo, len(chunk))))
-        place -= total
+        place -= np.repeat(s, np.diff(np.append(s, len(chunk))))
         longest = int(place.max(initial=0)) + 1
         value = table[chunk] * _positions(longest)[place]
         acc = np.empty(len(chunk) + 1, np.uint64)
         acc[0] = 0
         np.cumsum(value, out=acc[1:])
-        out[at:end] = mix((acc[e - lo] - acc[s - lo]) + length.astype(np.uint64) * _STEP)
+        base = acc[s]
+        out[0][at:end] = mix((acc[e] - base) + (e - s).astype(np.uint64) * _STEP)
+        for j, k in enumerate(lengths):
+            cut = np.minimum(e, s + k)
+            out[j + 1][at:end] = mix((acc[cut] - base) + (cut - s).astype(np.uint64) * _STEP)
         at = end
     return out
 
