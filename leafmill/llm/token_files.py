@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import written
 from leafmill.llm.textkit import pieces, split_texts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words remembered by a worker at each of two levels, and the longest remembered one.
-CACHE_ENTRIES, CACHE_BYTES = 700_000, 40
+#: Words and pre-tokens that a worker remembers, and the longest remembered one.
+CACHE_WORDS, CACHE_CORES, CACHE_BYTES = 300_000, 1_200_000, 40
 STRIPE_BYTES = 16 << 20
+#: File offsets are broadcast up to this many (16 bytes each), else joined by shuffle.
+BROADCAST_FILES = 200_000
 
 
 class WordEncoder:
     """Encodes whole texts by the tokenizers library, a word at a time with memory."""
 
-    #: Within a word, ASCII letters and other ASCII marks are separate pre-tokens (an apostrophe may start a contraction).
-    _core = re.compile(rb"[a-z]+|[^a-z]+")
-    _plain = re.compile(rb"[\x21-\x26\x28-\x7e]+")
+    #: Within a word, Latin letters, digits and other ASCII marks are separate pre-tokens (an apostrophe may start a contraction).
+    _letters = r"a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+    _marks = r"\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e"
+    _core = re.compile(f"[{_letters}]+|[0-9]|[{_marks}]+")
+    _plain = re.compile(f"[{_letters}{_marks}0-9]+")
+    _pieces = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,44 +58,69 @@ class WordEncoder:
 
     def _ids(self, some: list[bytes]) -> list[bytes]:
         texts = [x.decode() for x in some]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not seen before; the short ones are remembered, the others returned."""
-        split = {w: self._core.findall(w) if self._plain.fullmatch(w) else [w] for w in missing}
-        new = list({c for cores in split.values() for c in cores if c not in self.cores})
+    def _learn_cores(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of fragments; the short ones are remembered, the others returned."""
         once: dict[bytes, bytes] = {}
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             for c, ids in zip(part, self._ids(part)):
                 (self.cores if len(c) <= CACHE_BYTES else once)[c] = ids
+        return once
+
+    def _learn_words(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        split = {}
+        for w in missing:
+            text = w.decode()
+            split[w] = [c.encode() for c in self._core.findall(text)] if self._plain.fullmatch(text) else [w]
+        cores = self.cores
+        once = self._learn_cores(list({c for cs in split.values() for c in cs if c not in cores}))
         long_words = {}
-        for w, cores in split.items():
-            ids = b"".join([self.cores[c] if c in self.cores else once[c] for c in cores])
+        for w, cs in split.items():
+            ids = b"".join([cores[c] if c in cores else once[c] for c in cs])
             (self.words if len(w) <= CACHE_BYTES else long_words)[w] = ids
         return long_words
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text, without added tokens.
 
-        The vocabulary lower-cases, so A-Z may be folded first; a text with the
-        mark of special tokens goes to the library as it is.
+        The vocabulary lower-cases, so A-Z may be folded first.  An ASCII text
+        without apostrophes is looked up by pre-token, another by white-space
+        separated word; a text with the mark of special tokens goes to the library
+        as it is.
         """
-        if len(self.words) > CACHE_ENTRIES:
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.cores) > CACHE_ENTRIES:
+        if len(self.cores) > CACHE_CORES:
             self.cores.clear()
-        split = [None if b"<|" in t else t.lower().split() for t in texts]
-        known = self.words
-        rest = self._learn({w for ws in split if ws for w in ws if w not in known})
+        parts, want_words, want_cores = [], set(), set()
+        for t in texts:
+            if b"<|" in t:
+                parts.append((None, None, None))
+                continue
+            low = t.lower()
+            by_core = low.isascii() and b"'" not in low
+            frags = self._pieces.findall(low) if by_core else low.split()
+            got = list(map((self.cores if by_core else self.words).get, frags))
+            holes = [i for i, g in enumerate(got) if g is None] if None in got else ()
+            if holes:
+                (want_cores if by_core else want_words).update([frags[i] for i in holes])
+            parts.append((frags, got, holes))
+        once = self._learn_cores(list(want_cores))
+        once |= self._learn_words(list(want_words))
         out = []
-        for t, ws in zip(texts, split):
-            if ws is None:
+        for t, (frags, got, holes) in zip(texts, parts):
+            if frags is None:
                 out.append(self._ids([t])[0])
-            elif rest:
-                out.append(b"".join([known[w] if w in known else rest[w] for w in ws]))
-            else:
-                out.append(b"".join([known[w] for w in ws]))
+                continue
+            if holes:
+                by_core = t.isascii() and b"'" not in t
+                known = self.cores if by_core else self.words
+                for i in holes:
+                    w = frags[i]
+                    got[i] = known[w] if w in known else once[w]
+            out.append(b"".join(got))
         return out
 
 
@@ -130,7 +162,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.orc(path).withColumn("file_no", number)
     totals = files.groupBy("file_no").agg(F.sum("n_tokens").alias("total"))  # a row per file
     ahead = F.sum("total").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
-    base = totals.select("file_no", F.coalesce(ahead, F.lit(0)).alias("base"))
+    base = written(totals.select("file_no", F.coalesce(ahead, F.lit(0)).alias("base")), "token-bases")
+    if base.count() <= BROADCAST_FILES:
+        base = F.broadcast(base)
     return files.join(base, "file_no").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
