@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, language, secrets, token_files, toxicity
+from leafmill.llm import bpe, decontaminate, language, secrets, token_files, toxicity
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -38,6 +38,10 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "token-ids")
     token_files.write_ids(table(spark, sf_dir, "documents"), out, vocabulary("word_bpe_49k.json"))
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_secret_scan": op3_secret_scan,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
 
