@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, language, secrets, token_files, toxicity
+from leafmill.llm import bpe, decontaminate, jaccard, language, secrets, substrings, token_files, toxicity
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -34,6 +34,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
@@ -52,6 +60,8 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_secret_scan": op3_secret_scan,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,

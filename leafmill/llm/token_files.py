@@ -31,7 +31,7 @@ from leafmill.llm.textkit import pieces, split_texts
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and pre-tokens that a worker remembers, and the longest remembered one.
-CACHE_WORDS, CACHE_CORES, CACHE_BYTES = 300_000, 1_200_000, 40
+CACHE_WORDS, CACHE_CORES, CACHE_BYTES = 200_000, 900_000, 40
 STRIPE_BYTES = 16 << 20
 #: File offsets are broadcast up to this many (16 bytes each), else joined by shuffle.
 BROADCAST_FILES = 200_000
