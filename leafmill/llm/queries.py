@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, jaccard, language, secrets, substrings, token_files, toxicity
+from leafmill.llm import bpe, decontaminate, embeddings, jaccard, language, secrets, sitetree, substrings, token_files, toxicity
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -34,6 +34,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(substrings.deduplicate(table(spark, sf_dir, "documents")))
 
@@ -46,6 +50,10 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
+def op8_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,9 +68,11 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_toxicity_fm": op2_toxicity_fm,
     "op3_secret_scan": op3_secret_scan,
+    "op4_site_style_tree": op4_site_style_tree,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_bpe_roundtrip": op7_bpe_roundtrip,
+    "op8_embedding_graph": op8_embedding_graph,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
 }
