@@ -1,12 +1,79 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, secrets, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs.  All but the last return the columns of
+documents.  Whatever the columns are called, a stage passes all of them on; it reads
+doc_id, text and, in the first stage, lang.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafmill.llm import bpe, decontaminate, jaccard, language, secrets
+from leafmill.llm.common import held_out, table, written
+from leafmill.llm.queries import vocabulary
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; null texts and texts without a letter go."""
+    model = language.train(docs.where(~held_out(F.col("doc_id"))))
+    names = docs.columns
+    found = language.predict(docs, model, "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    return found.where("lang_pred != 'und'").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, the smallest id; rows without an id stay.
+
+    Rows with one id are one document, of which one row stays.
+    """
+    groups = written(jaccard.groups(docs), "groups")
+    rows, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).head()
+    kept = docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if rows == ids:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage, exact or edited."""
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(written(hits, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in the text replaced by a mark; n_chars follows the text."""
+    names = docs.columns
+    coded = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    found = secrets.find_secrets(coded, keep=tuple(f"c{i}" for i in range(len(names))))
+    text = secrets.redacted(F.col("text"), F.col("spans"))
+    kinds = dict(docs.dtypes)
+    out = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(f"c{names.index('n_chars')}")).cast(kinds["n_chars"])} if "n_chars" in names else {"text": text}
+    return found.select(*(out.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the hash of the decoded text."""
+    coded = bpe.encode_decode(docs, vocabulary("byte_bpe_50k.json"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("secret_scan", secret_scan),
+    ("token_ids", token_ids),
+]
 
-STAGES: list = []
+#: No SQL: language proportions, alignment and BPE are beyond it; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
