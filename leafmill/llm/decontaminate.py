@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import written
 from leafmill.llm.textkit import NOT_LETTER, buffers, grams, pieces, starts_inside, word_hashes, words
 
 SEED_WORDS = 4
@@ -204,10 +205,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_pylist(rows, passage_schema)
 
     passages = source.mapInArrow(hits, "doc_id long, at long, passage array<long>, seeds array<long>")
+    passages = written(passages.withColumn("same", F.xxhash64("passage")), "passages")
     kept = spark.createDataFrame([(int(s),) for s in rare], "seed long")
-    joinable = seeds.select("item_id", "seed", "item_words").distinct().join(kept, "seed")
-    pairs = passages.select("doc_id", "at", "passage", F.explode("seeds").alias("seed")).join(joinable, "seed").select("doc_id", "at", "item_id", "passage", "item_words")
-    pairs = pairs.withColumn("same", F.xxhash64("passage")).dropDuplicates(["doc_id", "at", "item_id", "same"])
+    item = F.xxhash64("item_id", "item_words").alias("item")
+    by_seed = seeds.select(item, "seed").distinct().join(kept, "seed")
+    # ids only meet by seed; passages and items are fetched once per pair
+    place = ["doc_id", "at", "same"]
+    pairs = passages.select(*place, F.explode("seeds").alias("seed")).join(by_seed, "seed").select(*place, "item").distinct()
+    texts = seeds.select(item, "item_id", "item_words").distinct()
+    pairs = pairs.join(passages.select(*place, "passage").distinct(), place).join(texts, "item").select("doc_id", "at", "item_id", "passage", "item_words")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple] = {}  # many documents hold the same passage
