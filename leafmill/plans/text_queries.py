@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from leafmill.functions import labels as lb
 from leafmill.functions import text as tx
 from leafmill.operators.jobs import head_lines
 from leafmill.plans.base import Query, table
-from leafmill.plans.inline import BOOKS, CHAPTERS, NAMES, SECONDS, SPECS, SPEEDS, TAGS, TEXTS, Rows
+from leafmill.plans.inline import NAMES, SECONDS, SPEEDS, TAGS, TEXTS, Rows
 
 W = r"[\s\x0b\x{85}\p{Z}]"
 NOT_W = r"[^\s\x0b\x{85}\p{Z}]"
@@ -72,12 +74,12 @@ def chunk_sql(s: str, limit: int) -> str:
     return f"CASE WHEN length({s}) > {limit} THEN {fold} WHEN {strip_sql(s)} = '' THEN []::VARCHAR[] ELSE [{s}] END"
 
 
-def _inline(rows: Rows, sql: str, *columns: Column, name: str = "") -> Query:
-    return Query(lambda spark, d: rows.frame(spark).select(*columns), sql.replace("{t}", rows.sql))
+def _inline(rows: Rows, sql: str, columns: Callable[[], tuple[Column, ...]]) -> Query:
+    return Query(lambda spark, d: rows.frame(spark).select(*columns()), sql.replace("{t}", rows.sql))
 
 
-def _docs(sql: str, *columns: Column, where: str = "true") -> Query:
-    return Query(lambda spark, d: table(spark, d, "documents").where(where).select("doc_id", *columns), sql)
+def _docs(sql: str, columns: Callable[[], tuple[Column, ...]], where: str = "true") -> Query:
+    return Query(lambda spark, d: table(spark, d, "documents").where(where).select("doc_id", *columns()), sql)
 
 
 def _chunked(limit: int, frame, sql_from: str, key: str, s: str) -> Query:
@@ -90,58 +92,56 @@ def _chunked(limit: int, frame, sql_from: str, key: str, s: str) -> Query:
     return Query(run, f"SELECT {key}, (generate_subscripts(c, 1) - 1)::INTEGER AS pos, unnest(c) AS chunk FROM ({split})")
 
 
-S, SEC = F.col("s"), F.col("seconds")
-HALF = "round_even({x}, 0)::INTEGER"
 
 QUERIES: dict[str, Query] = {
-    "e1_language": _docs(f"SELECT doc_id, {language_sql('text')} AS language FROM documents", tx.detect_language("text").alias("language")),
-    "e1_language_inline": _inline(TEXTS, f"SELECT id, {language_sql('s')} AS language FROM {{t}}", F.col("id"), tx.detect_language("s").alias("language")),
-    "e2_clean": _docs(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents", tx.clean("text").alias("cleaned")),
-    "e2_clean_inline": _inline(TEXTS, f"SELECT id, {clean_sql('s')} AS cleaned, {clean_sql('s', False)} AS with_notes FROM {{t}}", F.col("id"), tx.clean("s").alias("cleaned"), tx.clean("s", False).alias("with_notes")),
+    "e1_language": _docs(f"SELECT doc_id, {language_sql('text')} AS language FROM documents", lambda: (tx.detect_language("text").alias("language"),)),
+    "e1_language_inline": _inline(TEXTS, f"SELECT id, {language_sql('s')} AS language FROM {{t}}", lambda: (F.col("id"), tx.detect_language("s").alias("language"),)),
+    "e2_clean": _docs(f"SELECT doc_id, {clean_sql('text')} AS cleaned FROM documents", lambda: (tx.clean("text").alias("cleaned"),)),
+    "e2_clean_inline": _inline(TEXTS, f"SELECT id, {clean_sql('s')} AS cleaned, {clean_sql('s', False)} AS with_notes FROM {{t}}", lambda: (F.col("id"), tx.clean("s").alias("cleaned"), tx.clean("s", False).alias("with_notes"),)),
     "e2_clean_pages": Query(lambda spark, d: table(spark, d, "pages").select("page_id", tx.clean("html").alias("cleaned")), f"SELECT page_id, {clean_sql('html')} AS cleaned FROM pages"),
-    "e3_duration": _docs(f"SELECT doc_id, round({seconds_sql('text')}, 6) AS seconds FROM documents", F.round(tx.speech_seconds("text"), 6).alias("seconds")),
-    "e3_duration_inline": _inline(TEXTS, f"SELECT id, round({seconds_sql('s')}, 6) AS seconds FROM {{t}}", F.col("id"), F.round(tx.speech_seconds("s"), 6).alias("seconds")),
-    "e3b_edit_duration": _inline(TEXTS, f"SELECT id, length({clean_sql('s')}) / 4.0::DOUBLE AS seconds FROM {{t}}", F.col("id"), tx.edited_seconds("s").alias("seconds")),
+    "e3_duration": _docs(f"SELECT doc_id, round({seconds_sql('text')}, 6) AS seconds FROM documents", lambda: (F.round(tx.speech_seconds("text"), 6).alias("seconds"),)),
+    "e3_duration_inline": _inline(TEXTS, f"SELECT id, round({seconds_sql('s')}, 6) AS seconds FROM {{t}}", lambda: (F.col("id"), F.round(tx.speech_seconds("s"), 6).alias("seconds"),)),
+    "e3b_edit_duration": _inline(TEXTS, f"SELECT id, length({clean_sql('s')}) / 4.0::DOUBLE AS seconds FROM {{t}}", lambda: (F.col("id"), tx.edited_seconds("s").alias("seconds"),)),
     "e4_chunk": _chunked(3000, lambda spark, d: table(spark, d, "documents").withColumnRenamed("text", "s"), "documents", "doc_id", "text"),
     "e4_chunk_long": _chunked(300, lambda spark, d: table(spark, d, "documents").withColumnRenamed("text", "s"), "documents", "doc_id", "text"),
     "e4_chunk_inline": _chunked(10, lambda spark, d: TEXTS.frame(spark), TEXTS.sql, "id", "coalesce(s, '')"),
-    "e6_sentences": _inline(TEXTS, f"SELECT id, array_to_string({sentences_sql("coalesce(s, '')")}, '|') AS parts FROM {{t}}", F.col("id"), F.array_join(tx.sentences(F.coalesce("s", F.lit(""))), "|").alias("parts")),
+    "e6_sentences": _inline(TEXTS, f"SELECT id, array_to_string({sentences_sql("coalesce(s, '')")}, '|') AS parts FROM {{t}}", lambda: (F.col("id"), F.array_join(tx.sentences(F.coalesce("s", F.lit(""))), "|").alias("parts"),)),
     "e7_split_long": _chunked(12, lambda spark, d: TEXTS.frame(spark), TEXTS.sql, "id", "coalesce(s, '')"),
-    "e8_filename": _inline(NAMES, "SELECT id, substring(translate(s, '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", F.col("id"), lb.safe_filename(S).alias("name")),
-    "e9_chapter_file": _inline(NAMES, "SELECT id, substring(translate(s || ' - ' || printf('%04d', id) || ' - ' || s || '.mp3', '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", F.col("id"), lb.chapter_file(S, F.col("id"), S).alias("name")),
+    "e8_filename": _inline(NAMES, "SELECT id, substring(translate(s, '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", lambda: (F.col("id"), lb.safe_filename(F.col("s")).alias("name"),)),
+    "e9_chapter_file": _inline(NAMES, "SELECT id, substring(translate(s || ' - ' || printf('%04d', id) || ' - ' || s || '.mp3', '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", lambda: (F.col("id"), lb.chapter_file(F.col("s"), F.col("id"), F.col("s")).alias("name"),)),
     "e10_duration_format": _inline(
         SECONDS,
         "SELECT id, CASE WHEN s < 60 THEN greatest(1, round_even(s, 0)::INT) || 's' WHEN s < 3600 THEN round_even(s / 60, 0)::INT || ' min' ELSE floor(s / 3600)::INT || 'h ' || round_even((s - floor(s / 3600) * 3600) / 60, 0)::INT || 'min' END AS label FROM {t}",
-        F.col("id"), lb.duration_label(S).alias("label"),
+        lambda: (F.col("id"), lb.duration_label(F.col("s")).alias("label"),),
     ),
-    "p10_short_duration": _inline(SECONDS, "SELECT id, CASE WHEN s >= 60 THEN round_even(s / 60, 0)::INT || ' min' ELSE greatest(1, round_even(s, 0)::INT) || 's' END AS label FROM {t}", F.col("id"), lb.short_duration_label(S).alias("label")),
-    "e11_thousands": _docs("SELECT doc_id, format('{:,}', n_chars * 1000) AS label FROM documents", lb.thousands(F.col("n_chars") * 1000).alias("label")),
-    "e12_collapse": _inline(TEXTS, f"SELECT id, {collapse_sql('s')} AS t FROM {{t}}", F.col("id"), tx.collapse("s").alias("t")),
-    "e13_author": _inline(NAMES, "SELECT id, coalesce(nullif(regexp_extract(s, '[(（](.+?)[)）]', 1), ''), 'Unknown') AS author FROM {t}", F.col("id"), lb.author_from_name(S).alias("author")),
-    "e14_rate": _inline(SPEEDS, "SELECT id, CASE WHEN round_even((s - 1) * 100, 0) >= 0 THEN '+' ELSE '' END || round_even((s - 1) * 100, 0)::INT || '%' AS rate FROM {t}", F.col("id"), lb.speed_rate(S).alias("rate")),
-    "e15_speed_maps": _inline(SPEEDS, "SELECT id, greatest(1, least(15, round_even(s * 5, 0)::INT)) AS five, greatest(0, least(200, trunc(s * 50)::INT)) AS fifty FROM {t}", F.col("id"), lb.baidu_speed(S).alias("five"), lb.iflytek_speed(S).alias("fifty")),
+    "p10_short_duration": _inline(SECONDS, "SELECT id, CASE WHEN s >= 60 THEN round_even(s / 60, 0)::INT || ' min' ELSE greatest(1, round_even(s, 0)::INT) || 's' END AS label FROM {t}", lambda: (F.col("id"), lb.short_duration_label(F.col("s")).alias("label"),)),
+    "e11_thousands": _docs("SELECT doc_id, format('{:,}', n_chars * 1000) AS label FROM documents", lambda: (lb.thousands(F.col("n_chars") * 1000).alias("label"),)),
+    "e12_collapse": _inline(TEXTS, f"SELECT id, {collapse_sql('s')} AS t FROM {{t}}", lambda: (F.col("id"), tx.collapse("s").alias("t"),)),
+    "e13_author": _inline(NAMES, "SELECT id, coalesce(nullif(regexp_extract(s, '[(（](.+?)[)）]', 1), ''), 'Unknown') AS author FROM {t}", lambda: (F.col("id"), lb.author_from_name(F.col("s")).alias("author"),)),
+    "e14_rate": _inline(SPEEDS, "SELECT id, CASE WHEN round_even((s - 1) * 100, 0) >= 0 THEN '+' ELSE '' END || round_even((s - 1) * 100, 0)::INT || '%' AS rate FROM {t}", lambda: (F.col("id"), lb.speed_rate(F.col("s")).alias("rate"),)),
+    "e15_speed_maps": _inline(SPEEDS, "SELECT id, greatest(1, least(15, round_even(s * 5, 0)::INT)) AS five, greatest(0, least(200, trunc(s * 50)::INT)) AS fifty FROM {t}", lambda: (F.col("id"), lb.baidu_speed(F.col("s")).alias("five"), lb.iflytek_speed(F.col("s")).alias("fifty"),)),
     "e16_language_codes": _inline(
         TAGS,
         "SELECT id, " + "CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lb.LANGUAGE_NAMES.items()) + " ELSE 'auto' END AS name, CASE WHEN lower(split_part(tag, '-', 1)) IN (" + ", ".join(f"'{c}'" for c in lb.SHORT_CODES) + ") THEN lower(split_part(tag, '-', 1)) ELSE 'na' END AS short, CASE WHEN tag LIKE 'zh%' THEN 'zh' ELSE 'en' END AS two FROM {t}",
-        F.col("id"), lb.language_name(F.col("tag")).alias("name"), lb.short_code(F.col("tag")).alias("short"), lb.two_way_code(F.col("tag")).alias("two"),
+        lambda: (F.col("id"), lb.language_name(F.col("tag")).alias("name"), lb.short_code(F.col("tag")).alias("short"), lb.two_way_code(F.col("tag")).alias("two"),),
     ),
     "e17_chunk_limit": _inline(
         TAGS,
         "SELECT id, greatest(100, trunc((CASE WHEN cloned THEN least(seconds, 60) ELSE seconds END) * (CASE WHEN tag IN ('ja-JP','ko-KR') THEN 5 WHEN tag IN ('en-US','en-GB') THEN 15 WHEN tag = 'fr-FR' THEN 14 WHEN tag IN ('de-DE','pt-PT','es-ES','it-IT') THEN 13 WHEN tag = 'ru-RU' THEN 12 ELSE 4 END))::INT) AS chars FROM {t}",
-        F.col("id"), lb.chunk_limit(F.col("tag"), SEC, F.col("cloned")).alias("chars"),
+        lambda: (F.col("id"), lb.chunk_limit(F.col("tag"), F.col("seconds"), F.col("cloned")).alias("chars"),),
     ),
-    "e18_token_budget": _inline(TAGS, "SELECT id, greatest(1024, trunc(seconds * 12.5 * 1.8)::INT) AS tokens FROM {t}", F.col("id"), lb.token_budget(SEC).alias("tokens")),
-    "e19_truncation": _inline(TAGS, "SELECT id, (seconds > 2 AND id * 10 < seconds * 0.3::DOUBLE) AS truncated FROM {t}", F.col("id"), lb.is_truncated(SEC, F.col("id") * 10).alias("truncated")),
-    "e22_escape": _inline(NAMES, "SELECT id, replace(replace(replace(replace(replace(s, '\\', '\\\\'), '=', '\\='), '#', '\\#'), chr(13), ' '), chr(10), ' ') AS escaped FROM {t}", F.col("id"), lb.metadata_escape(S).alias("escaped")),
-    "e25_prefix": _inline(TAGS, "SELECT id, split_part(tag, '-', 1) AS prefix FROM {t}", F.col("id"), lb.prefix(F.col("tag")).alias("prefix")),
+    "e18_token_budget": _inline(TAGS, "SELECT id, greatest(1024, trunc(seconds * 12.5 * 1.8)::INT) AS tokens FROM {t}", lambda: (F.col("id"), lb.token_budget(F.col("seconds")).alias("tokens"),)),
+    "e19_truncation": _inline(TAGS, "SELECT id, (seconds > 2 AND id * 10 < seconds * 0.3::DOUBLE) AS truncated FROM {t}", lambda: (F.col("id"), lb.is_truncated(F.col("seconds"), F.col("id") * 10).alias("truncated"),)),
+    "e22_escape": _inline(NAMES, "SELECT id, replace(replace(replace(replace(replace(s, '\\', '\\\\'), '=', '\\='), '#', '\\#'), chr(13), ' '), chr(10), ' ') AS escaped FROM {t}", lambda: (F.col("id"), lb.metadata_escape(F.col("s")).alias("escaped"),)),
+    "e25_prefix": _inline(TAGS, "SELECT id, split_part(tag, '-', 1) AS prefix FROM {t}", lambda: (F.col("id"), lb.prefix(F.col("tag")).alias("prefix"),)),
     "l3_head_lines": Query(
         lambda spark, d: table(spark, d, "documents").select("doc_id", head_lines(F.col("text"), 3).alias("head")),
         r"WITH x AS (SELECT doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM documents) SELECT doc_id, CASE WHEN len(l) > 3 THEN array_to_string(l[1:3], chr(10)) || chr(10) || '... (' || (len(l) - 3) || ' more lines)' ELSE array_to_string(l, chr(10)) END AS head FROM x",
     ),
-    "l5_truncations": _docs("SELECT doc_id, substring(text, 1, 100) AS title, substring(text, 1, 2000) AS sample FROM documents", F.substring("text", 1, 100).alias("title"), F.substring("text", 1, 2000).alias("sample")),
+    "l5_truncations": _docs("SELECT doc_id, substring(text, 1, 100) AS title, substring(text, 1, 2000) AS sample FROM documents", lambda: (F.substring("text", 1, 100).alias("title"), F.substring("text", 1, 2000).alias("sample"),)),
     "f12_language_sample": _docs(
         f"SELECT doc_id, substring({strip_sql('text')}, 1, 500) AS sample FROM documents WHERE length(substring({strip_sql('text')}, 1, 500)) > 20",
-        F.substring(F.regexp_replace("text", r"(?Ud)^\s+|\s+$", ""), 1, 500).alias("sample"), where=r"length(substring(regexp_replace(text, r'(?Ud)^\s+|\s+$', ''), 1, 500)) > 20",
+        lambda: (F.substring(F.regexp_replace("text", r"(?Ud)^\s+|\s+$", ""), 1, 500).alias("sample"),), where=r"length(substring(regexp_replace(text, r'(?Ud)^\s+|\s+$', ''), 1, 500)) > 20",
     ),
 }
 
@@ -151,12 +151,12 @@ QUERIES |= {
     "e3c_provider_duration": _inline(
         _E3C,
         "SELECT id, CASE WHEN provider IN ('baidu','iflytek','elevenlabs') THEN n / 4.0::DOUBLE WHEN provider = 'supertonic' THEN n / (4.0::DOUBLE * speed * setting) ELSE n / (4.0::DOUBLE * speed) END AS seconds FROM {t}",
-        F.col("id"), lb.provider_seconds(F.col("provider"), F.col("n"), F.col("speed"), F.col("setting")).alias("seconds"),
+        lambda: (F.col("id"), lb.provider_seconds(F.col("provider"), F.col("n"), F.col("speed"), F.col("setting")).alias("seconds"),),
     ),
     "e27_speed": _inline(
-        _E27, "SELECT id, coalesce(requested, CASE WHEN provider IN ('qwen3_mlx','supertonic','kokoro') THEN setting END, 1.0) AS speed FROM {t}", F.col("id"), lb.effective_speed(F.col("requested"), F.col("setting"), F.col("provider")).alias("speed")
+        _E27, "SELECT id, coalesce(requested, CASE WHEN provider IN ('qwen3_mlx','supertonic','kokoro') THEN setting END, 1.0) AS speed FROM {t}", lambda: (F.col("id"), lb.effective_speed(F.col("requested"), F.col("setting"), F.col("provider")).alias("speed"),)
     ),
-    "e28_voice_default": _inline(_E27, "SELECT id, coalesce(nullif(voice, ''), 'zf_048') AS voice FROM {t}", F.col("id"), F.coalesce(F.nullif("voice", F.lit("")), F.lit("zf_048")).alias("voice")),
+    "e28_voice_default": _inline(_E27, "SELECT id, coalesce(nullif(voice, ''), 'zf_048') AS voice FROM {t}", lambda: (F.col("id"), F.coalesce(F.nullif("voice", F.lit("")), F.lit("zf_048")).alias("voice"),)),
 }
 
 
