@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leafmill.llm.textkit import give_back
+
 #: Rows of one bucket, about.
 BUCKET_ROWS = 1_000_000
 #: Bytes of one block's column at most.
@@ -28,8 +30,8 @@ def schema(width: int) -> str:
     return "bucket int, kind int, " + ", ".join(f"c{i} binary" for i in range(width))
 
 
-def blocks(key: np.ndarray, n: int, kind: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Record batches of the rows by bucket of the key; all columns are of 8-byte numbers."""
+def blocks(key: np.ndarray, n: int, kind: int, columns: list[np.ndarray], width: int = 0) -> Iterator[pa.RecordBatch]:
+    """Record batches of the rows by bucket of the key; all columns are of 8-byte numbers, null ones fill up to `width`."""
     if not len(key):
         return
     bucket = (key % np.uint64(n)).astype(np.int64)
@@ -42,15 +44,18 @@ def blocks(key: np.ndarray, n: int, kind: int, columns: list[np.ndarray]) -> Ite
         for at in range(lo, hi, BLOCK_BYTES // 8):
             end = min(at + BLOCK_BYTES // 8, hi)
             rows.append((int(bucket[lo]), kind, *(c[at:end].tobytes() for c in columns)))
-    names = ["bucket", "kind", *(f"c{i}" for i in range(len(columns)))]
+    width = max(width, len(columns))
+    names = ["bucket", "kind", *(f"c{i}" for i in range(width))]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * len(columns)]
+    blank = [pa.binary()] * (width - len(columns))
     for lo in range(0, len(rows), 256):
         part = list(zip(*rows[lo : lo + 256]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds)], names)
+        arrays = [pa.array(x, t) for x, t in zip(part, kinds)]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), t) for t in blank)], names)
 
 
 def exchange(sent: DataFrame, n: int) -> DataFrame:
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket")
+    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket")
 
 
 def received(batches: Iterator[pa.RecordBatch], kinds: list[list[np.dtype]]) -> Iterator[dict[int, list[np.ndarray]]]:
@@ -71,3 +76,4 @@ def received(batches: Iterator[pa.RecordBatch], kinds: list[list[np.dtype]]) ->
             held.setdefault(k, []).append(tuple(c[i].as_buffer() for c in cols[: len(kinds[k])]))
     if held:
         yield whole()
+    give_back()

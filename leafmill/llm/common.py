@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch: of long documents, more would be large.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, unless the session asks for smaller ones yet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -33,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow frame (ids and the like) that may be broadcast, once they are counted; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """A narrow frame that is already written: with a broadcast hint if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a frame that came from written()."""
     spark = df.sparkSession
@@ -43,6 +63,7 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import forget, written
+from leafmill.llm.textkit import give_back
 
 #: Edges that a partition contracts at once.
-CHUNK_EDGES = 1_000_000
+CHUNK_EDGES = 500_000
+#: Edges (16 bytes each) that one task may finish; more go through distributed rounds until they are so few.
+LAST_EDGES = 1_000_000
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +44,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[k], nodes[root[k]]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contract(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_EDGES) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
 
@@ -53,11 +56,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
         size += batch.num_rows
-        if size >= CHUNK_EDGES:
+        if size >= chunk:
             yield flush()
             held, size = [], 0
     if held:
         yield flush()
+    give_back()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,6 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).head()
         if mark == before or not mark[0]:
             break
+        if mark[0] <= LAST_EDGES:
+            now = now.coalesce(1).mapInArrow(lambda b: _contract(b, LAST_EDGES + 1), "a long, b long")
+            break
         before = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -78,5 +85,6 @@ def components(edges: DataFrame) -> DataFrame:
         nxt = written(contract(small.union(least.select("a", F.col("m").alias("b"))).distinct()), "edges")
         forget(now)
         now = nxt
+    now = written(now, "stars")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(roots)

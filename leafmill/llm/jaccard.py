@@ -8,8 +8,9 @@ A document is its set of distinct word shingles.  Two documents link when
    shingles that are frequent in the corpus last (frequent in some block of
    documents, the counts added up over all of them), so prefixes hold rare ones.  A
    class that shares fewer prefix shingles than any partner would need is out.
-   Senders connect classes that share a shingle within their block and pass on one
-   class per shingle, so a frequent shingle costs at most a row per block.
+   Senders hang the classes of their block that share a shingle on a hub and pass on
+   one hub per shingle, so a frequent shingle costs at most a row per block.
+   A second round, for the documents left, orders shingles by their exact counts.
 2. The candidate graph's components hold all links.  A large component is split into
    blocks by a hash, and each pair of blocks is a task of its own.
 3. Within a task, T-occurrence search: per query the longest inverted lists are set
@@ -27,7 +28,7 @@ an empty table stays empty.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -36,19 +37,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import buckets
-from leafmill.llm.common import written
+from leafmill.llm.common import narrow, small_batches, written
 from leafmill.llm.graph import components
-from leafmill.llm.textkit import buffers, grams, mix, pieces, starts_inside, word_hashes, words
+from leafmill.llm.textkit import buffers, give_back, grams, mix, pieces, starts_inside, word_hashes, words
 
 SHINGLE, PERCENT = 5, 80
-#: Share of documents from which a shingle counts as frequent; at most (mean set size / FREQUENT) shingles can be.
-FREQUENT = 0.002
-#: Prefix shingles that linked sets share at least, as a share of the set.
-SHARED = 0.05
+#: A shingle is frequent if a block of documents has it so often; so many of the most frequent are ranked, a bound
+#: that doesn't grow with the corpus (the order changes the work only, never the result).
+FREQUENT, RANKED = 3, 400_000
+#: Prefix shingles that linked sets share at least, as a share of the set: in the first round, over all documents,
+#: and in the second, over those that are left.
+SHARED, SHARED_AGAIN = 0.05, 0.1
 #: Shingles of one block in the search.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
 #: Prefix rows that a task combines before sending.
-HELD = 1_500_000
+HELD = 800_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +87,8 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def least_shared(n: np.ndarray) -> np.ndarray:
-    return np.maximum(1, (n * SHARED).astype(np.int64))
+def least_shared(n: np.ndarray, share: float) -> np.ndarray:
+    return np.maximum(1, np.floor(n * share + 1e-9).astype(np.int64))
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
@@ -93,12 +96,11 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        rows = [0]
         names = ["kind", "doc_id", "n", "s1", "s2"]
 
         def frequent() -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(held), return_counts=True)
-            k = c >= max(3, rows[0] * FREQUENT)
+            k = c >= FREQUENT
             g, c = g[k], c[k]
             zero = np.zeros(len(g), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(g), np.int32)), pa.array(zero), pa.array(c.astype(np.int64)), pa.array(g.view(np.int64)), pa.array(zero)], names)
@@ -109,18 +111,17 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                 s1, s2 = signatures(g, first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(part.num_rows, np.int32)), part.column(0), pa.array(np.diff(first)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], names)
                 held.append(g)
-                rows[0] += part.num_rows
-                if sum(map(len, held)) > 6_000_000:
+                if sum(map(len, held)) > 3_000_000:
                     yield frequent()
                     held.clear()
-                    rows[0] = 0
         if held:
             yield frequent()
+        give_back()
 
     return written(docs.mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long"), "sets")
 
 
-def _prefixes(g: np.ndarray, first: np.ndarray, hot: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(g: np.ndarray, first: np.ndarray, hot: np.ndarray, df: np.ndarray, percent: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Prefix shingles of each set under the global order, and the set of each."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     rank = np.zeros(len(g), np.int64)
@@ -130,56 +131,60 @@ def _prefixes(g: np.ndarray, first: np.ndarray, hot: np.ndarray, df: np.ndarray,
         order = np.lexsort((g, rank, doc))
         g = g[order]
     n = np.diff(first)
-    length = np.minimum(n, n - least_overlap(n, percent) + least_shared(n))
+    length = np.minimum(n, n - least_overlap(n, percent) + least_shared(n, share))
     place = np.arange(len(g)) - first[doc]
     use = place < length[doc]
     return g[use], doc[use]
 
 
-def _combine(token: np.ndarray, node: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Connect nodes with a common token: (node, leader, count) edges, and one row per token left.
+def _combine(token: np.ndarray, node: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges (node, hub, own tokens, whether node is a hub) and one row per token left.
 
-    `counted` marks rows whose token is known to be shared; a node's count grows once per shared token.
+    The nodes that share a token hang on a hub named by a hash of these nodes, so
+    tokens shared by the same nodes make one hub, and a hub connects only nodes that
+    do share a token.
     """
     order = np.lexsort((node, token))
-    token, node, counted = token[order], node[order], counted[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    twin = np.zeros(len(token), bool)
-    twin[1:] = ~new[1:] & (node[1:] == node[:-1])
-    if twin.any():  # the same node again: its rows count as one
-        again = np.flatnonzero(twin)
-        for i in again:
-            counted[i] = counted[i] | counted[i - 1]
-        last = np.append(~twin[1:], True)
-        token, node, counted = token[last], node[last], counted[last]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-    start = np.flatnonzero(new)
+    token, node, hub = token[order], node[order], hub[order]
+    once = np.ones(len(token), bool)  # equal sets of several blocks count as one
+    once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, hub = token[once], node[once], hub[once]
+    start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(token)))
-    lead = np.repeat(start, size)
-    shared = np.repeat(size > 1, size)
-    fresh = (shared & ~counted).astype(np.int64)
-    edge = shared & ((node != node[lead]) | (fresh > 0))
-    e = np.flatnonzero(edge)
-    a, b, c, hub = node[e], node[lead[e]], fresh[e], counted[e]
-    # rows of one edge become one
+    name = np.add.reduceat(mix(node.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+    name = mix(name + size.astype(np.uint64)).view(np.int64)
+    shared = size > 1
+    e = np.flatnonzero(np.repeat(shared, size))
+    a, b, h = node[e], np.repeat(name, size)[e], hub[e]
     order = np.lexsort((b, a))
-    a, b, c, hub = a[order], b[order], c[order], hub[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(first)
-    if len(at):
-        c, hub = np.add.reduceat(c, at), np.logical_or.reduceat(hub, at)
-    return a[at], b[at], c, hub, token[start], node[start], counted[start] | (size > 1)
+    a, b, h = a[order], b[order], h[order]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+    own = np.where(h[at], 0, np.diff(np.append(at, len(a))))
+    return a[at], b[at], own, h[at], token[start], np.where(shared, name, node[start]), hub[start] | shared
 
 
 _EDGE, _TOKEN = 0, 1
 _COLUMNS = [[np.int64, np.int64, np.int64], [np.uint64, np.int64, np.int64]]
 
 
-def _candidate_edges(docs: DataFrame, n_buckets: int, hot: np.ndarray, df: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(a, b, c, hub): classes a and b connected by shared prefix shingles; c of a's own are counted here; hub: others hang on a."""
+_EDGES = "a long, b long, c long, hub boolean"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for got in buckets.received(batches, _COLUMNS):
+        out = []
+        if _EDGE in got:
+            a, b, packed = got[_EDGE]
+            out.append((a, b, packed // 2, (packed % 2).astype(bool)))
+        if _TOKEN in got:
+            token, node, is_hub = got[_TOKEN]
+            out.append(_combine(token, node, is_hub.astype(bool))[:4])
+        for a, b, c, hub in out:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(hub)], ["a", "b", "c", "hub"])
+
+
+def _candidate_edges(docs: DataFrame, n_buckets: int, hot: np.ndarray, df: np.ndarray, size: int, percent: int, share: float) -> DataFrame:
+    """(a, b, c, hub): class (or, if hub, hub) a hangs on hub b by c prefix shingles."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -187,15 +192,15 @@ def _candidate_edges(docs: DataFrame, n_buckets: int, hot: np.ndarray, df: np.nd
 
         def flush() -> Iterator[pa.RecordBatch]:
             token, node = (np.concatenate(x) for x in zip(*held))
-            a, b, c, hub, token, node, counted = _combine(token, node, np.zeros(len(token), bool))
+            a, b, c, hub, token, node, is_hub = _combine(token, node, np.zeros(len(token), bool))
             yield from buckets.blocks(mix(a.view(np.uint64)), n_buckets, _EDGE, [a, b, c * 2 + hub])
-            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node, counted.astype(np.int64)])
+            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node, is_hub.astype(np.int64)])
 
         for batch in batches:
             for part in pieces(batch, "text"):
                 g, first = shingle_sets(*buffers(part.column(0)), size)
                 s1 = signatures(g, first)[0].view(np.int64)
-                t, d = _prefixes(g, first, hot, df, percent)
+                t, d = _prefixes(g, first, hot, df, percent, share)
                 fresh = np.array([x not in seen for x in s1.tolist()], bool)  # equal sets are sent once
                 seen.update(s1.tolist())
                 use = fresh[d] if len(d) else np.zeros(0, bool)
@@ -206,47 +211,131 @@ def _candidate_edges(docs: DataFrame, n_buckets: int, hot: np.ndarray, df: np.nd
                     held, rows, seen = [], 0, set()
         if rows:
             yield from flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in buckets.received(batches, _COLUMNS):
-            out = []
-            if _EDGE in got:
-                a, b, packed = got[_EDGE]
-                out.append((a, b, packed // 2, (packed % 2).astype(bool)))
-            if _TOKEN in got:
-                token, node, counted = got[_TOKEN]
-                out.append(_combine(token, node, counted.astype(bool))[:4])
-            for a, b, c, hub in out:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(hub)], ["a", "b", "c", "hub"])
+        give_back()
 
     sent = docs.select("text").mapInArrow(send, buckets.schema(3))
-    return written(buckets.exchange(sent, n_buckets).mapInArrow(meet, "a long, b long, c long, hub boolean"), "candidates")
+    return written(buckets.exchange(sent, n_buckets).mapInArrow(_meet, _EDGES), "candidates")
 
 
-def divide_skip(query: np.ndarray, lists: dict[int, list[int]], need: int) -> Iterator[tuple[int, int]]:
-    """(candidate, occurrences) of the candidates that occur in at least `need` of the query's sorted lists.
+_NODE = 2
 
-    Of the lists, the longest are set aside; a candidate must occur need - len(long)
-    times in the short ones, which are merged through a heap.
+
+def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share: float) -> DataFrame:
+    """Edges as from _candidate_edges(), with the exact frequencies among these documents as the order.
+
+    Rows go by shingle to be counted, by class to choose its rarest shingles, and by
+    shingle again to meet.
     """
-    found = sorted((lists[t] for t in query.tolist() if t in lists), key=len)
-    if not found or len(found) < need:
-        return
-    longest = len(found[-1])
-    aside = min(need - 1, int(need / (0.0085 * np.log2(longest + 1) + 1)))
-    short, long = found[: len(found) - aside], found[len(found) - aside :]
-    arrays = [np.asarray(x) for x in long]
-    for candidate, same in groupby(heapq.merge(*short)):
-        count = sum(1 for _ in same)
-        if count < need - aside:
-            continue
-        for k, x in enumerate(arrays):
-            if count >= need or count + len(arrays) - k < need:
-                break
-            i = int(np.searchsorted(x, candidate))
-            count += i < len(x) and x[i] == candidate
-        if count >= need:
-            yield candidate, count
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            token, node = (np.concatenate(x) for x in zip(*held))
+            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node], 3)
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                g, first = shingle_sets(*buffers(part.column(0)), size)
+                s1 = signatures(g, first)[0].view(np.int64)
+                n = np.diff(first)
+                yield from buckets.blocks(mix(s1.view(np.uint64)), n_buckets, _NODE, [s1, n], 3)
+                held.append((g, np.repeat(s1, n)))
+                rows += len(g)
+                if rows >= HELD:
+                    yield from flush()
+                    held, rows = [], 0
+        if rows:
+            yield from flush()
+        give_back()
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in buckets.received(batches, [[], [np.uint64, np.int64], [np.int64, np.int64]]):
+            if _NODE in got:
+                yield from buckets.blocks(mix(got[_NODE][0].view(np.uint64)), n_buckets, _NODE, got[_NODE], 3)
+            if _TOKEN in got:
+                token, node = got[_TOKEN]
+                order = np.lexsort((node, token))
+                token, node = token[order], node[order]
+                once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+                token, node = token[once], node[once]
+                start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+                df = np.diff(np.append(start, len(token)))
+                df = np.repeat(df, df)
+                k = df > 1  # a shingle of one class needs no exchange: the class knows how many it has
+                yield from buckets.blocks(mix(node[k].view(np.uint64)), n_buckets, _TOKEN, [token[k], node[k], df[k]], 3)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in buckets.received(batches, [[], [np.uint64, np.int64, np.int64], [np.int64, np.int64]]):
+            if _TOKEN not in got or _NODE not in got:
+                continue
+            token, node, df = got[_TOKEN]
+            order = np.lexsort((token, df, node))
+            token, node = token[order], node[order]
+            start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            have = np.diff(np.append(start, len(node)))
+            known, at = np.unique(got[_NODE][0], return_index=True)
+            n = got[_NODE][1][at][np.searchsorted(known, node[start])]
+            length = np.minimum(n, n - least_overlap(n, percent) + least_shared(n, share)) - (n - have)
+            use = np.arange(len(node)) - np.repeat(start, have) < np.repeat(length, have)
+            token, node = token[use], node[use]
+            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node, np.zeros(len(token), np.int64)])
+
+    schema = buckets.schema(3)
+    counted = buckets.exchange(docs.select("text").mapInArrow(count, schema), n_buckets).mapInArrow(regroup, schema)
+    chosen = buckets.exchange(counted, n_buckets).mapInArrow(choose, schema)
+    return written(buckets.exchange(chosen, n_buckets).mapInArrow(_meet, _EDGES), "candidates")
+
+
+class Lists:
+    """Inverted lists of a group of sets: for each shingle of two sets or more, the sets that hold it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        size = np.diff(np.append(cut, len(flat)))
+        keep = size > 1
+        self.token, self.start, self.size, self.owner = flat[cut[keep]], cut[keep], size[keep], owner
+        self.n = len(sets)
+        # (list, set) as one number: ascending, so that a probe of any list is a binary search in this array
+        inside = np.repeat(keep, size)
+        self.pairs = np.repeat(np.arange(len(self.token), dtype=np.int64), self.size) * self.n + owner[inside]
+
+    def of(self, query: np.ndarray) -> np.ndarray:
+        """The query's lists, shortest first."""
+        if not len(self.token):
+            return np.zeros(0, np.int64)
+        at = np.searchsorted(self.token, query)
+        at[at == len(self.token)] = 0
+        at = at[self.token[at] == query]
+        return at[np.argsort(self.size[at], kind="stable")]
+
+    def divide_skip(self, query: np.ndarray, need: int, known: Callable[[int], bool] = lambda c: False) -> Iterator[int]:
+        """Sets that share `need` shingles or more with the query, and of which nothing is known yet.
+
+        The longest lists are set aside; a candidate must occur need - len(long) times
+        in the short ones, which are merged through a heap, and is then sought in the
+        long ones by binary search.
+        """
+        at = self.of(query)
+        if not len(at) or len(at) < need:
+            return
+        aside = min(need - 1, int(need / (0.0085 * np.log2(self.size[at[-1]] + 1) + 1)))
+        short, long = at[: len(at) - aside], at[len(at) - aside :] * self.n
+        lists = [self.owner[s : s + k].tolist() for s, k in zip(self.start[short].tolist(), self.size[short].tolist())]
+        for candidate, same in groupby(heapq.merge(*lists)):
+            count = sum(1 for _ in same)
+            if count < need - aside or known(candidate):
+                continue
+            if count < need and aside:
+                probe = long + candidate
+                found = np.minimum(np.searchsorted(self.pairs, probe), len(self.pairs) - 1)
+                count += int((self.pairs[found] == probe).sum())
+            if count >= need:
+                yield candidate
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -273,35 +362,35 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
         return i
 
     size = [len(s) for s in sets]
+
+    def linked(i: int, j: int) -> bool:
+        small, large = sorted((size[i], size[j]))
+        return small * 100 >= percent * large and _linked(_overlap(sets[i], sets[j]), small, large, percent)
+
     # sets that link with a leader join it at once; what is left is searched in full
-    leaders: list[int] = []
+    followers: dict[int, int] = {}
     for i in range(n):
-        for j in leaders[-4:]:
-            if size[j] * 100 >= percent * size[i] and _linked(_overlap(sets[i], sets[j]), size[i], size[j], percent):
+        busy = sorted(followers, key=lambda j: (-followers[j], -j))[:8]
+        for j in busy + [j for j in list(followers)[-4:] if j not in busy]:
+            if linked(i, j):
                 root[i] = find(j)
+                followers[j] += 1
                 break
         else:
-            leaders.append(i)
+            followers[i] = 0
+            if len(followers) > 64:  # the oldest leaders without followers go
+                del followers[next((j for j in followers if not followers[j]), next(iter(followers)))]
     roots = np.array([find(i) for i in range(n)])
     if len(set(roots.tolist())) > 1:
         # a pair that isn't connected has a member outside the largest component
         largest = np.bincount(roots).argmax()
-        lists: dict[int, list[int]] = {}
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(n), size)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        ends = np.append(cut[1:], len(flat))
-        for lo, hi in zip(cut.tolist(), ends.tolist()):
-            if hi - lo > 1:
-                lists[int(flat[lo])] = owner[lo:hi].tolist()
+        lists = Lists(sets)
         for q in np.flatnonzero(roots != largest).tolist():
             # T grows with the candidate's size; the smallest possible one serves the merge
             small = -(-size[q] * percent // 100)
             need = -(-percent * (size[q] + small) // (100 + percent))
-            for c, shared in divide_skip(sets[q], lists, need):
-                if find(c) != find(q) and _linked(_overlap(sets[q], sets[c]), size[q], size[c], percent):
+            for c in lists.divide_skip(sets[q], need, lambda c: find(c) == find(q)):  # noqa: B023
+                if linked(q, c):
                     root[find(c)] = find(q)
         roots = np.array([find(i) for i in range(n)])
     return roots
@@ -341,38 +430,53 @@ def links(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFr
         if ids:
             yield done()
 
-    wanted = docs.join(places.groupBy("doc_id").agg(F.collect_set("task").alias("tasks")), "doc_id").select("text", "doc_id", "tasks")
+    tasks = narrow(written(places.groupBy("doc_id").agg(F.collect_set("task").alias("tasks")), "tasks"))
+    wanted = docs.join(tasks, "doc_id").select("text", "doc_id", "tasks")
     sets = wanted.mapInArrow(to_sets, "doc_id long, tasks array<string>, n long, shingles binary")
     dealt = sets.select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition("task").sortWithinPartitions("task", "doc_id")
     return dealt.mapInArrow(search, "a long, b long")
 
 
+def _ranked(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts: at most RANKED."""
+    top = facts.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("df")).where(F.col("df") > FREQUENT).orderBy(F.desc("df"), "s1").limit(RANKED).toArrow()
+    hot = top.column("s1").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], top.column("df").to_numpy().astype(np.int64)[order]
+
+
+def _candidates(edges: DataFrame, classes: DataFrame, percent: int, share: float) -> DataFrame:
+    """(s1, rep, n, component) of the classes that could link, components with one class left out."""
+    shared = edges.groupBy(F.col("a").alias("s1")).agg(F.sum("c").alias("shared"))
+    fewest = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * share + 1e-9))
+    alive = written(classes.join(shared, "s1").where(F.col("shared") >= fewest).select("s1", "rep", "n"), "alive")
+    kept = edges.join(alive.select(F.col("s1").alias("a"), F.lit(True).alias("ok")).distinct(), "a", "left").where("ok or hub").select("a", "b")
+    parts = components(kept)
+    placed = written(alive.join(parts, alive.s1 == parts.node).select("s1", "rep", "n", "component"), "placed")
+    several = placed.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    return written(placed.join(several, "component", "left_semi"), "placed")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document with an id."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     facts = _facts(source, shingle)
     own = facts.where("kind = 0")
-    n_docs, total = own.agg(F.count("*"), F.sum("n")).head()
-    heavy = facts.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("df")).where(F.col("df") >= max(8.0, FREQUENT * n_docs)).toArrow()
-    hot = heavy.column("s1").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    hot, df = hot[order], heavy.column("df").to_numpy().astype(np.int64)[order]
-    share = 1 - percent / 100 + SHARED
-    edges = _candidate_edges(source, buckets.count_for((total or 0) * share), hot, df, shingle, percent)
-
     classes = written(own.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    shared = edges.groupBy(F.col("a").alias("s1")).agg(F.sum("c").alias("shared"))
-    fewest = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * SHARED))
-    alive = written(classes.join(shared, "s1").where(F.col("shared") >= fewest).select("s1", "rep", "n"), "alive")
-    kept = edges.where("a != b").join(alive.select(F.col("s1").alias("a"), F.lit(True).alias("ok")).distinct(), "a", "left").where("ok or hub").select("a", "b")
-    parts = components(kept)
-    placed = written(alive.join(parts, alive.s1 == parts.node).select("rep", "n", "component"), "placed")
-    sizes = placed.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("k > 1")
-    blocks = sizes.select("component", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    total = classes.agg(F.sum("n")).head()[0] or 0
+    edges = _candidate_edges(source, buckets.count_for(total * (1 - percent / 100 + SHARED)), *_ranked(facts), shingle, percent, SHARED)
+    first = _candidates(edges, classes, percent, SHARED)
+    # few documents are left: among them the exact frequencies are affordable
+    left = written(source.join(narrow(written(first.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi"), "left")
+    total = first.agg(F.sum("n")).head()[0] or 0
+    placed = _candidates(_exact_edges(left, buckets.count_for(total), shingle, percent, SHARED_AGAIN), first.select("s1", "rep", "n"), percent, SHARED_AGAIN)
+
+    blocks = placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     at = placed.join(blocks, "component").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "component", F.least("i", j), F.greatest("i", j)))
     places = at.select(F.col("rep").alias("doc_id"), F.explode(pair).alias("task"))
-    linked = components(links(source, places, shingle, percent))
+    linked = components(links(left, places, shingle, percent))
 
     by_class = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(by_class, ["s1", "s2"], "left")

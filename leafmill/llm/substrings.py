@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import buckets
-from leafmill.llm.common import written
+from leafmill.llm.common import small_batches, written
 from leafmill.llm.textkit import buffers, grams, mix, pieces, slide_min_at, split_texts, starts_inside, word_hashes, words
 
 WINDOW, ANCHOR = 20, 6
 #: Contexts that a task combines before sending.
-HELD = 600_000
+HELD = 500_000
 _FLAG, _ROW = 0, 1
 _KINDS = [[np.int64, np.int64, np.int64], [np.uint64, np.uint64, np.int64, np.int64]]
 _SCHEMA = buckets.schema(4)
@@ -90,8 +90,7 @@ def _flags(n: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(doc)) - 1
         doc, lo, hi = doc[s], lo[s], reach[e]
-        for b in buckets.blocks(mix(doc.view(np.uint64)), n, _FLAG, [doc, lo, hi]):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.binary())], [*b.schema.names, "c3"])
+        yield from buckets.blocks(mix(doc.view(np.uint64)), n, _FLAG, [doc, lo, hi], 4)
 
 
 def _running_end(doc: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -189,6 +188,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every document."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = repeated_spans(source, window, anchor)
     gone = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("gone"))

@@ -7,6 +7,7 @@ handles one word at a time.  Words are maximal runs of bytes other than
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,22 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document forms a piece of its own.
 PIECE_BYTES = 1 << 20
 
+# glibc raises its limit for separate mappings as arrays are freed and then keeps their
+# memory; fixed limits let a worker give large arrays back between tasks
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+except (OSError, AttributeError):
+    _libc = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
