@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, embeddings, jaccard, language, secrets, sitetree, substrings, token_files, toxicity
+from leafmill.llm import bpe, decontaminate, embeddings, jaccard, language, oracles, secrets, sitetree, substrings, token_files, toxicity
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -77,4 +77,8 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": oracles.SUBSTRINGS,
+    "op6_ngram_jaccard": oracles.JACCARD,
+    "op8_embedding_graph": oracles.VECTORS,
+}
