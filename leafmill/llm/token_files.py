@@ -25,27 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.bpe import byte_alphabet
+from leafmill.llm.common import small_batches, written
 from leafmill.llm.textkit import pieces, split_texts
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and pre-tokens that a worker remembers, and the longest remembered one.
-CACHE_WORDS, CACHE_CORES, CACHE_BYTES = 200_000, 900_000, 40
+CACHE_WORDS, CACHE_PRETOKENS, CACHE_CHARS = 200_000, 800_000, 40
 STRIPE_BYTES = 16 << 20
 #: File offsets are broadcast up to this many (16 bytes each), else joined by shuffle.
 BROADCAST_FILES = 200_000
 
 
 class WordEncoder:
-    """Encodes whole texts by the tokenizers library, a word at a time with memory."""
+    """Encodes whole texts by the tokenizers library, a pre-token at a time with memory.
 
-    #: Within a word, Latin letters, digits and other ASCII marks are separate pre-tokens (an apostrophe may start a contraction).
-    _letters = r"a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
-    _marks = r"\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e"
-    _core = re.compile(f"[{_letters}]+|[0-9]|[{_marks}]+")
-    _plain = re.compile(f"[{_letters}{_marks}0-9]+")
-    _pieces = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
+    Texts of ASCII and Latin letters, without apostrophes (they may start a
+    contraction), are cut into pre-tokens here: letter runs, single digits, runs of
+    other marks.  Each new one goes to the library's model.  Other texts are cut at
+    white space, and each new word goes through the library's whole pipeline.
+    """
+
+    _letters = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+    _pieces = re.compile(f"[{_letters}]+|[0-9]|[\x00-\x08\x0e-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f]+")
+    _other = re.compile("[^\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,76 +57,57 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.characters = {b: c for c, b in byte_alphabet().items() if ord(c) != b}
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.pretokens: dict[str, bytes] = {}
 
-    def _ids(self, some: list[bytes]) -> list[bytes]:
+    def _whole(self, some: list[bytes]) -> list[bytes]:
         texts = [x.decode() for x in some]
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_cores(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of fragments; the short ones are remembered, the others returned."""
-        once: dict[bytes, bytes] = {}
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for c, ids in zip(part, self._ids(part)):
-                (self.cores if len(c) <= CACHE_BYTES else once)[c] = ids
-        return once
-
-    def _learn_words(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        split = {}
-        for w in missing:
-            text = w.decode()
-            split[w] = [c.encode() for c in self._core.findall(text)] if self._plain.fullmatch(text) else [w]
-        cores = self.cores
-        once = self._learn_cores(list({c for cs in split.values() for c in cs if c not in cores}))
-        long_words = {}
-        for w, cs in split.items():
-            ids = b"".join([cores[c] if c in cores else once[c] for c in cs])
-            (self.words if len(w) <= CACHE_BYTES else long_words)[w] = ids
-        return long_words
+    def _pretoken(self, text: str) -> bytes:
+        if not text.isascii() or not text.isprintable():
+            text = text.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text, without added tokens.
-
-        The vocabulary lower-cases, so A-Z may be folded first.  An ASCII text
-        without apostrophes is looked up by pre-token, another by white-space
-        separated word; a text with the mark of special tokens goes to the library
-        as it is.
-        """
+        """Little-endian unsigned 32-bit ids of each UTF-8 text, without added tokens."""
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        parts, want_words, want_cores = [], set(), set()
-        for t in texts:
-            if b"<|" in t:
-                parts.append((None, None, None))
+        if len(self.pretokens) > CACHE_PRETOKENS:
+            self.pretokens.clear()
+        known, out = self.pretokens, []
+        for raw in texts:
+            text = raw.decode()
+            if "<|" in text:  # the mark of special tokens
+                out.append(self._whole([raw])[0])
                 continue
-            low = t.lower()
-            by_core = low.isascii() and b"'" not in low
-            frags = self._pieces.findall(low) if by_core else low.split()
-            got = list(map((self.cores if by_core else self.words).get, frags))
-            holes = [i for i, g in enumerate(got) if g is None] if None in got else ()
-            if holes:
-                (want_cores if by_core else want_words).update([frags[i] for i in holes])
-            parts.append((frags, got, holes))
-        once = self._learn_cores(list(want_cores))
-        once |= self._learn_words(list(want_words))
-        out = []
-        for t, (frags, got, holes) in zip(texts, parts):
-            if frags is None:
-                out.append(self._ids([t])[0])
+            if self._other.search(text):
+                out.append(self._by_word(raw))
                 continue
-            if holes:
-                by_core = t.isascii() and b"'" not in t
-                known = self.cores if by_core else self.words
-                for i in holes:
-                    w = frags[i]
-                    got[i] = known[w] if w in known else once[w]
+            pieces = self._pieces.findall(text.lower())
+            got = list(map(known.get, pieces))
+            if None in got:
+                for i, g in enumerate(got):
+                    if g is None:
+                        p = pieces[i]
+                        got[i] = known.get(p) or self._pretoken(p)
+                        if len(p) <= CACHE_CHARS:
+                            known[p] = got[i]
             out.append(b"".join(got))
         return out
 
+    def _by_word(self, raw: bytes) -> bytes:
+        words = raw.split()
+        fresh = list({w for w in words if w not in self.words})
+        once = {}
+        for lo in range(0, len(fresh), 4096):
+            part = fresh[lo : lo + 4096]
+            for w, ids in zip(part, self._whole(part)):
+                (self.words if len(w) <= CACHE_CHARS else once)[w] = ids
+        return b"".join([self.words[w] if w in self.words else once[w] for w in words])
+
 
 _loaded: dict[str, WordEncoder] = {}
 
@@ -150,6 +135,7 @@ def write_ids(docs: DataFrame, out: str, vocab: str, end_id: int = 1, id_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays, pa.array(n), pa.array(before + offs[:-1].astype(np.int64))], ["doc_id", "ids", "n_tokens", "start_in_file"])
                 before += int(n.sum())
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, start_in_file long")
