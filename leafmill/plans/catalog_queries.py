@@ -12,6 +12,7 @@ from leafmill.operators import voices as vo
 from leafmill.plans import inline as t
 from leafmill.plans.base import Query, table
 from leafmill.plans.text_queries import clean_sql, language_sql, seconds_sql, strip_sql
+from leafmill.sources.settings import setting
 
 _VOICES = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in v) + ")" for v in vo.BUILT_IN) + ") AS v(id, name, gender, language, provider, description))"
 _DECLARED = "(SELECT provider, ord::INTEGER AS ord, language FROM (VALUES " + ", ".join(f"('{p}', {i}, '{tag}')" for p, tags in vo.DECLARED.items() for i, tag in enumerate(tags.split())) + ") AS d(provider, ord, language))"
@@ -57,7 +58,13 @@ def _voice_fit(spark, d):
 
 _TURNS = f"(SELECT conv_id, turn, text, {seconds_sql('text')} AS seconds FROM conversations)"
 
+_SETTINGS = t.Rows("id int, doc string", (1, '{"tts": {"provider": "edge", "max": 3000}, "x": 1}'), (2, '{"tts": {}}'), (3, '{"tts": 5}'))
+
 QUERIES: dict[str, Query] = {
+    "e24_setting": Query(
+        lambda spark, d: _SETTINGS.frame(spark).select("id", setting(F.col("doc"), "tts.provider").alias("provider"), setting(F.col("doc"), "tts.max").alias("chars")),
+        f"SELECT id, json_extract_string(doc, '$.tts.provider') AS provider, json_extract_string(doc, '$.tts.max') AS chars FROM {_SETTINGS.sql}",
+    ),
     "s14_library": Query(
         lambda spark, d: catalog.library(t.BOOKS.frame(spark), t.PRESENT.frame(spark), t.EDITS.frame(spark), _chapters(spark)).select("book_id", "idx", "title", "edited"),
         f"SELECT c.book_id, c.idx, c.title, (e.book_id IS NOT NULL OR c.edited) AS edited FROM {t.CHAPTERS.sql} c JOIN {t.BOOKS.sql} b ON b.id = c.book_id AND b.file_path IN (FROM {t.PRESENT.sql}) LEFT JOIN {t.EDITS.sql} e USING (book_id, idx)",
