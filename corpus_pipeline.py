@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, decontaminate, jaccard, language, secrets
-from leafmill.llm.common import held_out, table, written
+from leafmill.llm.common import held_out, narrow, table, written
 from leafmill.llm.queries import vocabulary
 
 
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; null texts and texts without a letter go."""
     model = language.train(docs.where(~held_out(F.col("doc_id"))))
     names = docs.columns
-    found = language.predict(docs, model, "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    return found.where("lang_pred != 'und'").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != "text"]
+    found = language.predict(docs, model, "text", *others, keep_text=True)
+    return found.where("lang_pred != 'und'").select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     groups = written(jaccard.groups(docs), "groups")
     rows, ids = groups.agg(F.count("*"), F.countDistinct("doc_id")).head()
-    kept = docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(groups.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(narrow(gone), "doc_id", "left_anti").select(*docs.columns)
     if rows == ids:
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
@@ -40,18 +42,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage, exact or edited."""
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(written(hits, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(narrow(written(hits, "contaminated")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in the text replaced by a mark; n_chars follows the text."""
     names = docs.columns
-    coded = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    found = secrets.find_secrets(coded, keep=tuple(f"c{i}" for i in range(len(names))))
-    text = secrets.redacted(F.col("text"), F.col("spans"))
+    others = {f"c{i}": c for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    coded = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for k, c in others.items()))
+    found = secrets.find_secrets(coded, keep=tuple(others), mark="[secret]")
     kinds = dict(docs.dtypes)
-    out = {"text": text, "n_chars": F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col(f"c{names.index('n_chars')}")).cast(kinds["n_chars"])} if "n_chars" in names else {"text": text}
-    return found.select(*(out.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
+    out = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text")}
+    if "n_chars" in names:
+        same = F.col(f"c{names.index('n_chars')}")
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("text")).otherwise(same).cast(kinds["n_chars"])
+    return found.select(*(out[c] if c in out else F.col(f"c{i}").alias(c) for i, c in enumerate(names))).toDF(*names)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

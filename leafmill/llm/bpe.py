@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.textkit import binary_array, buffers, pieces
+from leafmill.llm.common import small_batches
+from leafmill.llm.textkit import binary_array, buffers, give_back, pieces
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Fragments remembered by a worker, and the longest one it remembers.
-CACHE_ENTRIES, CACHE_BYTES = 900_000, 48
+#: Fragments remembered within a task, and the longest one remembered.
+CACHE_ENTRIES, CACHE_BYTES = 200_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,6 +48,9 @@ def byte_alphabet() -> dict[str, int]:
 class ForcedBoundaryBPE:
     """Encoder and decoder over one byte-level vocabulary file."""
 
+    #: Fragments that are one pre-token for certain: an optional space, then Latin letters, digits or other ASCII marks.
+    _one = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -55,6 +60,9 @@ class ForcedBoundaryBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte = byte_alphabet()
+        self.model = self.tokenizer.model
+        self.characters = {b: c for c, b in to_byte.items() if ord(c) != b}
+        self.space = self.characters[32]
         tokens = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         self.specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         inside = np.zeros((256, 256), bool)
@@ -71,6 +79,27 @@ class ForcedBoundaryBPE:
         self.known: dict[bytes, bytes] = {}
         self.special_re = re.compile(b"|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new fragments; the short ones are remembered, the others returned.
+
+        A fragment that is one pre-token goes to the library's model, another through
+        the library's whole pipeline.
+        """
+        once: dict[bytes, bytes] = {}
+        other = []
+        for p in missing:
+            text = p.decode()
+            if not self._one.fullmatch(text):
+                other.append(p)
+                continue
+            text = text.replace(" ", self.space) if text.isascii() else p.decode("latin-1").translate(self.characters)
+            (self.known if len(p) <= CACHE_BYTES else once)[p] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        for lo in range(0, len(other), 4096):
+            some = other[lo : lo + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+                (self.known if len(p) <= CACHE_BYTES else once)[p] = array("I", e.ids).tobytes()
+        return once
+
     @staticmethod
     def _guards() -> np.ndarray:
         ok = np.zeros((256, 256), bool)
@@ -107,13 +136,7 @@ class ForcedBoundaryBPE:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        missing = list({p for p in parts if p not in known})
-        extra: dict[bytes, bytes] = {}
-        for lo in range(0, len(missing), 4096):
-            some = missing[lo : lo + 4096]
-            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, e in zip(some, encoded):
-                (known if len(p) <= CACHE_BYTES else extra)[p] = np.array(e.ids, "<u4").tobytes()
+        extra = self._learn(list({p for p in parts if p not in known}))
         if extra:
             got = [known[p] if p in known else extra[p] for p in parts]
         else:
@@ -155,7 +178,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 ids = codec.encode(*buffers(part.column(1)))
                 decoded = pa.array([codec.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), binary_array(ids), decoded], ["doc_id", "ids", "decoded"])
+        codec.known.clear()
+        give_back()
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, "doc_id long, ids binary, decoded string")
 

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.textkit import NOT_LETTER, buffers, pieces
+from leafmill.llm.common import small_batches
+from leafmill.llm.textkit import NOT_LETTER, buffers, give_back, pieces
 
 BUCKETS = 4096
 MAX_DOCS_PER_LANG = 20_000
@@ -176,8 +177,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return LanguageMixture(names, counts, docs)
 
 
-def predict(docs: DataFrame, model: LanguageMixture, text_col: str = "text", *extra: Column) -> DataFrame:
-    """The `extra` columns, then lang_pred and score of each row; a map without shuffle."""
+def predict(docs: DataFrame, model: LanguageMixture, text_col: str = "text", *extra: Column, keep_text: bool = False) -> DataFrame:
+    """The `extra` columns, then lang_pred, score and, if asked for, the text of each row; a map without shuffle."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(text_col).alias("__text"), *extra)
     names = source.columns[1:]
 
@@ -189,7 +191,9 @@ def predict(docs: DataFrame, model: LanguageMixture, text_col: str = "text", *ex
                     langs, scores = model.predict(data, offs)
                 else:
                     langs, scores = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                text = [part.column(0)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *text], [*names, "lang_pred", "score", *["text"][: len(text)]])
+        give_back()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", *(["text string"] if keep_text else [])]))

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.textkit import buffers, pieces
+from leafmill.llm.common import small_batches
+from leafmill.llm.textkit import buffers, give_back, pieces
 
 KINDS = ("assign", "access", "hex", "checked")
 BASE = KINDS[:3]
@@ -111,9 +112,13 @@ def _run_bytes(data: np.ndarray, p: int, hi: int) -> bytes:
     return data[p : min(p + n, hi)].tobytes()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and `spans` array<struct<kind,start,end>> ordered by start, then kind; plus the columns named in `keep`."""
-    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep)]
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, mark: str | None = None) -> DataFrame:
+    """doc_id and `spans` array<struct<kind,start,end>> ordered by start, then kind.
+
+    With `keep`, the text and those columns too; with `mark`, the text has it in place of each span.
+    """
+    small_batches(docs.sparkSession)
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep or ())]
     source = docs.select(*columns)
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -124,36 +129,35 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 column = part.column(1)
                 data, offs = buffers(column)
                 runs = hex_runs(data, offs)
-                rows = []
-                for i, text in enumerate(column.to_pylist()):
+                rows, texts = [], column.to_pylist()
+                for i, text in enumerate(texts):
                     text = text or ""
                     spans = keyword_spans(text, auto)
                     for s, e in runs.get(i, ()):
                         at = s if text.isascii() else len(data[offs[i] : offs[i] + s].tobytes().decode())
                         spans.append((at, 2, at + e - s))
                     spans.sort()
+                    if spans and mark is not None:
+                        texts[i] = redacted(text, spans, mark)
                     rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
-                arrays = [part.column(0), *([column] if keep else []), *(part.column(2 + j) for j in range(len(keep))), pa.array(rows, pa.list_(item))]
+                arrays = [part.column(0), *([] if keep is None else [column if mark is None else pa.array(texts, pa.string())]), *(part.column(2 + j) for j in range(len(keep or ()))), pa.array(rows, pa.list_(item))]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        give_back()
 
-    names = ["doc_id", *(["text"] if keep else []), *keep, "spans"]
+    names = ["doc_id", *([] if keep is None else ["text"]), *(keep or ()), "spans"]
     fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = ", ".join(f"`{n}` {fields[n]}" for n in names[:-1]) + ", spans array<struct<kind:string,start:long,end:long>>"
     return source.mapInArrow(run, schema)
 
 
-def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each span replaced by the mark; overlapping spans count as one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["start"] >= acc["at"], fresh).otherwise(inside)
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with each (start, kind, end) replaced by the mark; overlapping spans count as one."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
 
 def digests(found: DataFrame) -> DataFrame:

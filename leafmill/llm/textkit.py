@@ -28,6 +28,7 @@ except (OSError, AttributeError):
 
 def give_back() -> None:
     """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 
