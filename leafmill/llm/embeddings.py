@@ -220,7 +220,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keys = written(clean.drop("v"), "vector-keys")
     same = ["label", "dim", "h1", "h2"]
     classes = written(keys.where("dim > 0").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
-    reps = clean.join(classes, [*same]).where("vec_id = rep").dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
+    # the id is part of the key, so that a very common vector's rows don't meet in one task
+    chosen = classes.withColumn("vec_id", F.col("rep"))
+    reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
     reps = written(reps, "vectors")
 
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "v").toArrow()
