@@ -15,28 +15,23 @@ CJK_CHARS_PER_SECOND, WORDS_PER_SECOND = 4.0, 2.5
 DEFAULT_CHUNK_CHARS = 3000
 
 # The ordered rewrites of narration cleaning, as (pattern, replacement).
-CLEAN_RULES = (
+MARKUP_RULES = (
     (r"&nbsp;", " "),
     (r"&[a-zA-Z]+;", " "),
     (r"<[^>]+>", ""),
     (r"!\[[^\]]*\]\([^)]*\)", ""),
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"(?m)^#{1,6}\s*", ""),
-    (r"`{1,3}", ""),
-    (r"\*{1,2}|_{1,2}", ""),
+    (r"[`*_]", ""),
     (r"(?m)^[\s]*[-*+]\s+", ""),
     (r"(?m)^[\s]*\d+\.\s+", ""),
     (r"https?://\S+", ""),
     (r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", ""),
-    (" ", " "),
-    ("[“”]", '"'),
-    ("[‘’]", "'"),
-    ("[–—]", "-"),
-    ("…", "..."),
-    (r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""),
-    (r"\s+", " "),
 )
-ENDNOTE_RULES = ((r"(?<=[\p{L}\p{N}_])\s*\[\d{1,3}\]", ""), (r"(?<=[\p{L}\p{N}_])\s*\(\d{1,3}\)", ""))
+TYPOGRAPHIC = "[\u00a0“”‘’–—…]"
+TYPOGRAPHIC_RULES = (("\u00a0", " "), ("[“”]", '"'), ("[‘’]", "'"), ("[–—]", "-"), ("…", "..."))
+SPACE_RULES = ((r"[\x00-\x08\x0b\x0c\x0e-\x1f]", ""), (r"\s+", " "))
+ENDNOTE_RULES = (("[", r"(?<=[\p{L}\p{N}_])\s*\[\d{1,3}\]"), ("(", r"(?<=[\p{L}\p{N}_])\s*\(\d{1,3}\)"))
 SENTENCE_END = r"(?Ud)(?<=[.!?。！？])\s+"
 CLAUSE_END = r"(?Ud)(?<=[,;:，；：])\s*"
 
@@ -54,14 +49,23 @@ def is_blank(c: Column | str) -> Column:
     return ~_as_column(c).rlike(r"(?Ud)\S")
 
 
+def _rewrite(c: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in rules:
+        c = F.regexp_replace(c, "(?Ud)" + pattern, new)
+    return c
+
+
 def clean(c: Column | str, remove_endnotes: bool = True) -> Column:
-    """Text as it is to be spoken; null becomes empty."""
-    out = F.coalesce(_as_column(c), F.lit(""))
-    for pattern, new in CLEAN_RULES:
-        out = F.regexp_replace(out, "(?Ud)" + pattern, new)
-    out = F.trim(out)
-    for pattern, new in ENDNOTE_RULES if remove_endnotes else ():
-        out = F.regexp_replace(out, "(?Ud)" + pattern, new)
+    """Text as it is to be spoken; null becomes empty.
+
+    Rules that few texts need run behind a cheap test; the tested text is a common
+    subexpression, computed once.
+    """
+    out = _rewrite(F.coalesce(_as_column(c), F.lit("")), MARKUP_RULES)
+    out = F.when(out.rlike(TYPOGRAPHIC), _rewrite(out, TYPOGRAPHIC_RULES)).otherwise(out)
+    out = F.trim(_rewrite(out, SPACE_RULES))
+    for mark, pattern in ENDNOTE_RULES if remove_endnotes else ():
+        out = F.when(F.contains(out, F.lit(mark)), F.regexp_replace(out, "(?Ud)" + pattern, "")).otherwise(out)
     return out
 
 
