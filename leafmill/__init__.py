@@ -1 +1,16 @@
 """Document processing and library catalog over Spark DataFrames."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it, unless their path has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import reachable
 from leafmill.operators.structure import txt_chapters
 
 FORMATS = {".epub": "epub", ".mobi": "mobi", ".azw3": "mobi", ".pdf": "pdf", ".txt": "txt"}
@@ -34,6 +35,7 @@ def stem(path: Column) -> Column:
 
 
 def binary_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    reachable(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from leafmill import reachable
 from leafmill.functions.text import detect_language, speech_seconds
 from leafmill.operators.structure import txt_chapters
 from leafmill.sources.books import decode_text, stem
@@ -23,6 +24,8 @@ def arriving(spark: SparkSession, inbox: str) -> DataFrame:
 def ingest(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived; run again (or with another trigger) for what arrives later."""
 
+    reachable(spark)
+
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_text(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["path", "text"])
