@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import reachable
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -27,7 +29,8 @@ BATCH_ROWS = 2000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session asks for smaller ones yet."""
+    """Keep Arrow batches small, unless the session asks for smaller ones yet; workers find this package."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import written
+from leafmill.llm.common import small_batches, written
 from leafmill.llm.graph import components
 
 THRESHOLD = 0.98
@@ -215,6 +215,7 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector with an id."""
+    small_batches(vectors.sparkSession)
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).where("vec_id is not null")
     clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary")
     keys = written(clean.drop("v"), "vector-keys")

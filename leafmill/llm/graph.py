@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import forget, written
+from leafmill.llm.common import forget, small_batches, written
 from leafmill.llm.textkit import give_back
 
 #: Edges that a partition contracts at once.
@@ -66,6 +66,7 @@ def _contract(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK_EDGES) -> It
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node on an edge a-b (longs): the smallest node reachable from it."""
+    small_batches(edges.sparkSession)
     contract = lambda df: df.mapInArrow(_contract, "a long, b long")
     now = written(contract(edges.select("a", "b").where("a != b")), "edges")
     before = None

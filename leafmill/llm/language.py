@@ -136,6 +136,7 @@ def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> LanguageMixture:
     """The model of the labelled rows; the driver receives BUCKETS sums per language."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     share = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not share:

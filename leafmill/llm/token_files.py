@@ -170,4 +170,5 @@ def digests(rows: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    small_batches(rows.sparkSession)
     return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
