@@ -2,9 +2,10 @@
 
 1. Equal vectors of one label form a class; only a representative goes on.
 2. Cluster centres, fitted on a bounded sample, deal all representatives into
-   overlapping shards: the nearest centre's and those of up to OVERLAP - 1 more
-   centres that a linked vector could have as its nearest.  A shard over SHARD_ROWS
-   is split into blocks by a hash, and each pair of blocks is a task.
+   overlapping shards: the nearest centre's and those of every other centre that a
+   linked vector could have as its nearest, so that all linked vectors meet.  Close
+   centres are thinned as far as that makes the shards cheaper.  A shard over
+   SHARD_ROWS is split into blocks by a hash, and each pair of blocks is a task.
 3. In each task a graph is built: every vector's nearest ones, thinned by robust
    pruning.  The adjacency lists of all tasks are united per vector.
 4. On the united lists, each vector is searched in its nearest shard: a greedy beam
@@ -38,7 +39,7 @@ from leafmill.llm.graph import components
 THRESHOLD = 0.98
 #: Vectors that the centres are fitted on, at most; every row is indexed.
 SAMPLE_ROWS = 20_000
-OVERLAP, SHARD_ROWS, CLUSTER_ROWS = 3, 1500, 500
+SHARD_ROWS, CLUSTER_ROWS = 1500, 500
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 12
 #: Similarity down to which the range expansion passes through vectors.
 SLACK = 0.03
@@ -76,15 +77,45 @@ def fit_centres(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
     return c
 
 
+def _reach(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each unit vector, and whether a linked vector could have each centre as its nearest.
+
+    A linked vector nearer to c than to x's nearest centre b lies beyond their bisector,
+    from which x is at most the link's angle away: x (b - c) <= sin(angle) |b - c|.
+    """
+    s = x @ centres.T
+    first = s.argmax(axis=1)
+    gap = np.sqrt(np.maximum(2 - 2 * (centres[first] @ centres.T), 0))
+    sine = np.sqrt(1 - max(threshold, 0.0) ** 2)
+    return first, s.max(axis=1, keepdims=True) - s <= sine * gap + 1e-6
+
+
+def thinned(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, threshold: float, scale: float) -> np.ndarray:
+    """The centres without close ones, as far apart as makes the shards of `scale` times x cheapest."""
+    angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    names, code = np.unique(labels, return_inverse=True)
+    best, least = centres[:1], np.inf
+    for apart in np.arccos(threshold) * np.array([0, 1, 2, 3, 4, 6, 8, 16]):
+        left, kept = np.ones(len(centres), bool), []
+        while left.any():
+            kept.append(int(left.argmax()))
+            left &= angle[kept[-1]] > apart
+            left[kept[-1]] = False
+        some = centres[kept]
+        rows = np.zeros((len(names), len(some)))
+        for i in range(0, len(x), 2048):
+            np.add.at(rows, code[i : i + 2048], _reach(x[i : i + 2048], some, threshold)[1])
+        cost = (scale * rows * (scale * rows + SHARD_ROWS)).sum()
+        if cost < least:
+            best, least = some, cost
+    return best
+
+
 def shards_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> list[list[int]]:
-    """Per unit vector, its nearest centre first, then the others a linked vector could have as nearest."""
-    s = np.clip(x @ centres.T, -1, 1)
-    m = min(OVERLAP, s.shape[1])
-    top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-    angle = np.arccos(np.take_along_axis(s, top, 1))
-    within = angle <= angle[:, :1] + 2 * np.arccos(threshold)
-    return [t[w].tolist() for t, w in zip(top, within)]
+    """Per unit vector, its nearest centre first, then all others a linked vector could have as nearest."""
+    first, within = _reach(x, centres, threshold)
+    within[np.arange(len(x)), first] = False
+    return [[f, *np.flatnonzero(w).tolist()] for f, w in zip(first.tolist(), within)]
 
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
@@ -226,12 +257,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
     reps = written(reps, "vectors")
 
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "v").toArrow()
-    by_dim: dict[int, list[bytes]] = {}
-    for d, v in zip(sample.column(0).to_pylist(), sample.column(1).to_pylist()):
-        by_dim.setdefault(d, []).append(v)
-    largest = reps.groupBy("label").count().agg(F.max("count")).head()[0] or 1
-    centres = {d: fit_centres(_matrix(v)[1], max(1, min(len(v) // 8, -(-largest // CLUSTER_ROWS)))) for d, v in by_dim.items()}
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "v", "label").toArrow()
+    by_dim: dict[int, list[tuple[bytes, str]]] = {}
+    for d, *row in zip(*(c.to_pylist() for c in sample.columns)):
+        by_dim.setdefault(d, []).append(tuple(row))
+    largest, total = reps.groupBy("label").count().agg(F.max("count"), F.sum("count")).head()
+    centres = {}
+    for d, rows in by_dim.items():
+        x, labels = _matrix([v for v, _ in rows])[1], np.array([n for _, n in rows])
+        fitted = fit_centres(x, max(1, min(len(x) // 8, -(-largest // CLUSTER_ROWS))))
+        centres[d] = thinned(x, labels, fitted, threshold, total / len(sample))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

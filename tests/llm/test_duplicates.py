@@ -166,6 +166,34 @@ def test_vector_links(spark, monkeypatch, shard):
     assert embeddings.audit(df, spark.createDataFrame(list(got.values()))) >= 0.9
 
 
+@pytest.mark.parametrize("shard", [1500, 150])
+def test_vector_links_of_a_hot_cluster(spark, monkeypatch, shard):
+    """A third of a label is one cluster of unequal vectors that all link, over which many centres are fitted."""
+    monkeypatch.setattr(embeddings, "CLUSTER_ROWS", 20)
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", shard)
+    rng = np.random.default_rng(4)
+    hot = np.full(64, 0.125) + rng.normal(size=(300, 64)) * 0.09 / 8
+    every = np.concatenate([hot, rng.normal(size=(600, 64))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want.sum() == 300 * 299
+    assert all(got[i]["n_links"] <= n for i, n in enumerate(want))
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * 300 * 299
+    assert {got[i]["component_id"] for i in range(300)} == {0}
+
+
+def test_linked_vectors_meet_in_a_shard():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(500, 8)), 1 + rng.normal(size=(700, 8)) * 0.3])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for centres in (embeddings.fit_centres(x, 60), embeddings.thinned(x, np.zeros(len(x)), embeddings.fit_centres(x, 60), 0.98, 50)):
+        leaves = embeddings.shards_of(x, centres, 0.98)
+        for i, j in np.argwhere(x @ x.T >= 0.98).tolist():
+            assert leaves[j][0] in leaves[i]
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [], 1), (10, [1.0, 0.0, 0.0], 1), (11, [1.0, 0.0], 2), (2, [2.0, 0.0], 1), (12, [-0.0, 5.0], 1), (13, [0.0, 5.0], 1)]
