@@ -49,7 +49,9 @@ class WordEncoder:
 
     _letters = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
     _pieces = re.compile(f"[{_letters}]+|[0-9]|[\x00-\x08\x0e-\x1f\x21-\x2f\x3a-\x60\x7b-\x7f]+")
-    _other = re.compile("[^\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+    # letters whose lower case is no letter of these (as of U+018F) count as others
+    _latin = "".join(c for c in map(chr, range(0xC0, 0x250)) if c not in "\u00d7\u00f7\u0130" and re.fullmatch("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]", c.lower()))
+    _other = re.compile(f"[^\x00-\x26\x28-\x7f{_latin}]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

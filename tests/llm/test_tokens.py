@@ -56,6 +56,14 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(ids, "<u4").tolist() == e.ids
 
 
+def test_word_encoder_equals_library_on_every_letter():
+    encoder = token_files.WordEncoder(vocabulary("word_bpe_49k.json"))
+    some = [f.format(chr(c)) for c in range(0x250) for f in ("{}", "President {}liyev spoke", "a{0}B {0}1")]
+    got = encoder.encode([s.encode() for s in some])
+    wrong = [s for s, ids, e in zip(some, got, encoder.tokenizer.encode_batch(some, add_special_tokens=False)) if np.frombuffer(ids, "<u4").tolist() != e.ids]
+    assert not wrong
+
+
 def test_token_files(spark):
     rows = [(7, "Some words here", 1), (3, None, 2), (5, "", 3), (11, "MORE Words, here!", 4), (9, "w " * 20_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
