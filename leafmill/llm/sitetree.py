@@ -6,8 +6,9 @@ over the pages: a block whose text stands on c of the host's m distinct pages ha
 importance 1 - log c / log m, and a path has the mean of its blocks.  Presentation
 sets what an element is for: menus, headers, footers, asides, forms, scripts, notices,
 adverts and reader comments have no importance; what lies in an article or main
-element has it in full.  Branches of low importance are removed from each page; where
-a page has an article or main element, that is its text.
+element has part of it, so that there only content below MAIN_THRESHOLD is low.
+Branches of low importance are removed from each page; where a page has an article or
+main element, what is left of that is its text (all of it, if nothing were left).
 
 Text: character references decoded, white space within a block one space, trimmed,
 blocks joined in page order by two newlines.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import small_batches, written
 
-THRESHOLD, MIN_PAGES = 0.3, 4
+THRESHOLD, MAIN_THRESHOLD, MIN_PAGES = 0.3, 0.1, 4
 #: Rows of the table of unimportant branches that may be broadcast (about 100 bytes each); a larger one is joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -72,7 +73,7 @@ def _no_use(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
 
 
 def blocks(html: str) -> list[tuple[str, bool, str]]:
-    """(path, whether in an article or main element, text) of the page's blocks that presentation leaves."""
+    """(path, whether in an article or main element, text) of the page's blocks that presentation leaves; paths inside begin with *."""
     out: list[tuple[str, bool, str]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, name, no use, in main
     text: list[str] = []
@@ -83,7 +84,8 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
             text.clear()
             if joined:
                 top = stack[-1] if stack else None
-                out.append(("/".join(s[1] for s in stack if s[0] not in _INLINE), bool(top and top[3]), joined))
+                inside = bool(top and top[3])
+                out.append(("*" * inside + "/".join(s[1] for s in stack if s[0] not in _INLINE), inside, joined))
 
     def close(k: int) -> None:
         if any(s[0] not in _INLINE for s in stack[k:]):
@@ -184,7 +186,7 @@ def unimportant(pages: DataFrame) -> DataFrame:
     m = per_path.where("path = ''").select("host", F.col("n").alias("m"))
     importance = 1 - F.col("e") / F.col("n") / F.log("m")
     scored = per_path.where("path != ''").join(m, "host").where(F.col("m") >= MIN_PAGES)
-    return scored.where(importance < THRESHOLD).select("host", "path")
+    return scored.where(importance < F.when(F.col("path").startswith("*"), MAIN_THRESHOLD).otherwise(THRESHOLD)).select("host", "path")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -195,10 +197,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def text_of(html: str | None, gone: frozenset) -> str:
         found = blocks(html or "")
-        main = [t for _, inside, t in found if inside]
-        if not main:
-            main = [t for p, _, t in found if p not in gone]
-        return "\n\n".join(main)
+        main = [(p, t) for p, inside, t in found if inside]
+        kept = [t for p, t in main or ((p, t) for p, _, t in found) if p not in gone]
+        return "\n\n".join(kept or [t for _, t in main])
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

@@ -25,6 +25,13 @@ def test_template_is_learned_without_marks(spark):
     assert got[99]["text"].startswith("Welcome")  # one page tells nothing of its host
 
 
+def test_repeated_blocks_inside_an_article_go(spark):
+    page = lambda i: f"<body><article><div class=who>Ann writes here</div><p>Story {i}.</p><p>End {i * 7}.</p><p class=more>Read us daily</p></article></body>"
+    got = run(spark, [(i, f"http://h/{i}", page(i), "") for i in range(12)] + [(99, "http://lone/", page(99), "")])
+    assert got[3]["text"] == "Story 3.\n\nEnd 21."
+    assert got[99]["text"].startswith("Ann")  # one page tells nothing of its host
+
+
 def test_copies_do_not_hide_the_article(spark):
     html = f"{HEAD}<article><p>The same story.</p></article>{FOOT}"
     got = run(spark, [(i, "http://h/x", html, "") for i in range(30)])
