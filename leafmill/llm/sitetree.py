@@ -38,7 +38,7 @@ THRESHOLD, MAIN_THRESHOLD, MIN_PAGES = 0.3, 0.1, 4
 BROADCAST_ROWS = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -49,33 +49,52 @@ _NO_USE_ROLES = frozenset("navigation banner contentinfo complementary search di
 _NO_USE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies popup modal overlay toolbar widget pagination pager skip".split()
 )
+#: Words beside which another name rules nothing out: the tree's statistics decide.
+_USE_NAMES = frozenset("content article main post entry story body text page".split())
+#: A name that begins with one of these says what else the page has, not what the element is.
+_STATES = frozenset("no not has have with without is".split())
 _MAIN = frozenset(("article", "main"))
 
 
-def _no_use(tag: str, attrs: str, in_main: bool) -> tuple[bool, str]:
-    """Whether presentation rules the element out, and its name in paths."""
+def _words(value: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def _no_use(tag: str, attrs: str, in_main: bool) -> tuple[int, str, bool]:
+    """Whether presentation rules the element out (1 by its names, 2 for good), its name in paths, and whether it is a main part."""
+    out, name, main = 0, tag, tag in _MAIN
     if tag in _NO_USE or (tag == "header" and not in_main):
-        return True, tag
+        return 2, tag, False
     if not attrs.strip(" /"):
-        return False, tag
-    name, out = tag, False
+        return 0, tag, main
+    names: list[list[str]] = []
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
-            parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            name += ("." if key == "class" else "#") + "-".join(parts)
-            out = out or not _NO_USE_NAMES.isdisjoint(parts) or (not in_main and "header" in parts)
+            name += ("." if key == "class" else "#") + "-".join(_words(value))
+            names += [w for w in map(_words, value.split()) if w and w[0] not in _STATES]
         elif key == "role":
-            out = out or value.strip().lower() in _NO_USE_ROLES
-        elif key == "hidden" or value.lower() == "true":
-            out = True
-    return out, name
+            role = value.strip().lower()
+            main = main or role == "main"
+            out = 2 if role in _NO_USE_ROLES else out
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            out = 2
+    if not out and tag not in ("html", "body") and not any(len(w) == 1 and w[0] in _USE_NAMES for w in names):
+        out = int(any(not _NO_USE_NAMES.isdisjoint(w) or (not in_main and "header" in w) for w in names))
+    return out, name, main
 
 
 def blocks(html: str) -> list[tuple[str, bool, str]]:
-    """(path, whether in an article or main element, text) of the page's blocks that presentation leaves; paths inside begin with *."""
+    """The blocks of _blocks(); names rule no article or main out, nor what is around one, if the page has no other."""
+    found, vetoed = _blocks(html, False)
+    return _blocks(html, True)[0] if vetoed and not any(inside for _, inside, _ in found) else found
+
+
+def _blocks(html: str, loose: bool) -> tuple[list[tuple[str, bool, str]], bool]:
+    """(path, whether in an article or main element, text) of the page's blocks that presentation leaves; paths inside begin with *; and whether names alone ruled an article or main out."""
     out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, no use, in main
+    stack: list[tuple[str, str, int, bool]] = []  # tag, name, no use, in main
+    vetoed = False
     text: list[str] = []
 
     def flush() -> None:
@@ -138,18 +157,22 @@ def blocks(html: str) -> list[tuple[str, bool, str]]:
             flush()
         if tag in _VOID:
             continue
-        up = stack[-1] if stack else ("", "", False, False)
-        off, name = _no_use(tag, m[3], up[3])
+        up = stack[-1] if stack else ("", "", 0, False)
+        off, name, is_main = _no_use(tag, m[3], up[3])
+        off = max(off, up[2])
+        if is_main and off == 1:
+            vetoed = True
+            off = 0 if loose else 1
         if tag in _RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if not off and not up[2] and tag not in ("title",):
+            if not off and tag not in ("title",):
                 text.append(html[at : stop.start() if stop else n])
                 flush()
             at = stop.end() if stop else n
             continue
-        stack.append((tag, name, off or up[2], (up[3] or tag in _MAIN or "role=main" in m[3].replace('"', "").replace("'", "")) and not off))
+        stack.append((tag, name, off, (up[3] or is_main) and not off))
     flush()
-    return out
+    return out, vetoed
 
 
 def host_of(url: str | None) -> str:

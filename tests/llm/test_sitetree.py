@@ -25,6 +25,14 @@ def test_template_is_learned_without_marks(spark):
     assert got[99]["text"].startswith("Welcome")  # one page tells nothing of its host
 
 
+def test_names_and_values_do_not_veto_the_article():
+    opens = ['<body class="no-sidebar"><article>', '<body style="overflow-x:hidden"><article title="hidden gems">', '<div class="content with-sidebar"><article>', '<article class="post sponsored">', '<article class="sponsored">', '<div class="has-related"><main>', '<div class="layout sidebar-left"><div class="menu">M</div><article>', "<div data-hidden='x' data-class='ad'><article>"]
+    for start in opens:
+        assert [t for _, inside, t in sitetree.blocks(f"{start}<p>One.</p><div class='ad'>Buy</div><p hidden>no</p></article></main></div>") if inside] == ["One."], start
+    assert [t for *_, t in sitetree.blocks("<div class='content with-sidebar'><p>One.</p><div class=sidebar>no</div></div>")] == ["One."]
+    assert [t for *_, t in sitetree.blocks("<article>A</article><section id=comments><article class=comment>no</article></section>")] == ["A"]
+
+
 def test_repeated_blocks_inside_an_article_go(spark):
     page = lambda i: f"<body><article><div class=who>Ann writes here</div><p>Story {i}.</p><p>End {i * 7}.</p><p class=more>Read us daily</p></article></body>"
     got = run(spark, [(i, f"http://h/{i}", page(i), "") for i in range(12)] + [(99, "http://lone/", page(99), "")])
