@@ -42,6 +42,17 @@ def test_stages(spark, tmp_path):
     assert cp.run(spark, str(tmp_path)).count() == len(ids[4])
 
 
+def test_passages_in_rows_without_an_id(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    item, clean = say(30), say(60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"{say(20)} {item} {say(20)}"), (None, clean), (None, None), (1, say(60)), (2, f"{say(9)} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], COLUMNS)
+    got = {(r["doc_id"], r["text"]) for r in cp.benchmark_passages(spark, docs, str(tmp_path)).collect()}
+    assert got == {rows[1], rows[2], rows[3]}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([], COLUMNS)
