@@ -45,6 +45,11 @@ def collapse(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_as_column(c), r"(?Ud)\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """No white space at the ends."""
+    return F.regexp_replace(_as_column(c), r"(?Ud)^\s+|\s+$", "")
+
+
 def is_blank(c: Column | str) -> Column:
     return ~_as_column(c).rlike(r"(?Ud)\S")
 

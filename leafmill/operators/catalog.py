@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.labels import metadata_escape, short_duration_label
-from leafmill.functions.text import detect_language, edited_seconds
+from leafmill.functions.text import detect_language, edited_seconds, strip
 
 # Language sampling and listing widths.
 SAMPLES, SAMPLE_CHARS, SAMPLE_MIN = 5, 500, 20
@@ -15,11 +15,18 @@ TEMPORARY = ("_tmp_", "combined_temp", "_concat_")
 
 
 def library(books: DataFrame, present: DataFrame, edits: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Chapters of books whose source file is present, with a flag where an edit exists."""
-    kept = books.join(present, books.file_path == present.path, "left_semi").select(F.col("id").alias("book_id"))
-    flags = edits.select("book_id", "idx", F.lit(True).alias("has_edit")).distinct()
-    rows = chapters.join(kept, "book_id", "left_semi").join(flags, ["book_id", "idx"], "left")
-    return rows.withColumn("edited", F.coalesce("has_edit", "edited")).drop("has_edit")
+    """Chapters of books whose source file is present or unnamed, with a flag where an edit exists.
+
+    detected_language, where the book has none, is that of its chapters' texts; an edit
+    stands in for a text that isn't held.  It stays null if no text is long enough.
+    """
+    absent = books.where("file_path != ''").join(present, books.file_path == present.path, "left_anti").select("id")
+    kept = books.join(absent, "id", "left_anti").select(F.col("id").alias("book_id"), F.nullif("detected_language", F.lit("")).alias("known"))
+    e = edits.select("book_id", "idx", F.col("text").alias("edit"), F.lit(True).alias("has_edit")).dropDuplicates(["book_id", "idx"])
+    rows = chapters.join(kept, "book_id").join(e, ["book_id", "idx"], "left")
+    unknown = rows.where("known is null").select("book_id", "idx", F.coalesce(F.nullif("text", F.lit("")), "edit").alias("text"))
+    rows = rows.join(book_languages(unknown), "book_id", "left").withColumn("edited", F.coalesce("has_edit", "edited"))
+    return rows.withColumn("detected_language", F.coalesce("known", "languages")).drop("has_edit", "edit", "known", "languages")
 
 
 def new_books(incoming: DataFrame, books: DataFrame) -> DataFrame:
@@ -28,12 +35,12 @@ def new_books(incoming: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def chapter_texts(chapters: DataFrame, edits: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Text of each chapter: the edit if there is one, even an empty one, else the held text, else the parsed one."""
+    """Text of each chapter: the edit if there is one, even an empty one, else the held text, else the parsed one, else null."""
     e = edits.select("book_id", "idx", F.col("text").alias("edit"), F.lit(True).alias("is_edit"))
     p = parsed.select("book_id", "idx", F.col("text").alias("parsed"))
     rows = chapters.join(e, ["book_id", "idx"], "left").join(p, ["book_id", "idx"], "left")
     held = F.when(F.col("text") != "", F.col("text"))
-    return rows.select("book_id", "idx", "title", F.when(F.col("is_edit"), F.col("edit")).otherwise(F.coalesce(held, "parsed", F.lit(""))).alias("text"))
+    return rows.select("book_id", "idx", "title", F.when(F.col("is_edit"), F.col("edit")).otherwise(F.coalesce(held, "parsed")).alias("text"))
 
 
 def apply_edits(chapters: DataFrame, edits: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def history(conversions: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def book_languages(chapters: DataFrame) -> DataFrame:
     """Languages of each book's first five samples, sorted and comma-joined."""
-    sample = F.substring(F.regexp_replace("text", r"(?Ud)^\s+|\s+$", ""), 1, SAMPLE_CHARS)
+    sample = F.substring(strip("text"), 1, SAMPLE_CHARS)
     rows = chapters.withColumn("sample", sample).where(F.length("sample") > SAMPLE_MIN)
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("book_id").orderBy("idx"))).where(F.col("k") <= SAMPLES)
     return rows.groupBy("book_id").agg(F.array_join(F.array_sort(F.collect_set(detect_language("sample"))), ",").alias("languages"))

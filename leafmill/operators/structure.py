@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import collapse
+from leafmill.functions.text import collapse, strip
 
 # Heading patterns, noise patterns and thresholds of the structure rules.
 TXT_HEADING = r"(?imUd)^(?:chapter\s+\d+|part\s+\d+|第[一二三四五六七八九十百千\d]+[章节回]|卷[一二三四五六七八九十百千\d]+)"
@@ -34,6 +34,24 @@ def reindex(rows: DataFrame, by: list[str], order: list[str], out: str = "idx")
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, out: str = "idx", ranges: int = 256) -> DataFrame:
+    """reindex() for groups of any size, by a numeric column: keys without the rest of the row are numbered.
+
+    The order column is cut at approximate quantiles of the whole table; each
+    (group, range) is numbered on its own and shifted by the rows of the ranges before
+    it, so that a group that holds most rows is spread over all ranges.  Rows of equal
+    (by, order) would be confused: the pair must be unique, and not null.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    keys = rows.select(*by, order, at.alias("_range"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = keys.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = keys.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)))
+    places = own.join(shifts, [*by, "_range"]).select(*by, order, (F.col("_own") + F.col("_shift") - 1).cast("int").alias(out))
+    return rows.join(places, [*by, order])
+
+
 def txt_chapters(books: DataFrame) -> DataFrame:
     """(book_id, text) -> chapters by heading lines; text without headings falls back to sections."""
     heads = books.withColumn("heads", F.regexp_extract_all("text", F.lit(TXT_HEADING), 0)).withColumn("bodies", F.split("text", TXT_HEADING))
@@ -49,8 +67,8 @@ def txt_chapters(books: DataFrame) -> DataFrame:
 
 
 def txt_sections(books: DataFrame) -> DataFrame:
-    """Blocks between blank lines, packed to sections of at least 2000 characters."""
-    blocks = F.filter(F.transform(F.split("text", r"(?Ud)\n\s*\n"), lambda b: collapse(b)), lambda b: b != "")
+    """Blocks between blank lines, packed until 2000 characters are reached; white space collapses after packing."""
+    blocks = F.filter(F.transform(F.split("text", r"(?Ud)\n\s*\n"), strip), lambda b: b != "")
 
     def step(acc: Column, block: Column) -> Column:
         grown = F.concat(acc["text"], block, F.lit("\n"))
@@ -60,7 +78,7 @@ def txt_sections(books: DataFrame) -> DataFrame:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"))
     packed = F.aggregate(blocks, start, step, lambda a: F.when(a["text"] != "", F.concat(a["done"], F.array(a["text"]))).otherwise(a["done"]))
     rows = books.select("book_id", F.posexplode(packed).alias("idx", "text"))
-    return rows.select("book_id", "idx", F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string")).alias("title"), F.regexp_replace("text", r"(?Ud)^\s+|\s+$", "").alias("text"))
+    return rows.select("book_id", "idx", F.concat(F.lit("Section "), (F.col("idx") + 1).cast("string")).alias("title"), collapse("text").alias("text"))
 
 
 def spine_items(spine: DataFrame, items: DataFrame) -> DataFrame:
@@ -68,11 +86,15 @@ def spine_items(spine: DataFrame, items: DataFrame) -> DataFrame:
     return spine.join(items, ["book_id", "item_id"]).select("book_id", "ord", "item_id", "href")
 
 
+def toc_entries(toc: DataFrame) -> DataFrame:
+    """Table-of-contents rows that have a title and name a file, less its fragment; others don't count."""
+    return toc.withColumn("href", F.substring_index("href", "#", 1)).where("title != '' and href != ''")
+
+
 def toc_starts(toc: DataFrame, spine: DataFrame) -> DataFrame:
     """Table-of-contents rows with the spine position their file has; of equal files the last position counts."""
     at = spine.groupBy("book_id", "href").agg(F.max("ord").alias("start"))
-    named = toc.withColumn("href", F.substring_index("href", "#", 1))
-    return named.join(at, ["book_id", "href"]).select("book_id", F.col("ord").alias("toc_ord"), "title", "start")
+    return toc_entries(toc).join(at, ["book_id", "href"]).select("book_id", F.col("ord").alias("toc_ord"), "title", "start")
 
 
 def toc_spans(starts: DataFrame, spine: DataFrame) -> DataFrame:
@@ -85,30 +107,41 @@ def toc_spans(starts: DataFrame, spine: DataFrame) -> DataFrame:
 def epub_chapters(spine: DataFrame, toc: DataFrame) -> DataFrame:
     """Chapters of books by table of contents where it names two places or more, else one per spine document.
 
-    spine: book_id, ord, href, title, text; toc: book_id, ord, title, href.
+    Documents before the first entry are chapters of their own, if they have 50 characters.
+    spine: book_id, ord, href, title, text, documents only; toc: book_id, ord, title, href.
     """
     starts = toc_starts(toc, spine)
-    entries = toc.groupBy("book_id").agg(F.count("*").alias("entries"))
+    entries = toc_entries(toc).groupBy("book_id").agg(F.count("*").alias("entries"))
     usable = starts.groupBy("book_id").agg(F.count("*").alias("hits")).join(entries, "book_id").where("hits >= 2 and entries >= 2").select("book_id")
-    spans = toc_spans(starts.join(usable, "book_id", "left_semi"), spine)
-    first = spans.groupBy("book_id").agg(F.min("start").alias("stop"))
-    front = first.where("stop > 0").select("book_id", F.lit(-1).alias("toc_ord"), F.lit("Front Matter").alias("title"), F.lit(0).alias("start"), "stop")
-    ranges = spans.unionByName(front)
+    ranges = toc_spans(starts.join(usable, "book_id", "left_semi"), spine)
+    first = ranges.groupBy("book_id").agg(F.min("start").alias("first"))
+    front = spine.join(first, "book_id").where((F.col("ord") < F.col("first")) & (F.length("text") >= MIN_PREAMBLE))
+    front = front.select("book_id", F.col("ord").alias("start"), F.lit(-1).alias("toc_ord"), "title", "text")
     docs = spine.select("book_id", "ord", F.col("text").alias("part"))
     # the range join stays within a book: an equi join on book_id, the bounds as its condition
     inside = ranges.join(docs, "book_id").where("ord >= start and ord < stop")
-    text = ordered_text(inside, ["book_id", "start", "toc_ord", "title"], ["ord"], "part", " ")
-    fewest = F.when(F.col("toc_ord") < 0, MIN_PREAMBLE).otherwise(MIN_CHAPTER)
-    by_toc = reindex(text.where(F.length("text") >= fewest), ["book_id"], ["start", "toc_ord"]).select("book_id", "idx", "title", "text")
+    text = ordered_text(inside, ["book_id", "start", "toc_ord", "title"], ["ord"], "part", " ").where(F.length("text") >= MIN_CHAPTER)
+    rows = reindex(front.unionByName(text), ["book_id"], ["start", "toc_ord"])
+    title = F.when(F.col("toc_ord") < 0, document_title("title", "idx")).otherwise(F.col("title"))
+    by_toc = rows.select("book_id", "idx", title.alias("title"), "text")
     rest = spine.join(by_toc.select("book_id").distinct(), "book_id", "left_anti")
     return by_toc.unionByName(spine_chapters(rest))
 
 
-def spine_chapters(spine: DataFrame) -> DataFrame:
-    """One chapter per spine document with 10 characters or more."""
+def document_title(title: str, idx: str) -> Column:
+    """A document's own title, cut; without one, the number of its chapter."""
+    return F.coalesce(F.nullif(F.substring(title, 1, TITLE_CHARS), F.lit("")), F.concat(F.lit("Chapter "), (F.col(idx) + 1).cast("string")))
+
+
+def spine_chapters(spine: DataFrame, number=reindex) -> DataFrame:
+    """One chapter per spine document with 10 characters or more; number=by_ranges for books of any size."""
     rows = spine.where(F.length("text") >= MIN_CHAPTER)
-    title = F.coalesce(F.nullif(F.substring("title", 1, TITLE_CHARS), F.lit("")), F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string")))
-    return reindex(rows, ["book_id"], ["ord"]).select("book_id", "idx", title.alias("title"), "text")
+    return number(rows, ["book_id"], ["ord"]).select("book_id", "idx", document_title("title", "idx").alias("title"), "text")
+
+
+def by_ranges(rows: DataFrame, by: list[str], order: list[str], out: str = "idx") -> DataFrame:
+    """reindex() by way of numbered(), for one numeric order column."""
+    return numbered(rows, by, *order, out)
 
 
 def html_title(html: Column) -> Column:
@@ -128,17 +161,21 @@ def page_text(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(r"(?Ud)^\s*\d+\s*$")), "\n")
 
 
-def pdf_lines(chars: DataFrame) -> DataFrame:
-    """Characters to lines: a vertical step of more than 3 starts a line; blank lines go.
+def line_sessions(chars: DataFrame) -> DataFrame:
+    """Characters with the line they lie on: a step of more than 3 between places rounded to 0.1 starts one.
 
     chars: book_id, page, seq, text, size, top, x0.
     """
     page = Window.partitionBy("book_id", "page").orderBy("y", "x0", "seq")
     rows = chars.withColumn("y", F.round("top", 1))
-    rows = rows.withColumn("new", F.coalesce((F.abs(F.col("top") - F.lag("top").over(page)) > 3).cast("int"), F.lit(0)))
-    rows = rows.withColumn("line_no", F.sum("new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("new", F.coalesce((F.abs(F.col("y") - F.lag("y").over(page)) > 3).cast("int"), F.lit(0)))
+    return rows.withColumn("line_no", F.sum("new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def pdf_lines(chars: DataFrame) -> DataFrame:
+    """Characters to lines with their largest size; blank lines go."""
     parts = F.array_sort(F.collect_list(F.struct("y", "x0", "seq", "text")))
-    lines = rows.groupBy("book_id", "page", "line_no").agg(F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("text"), F.max("size").alias("max_size"))
+    lines = line_sessions(chars).groupBy("book_id", "page", "line_no").agg(strip(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("text"), F.max("size").alias("max_size"))
     return lines.where("text != ''")
 
 
@@ -151,13 +188,19 @@ def body_size(chars: DataFrame) -> DataFrame:
 
 
 def base_text(text: Column) -> Column:
-    """A line without its trailing page number."""
-    return F.trim(F.regexp_replace(text, r"(?Ud)\d{1,4}$", ""))
+    """A heading without its trailing page number of up to four digits."""
+    return strip(F.regexp_replace(text, r"(?Ud)\d{1,4}$", ""))
 
 
-def line_frequency(lines: DataFrame) -> DataFrame:
-    """How often each line of 4 to 60 characters occurs in its book, page numbers aside."""
-    rows = lines.where(F.length("text").between(4, 60)).withColumn("base", base_text(F.col("text"))).where(F.length("base") >= 4)
+def running_text(text: Column) -> Column:
+    """A line without all of its trailing digits, as running heads are counted."""
+    return strip(F.regexp_replace(text, r"(?Ud)\d+$", ""))
+
+
+def line_frequency(lines: DataFrame, toc: DataFrame) -> DataFrame:
+    """How often each line of 4 to 60 characters occurs in its book outside table-of-contents pages, trailing digits aside."""
+    rows = lines.join(toc, ["book_id", "page"], "left_anti").where(F.length("text").between(4, 60))
+    rows = rows.withColumn("base", running_text(F.col("text"))).where(F.length("base") >= 4)
     return rows.groupBy("book_id", "base").agg(F.count("*").alias("n"))
 
 
@@ -173,15 +216,21 @@ def is_noise(text: Column) -> Column:
 
 
 def pattern_headings(lines: DataFrame) -> DataFrame:
-    """First occurrence of each heading line; a bare word borrows the page's first numeral line."""
+    """Heading lines whose base was not met before in their book; a bare word borrows the page's first numeral line.
+
+    The test sees the base before it borrows, and what later lines are tested against is
+    the title after: bare words with a numeral repeat, one without silences those after it.
+    """
     page = Window.partitionBy("book_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numeral = F.first(F.when(F.trim("text").rlike(NUMERAL), F.trim("text")), ignorenulls=True).over(page)
-    rows = lines.withColumn("numeral", numeral).where(F.trim("text").rlike(PDF_HEADING)).withColumn("base", base_text(F.trim("text")))
-    rows = rows.where(~(F.col("base").rlike(BODY_MARKS) & (F.length("base") > 15)))
-    named = F.when(F.col("base").rlike(BARE_HEADING) & F.col("numeral").isNotNull(), F.concat(F.col("base"), F.lit(" "), F.col("numeral"))).otherwise(F.col("base"))
-    rows = rows.withColumn("title", named)
+    numeral = F.first(F.when(strip("text").rlike(NUMERAL), strip("text")), ignorenulls=True).over(page)
+    rows = lines.withColumn("numeral", numeral).where(strip("text").rlike(PDF_HEADING)).withColumn("base", base_text(strip("text")))
+    rows = rows.where(~(F.col("base").rlike(BODY_MARKS) & (F.length("base") > 15))).withColumn("bare", F.col("base").rlike(BARE_HEADING))
+    rows = rows.withColumn("title", F.when(F.col("bare") & F.col("numeral").isNotNull(), F.concat(F.col("base"), F.lit(" "), F.col("numeral"))).otherwise(F.col("base")))
+    earlier = Window.partitionBy("book_id", "base").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, -1)
+    silent = F.coalesce(F.max(F.col("bare") & F.col("numeral").isNull()).over(earlier), F.lit(False))
+    rows = rows.withColumn("silent", F.col("bare") & silent).where("not silent")
     w = Window.partitionBy("book_id", "title").orderBy("page", "line_no")
-    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("book_id", "page", "line_no", "title")
+    return rows.withColumn("k", F.row_number().over(w)).where("bare or k = 1").select("book_id", "page", "line_no", "title")
 
 
 def merge_headings(headings: DataFrame, near: int = 5) -> DataFrame:
@@ -203,16 +252,19 @@ def merge_headings(headings: DataFrame, near: int = 5) -> DataFrame:
 
 
 def size_headings(lines: DataFrame, sizes: DataFrame, frequency: DataFrame, toc: DataFrame, factor: float = 1.15) -> DataFrame:
-    """Large lines as headings: rare, 2 to 80 characters, no noise; sub-headings join the one before on their page."""
+    """Large lines as headings: rare, 2 to 80 characters, no noise.
+
+    A sub-heading joins the heading before it on its page, and goes if there is none.
+    """
     rows = lines.join(sizes, "book_id").join(toc, ["book_id", "page"], "left_anti")
     rows = rows.where((F.col("max_size") >= F.col("body_size") * factor) & F.length("text").between(2, 80) & ~is_noise(F.col("text")))
-    rows = rows.withColumn("base", base_text(F.col("text"))).join(frequency, ["book_id", "base"], "left").where(F.coalesce("n", F.lit(0)) < 3)
+    rows = rows.withColumn("base", running_text(F.col("text"))).join(frequency, ["book_id", "base"], "left").where(F.coalesce("n", F.lit(0)) < 3)
 
     def step(acc: Column, h: Column) -> Column:
         last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (h["page"] == last["page"]) & h["title"].rlike(SUB_HEADING)
+        sub, joins = h["title"].rlike(SUB_HEADING), (F.size(acc) > 0) & (h["page"] == last["page"])
         merged = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["page"].alias("page"), F.concat(last["title"], F.lit(" "), h["title"]).alias("title"))))
-        return F.when(joins, merged).when((F.size(acc) > 0) & (h["title"] == last["title"]), acc).otherwise(F.concat(acc, F.array(h)))
+        return F.when(sub & joins, merged).when(sub, acc).when((F.size(acc) > 0) & (h["title"] == last["title"]), acc).otherwise(F.concat(acc, F.array(h)))
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda h: F.struct(h["page"].alias("page"), h["text"].alias("title")))
     folded = rows.groupBy("book_id").agg(ordered.alias("h"))
@@ -222,8 +274,9 @@ def size_headings(lines: DataFrame, sizes: DataFrame, frequency: DataFrame, toc:
 
 def pdf_headings(chars: DataFrame, lines: DataFrame) -> DataFrame:
     """Headings of each book: three or more by pattern; else pattern and size together, or size alone from two on."""
-    sizes, frequency = body_size(chars), line_frequency(lines)
+    sizes = body_size(chars)
     toc = toc_pages(lines, sizes)
+    frequency = line_frequency(lines, toc)
     plain = merge_headings(pattern_headings(lines.join(toc, ["book_id", "page"], "left_anti"))).withColumn("src", F.lit(0))
     large = size_headings(lines, sizes, frequency, toc).withColumn("src", F.lit(1))
     counts = lines.select("book_id").distinct()
@@ -234,8 +287,13 @@ def pdf_headings(chars: DataFrame, lines: DataFrame) -> DataFrame:
     return reindex(both.where(use), ["book_id"], ["page", "src", "ord"], "pos").select("book_id", "pos", "page", "title")
 
 
+def without_numbers(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("text", page_text(F.col("text")))
+
+
 def chapters_by_page(headings: DataFrame, pages: DataFrame) -> DataFrame:
     """Chapters from heading to heading; books with fewer than two headings have none."""
+    pages = without_numbers(pages)
     w = Window.partitionBy("book_id").orderBy("page", "pos")
     size = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n"))
     several = headings.groupBy("book_id").agg(F.count("*").alias("k")).where("k >= 2").select("book_id")
@@ -248,6 +306,7 @@ def chapters_by_page(headings: DataFrame, pages: DataFrame) -> DataFrame:
 
 def chapters_by_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
     """Chapters of level-1 outline entries (pages from 1); an entry ends before the next of any level."""
+    pages = without_numbers(pages)
     w = Window.partitionBy("book_id").orderBy("ord")
     size = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n"))
     spans = outline.join(size, "book_id").withColumn("stop", F.coalesce(F.lead("page").over(w) - 1, "n")).withColumnRenamed("page", "start").where("level = 1")
@@ -259,6 +318,7 @@ def chapters_by_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_groups(pages: DataFrame, size: int = PAGE_GROUP) -> DataFrame:
     """Sections of five pages each, numbered after short ones are dropped."""
+    pages = without_numbers(pages)
     total = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n"))
     grouped = pages.withColumn("g", F.floor(F.col("page") / size).cast("int"))
     text = ordered_text(grouped, ["book_id", "g"], ["page"], "text", "\n", "text").withColumn("text", collapse("text")).where(F.length("text") >= MIN_CHAPTER)
@@ -268,15 +328,29 @@ def page_groups(pages: DataFrame, size: int = PAGE_GROUP) -> DataFrame:
 
 
 def pdf_chapters(chars: DataFrame, lines: DataFrame, pages: DataFrame, outline: DataFrame) -> DataFrame:
-    """By outline where it has two level-1 entries or more, else by headings, else by page groups."""
+    """By outline where it has two entries or more, else by headings; page groups where that yields no chapter.
+
+    A book without any chapter is named by pdf_errors().
+    """
     rich = outline.groupBy("book_id").agg(F.count("*").alias("k")).where("k >= 2").select("book_id")
-    first = chapters_by_outline(outline.join(rich, "book_id", "left_semi"), pages)
-    rest = pages.join(first.select("book_id").distinct(), "book_id", "left_anti")
-    second = chapters_by_page(pdf_headings(chars, lines), rest)
-    third = page_groups(rest.join(second.select("book_id").distinct(), "book_id", "left_anti"))
-    return first.unionByName(second).unionByName(third)
+    by_outline = chapters_by_outline(outline.join(rich, "book_id", "left_semi"), pages)
+    by_heading = chapters_by_page(pdf_headings(chars, lines).join(rich, "book_id", "left_anti"), pages)
+    found = by_outline.unionByName(by_heading)
+    return found.unionByName(page_groups(pages.join(found.select("book_id").distinct(), "book_id", "left_anti")))
 
 
 def extracted_chars(pages: DataFrame) -> DataFrame:
-    """Characters extracted per book; none means scanned pages."""
-    return pages.groupBy("book_id").agg(F.sum(F.length(F.trim("text"))).alias("chars")).withColumn("scanned", F.col("chars") == 0)
+    """Pages and extracted characters per book, page numbers aside."""
+    return without_numbers(pages).groupBy("book_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+
+
+def pdf_errors(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The error of each book that yields no chapter, most likely one of scanned pages."""
+    message = F.format_string("no extractable text (%d pages, %d characters): scanned pages need character recognition first", "pages", "chars")
+    return extracted_chars(pages).join(chapters.select("book_id").distinct(), "book_id", "left_anti").select("book_id", message.alias("error"))
+
+
+def checked(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The chapters; as they are read, a book without any raises its error."""
+    failed = pdf_errors(pages, chapters).select("book_id", F.lit(0).alias("idx"), F.raise_error(F.concat_ws(": ", "book_id", "error")).cast("string").alias("title"), F.lit("").alias("text"))
+    return chapters.unionByName(failed)

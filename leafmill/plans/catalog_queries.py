@@ -17,7 +17,7 @@ from leafmill.sources.settings import setting
 _VOICES = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in v) + ")" for v in vo.BUILT_IN) + ") AS v(id, name, gender, language, provider, description))"
 _DECLARED = "(SELECT provider, ord::INTEGER AS ord, language FROM (VALUES " + ", ".join(f"('{p}', {i}, '{tag}')" for p, tags in vo.DECLARED.items() for i, tag in enumerate(tags.split())) + ") AS d(provider, ord, language))"
 _SAFE = "substring(translate({x}, '/\\:*?\"<>|', '---------'), 1, 200)"
-_TEXTS = f"""texts AS (SELECT c.book_id, c.idx, c.title, CASE WHEN e.book_id IS NOT NULL THEN e.text ELSE coalesce(nullif(c.text, ''), p.text, '') END AS text
+_TEXTS = f"""texts AS (SELECT c.book_id, c.idx, c.title, CASE WHEN e.book_id IS NOT NULL THEN e.text ELSE coalesce(nullif(c.text, ''), p.text) END AS text
   FROM {t.CHAPTERS.sql} c LEFT JOIN {t.EDITS.sql} e USING (book_id, idx) LEFT JOIN {t.PARSED.sql} p USING (book_id, idx))"""
 _LEFT = "list_filter(selected, lambda x: NOT list_contains(completed, x))"
 _LABELS = f"""tot AS (SELECT book_id, count(*) AS total FROM {t.CHAPTERS.sql} GROUP BY 1),
@@ -56,6 +56,11 @@ def _voice_fit(spark, d):
     return vo.built_in(spark).join(t.WISHES.frame(spark), vo.speaks(F.col("language"), F.col("wanted"))).select("wish", "provider", "id")
 
 
+def _edit_specs(spark):
+    """Each comma-free part of the range specifications."""
+    return t.SPECS.frame(spark).select("id", "total", F.explode(F.split("spec", ",")).alias("part"))
+
+
 _TURNS = f"(SELECT conv_id, turn, text, {seconds_sql('text')} AS seconds FROM conversations)"
 
 _SETTINGS = t.Rows("id int, doc string", (1, '{"tts": {"provider": "edge", "max": 3000}, "x": 1}'), (2, '{"tts": {}}'), (3, '{"tts": 5}'))
@@ -66,8 +71,11 @@ QUERIES: dict[str, Query] = {
         f"SELECT id, json_extract_string(doc, '$.tts.provider') AS provider, json_extract_string(doc, '$.tts.max') AS chars FROM {_SETTINGS.sql}",
     ),
     "s14_library": Query(
-        lambda spark, d: catalog.library(t.BOOKS.frame(spark), t.PRESENT.frame(spark), t.EDITS.frame(spark), _chapters(spark)).select("book_id", "idx", "title", "edited"),
-        f"SELECT c.book_id, c.idx, c.title, (e.book_id IS NOT NULL OR c.edited) AS edited FROM {t.CHAPTERS.sql} c JOIN {t.BOOKS.sql} b ON b.id = c.book_id AND b.file_path IN (FROM {t.PRESENT.sql}) LEFT JOIN {t.EDITS.sql} e USING (book_id, idx)",
+        lambda spark, d: catalog.library(t.BOOKS.frame(spark), t.PRESENT.frame(spark), t.EDITS.frame(spark), _chapters(spark)).select("book_id", "idx", "title", "edited", "detected_language"),
+        f"""WITH kept AS (SELECT id AS book_id, nullif(detected_language, '') AS known FROM {t.BOOKS.sql} WHERE file_path = '' OR file_path IN (FROM {t.PRESENT.sql})),
+  c AS (SELECT c.book_id, c.idx, c.title, e.book_id IS NOT NULL OR c.edited AS edited, known, substring({strip_sql("coalesce(nullif(c.text, ''), e.text)")}, 1, 500) AS sample FROM {t.CHAPTERS.sql} c JOIN kept USING (book_id) LEFT JOIN {t.EDITS.sql} e USING (book_id, idx)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY idx) AS k FROM c WHERE known IS NULL AND length(sample) > 20), found AS (SELECT book_id, string_agg(DISTINCT {language_sql('sample')}, ',' ORDER BY {language_sql('sample')}) AS languages FROM k WHERE k <= 5 GROUP BY 1)
+SELECT c.book_id, idx, title, edited, coalesce(known, languages) AS detected_language FROM c LEFT JOIN found USING (book_id)""",
     ),
     "s15_manifests": Query(lambda spark, d: t.MANIFESTS.frame(spark).select("book_id", "state", F.array_join(F.array_distinct("completed"), ",").alias("completed")), f"SELECT book_id, state, array_to_string(list_sort(list_distinct(completed)), ',') AS completed FROM {t.MANIFESTS.sql}"),
     "s18_new_files": Query(lambda spark, d: catalog.new_books(t.PRESENT.frame(spark), t.BOOKS.frame(spark)), f"SELECT path FROM {t.PRESENT.sql} WHERE path NOT IN (SELECT file_path FROM {t.BOOKS.sql})"),
@@ -125,8 +133,8 @@ QUERIES: dict[str, Query] = {
         f"WITH p AS (SELECT id, total, unnest(string_split(spec, ',')) AS p FROM {t.SPECS.sql}), r AS (SELECT id, CASE WHEN contains(p, '-') THEN range(coalesce(nullif(split_part(p, '-', 1), '')::INT, 1), least(coalesce(nullif(split_part(p, '-', 2), '')::INT, total), total) + 1) ELSE [p::BIGINT] END AS l FROM p) SELECT s.id, coalesce((SELECT string_agg(DISTINCT x - 1, ',' ORDER BY x - 1) FROM (SELECT unnest(l) AS x FROM r WHERE r.id = s.id)), '') AS chapters FROM {t.SPECS.sql} s",
     ),
     "f3_edit_range": Query(
-        lambda spark, d: t.SPECS.frame(spark).where(~F.col("spec").contains(",")).select("id", F.size(jobs.parse_ranges(F.col("spec"), F.col("total"))).alias("n")),
-        f"SELECT id, CASE WHEN contains(spec, '-') THEN greatest(0, least(coalesce(nullif(split_part(spec, '-', 2), '')::INT, total), total) - coalesce(nullif(split_part(spec, '-', 1), '')::INT, 1) + 1) ELSE 1 END::INTEGER AS n FROM {t.SPECS.sql} WHERE NOT contains(spec, ',')",
+        lambda spark, d: _edit_specs(spark).select("id", "part", F.size(jobs.parse_ranges(F.col("part"), F.col("total"))).alias("n")),
+        f"SELECT id, part, CASE WHEN contains(part, '-') THEN greatest(0, least(coalesce(nullif(split_part(part, '-', 2), '')::INT, total), total) - coalesce(nullif(split_part(part, '-', 1), '')::INT, 1) + 1) ELSE 1 END::INTEGER AS n FROM (SELECT id, total, unnest(string_split(spec, ',')) AS part FROM {t.SPECS.sql})",
     ),
     "f5_blank_chapters": Query(lambda spark, d: catalog.chapter_texts(_chapters(spark), t.EDITS.frame(spark), t.PARSED.frame(spark)).select("book_id", "idx", tx.is_blank(tx.clean("text")).alias("skip")), f"WITH {_TEXTS} SELECT book_id, idx, {clean_sql('text')} = '' AS skip FROM texts"),
     "f6_voice_match": Query(

@@ -53,9 +53,10 @@ SPEEDS = Rows("id int, s double", (1, 1.0), (2, 1.2), (3, 0.75), (4, 2.0), (5, 0
 TAGS = Rows("id int, tag string, seconds double, cloned boolean", (1, "zh-CN", 120.0, False), (2, "en-US", 120.0, True), (3, "ja-JP", 30.0, False), (4, "xx-YY", 10.0, False), (5, "pt-PT", 90.0, True), (6, "pt-BR", 90.0, False), (7, "zh-TW", 12.5, False), (8, "vi-VN", 45.0, False))
 SPECS = Rows("id int, spec string, total int", (1, "1-5,7,10-", 12), (2, "-3", 9), (3, "5-3", 9), (4, "2,2,1", 5), (5, "8-99", 10), (6, "-", 4), (7, "3", 3))
 BOOKS = Rows(
-    "id string, title string, author string, format string, file_path string, uploaded_at string",
-    ("b1", "First Book", "Ann", "epub", "/u/b1.epub", "2024-01-02T03:04:05.678"), ("b2", "A very long title that goes on and on for more than forty", "Bo = C", "txt", "/u/b2.txt", "2024-02-02T00:00:00"),
-    ("b3", "Third#1", "", "pdf", "/u/b3.pdf", "2024-03-01T10:00:00.1"), ("b4", "Fourth", "Di", "epub", "/gone/b4.epub", "2024-04-01T10:00:00"),
+    "id string, title string, author string, format string, file_path string, uploaded_at string, detected_language string",
+    ("b1", "First Book", "Ann", "epub", "/u/b1.epub", "2024-01-02T03:04:05.678", None), ("b2", "A very long title that goes on and on for more than forty", "Bo = C", "txt", "/u/b2.txt", "2024-02-02T00:00:00", "zh-CN"),
+    ("b3", "Third#1", "", "pdf", "/u/b3.pdf", "2024-03-01T10:00:00.1", ""), ("b4", "Fourth", "Di", "epub", "/gone/b4.epub", "2024-04-01T10:00:00", None),
+    ("b6", "Held without a file", "Ed", "txt", "", "2024-04-02T10:00:00", None),
 )
 PRESENT = Rows("path string", ("/u/b1.epub",), ("/u/b2.txt",), ("/u/b3.pdf",), ("/u/new.txt",))
 CHAPTERS = Rows(
@@ -63,9 +64,10 @@ CHAPTERS = Rows(
     ("b1", 0, "One", "The first chapter has some words to say.", 40, 3.21, False), ("b1", 1, "Two", "", 0, 61.0, False), ("b1", 2, "Three", "Third[1] text, with a note.", 27, 2.4, True), ("b1", 3, "Four", "  [3] ", 6, 0.0, False),
     ("b2", 0, "序", "这是第一章的文字，足够长可以检测语言了吧，是的没错。", 26, 6.5, False), ("b2", 1, "English", "Then English text follows in the second one.", 44, 3.2, False), ("b2", 2, "Tail", "tiny", 4, 0.4, False),
     ("b3", 0, "Only", "привет мир это русский текст для проверки языка", 47, 2.8, False), ("b4", 0, "Solo", "A solitary chapter in a book whose file is gone.", 48, 4.0, False),
+    ("b6", 0, "Edited", "", 0, 0.0, False), ("b6", 1, "Unfound", "", 0, 0.0, False),
 )
 PARSED = Rows("book_id string, idx int, text string", ("b1", 1, "Parsed second chapter."), ("b1", 3, "parsed four"), ("b2", 2, "parsed tail"))
-EDITS = Rows("book_id string, idx int, text string", ("b1", 2, "Edited third **text** here."), ("b2", 1, ""), ("b9", 0, "orphan"))
+EDITS = Rows("book_id string, idx int, text string", ("b1", 2, "Edited third **text** here."), ("b2", 1, ""), ("b6", 0, "これは編集された章の文章で、言語を判定できます。"), ("b9", 0, "orphan"))
 CONVERSIONS = Rows("book_id string, pos int, ts string", ("b1", 0, "2024-05-01T10:00:00.123456"), ("b1", 1, "2024-05-02T11:30:00.5"), ("b2", 0, "2024-05-03T09:00:00"))
 GONE_RECORDS = Rows("book_id string, ts string", ("b1", "2024-05-01T10:00:00.123456"), ("b2", "never"))
 FRESH_RECORDS = Rows("book_id string, pos int, ts string", ("b3", 0, "2024-06-01T00:00:00"))
@@ -86,22 +88,31 @@ SPINE = Rows(
     ("e1", 0, "front.xhtml", "", "Front matter that is long enough to be kept as a chapter of its own."), ("e1", 1, "c1.xhtml", "One", "First chapter text here."), ("e1", 2, "c1b.xhtml", "", ""), ("e1", 3, "c2.xhtml", "Two", "Second chapter text."), ("e1", 4, "c3.xhtml", "Three", "Third chapter text runs on."),
     ("e2", 0, "a.xhtml", "", "A document without any contents."), ("e2", 1, "b.xhtml", "Bee", "short"), ("e2", 2, "c.xhtml", "See", "Another document of the spine."),
     ("e3", 0, "x.xhtml", "X", "Text before the repeated file."), ("e3", 1, "y.xhtml", "Y", "Repeated file, first place."), ("e3", 2, "y.xhtml", "Y", "Repeated file, second place."),
+    ("e4", 0, "cover.xhtml", "Cover", "Too short to be kept."), ("e4", 1, "preface.xhtml", "Preface", "A preface that is long enough to be kept as a chapter of its own."), ("e4", 2, "note.xhtml", "", "An untitled note that is long enough to be kept as a chapter too."),
+    ("e4", 3, "c1.xhtml", "One", "The first chapter of the fourth book."), ("e4", 4, "c2.xhtml", "Two", "The second chapter of the fourth book."),
+    ("e5", 0, "c1.xhtml", "First", "The first document, listed without a title."), ("e5", 1, "c2.xhtml", "Second", "The second document, listed with one."),
 )
-TOC = Rows("book_id string, ord int, title string, href string", ("e1", 0, "Chapter One", "c1.xhtml#top"), ("e1", 1, "Chapter Two", "c2.xhtml"), ("e1", 2, "Two again", "c2.xhtml#b"), ("e1", 3, "Nowhere", "zz.xhtml"), ("e1", 4, "Chapter Three", "c3.xhtml"), ("e2", 0, "Only", "a.xhtml"), ("e3", 0, "X", "x.xhtml"), ("e3", 1, "Y", "y.xhtml"))
+TOC = Rows("book_id string, ord int, title string, href string", ("e1", 0, "Chapter One", "c1.xhtml#top"), ("e1", 1, "Chapter Two", "c2.xhtml"), ("e1", 2, "Two again", "c2.xhtml#b"), ("e1", 3, "Nowhere", "zz.xhtml"), ("e1", 4, "Chapter Three", "c3.xhtml"), ("e2", 0, "Only", "a.xhtml"), ("e3", 0, "X", "x.xhtml"), ("e3", 1, "Y", "y.xhtml"), ("e4", 0, "First", "c1.xhtml"), ("e4", 1, "", "c1.xhtml"), ("e4", 2, "Dangling", "#x"), ("e4", 3, "Second", "c2.xhtml"), ("e5", 0, "", "c1.xhtml"), ("e5", 1, "Second", "c2.xhtml"))
 TXT = Rows(
     "book_id string, text string",
     ("t1", "A preamble that is long enough to be kept, fifty characters at least.\nChapter 1 The Start\nIt begins here.\nCHAPTER 2\n\nChapter 3\nIt goes on."), ("t2", "Short.\nPart 1\nBody of part one.\nPart 2\nBody of part two."), ("t3", "第一章 开始\n这里是正文。\n第二章\n更多正文。\n卷三 终\n完。"),
     ("t4", "\n\n".join(f"Block {i} " + "word " * 120 for i in range(9))), ("t5", "Just a little.\n\nAnd more."), ("t6", "a" * 1999 + "\n\n" + "b" * 10),
+    ("t7", "one\ntwo\n\n  three  \n \nfour\n   five"), ("t8", "c\n" + " " * 1996 + "d\n\ne"),
 )
-PAGES = Rows("book_id string, page int, text string", *[("p1", i, f"Text of page {i} goes here.\n{i + 1}\nmore of it") for i in range(12)], *[("p2", i, f"Body {i} of the second book") for i in range(4)], ("p3", 0, "  "), ("p3", 1, ""))
-OUTLINE = Rows("book_id string, ord int, level int, title string, page int", ("p1", 0, 1, "Alpha", 1), ("p1", 1, 2, "Alpha sub", 3), ("p1", 2, 1, "Beta", 5), ("p1", 3, 1, "Gamma", 5), ("p1", 4, 1, "Delta", 9))
+PAGES = Rows("book_id string, page int, text string", *[("p1", i, f"Text of page {i} goes here.\n{i + 1}\nmore of it") for i in range(12)], *[("p2", i, f"Body {i} of the second book") for i in range(4)], ("p3", 0, "  "), ("p3", 1, ""), *[("q4", i, f"Page {i} of a book with sub-entries only\n{i}") for i in range(3)])
+OUTLINE = Rows("book_id string, ord int, level int, title string, page int", ("p1", 0, 1, "Alpha", 1), ("p1", 1, 2, "Alpha sub", 3), ("p1", 2, 1, "Beta", 5), ("p1", 3, 1, "Gamma", 5), ("p1", 4, 1, "Delta", 9), ("q4", 0, 2, "Sub one", 1), ("q4", 1, 2, "Sub two", 2))
 _LINES = [
     ("p1", 0, [("Contents", 18.0), ("Chapter 1 5", 14.0), ("Chapter 2 9", 14.0), ("Chapter 3 11", 14.0), ("Index", 14.0)]), ("p1", 1, [("Chapter 1", 18.0), ("The body of the page is here.", 10.0), ("Running head", 10.0)]),
     ("p1", 2, [("Running head", 10.0), ("More body text of the page.", 10.0)]), ("p1", 4, [("Chapter 2", 18.0), ("Some more body text, it is long.", 10.0)]), ("p1", 8, [("CHAPTER", 18.0), ("IV", 16.0), ("Body text once again.", 10.0)]),
     ("p1", 11, [("Chapter 2", 12.0), ("The end of the book.", 10.0)]), ("p2", 0, [("Opening", 20.0), ("— a start", 18.0), ("text text text", 10.0), ("12", 20.0)]), ("p2", 2, [("Closing", 20.0), ("(cid:3)(cid:4)", 20.0), ("text text text again", 10.0)]),
+    ("q1", 0, [("● orphan", 18.0), ("Overview", 18.0), ("● joined", 16.0), ("body text of the page", 10.0)]), ("q1", 3, [("Closing words", 18.0), ("◆ of this", 18.0), ("more body text here", 10.0)]),
+    ("q2", 0, [("CHAPTER 1", 10.0), ("IV", 10.0)]), ("q2", 9, [("CHAPTER 2", 10.0), ("IV", 10.0)]), ("q2", 20, [("Chapter 7", 10.0)]), ("q2", 30, [("Chapter 8", 10.0), ("V", 10.0)]), ("q2", 40, [("CHAPTER IV", 10.0)]),
+    ("q3", 0, [("Heading 12345", 18.0), ("Other title", 18.0), ("Third title", 18.0), ("Fourth title", 18.0)]), ("q3", 1, [("Heading 12345", 18.0), ("body text on the first page of the third book", 10.0)]),
+    ("q3", 2, [("Heading 67", 18.0), ("body text on the second page of the third book", 10.0)]), ("q4", 0, [("Chapter 1 One", 18.0), ("body text", 10.0)]), ("q4", 2, [("Another large line", 18.0), ("body text", 10.0)]),
 ]
 LINES = Rows("book_id string, page int, line_no int, text string, max_size double", *[(b, p, i, t, s) for b, p, ls in _LINES for i, (t, s) in enumerate(ls)])
-CHARS = Rows("book_id string, page int, seq int, text string, size double, top double, x0 double", *[(b, p, i * 100 + k, c, s, 20.0 * i + (0.02 if k % 2 else 0.0), 5.0 * k) for b, p, ls in _LINES for i, (t, s) in enumerate(ls) for k, c in enumerate(t)])
+CHARS = Rows("book_id string, page int, seq int, text string, size double, top double, x0 double", *[(b, p, i * 100 + k, c, s, 20.0 * i + (0.02 if k % 2 else 0.0), 5.0 * k) for b, p, ls in _LINES for i, (t, s) in enumerate(ls) for k, c in enumerate(t)],
+    ("q5", 0, 0, "a", 10.0, 10.06, 0.0), ("q5", 0, 1, "b", 10.0, 13.1, 0.0), ("q5", 0, 2, "c", 10.0, 16.2, 0.0), ("q5", 0, 3, "\t", 10.0, 30.0, 0.0))
 PROBES = Rows("path string, size bigint, has_stream boolean, seconds double", ("a", 2048, True, 3.0), ("b", 100, True, 3.0), ("c", 4096, False, 3.0), ("d", 4096, True, 0.4), ("e", 1024, True, 0.5), ("f", None, None, None))
 SEGMENTS = Rows("chunk int, seg int, samples array<double>, rate int", (1, 0, [0.5, -0.5, 0.25, 0.0, 0.0, 0.0], 10), (1, 1, [0.001, -0.001, 0.002], 10), (2, 0, [0.0, 0.0], 10), (3, 0, [0.125, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 10), (3, 1, [0.0, 0.02], 20))
 HIDDEN = Rows("provider string, id string", ("edge", "en-US-GuyNeural"), ("kokoro", "zf_003"), ("edge", "nobody"))

@@ -32,9 +32,76 @@ def test_preamble_limit_and_title_prefix(spark):
     assert rows(st.txt_chapters(df), "book_id", "idx", "title") == [("a", 0, "Chapter 1"), ("b", 0, "序"), ("b", 1, "chapter 2")]
 
 
-def test_scanned_book_has_no_chapters(spark):
-    assert st.pdf_chapters(t.CHARS.frame(spark), t.LINES.frame(spark), t.PAGES.frame(spark), t.OUTLINE.frame(spark)).where("book_id = 'p3'").count() == 0
-    assert rows(st.extracted_chars(t.PAGES.frame(spark)).where("scanned"), "book_id") == [("p3",)]
+def pdf(spark):
+    return st.pdf_chapters(t.CHARS.frame(spark), t.LINES.frame(spark), t.PAGES.frame(spark), t.OUTLINE.frame(spark))
+
+
+def test_scanned_book_has_no_chapters_but_an_error(spark):
+    chapters = pdf(spark)
+    errors = st.pdf_errors(t.PAGES.frame(spark), chapters)
+    assert rows(errors, "book_id", "error") == [("p3", "no extractable text (2 pages, 2 characters): scanned pages need character recognition first")]
+    with pytest.raises(Exception, match="p3: no extractable text"):
+        st.checked(t.PAGES.frame(spark), chapters).collect()
+    kept = t.PAGES.frame(spark).where("book_id != 'p3'")
+    assert st.checked(kept, chapters).count() == chapters.count()
+
+
+def test_outline_without_chapters_falls_to_page_groups(spark):
+    assert rows(pdf(spark).where("book_id = 'q4'"), "idx", "title", "text") == [(0, "Section 1 (pages 1-3)", " ".join(f"Page {i} of a book with sub-entries only" for i in range(3)))]
+
+
+def test_sections_collapse_after_packing(spark):
+    got = rows(st.txt_sections(t.TXT.frame(spark)).where("book_id in ('t7', 't8')"), "book_id", "idx", "title", "text")
+    # the second book's first block has 1999 characters as it stands, so the section is full before "e"
+    assert got == [("t7", 0, "Section 1", "one two three four five"), ("t8", 0, "Section 1", "c d"), ("t8", 1, "Section 2", "e")]
+
+
+def test_front_matter_documents_are_chapters_of_their_own(spark):
+    got = rows(st.epub_chapters(t.SPINE.frame(spark), t.TOC.frame(spark)).where("book_id in ('e4', 'e5')"), "book_id", "idx", "title")
+    # e5 lists one titled entry only, so its documents are chapters under their own titles
+    assert got == [("e4", 0, "Preface"), ("e4", 1, "Chapter 2"), ("e4", 2, "First"), ("e4", 3, "Second"), ("e5", 0, "First"), ("e5", 1, "Second")]
+
+
+def test_line_step_is_taken_from_rounded_places(spark):
+    # 10.06 and 13.10 round to 10.1 and 13.1, a step of 3.0; 16.2 is 3.1 further
+    assert rows(st.pdf_lines(t.CHARS.frame(spark)).where("book_id = 'q5'"), "text") == [("ab",), ("c",)]
+
+
+def test_bare_headings_repeat_with_a_numeral_and_silence_without(spark):
+    got = rows(st.pattern_headings(t.LINES.frame(spark)).where("book_id = 'q2'"), "page", "title")
+    assert got == [(0, "CHAPTER IV"), (9, "CHAPTER IV"), (20, "Chapter")]
+
+
+def test_orphan_sub_heading_goes(spark):
+    lines, sizes = t.LINES.frame(spark), st.body_size(t.CHARS.frame(spark))
+    toc = st.toc_pages(lines, sizes)
+    got = rows(st.size_headings(lines, sizes, st.line_frequency(lines, toc), toc).where("book_id = 'q1'"), "ord", "page", "title")
+    assert got == [(0, 0, "Overview ● joined"), (1, 3, "Closing words ◆ of this")]
+
+
+def test_running_heads_are_counted_outside_contents_pages_without_any_trailing_digit(spark):
+    lines = t.LINES.frame(spark).where("book_id = 'q3'")
+    toc = st.toc_pages(lines, st.body_size(t.CHARS.frame(spark)))
+    assert rows(toc, "page") == [(0,)]
+    assert ("Heading", 2) in rows(st.line_frequency(lines, toc), "base", "n")
+    assert "Fourth title" not in {r[0] for r in rows(st.line_frequency(lines, toc), "base")}
+
+
+def test_library_keeps_books_without_a_file_and_fills_in_languages(spark):
+    got = rows(catalog.library(t.BOOKS.frame(spark), t.PRESENT.frame(spark), t.EDITS.frame(spark), t.CHAPTERS.frame(spark)), "book_id", "idx", "edited", "detected_language")
+    assert {(b, lang) for b, _, _, lang in got} == {("b1", "en-US"), ("b2", "zh-CN"), ("b3", "ru-RU"), ("b6", "ja-JP")}
+    assert ("b6", 0, True, "ja-JP") in got and ("b6", 1, False, "ja-JP") in got
+
+
+def test_text_that_is_nowhere_is_null(spark):
+    text = catalog.chapter_texts(t.CHAPTERS.frame(spark), t.EDITS.frame(spark), t.PARSED.frame(spark))
+    assert rows(text.where("book_id = 'b6' and idx = 1"), "text") == [(None,)]
+
+
+def test_numbering_by_ranges_equals_a_window(spark):
+    df = spark.range(5000).selectExpr("id * 7 % 5003 AS k", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 50) END AS g")
+    assert rows(st.numbered(df, ["g"], "k"), "g", "k", "idx") == rows(st.reindex(df, ["g"], ["k"]), "g", "k", "idx")
+    assert st.numbered(df.limit(0), ["g"], "k").count() == 0
 
 
 def test_empty_edit_wins(spark):
