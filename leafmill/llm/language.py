@@ -5,14 +5,16 @@ documents.  A document is a mixture: expectation-maximisation estimates the
 proportions of the languages in it.  The set of languages grows greedily from the
 best single one, and a language is added only if the log-likelihood gains more
 than the penalty (half the logarithm of the number of trigrams, per trigram
-overlap).  The language with the largest proportion is the prediction and that
-proportion its score.
+overlap).  The language with the largest proportion is the prediction.  Its score is
+that proportion times its posterior against the other languages taken alone, so a few
+letters give a low one.
 
 Defined results: null text, or text without a letter, is `und` with score 0; a
 text with letters but no whole trigram gets the commonest learned language; with
 nothing to learn from every text is `und`.  Repeated rows get equal results, an
 empty table gives an empty table.  Training may read a bounded sample:
-`max_docs_per_lang` rows of each language, chosen by a hash of the id.
+`max_docs_per_lang` rows of each language, chosen by a hash of the id.  More than `MAX_LANGS`
+distinct labels are an error, as a label costs BUCKETS numbers in every worker.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from leafmill.llm.textkit import NOT_LETTER, buffers, give_back, pieces
 
 BUCKETS = 4096
 MAX_DOCS_PER_LANG = 20_000
+MAX_LANGS = 1000
 #: Trigrams overlap, so one letter counts three times.
 OVERLAP = 3.0
 _EM_STEPS, _BLOCK = 12, 256
@@ -107,6 +110,12 @@ class LanguageMixture:
             pi[active], ll[active] = fitted[gained], better[gained]
         return pi
 
+    def posterior(self, c: np.ndarray) -> np.ndarray:
+        """documents x languages probabilities, if each document were in one language."""
+        fit = c @ self.log_p.T / OVERLAP + np.log(np.maximum(self.prior, 1e-9))
+        fit = np.exp(fit - fit.max(axis=1, keepdims=True))
+        return fit / fit.sum(axis=1, keepdims=True)
+
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         names, scores = [], np.zeros(len(offs) - 1)
         for lo in range(0, len(offs) - 1, _BLOCK):
@@ -118,7 +127,8 @@ class LanguageMixture:
             pi[empty] = self.prior
             total = np.maximum(pi.sum(axis=1), 1e-9)
             top = pi.argmax(axis=1)
-            scores[lo : lo + len(top)] = np.clip(pi[np.arange(len(top)), top] / total, 0, 1)
+            rows = np.arange(len(top))
+            scores[lo : lo + len(top)] = np.clip(pi[rows, top] / total * self.posterior(c)[rows, top], 0, 1)
             names += [self.names[k] for k in top]
         for i in np.flatnonzero(~has_letter(data, offs)):
             names[i], scores[i] = "und", 0.0
@@ -138,7 +148,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     """The model of the labelled rows; the driver receives BUCKETS sums per language."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    share = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {r["lang"]: min(1.0, max_docs_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
+    if len(share) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} distinct labels in {lang_col}")
     if not share:
         return LanguageMixture([], np.zeros((0, BUCKETS)), np.zeros(0))
     unit = (F.xxhash64("id", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))).cast("double")
@@ -179,14 +191,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 def predict(docs: DataFrame, model: LanguageMixture, text_col: str = "text", *extra: Column, keep_text: bool = False) -> DataFrame:
-    """The `extra` columns, then lang_pred, score and, if asked for, the text of each row; a map without shuffle."""
+    """The `extra` columns, then lang_pred, score and, if asked for, the text of each row; a map without shuffle.
+
+    Columns are told apart by their places, so any names may be given, repeated ones too.
+    """
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(text_col).alias("__text"), *extra)
+    given = docs.select(F.col(text_col), *extra)
+    source = given.toDF(*(f"c{i}" for i in range(len(given.columns))))
     names = source.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "c0"):
                 data, offs = buffers(part.column(0))
                 if model.names:
                     langs, scores = model.predict(data, offs)
@@ -196,5 +212,6 @@ def predict(docs: DataFrame, model: LanguageMixture, text_col: str = "text", *ex
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *text], [*names, "lang_pred", "score", *["text"][: len(text)]])
         give_back()
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", *(["text string"] if keep_text else [])]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
+    found = source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", *(["text string"] if keep_text else [])]))
+    return found.toDF(*given.columns[1:], *found.columns[len(names) :])

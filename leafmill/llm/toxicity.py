@@ -9,7 +9,9 @@ are those with the largest label contrast over the training rows.
 Defined results: null and empty texts have no terms and get the model's base
 score; without training rows of both labels the score is the share of label 1 (0
 without rows).  Repeated rows get equal scores; an empty table stays empty.
-Training may read a bounded sample: `max_train_rows` labelled rows in hash order.
+Training may read a bounded sample: `max_train_rows` labelled rows in the order of a
+hash of the id, whatever the layout of the files; the driver receives no more.  Terms
+beyond the TERMS of the largest contrast have no weight.
 """
 
 from __future__ import annotations
@@ -102,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     chosen = y.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(max_train_rows)
     # at most max_train_rows pairs of an id and a label: a bound that doesn't grow with the tables
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text", "id")
 
     def contrast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << HASH_BITS), np.int64)
@@ -137,9 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 d, t = term_sets(*buffers(part.column(1)), slot)
                 offs = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
                 terms = pa.ListArray.from_arrays(pa.array(offs), pa.array(t.astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([part.column(0), terms], ["y", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), terms], ["y", "id", "terms"])
 
-    got = rows.mapInArrow(design, "y int, terms array<smallint>").toArrow()  # bounded by max_train_rows x TERMS
+    # sorted, so that the fit doesn't depend on the layout; ids may repeat in docs, so the bound is set here
+    each = rows.mapInArrow(design, f"y int, id {dict(rows.dtypes)['id']}, terms array<smallint>")
+    got = each.orderBy(F.xxhash64("id", F.lit(7)), "id", "terms").limit(max_train_rows).select("y", "terms").toArrow()
     terms = got.column("terms").combine_chunks()
     n = np.diff(terms.offsets.to_numpy())
     machine.fit(np.repeat(np.arange(len(n)), n), terms.flatten().to_numpy().astype(np.int64), got.column("y").to_numpy().astype(float))
@@ -149,13 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 def score(docs: DataFrame, machine: FactorizationMachine, text_col: str = "text", *extra: Column) -> DataFrame:
     """The `extra` columns and the score of each row; a map without shuffle."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(text_col).alias("__text"), *extra)
+    given = docs.select(F.col(text_col), *extra)
+    source = given.toDF(*(f"c{i}" for i in range(len(given.columns))))  # any names may be given, repeated ones too
     names = source.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "__text"):
+            for part in pieces(batch, "c0"):
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(machine.score(*buffers(part.column(0))))], [*names, "score"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
-    return source.mapInArrow(run, ", ".join([*fields, "score double"]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
+    return source.mapInArrow(run, ", ".join([*fields, "score double"])).toDF(*given.columns[1:], "score")

@@ -68,6 +68,79 @@ def test_toxicity_learns_pairs(spark):
     assert wrong <= 8
 
 
+def test_em_against_brute_force():
+    """Proportions of two languages against a search over all shares; the likelihood never falls."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 50, (3, language.BUCKETS)).astype(float)
+    model = language.LanguageMixture(["a", "b", "c"], counts, np.ones(3))
+    for share in (0.3, 0.5, 0.8):
+        c = (rng.multinomial(4000, share * model.p[0].astype(float) / model.p[0].sum() * 0.999999 + (1 - share) * model.p[1].astype(float) / model.p[1].sum() * 0.999999 + 1e-9)).astype(np.float32)[None]
+        best = max(np.linspace(0, 1, 1001), key=lambda s: (c[0] * np.log(s * model.p[0] + (1 - s) * model.p[1])).sum())
+        fitted, last = np.array([[0.5, 0.5, 0]], np.float32), -np.inf
+        for _ in range(20):
+            fitted, ll = model._fit(c, fitted)
+            assert ll[0] >= last - 1e-2 * abs(ll[0]) / 1e3
+            last = ll[0]
+        assert abs(fitted[0, 0] - best) < 0.02
+        chosen = model.infer(c)[0]
+        assert chosen[2] == 0 and abs(chosen[0] - best) < 0.1
+
+
+def test_language_score_carries_confidence(spark, model):
+    df = spark.createDataFrame([("of th",), ("of the other and with the",), ("the " * 400,)], "text string")
+    low, mid, high = (r["score"] for r in language.predict(df, model, "text").collect())
+    assert low < high and mid <= high and high > 0.99
+
+
+def test_clashing_names(spark, model):
+    df = spark.createDataFrame([("the house", "kept", 5, 6)], "text string, __text string, score int, c0 int")
+    got = language.predict(df, model, "text", F.col("__text"), F.col("score"), F.col("c0"), F.col("text"), keep_text=True)
+    assert got.columns == ["__text", "score", "c0", "text", "lang_pred", "score", "text"]
+    assert tuple(got.collect()[0])[:4] == ("kept", 5, 6, "the house")
+    machine = toxicity.FactorizationMachine(__import__("numpy").zeros(0, int))
+    got = toxicity.score(df, machine, "text", F.col("__text"), F.col("score"), F.col("c0"))
+    assert tuple(got.collect()[0])[:3] == ("kept", 5, 6)
+
+
+def test_machine_against_brute_force():
+    """The margin against a sum over all pairs, and one step of the fit against numeric gradients."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(np.arange(6))
+    m.w0, m.w, m.v = 0.3, rng.normal(size=6), rng.normal(size=(6, toxicity.RANK))
+    rows = [[0, 2, 5], [1], [], [0, 1, 2, 3, 4, 5]]
+    doc, term = np.repeat(np.arange(4), [len(r) for r in rows]), np.array(sum(rows, []))
+
+    def margins(w0, w, v):
+        return np.array([w0 + sum(w[i] for i in r) + sum(v[i] @ v[j] for i in r for j in r if i < j) for r in rows])
+
+    assert np.allclose(m.margin(doc, term, 4)[0], margins(m.w0, m.w, m.v))
+    y = np.array([1.0, 0, 1, 0])
+    loss = lambda w0, w, v: np.mean(np.log1p(np.exp(-(2 * y - 1) * margins(w0, w, v))))
+    eps, want = 1e-6, np.zeros_like(m.v)
+    for i in range(6):
+        for f in range(toxicity.RANK):
+            step = np.zeros_like(m.v)
+            step[i, f] = eps
+            want[i, f] = (loss(m.w0, m.w, m.v + step) - loss(m.w0, m.w, m.v - step)) / (2 * eps)
+    margin, s = m.margin(doc, term, 4)
+    err = 1 / (1 + np.exp(-margin)) - y
+    pull = err[doc][:, None] * (s[doc] - m.v[term])
+    assert np.allclose(np.stack([np.bincount(term, pull[:, f], 6) for f in range(toxicity.RANK)], axis=1) / 4, want, atol=1e-5)
+
+
+def test_training_does_not_depend_on_layout_and_is_bounded(spark):
+    rows = [(i, f"filler {i % 11} {'vermin' if i % 3 else 'bread'} {'martians' if i % 5 else 'salt'}", int(i % 3 > 0 and i % 5 > 0)) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a = toxicity.train(docs.repartition(1), labels, max_train_rows=300)
+    b = toxicity.train(docs.repartition(7, "text"), labels, max_train_rows=300)
+    assert (a.w == b.w).all() and (a.v == b.v).all() and a.w0 == b.w0
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "bad words"), (2, None), (3, ""), (3, ""), (4, "x " * 50_000)], "doc_id long, text string")
     for labels, want in (([], 0.0), ([(1, 1), (2, None)], 1.0), ([(1, 0)], 0.0)):
