@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +15,13 @@ from leafmill import reachable
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (a local test session) a folder of this
-    machine is made and set.
+    Where the setting is absent, a local session (a test) gets a folder of this
+    machine, made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,15 +32,22 @@ BATCH_ROWS = 2000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session asks for smaller ones yet; workers find this package."""
+    """Keep Arrow batches small, unless the session asks for smaller ones yet; workers find this package.
+
+    Both stay set for the session: frames are lazy, so their batches are cut when the caller reads them.
+    """
     reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
 
 
+#: What the names of all intermediate tables begin with.
+PREFIX = "leafmill-"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{PREFIX}{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +75,21 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession, hours: float = 48) -> int:
+    """Delete intermediate tables that are older than any job still reading them; returns how many.
+
+    A result reads its last intermediate tables when it is consumed, so an operator can't
+    delete those itself: run this between jobs, with more hours than the longest takes.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(top) if f.getPath().getName().startswith(PREFIX) and f.getModificationTime() <= (time.time() - hours * 3600) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(contract(edges.select("a", "b").where("a != b")), "edges")
     before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).head()
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).head()
         if mark == before or not mark[0]:
             break
         if mark[0] <= LAST_EDGES:
