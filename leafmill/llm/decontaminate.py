@@ -3,40 +3,43 @@
 1. One scan counts, over all documents, how often each word of the benchmark
    occurs.  A seed (n consecutive words of an item) is rare if words that frequent
    would form it by chance less than once per `chance_docs` documents; that an item
-   is copied often doesn't make its seeds common.
-2. One scan finds seed hits: a fixed-size bitmap of the seeds' hashes, whatever the
-   benchmark's size, passes the words that may start a seed.  Around hits the
-   passage is cut out, wide enough for the longest item.
-3. A join on the seed's hash gives (passage, item) pairs; words are aligned by
-   Smith-Waterman, and a pair counts if the score reaches `min_score` of the best
-   possible score of the item.
-
+   is copied often doesn't make its seeds common.  An item without a rare seed keeps
+   all of its seeds.
+2. One scan finds seed hits by bitmaps of the seeds' hashes, one for each power of
+   two of the items' lengths, so that the passage cut out around a hit is as wide as
+   items of that length need.  Bitmaps are of fixed size, whatever the benchmark's.
+3. Seeds join passages to items.  Each distinct (passage, item) is aligned once by
+   Smith-Waterman over words, however many documents hold the passage.
+
+A pair counts if its score reaches `min_score` of the best possible score of the
+item, or of `long_words` words of an item that is longer: part of a long item counts.
 Words are compared with ASCII case folded and punctuation at their ends dropped.
 An item shorter than a seed has one seed, all its words.
 
 Defined results: null or empty texts and items match nothing; repeated items give a
-row each under their own id; repeated documents repeat; an empty benchmark or table
-gives an empty result.
+row each under their own id; repeated documents share a row; rows with a null
+document id share one as well; an empty benchmark or table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_batches, written
+from leafmill.llm.common import narrow, small_batches, written
 from leafmill.llm.textkit import NOT_LETTER, buffers, grams, pieces, starts_inside, word_hashes, words
 
 SEED_WORDS = 4
 MIN_SCORE = 0.6
 CHANCE_DOCS = 1000
-#: Items whose seeds the driver holds at once.
-BLOCK_ITEMS = 20_000
+#: Words of a longer item that are enough.
+LONG_WORDS = 80
+#: Pairs that a task aligns, about.
+TASK_PAIRS = 2_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the seed bitmap: 2 MB, whatever the benchmark holds.
 MAP_BITS = 24
@@ -88,150 +91,166 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _word_counts(docs: DataFrame, vocab: np.ndarray) -> tuple[dict[int, int], int, int]:
-    """Corpus counts of the benchmark's words, of all words and of documents."""
-    bits = _bitmap(vocab)
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(vocab), np.int64)
-        total = rows = 0
-        for batch in batches:
-            rows += batch.num_rows
-            for part in pieces(batch, "text"):
-                _, _, _, h = tokens(*buffers(part.column(0)))
-                total += len(h)
-                h = h[_maybe(bits, h)]
-                at = np.searchsorted(vocab, h)
-                at[at == len(vocab)] = 0
-                seen += np.bincount(at[vocab[at] == h], minlength=len(vocab))
-        k = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *k.tolist()], pa.int64()), pa.array([total, rows, *seen[k].tolist()], pa.int64())], ["k", "n"])
 
-    got = {r["k"]: r["n"] for r in docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    return got, got.get(-1, 0), got.get(-2, 0)
+def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one that the bitmap was made of."""
+    k = _slots(h)
+    return (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _bitmaps(hashes: DataFrame) -> dict[int, np.ndarray]:
+    """A bitmap of the `h` of each `kind`, of a fixed size: the driver receives slots, not hashes."""
+    slot = F.shiftrightunsigned("h", 64 - MAP_BITS).cast("int")
+    got = hashes.select("kind", slot.alias("slot")).distinct().toArrow()  # at most 2**MAP_BITS a kind
+    kind, slot = got.column("kind").to_numpy(), got.column("slot").to_numpy()
+    out = {}
+    for k in np.unique(kind).tolist():
+        flags = np.zeros(1 << MAP_BITS, bool)
+        flags[slot[kind == k]] = True
+        out[int(k)] = np.packbits(flags)
+    return out
+
+
+def _item_tables(bench: DataFrame, seed_words: int) -> tuple[DataFrame, DataFrame]:
+    """(item, item_id, words) per item with words, and (item, n, width, seed, inside) per seed; a seed holds its own words only."""
+    many = pa.list_(pa.int64())
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, first, h = tokens(*buffers(batch.column(1)))
+            kept = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), kept], ["item_id", "words"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("item", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("seed", pa.int64()), ("inside", many)]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = batch.column(1)[i].values.to_numpy().view(np.uint64)
+                n = min(seed_words, len(own))
+                g, at = np.unique(grams(own, n), return_index=True)
+                inside = np.stack([own[at + j] for j in range(n)], axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * n), pa.array(inside.ravel()))
+                same = lambda x, t: pa.array(np.full(len(g), x), t)  # noqa: B023, E731
+                width = max(5, int(len(own) - 1).bit_length())
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py(), pa.int64()), same(n, pa.int32()), same(width, pa.int32()), pa.array(g.view(np.int64)), lists], schema=pa.schema(kinds))
 
-def _bitmap(h: np.ndarray) -> np.ndarray:
-    flags = np.zeros(1 << MAP_BITS, bool)
-    flags[h >> np.uint64(64 - MAP_BITS)] = True
-    return np.packbits(flags)
+    items = bench.mapInArrow(whole, "item_id long, words array<long>").where(F.size("words") > 0)
+    items = written(items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words").distinct(), "items")
+    return items, written(items.select("item", "words").mapInArrow(cut, "item long, n int, width int, seed long, inside array<long>"), "seeds")
 
 
-def _maybe(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    k = h >> np.uint64(64 - MAP_BITS)
-    return (bits[k >> np.uint64(3)] >> (np.uint8(7) - (k & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
+def _rare(source: DataFrame, seeds: DataFrame, chance_docs: int) -> DataFrame:
+    """The seeds to look for: rare ones, and all of the items that have none."""
+    inside = seeds.select("item", "seed", F.explode("inside").alias("h"))
+    bits = _bitmaps(inside.select(F.lit(0).alias("kind"), "h"))[0]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for part in pieces(batch, "text"):
+                h = tokens(*buffers(part.column(0)))[3]
+                total += len(h)
+                h, n = np.unique(h[_maybe(bits, h)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([total, rows], pa.int64())], ["kind", "h", "n"])
+
+    seen = source.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    counts = written(seen, "word-counts")
+    sums = {r["kind"]: r["n"] for r in counts.where("kind > 0").collect()}
+    total, rows = max(sums.get(1, 0), 1), max(sums.get(2, 0), 1)
+    known = counts.where("kind = 0").join(inside.select("h").distinct(), "h", "left_semi").select("h", "n")
+    share = F.coalesce(F.log(F.col("n") / total), F.lit(-1e6))  # a word that no document has makes the seed rare
+    chance = inside.join(narrow(written(known, "counts")), "h", "left").groupBy("item", "seed").agg((F.sum(share) + float(np.log(total))).alias("chance"))
+    judged = chance.withColumn("rare", F.col("chance") + float(np.log(chance_docs)) < float(np.log(rows)))
+    without = judged.groupBy("item").agg(F.max("rare").alias("some")).where("not some").select("item")
+    kept = judged.join(without, "item", "left_semi").union(judged.where("rare")).select("item", "seed").distinct()
+    return written(seeds.join(kept, ["item", "seed"], "left_semi").select("item", "n", "width", "seed"), "rare-seeds")
+
+
+def _passages(source: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, at, width, passage, same, seeds): what surrounds the hits of seeds of items up to 2**width words."""
+    kinds = [(r["n"], r["width"]) for r in seeds.select("n", "width").distinct().collect()]  # at most seed_words x 27
+    bits = _bitmaps(seeds.select((F.col("width") * 1000 + F.col("n")).alias("kind"), F.col("seed").alias("h")))
+    many = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("width", pa.int32()), ("passage", many), ("seeds", many)])
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, chance_docs: int = CHANCE_DOCS) -> DataFrame:
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                _, _, first, h = tokens(*buffers(part.column(1)))
+                ids, rows = part.column(0).to_pylist(), []
+                of_length = {n: seed_rows(h, first, n) for n in {n for n, _ in kinds}}
+                for width in sorted({w for _, w in kinds}):
+                    found = []
+                    for n in (n for n, w in kinds if w == width):
+                        g, at, doc = of_length[n]
+                        k = np.flatnonzero(_maybe(bits[width * 1000 + n], g))
+                        found.append(np.stack([doc[k], at[k], g[k].view(np.int64)], axis=1))
+                    found = np.concatenate(found)
+                    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+                    reach, lo = int(1.5 * (1 << width)) + 8, 0
+                    while lo < len(found):
+                        d, hi = found[lo, 0], lo + 1
+                        # hits whose surroundings touch share a passage
+                        while hi < len(found) and found[hi, 0] == d and found[hi, 1] - found[hi - 1, 1] <= 2 * reach:
+                            hi += 1
+                        s = max(first[d], found[lo, 1] - reach)
+                        e = min(first[d + 1], found[hi - 1, 1] + reach)
+                        rows.append({"doc_id": ids[d], "at": int(s - first[d]), "width": width, "passage": h[s:e].view(np.int64), "seeds": np.unique(found[lo:hi, 2])})
+                        lo = hi
+                for lo in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_pylist(rows[lo : lo + 256], schema)
+
+    found = source.mapInArrow(hits, "doc_id long, at long, width int, passage array<long>, seeds array<long>")
+    return written(found.withColumn("same", F.xxhash64("passage")), "passages")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, chance_docs: int = CHANCE_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each item in each document, where it counts.
 
-    `score` is the share of the item's best possible score; words count from 0, the end is exclusive.
+    `score` is the share of the best possible score (of long_words words of a longer item, 1 at most);
+    words count from 0, the end is exclusive.
     """
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
-
-    many = pa.list_(pa.int64())
-    seed_schema = pa.schema([("item_id", pa.int64()), ("seed", pa.int64()), ("inside", many), ("item_words", many)])
-    passage_schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("passage", many), ("seeds", many)])
-    score_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-
-    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, _, first, h = tokens(*buffers(batch.column(1)))
-            rows = []
-            for i, item in enumerate(batch.column(0).to_pylist()):
-                own = h[first[i] : first[i + 1]]
-                if not len(own):
-                    continue
-                n = min(seed_words, len(own))
-                g = grams(own, n)
-                whole = own.view(np.int64).tolist()
-                rows += [{"item_id": item, "seed": x, "inside": whole[k : k + n], "item_words": whole} for k, x in enumerate(g.view(np.int64).tolist())]
-            yield pa.RecordBatch.from_pylist(rows, seed_schema)
-
-    seeds = bench.mapInArrow(item_seeds, "item_id long, seed long, inside array<long>, item_words array<long>")
-    # the driver holds the seeds of at most BLOCK_ITEMS items; a larger benchmark is taken in blocks
-    n_items = bench.count()
-    if n_items > BLOCK_ITEMS:
-        blocks = -(-n_items // BLOCK_ITEMS) * 2
-        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-        done = [contaminated(docs, bench.where(part == k), id_col, text_col, "item_id", "text", seed_words, min_score, chance_docs) for k in range(blocks)]
-        return reduce(DataFrame.unionByName, done)
-    listed = seeds.select("item_id", "seed", "inside").collect()
-    if not listed:
+    table, seeds = _item_tables(bench, seed_words)
+    if not table.head(1):
         return spark.createDataFrame([], schema)
-    widest = seeds.agg(F.max(F.size("item_words"))).head()[0]
-    vocab = np.unique(np.array([w for r in listed for w in r["inside"]], np.int64).view(np.uint64))
-    counts, total, n_docs = _word_counts(source.select("text"), vocab)
-    p = np.array([counts.get(i, 0) for i in range(len(vocab))]) / max(total, 1)
-    place = {int(w): i for i, w in enumerate(vocab.view(np.int64))}
-    chance = {r["seed"]: float(np.prod([p[place[w]] for w in r["inside"]])) * total for r in listed}
-    rare = {s for s, c in chance.items() if c * chance_docs < max(n_docs, 1)}
-    by_item: dict[int, set[int]] = {}
-    for r in listed:
-        by_item.setdefault(r["item_id"], set()).add(r["seed"])
-    for own in by_item.values():  # an item without a rare seed keeps its rarest ones
-        if not own & rare:
-            rare |= set(sorted(own, key=lambda x: (chance[x], x))[:3])
-    rare = np.array(sorted(rare), np.int64)
-    short = sorted({len(r["inside"]) for r in listed})
-    bits = _bitmap(rare.view(np.uint64))
-    reach = int(widest * 1.5) + seed_words
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                _, _, first, h = tokens(*buffers(part.column(1)))
-                found = []
-                for n in short:
-                    g, at, doc = seed_rows(h, first, n)
-                    k = np.flatnonzero(_maybe(bits, g))
-                    found.append(np.stack([doc[k], at[k], g[k].view(np.int64)], axis=1))
-                found = np.concatenate(found)
-                found = found[np.lexsort((found[:, 1], found[:, 0]))]
-                ids = part.column(0).to_pylist()
-                lo, rows = 0, []
-                while lo < len(found):
-                    d, hi = found[lo, 0], lo + 1
-                    # hits whose surroundings touch share a passage
-                    while hi < len(found) and found[hi, 0] == d and found[hi, 1] - found[hi - 1, 1] <= 2 * reach:
-                        hi += 1
-                    s = max(first[d], found[lo, 1] - reach)
-                    e = min(first[d + 1], found[hi - 1, 1] + reach)
-                    rows.append({"doc_id": ids[d], "at": int(s - first[d]), "passage": h[s:e].view(np.int64).tolist(), "seeds": np.unique(found[lo:hi, 2]).tolist()})
-                    lo = hi
-                yield pa.RecordBatch.from_pylist(rows, passage_schema)
-
-    passages = source.mapInArrow(hits, "doc_id long, at long, passage array<long>, seeds array<long>")
-    passages = written(passages.withColumn("same", F.xxhash64("passage")), "passages")
-    kept = spark.createDataFrame([(int(s),) for s in rare], "seed long")
-    item = F.xxhash64("item_id", "item_words").alias("item")
-    by_seed = seeds.select(item, "seed").distinct().join(kept, "seed")
-    # ids only meet by seed; passages and items are fetched once per pair
-    place = ["doc_id", "at", "same"]
-    pairs = passages.select(*place, F.explode("seeds").alias("seed")).join(by_seed, "seed").select(*place, "item").distinct()
-    texts = seeds.select(item, "item_id", "item_words").distinct()
-    pairs = pairs.join(passages.select(*place, "passage").distinct(), place).join(texts, "item").select("doc_id", "at", "item_id", "passage", "item_words")
+    seeds = _rare(source, seeds, chance_docs)
+    passages = _passages(source, seeds)
+
+    # only ids meet by seed; hot passages and seeds are rows of ids, and each distinct case is aligned once
+    by_seed = narrow(written(seeds.select("seed", "width", "item").distinct(), "by-seed"))
+    links = passages.select("doc_id", "at", "same", "width", F.explode("seeds").alias("seed")).join(by_seed, ["seed", "width"]).select("doc_id", "at", "same", "item").distinct()
+    links = written(links, "links")
+    cases = written(links.select("same", "item").distinct(), "cases")
+    texts = passages.groupBy("same").agg(F.first("passage").alias("passage"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cases.count() // TASK_PAIRS))
+    # dealt by hashes in a stated number, so that small rows of much work aren't put together
+    dealt = cases.join(texts, "same").join(table.select("item", "words"), "item").repartition(n, "same", "item")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}  # many documents hold the same passage
+        out = pa.schema([("same", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("s", pa.int64()), ("e", pa.int64())])
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                a, b = np.array(r["item_words"], np.int64), np.array(r["passage"], np.int64)
-                key = (a.tobytes(), b.tobytes())
-                if len(known) > 20_000:
-                    known.clear()
-                if key not in known:
-                    known[key] = align(a, b)
-                got, s, e = known[key]
-                if got >= min_score * MATCH * len(a):
-                    rows.append({"doc_id": r["doc_id"], "item_id": r["item_id"], "score": got / (MATCH * len(a)), "start_word": r["at"] + s, "end_word": r["at"] + e})
-            yield pa.RecordBatch.from_pylist(rows, score_schema)
-
-    scored = pairs.mapInArrow(score, schema)
+            for i in range(batch.num_rows):
+                b, a = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
+                best = MATCH * min(len(a), long_words)
+                got, s, e = align(a, b)
+                if got >= min_score * best:
+                    rows.append({"same": batch.column(0)[i].as_py(), "item": batch.column(1)[i].as_py(), "score": min(1.0, got / best), "s": s, "e": e})
+            yield pa.RecordBatch.from_pylist(rows, out)
+
+    aligned = dealt.select("same", "item", "passage", "words").mapInArrow(score, "same long, item long, score double, s long, e long")
+    aligned = narrow(written(aligned, "aligned"))
+    found = links.join(aligned, ["same", "item"]).join(narrow(table.select("item", "item_id")), "item")
+    found = found.select("doc_id", "item_id", "score", (F.col("at") + F.col("s")).alias("start_word"), (F.col("at") + F.col("e")).alias("end_word"))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -51,13 +51,50 @@ def test_planted_passages(spark):
     assert found.where("doc_id = 777").head()["start_word"] == 9000
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    rng = random.Random(9)
-    items = [(i, " ".join(words(rng, 20))) for i in range(12)]
-    docs = [(i, " ".join(words(rng, 30)) + " " + items[i][1]) for i in range(12)]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(dc, "BLOCK_ITEMS", 5)
-    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(d, b).collect()} == {(i, i) for i in range(12)}
+def test_against_brute_force(spark):
+    """All documents against all items by the textbook recurrence; a pair that counts has common seeds here."""
+    rng = random.Random(21)
+    items = [(i, words(rng, rng.randint(6, 30))) for i in range(8)]
+    docs = []
+    for d in range(40):
+        w = words(rng, rng.randint(0, 30))
+        if d % 2:
+            p = list(items[d % 8][1])
+            for _ in range(rng.randint(0, 12)):  # edits of all kinds, many pairs near the limit
+                k = rng.randrange(len(p))
+                p[k : k + 1] = rng.choice([[], words(rng, 1), [p[k], *words(rng, 1)]])
+                p = p or words(rng, 1)
+            w += p
+        docs.append((d, w))
+    code = {x: i for i, x in enumerate(sorted({x for _, w in items + docs for x in w}))}
+    runs = lambda w: {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+    want = {}
+    for d, w in docs:
+        for i, v in items:
+            got = textbook([code[x] for x in v], [code[x] for x in w])
+            if got >= dc.MIN_SCORE * dc.MATCH * len(v) and runs(v) & runs(w):
+                want[d, i] = got / (dc.MATCH * len(v))
+    found = dc.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()} == want and len(want) > 5
+
+
+def test_long_items(spark):
+    """20,000 words: linear tables, and 50 words copied from it are enough; short items keep short passages."""
+    rng = random.Random(4)
+    long = words(rng, 20_000)
+    short = words(rng, 20)
+    docs = [(1, " ".join(words(rng, 30) + long[700:750] + words(rng, 30))), (2, " ".join(words(rng, 60) + long[100:120])), (3, " ".join(words(rng, 4000) + short)), (4, " ".join(words(rng, 100)))]
+    items = [(1, " ".join(long)), (2, " ".join(short))]
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["end_word"]) for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (30, 80), (3, 2): (4000, 4020)}
+
+
+def test_item_of_common_seeds_keeps_them_all(spark):
+    """Every seed of the item is common, and the copy holds only one that isn't among the rarest few."""
+    base = "a b c d e f g h i j"
+    docs = [(i, base) for i in range(50)] + [(90, "x " * 40)]
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, base)], "item_id long, text string"), chance_docs=10**9)
+    assert {r["doc_id"] for r in found.collect()} == set(range(50))
 
 
 def test_edges(spark):
