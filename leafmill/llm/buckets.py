@@ -3,7 +3,7 @@
 A task sorts its rows by bucket (a range of the hashed key) and sends each bucket's
 columns as binary blocks; the receiving task sees a bucket's blocks together.  The
 number of buckets grows with the rows, so one fits in memory; senders combine equal
-keys first, so that a hot key adds at most a row per sending block.
+keys first, so that a key whose rows are equal adds at most a row per sending block.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from leafmill.llm.textkit import give_back
 
 #: Rows of one bucket, about.
-BUCKET_ROWS = 1_000_000
+BUCKET_ROWS = 250_000
 #: Bytes of one block's column at most.
 BLOCK_BYTES = 4 << 20
 

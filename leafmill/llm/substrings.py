@@ -11,6 +11,11 @@ context, the anchor extended both ways.
    single windows with another.  There the match is cut out window by window, and
    these windows meet by their own hash.
 
+An anchor with very many contexts (a common phrase in ever other surroundings) would
+be one key that senders can't combine.  Such anchors are counted first; their contexts
+meet by (anchor, context) instead and are all looked at window by window, as the
+contexts of any anchor that has several are.
+
 Senders drop what repeats within a block of documents, so that a passage in very
 many documents reaches the receiving task once per block.  Windows are compared by
 128 hash bits (anchor and context, or two hashes of the window).
@@ -36,6 +41,10 @@ from leafmill.llm.textkit import buffers, grams, mix, pieces, slide_min_at, spli
 WINDOW, ANCHOR = 20, 6
 #: Contexts that a task combines before sending.
 HELD = 500_000
+#: Contexts of an anchor from which on they are dealt by themselves, and anchors so dealt, at most (8 bytes each, broadcast):
+#: beyond that many, the first limit rises.
+HOT_CONTEXTS, HOT_ANCHORS = 256, 1_000_000
+_NO_ANCHORS = np.zeros(0, np.uint64)
 _FLAG, _ROW = 0, 1
 _KINDS = [[np.int64, np.int64, np.int64], [np.uint64, np.uint64, np.int64, np.int64]]
 _SCHEMA = buckets.schema(4)
@@ -71,12 +80,21 @@ def repeats(key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray) -
     return order, ~new & ~same_place, new
 
 
-def _send(n: int, key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray, span: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _among(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(key), bool)
+    at = np.searchsorted(hot, key)
+    at[at == len(hot)] = 0
+    return hot[at] == key
+
+
+def _send(n: int, hot: np.ndarray, key: np.ndarray, sub: np.ndarray, doc: np.ndarray, at: np.ndarray, span: np.ndarray) -> Iterator[pa.RecordBatch]:
     order, repeat, new = repeats(key, sub, doc, at)
     f = order[repeat]
     yield from _flags(n, doc[f], at[f], at[f] + span[f])
     k = order[new]
-    yield from buckets.blocks(key[k], n, _ROW, [key[k], sub[k], doc[k], at[k] * 4096 + span[k]])
+    meet = np.where(_among(key[k], hot), mix(key[k] ^ mix(sub[k])), key[k])
+    yield from buckets.blocks(meet, n, _ROW, [key[k], sub[k], doc[k], at[k] * 4096 + span[k]])
 
 
 def _flags(n: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -104,7 +122,7 @@ def _spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc), pa.array(lo), pa.array(hi)], ["kind", "doc_id", "lo", "hi"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], window_level: bool) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], window_level: bool, hot: np.ndarray = _NO_ANCHORS) -> Iterator[pa.RecordBatch]:
     """Per bucket: spans to remove (kind 0) and, by context, those to look at window by window (kind 1)."""
     for got in buckets.received(batches, _KINDS):
         if _FLAG in got:
@@ -119,17 +137,54 @@ def _judge(batches: Iterator[pa.RecordBatch], window_level: bool) -> Iterator[pa
         if not window_level:
             lead = order[new]
             k = key[lead]
-            several = np.zeros(len(k), bool)
+            several = _among(k, hot)
             several[1:] |= k[1:] == k[:-1]
             several[:-1] |= k[1:] == k[:-1]
             r = lead[several]
             yield _spans(doc[r], at[r], at[r] + span[r], 1)
 
 
+def _hot_anchors(docs: DataFrame, rows: float, window: int, k: int) -> np.ndarray:
+    """Anchors with many contexts, sorted; what a block of contexts has once isn't counted, so a key may have a row per block more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def several() -> pa.RecordBatch:
+            key, sub = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((sub, key))
+            key, sub = key[order], sub[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])
+            key, n = np.unique(key[new], return_counts=True)
+            key, n = key[n > 1], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                data, offs = buffers(part.column(0))
+                s, e, first = words(data, offs)
+                held.append(contexts(word_hashes(data, s, e), first, window, k)[:2])
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield several()
+                    held, size = [], 0
+        if held:
+            yield several()
+
+    least = max(HOT_CONTEXTS, int(rows / HOT_ANCHORS))
+    counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).select("anchor").toArrow()
+    return np.sort(found.column("anchor").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, lo, hi): word spans covered by windows that start earlier elsewhere; spans may overlap."""
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n = buckets.count_for(size / 6 * 2 / (window - anchor + 2))
+    rows = size / 6 * 2 / (window - anchor + 2)
+    n = buckets.count_for(rows)
+    source = docs.where("doc_id is not null")
+    hot = _hot_anchors(source, rows, window, anchor)
 
     def send_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -142,14 +197,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 held.append((key, ctx, ids[doc], at, more + window))
                 size += len(key)
                 if size >= HELD:
-                    yield from _send(n, *map(np.concatenate, zip(*held)))
+                    yield from _send(n, hot, *map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
-            yield from _send(n, *map(np.concatenate, zip(*held)))
+            yield from _send(n, hot, *map(np.concatenate, zip(*held)))
 
     spans = "kind int, doc_id long, lo long, hi long"
-    source = docs.where("doc_id is not null")
-    first = buckets.exchange(source.mapInArrow(send_contexts, _SCHEMA), n).mapInArrow(lambda b: _judge(b, False), spans)
+    first = buckets.exchange(source.mapInArrow(send_contexts, _SCHEMA), n).mapInArrow(lambda b: _judge(b, False, hot), spans)
     first = written(first, "spans")
     look = first.where("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("look"))
 
@@ -176,10 +230,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 held.append((one[w], two[w], ids[doc], w - first[doc], np.full(len(w), window)))
                 size += len(w)
                 if size >= HELD:
-                    yield from _send(n, *map(np.concatenate, zip(*held)))
+                    yield from _send(n, _NO_ANCHORS, *map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
-            yield from _send(n, *map(np.concatenate, zip(*held)))
+            yield from _send(n, _NO_ANCHORS, *map(np.concatenate, zip(*held)))
 
     wanted = source.join(look, "doc_id").select("doc_id", "text", "look")
     second = buckets.exchange(wanted.mapInArrow(send_windows, _SCHEMA), n).mapInArrow(lambda b: _judge(b, True), spans)

@@ -47,6 +47,23 @@ def test_substring_edges(spark):
     assert substrings.deduplicate(df.limit(0)).count() == 0
 
 
+def test_a_common_phrase_is_dealt_by_its_contexts(spark, monkeypatch):
+    """One anchor with 20,000 contexts spreads over all buckets, and the result stays exact."""
+    rng = random.Random(3)
+    phrase = " ".join(f"common{i}" for i in range(12))
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows = [(i, " ".join([*(word() for _ in range(12)), phrase, *(word() for _ in range(12))])) for i in range(20_000)]
+    rows += [(20_000 + i, rows[i * 50][1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent, exchange = [], substrings.buckets.exchange
+    monkeypatch.setattr(substrings.buckets, "exchange", lambda frame, n: sent.append(frame) or exchange(frame, n))
+    got = {r[0]: (r[1], r[2], r[3]) for r in substrings.deduplicate(df).collect()}
+    assert got == removed(rows, 20)
+    for frame in sent:
+        size = [r[1] for r in frame.where("kind = 1").selectExpr("bucket", "length(c0) AS n").groupBy("bucket").sum("n").collect()]
+        assert max(size) < 2 * sum(size) / len(size) and len(size) >= 16
+
+
 def linked_groups(rows):
     sets = {}
     for d, t in rows:
