@@ -10,10 +10,15 @@ A document is its set of distinct word shingles.  Two documents link when
    class that shares fewer prefix shingles than any partner would need is out.
    Senders hang the classes of their block that share a shingle on a hub and pass on
    one hub per shingle, so a frequent shingle costs at most a row per block.
-   A second round, for the documents left, orders shingles by their exact counts.
-2. The candidate graph's components hold all links.  A large component is split into
-   blocks by a hash, and each pair of blocks is a task of its own.
-3. Within a task, T-occurrence search: per query the longest inverted lists are set
+   A second round, for the documents left, orders shingles by their exact counts;
+   shingles of very many documents are counted ahead, so that none is gathered.
+2. The candidate graph's components hold all links.  A small component is a task.
+3. A large one is cut by the sets' sizes (linked sets are of the same class of sizes or
+   of neighbouring ones) and by a hash.  Each block is compared with a few leaders of
+   its own, in time linear in its sets; the blocks' leaders then meet.  Only the sets
+   outside the component's largest group so linked are queries against all its blocks
+   of their sizes, so a group of near copies is never compared pair by pair.
+   Within a task, T-occurrence search: per query the longest inverted lists are set
    aside (DivideSkip), the short ones are merged through a heap, and candidates with
    enough occurrences are probed in the long lists by binary search; those that reach
    the overlap T are links.  Only connectivity is returned, so pairs that are already
@@ -48,8 +53,13 @@ FREQUENT, RANKED = 3, 400_000
 #: Prefix shingles that linked sets share at least, as a share of the set: in the first round, over all documents,
 #: and in the second, over those that are left.
 SHARED, SHARED_AGAIN = 0.05, 0.1
-#: Shingles of one block in the search.
-BLOCK_SHINGLES = 1_000_000
+#: Shingles and sets of one block in the search.
+BLOCK_SHINGLES, BLOCK_SETS = 200_000, 512
+#: Leaders that a block passes on.
+LEADERS = 8
+#: Documents from which on a shingle is counted ahead in the second round, and shingles so counted, at most (16 bytes each,
+#: broadcast): beyond that many, the first limit rises.
+HOT_DOCS, HOT_SHINGLES = 2_000, 500_000
 #: Prefix rows that a task combines before sending.
 HELD = 800_000
 
@@ -217,14 +227,14 @@ def _candidate_edges(docs: DataFrame, n_buckets: int, hot: np.ndarray, df: np.nd
     return written(buckets.exchange(sent, n_buckets).mapInArrow(_meet, _EDGES), "candidates")
 
 
-_NODE = 2
+_NODE, _HOT = 2, 3
 
 
-def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share: float) -> DataFrame:
+def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share: float, hot: np.ndarray, df_hot: np.ndarray) -> DataFrame:
     """Edges as from _candidate_edges(), with the exact frequencies among these documents as the order.
 
     Rows go by shingle to be counted, by class to choose its rarest shingles, and by
-    shingle again to meet.
+    shingle again to meet, on hubs.  The rows of `hot` shingles go to their class at once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +242,11 @@ def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share
 
         def flush() -> Iterator[pa.RecordBatch]:
             token, node = (np.concatenate(x) for x in zip(*held))
+            at = np.minimum(np.searchsorted(hot, token), max(len(hot) - 1, 0))
+            known = hot[at] == token if len(hot) else np.zeros(len(token), bool)
+            if known.any():
+                yield from buckets.blocks(mix(node[known].view(np.uint64)), n_buckets, _HOT, [token[known], node[known], df_hot[at[known]]], 3)
+            token, node = token[~known], node[~known]
             yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node], 3)
 
         for batch in batches:
@@ -250,7 +265,9 @@ def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share
         give_back()
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in buckets.received(batches, [[], [np.uint64, np.int64], [np.int64, np.int64]]):
+        for got in buckets.received(batches, [[], [np.uint64, np.int64], [np.int64, np.int64], [np.uint64, np.int64, np.int64]]):
+            if _HOT in got:
+                yield from buckets.blocks(mix(got[_HOT][1].view(np.uint64)), n_buckets, _TOKEN, got[_HOT], 3)
             if _NODE in got:
                 yield from buckets.blocks(mix(got[_NODE][0].view(np.uint64)), n_buckets, _NODE, got[_NODE], 3)
             if _TOKEN in got:
@@ -272,14 +289,17 @@ def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share
             token, node, df = got[_TOKEN]
             order = np.lexsort((token, df, node))
             token, node = token[order], node[order]
+            once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))  # rows of one id may repeat
+            token, node = token[once], node[once]
             start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
             have = np.diff(np.append(start, len(node)))
             known, at = np.unique(got[_NODE][0], return_index=True)
             n = got[_NODE][1][at][np.searchsorted(known, node[start])]
             length = np.minimum(n, n - least_overlap(n, percent) + least_shared(n, share)) - (n - have)
             use = np.arange(len(node)) - np.repeat(start, have) < np.repeat(length, have)
-            token, node = token[use], node[use]
-            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node, np.zeros(len(token), np.int64)])
+            a, b, c, hub, token, node, is_hub = _combine(token[use], node[use], np.zeros(int(use.sum()), bool))
+            yield from buckets.blocks(mix(a.view(np.uint64)), n_buckets, _EDGE, [a, b, c * 2 + hub])
+            yield from buckets.blocks(token, n_buckets, _TOKEN, [token, node, is_hub.astype(np.int64)])
 
     schema = buckets.schema(3)
     counted = buckets.exchange(docs.select("text").mapInArrow(count, schema), n_buckets).mapInArrow(regroup, schema)
@@ -288,16 +308,19 @@ def _exact_edges(docs: DataFrame, n_buckets: int, size: int, percent: int, share
 
 
 class Lists:
-    """Inverted lists of a group of sets: for each shingle of two sets or more, the sets that hold it, ascending."""
+    """Inverted lists of a group of sets: for each shingle of `least` sets or more, the sets that hold it, ascending.
 
-    def __init__(self, sets: list[np.ndarray]):
+    Queries that are sets of the group need lists of two sets; others need all.
+    """
+
+    def __init__(self, sets: list[np.ndarray], least: int = 2):
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         cut = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         size = np.diff(np.append(cut, len(flat)))
-        keep = size > 1
+        keep = size >= least
         self.token, self.start, self.size, self.owner = flat[cut[keep]], cut[keep], size[keep], owner
         self.n = len(sets)
         # (list, set) as one number: ascending, so that a probe of any list is a binary search in this array
@@ -350,8 +373,11 @@ def _linked(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
-def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Root index of each set under its links, sets in ascending order of size."""
+def connect(sets: list[np.ndarray], percent: int, full: bool = True) -> tuple[np.ndarray, list[int]]:
+    """Root index of each set under its links, sets in ascending order of size, and the busiest leaders.
+
+    Not `full`: under links with leaders only.
+    """
     n = len(sets)
     root = list(range(n))
 
@@ -381,7 +407,8 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
             if len(followers) > 64:  # the oldest leaders without followers go
                 del followers[next((j for j in followers if not followers[j]), next(iter(followers)))]
     roots = np.array([find(i) for i in range(n)])
-    if len(set(roots.tolist())) > 1:
+    busy = sorted(followers, key=lambda j: (-followers[j], j))[:LEADERS]
+    if full and len(set(roots.tolist())) > 1:
         # a pair that isn't connected has a member outside the largest component
         largest = np.bincount(roots).argmax()
         lists = Lists(sets)
@@ -393,53 +420,138 @@ def connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 if linked(q, c):
                     root[find(c)] = find(q)
         roots = np.array([find(i) for i in range(n)])
-    return roots
+    return roots, busy
+
+
+def probe(queries: list[np.ndarray], sets: list[np.ndarray], of_query: list[int], of_set: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links (query, set) that connect different groups, one for each two groups that they connect."""
+    lists, root = Lists(sets, least=1), {}
+
+    def find(g: int) -> int:
+        while root.get(g, g) != g:
+            root[g] = root.get(root[g], root[g])
+            g = root[g]
+        return g
+
+    out = []
+    for i, q in enumerate(queries):
+        small = -(-len(q) * percent // 100)
+        need = -(-percent * (len(q) + small) // (100 + percent))
+        for c in lists.divide_skip(q, need, lambda c: find(of_set[c]) == find(of_query[i])):  # noqa: B023
+            if find(of_set[c]) != find(of_query[i]) and _linked(_overlap(q, sets[c]), len(q), len(sets[c]), percent):
+                root[find(of_set[c])] = find(of_query[i])
+                out.append((i, c))
+    return out
+
+
+#: Tasks: a whole component or the leaders of one; a block of a large one; queries against a block.
+_WHOLE, _BLOCK, _PROBE = "whole", "block", "probe"
+_LINK, _LEADER = 0, 1
 
 
 def links(docs: DataFrame, places: DataFrame, size: int, percent: int) -> DataFrame:
-    """Connections (a, b) between the documents of `places` (doc_id, task key) found within their tasks."""
+    """(kind, a, b): connections a-b found in the tasks of `places` (doc_id, task, grp, query), and blocks' leaders a."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                g, first = shingle_sets(*buffers(part.column(0)), size)
+                g, first = shingle_sets(*buffers(part.column(1)), size)
                 at = (first * 8).tolist()
                 raw = g.tobytes()
                 sets = pa.array([raw[i:j] for i, j in zip(at, at[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(first)), sets], ["doc_id", "tasks", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "shingles"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, rows = None, []
 
         def done() -> pa.RecordBatch:
-            order = np.argsort([len(s) for s in sets], kind="stable")
-            roots = connect([sets[i] for i in order], percent)
-            own = np.array(ids)[order]
-            k = roots != np.arange(len(own))
-            return pa.RecordBatch.from_arrays([pa.array(own[k]), pa.array(own[roots[k]])], ["a", "b"])
+            rows.sort(key=lambda r: (len(r[3]), r[0]))
+            ids, groups, queries, sets = zip(*rows)
+            own, leaders = np.array(ids), []
+            if now.startswith(_PROBE):
+                q = [i for i, x in enumerate(queries) if x]
+                t = [i for i, x in enumerate(queries) if not x]
+                found = probe([sets[i] for i in q], [sets[i] for i in t], [groups[i] for i in q], [groups[i] for i in t], percent) if t else []
+                a, b = own[[q[i] for i, _ in found]], own[[t[j] for _, j in found]]
+            else:
+                roots, leaders = connect(list(sets), percent, now.startswith(_WHOLE))
+                k = roots != np.arange(len(own))
+                a, b = own[k], own[roots[k]]
+                leaders = own[leaders] if now.startswith(_BLOCK) else []
+            kind = np.repeat(np.array([_LINK, _LEADER], np.int32), [len(a), len(leaders)])
+            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(a, leaders).astype(np.int64)), pa.array(np.append(b, leaders).astype(np.int64))], ["kind", "a", "b"])
 
         for batch in batches:
-            tasks, docs_, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for i, (t, d) in enumerate(zip(tasks, docs_)):
-                if t != now and ids:
+            raw = batch.column(4)
+            for i, (t, d, g, q) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
+                if t != now and rows:
                     yield done()
-                    ids, sets = [], []
+                    rows = []
                 now = t
-                ids.append(d)
-                sets.append(np.frombuffer(raw[i].as_buffer(), np.uint64).copy())
-        if ids:
+                rows.append((d, g, q, np.frombuffer(raw[i].as_buffer(), np.uint64).copy()))
+        if rows:
             yield done()
+        give_back()
 
-    tasks = narrow(written(places.groupBy("doc_id").agg(F.collect_set("task").alias("tasks")), "tasks"))
-    wanted = docs.join(tasks, "doc_id").select("text", "doc_id", "tasks")
-    sets = wanted.mapInArrow(to_sets, "doc_id long, tasks array<string>, n long, shingles binary")
-    dealt = sets.select(F.explode("tasks").alias("task"), "doc_id", "shingles").repartition("task").sortWithinPartitions("task", "doc_id")
-    return dealt.mapInArrow(search, "a long, b long")
+    places = written(places.select("doc_id", "task", "grp", "query"), "places")
+    wanted = docs.join(narrow(written(places.select("doc_id").distinct(), "ids")), "doc_id", "left_semi")
+    sets = written(wanted.select("doc_id", "text").mapInArrow(to_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets-left")
+    # a stated number of partitions, so that few bytes of much work aren't put together
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-places.count() // BLOCK_SETS)))
+    dealt = narrow(places).join(sets, "doc_id").select("task", "doc_id", "grp", "query", "shingles")
+    return written(dealt.repartition(n, "task").sortWithinPartitions("task").mapInArrow(search, "kind int, a long, b long"), "links")
+
+
+def _found(docs: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Connections a-b of all links between the candidates (rep, n, component)."""
+    over = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    large = written(placed.groupBy("component").agg(over.alias("blocks")).where("blocks > 1").select("component"), "large")
+    own = lambda task: (F.col("rep").alias("doc_id"), task.alias("task"), F.col("rep").alias("grp"), F.lit(False).alias("query"))
+    whole = placed.join(narrow(large), "component", "left_anti").select(*own(F.concat_ws(":", F.lit(_WHOLE), "component")))
+    # sets that link differ by a class of sizes at most: neighbouring classes are a factor of 100 / percent apart
+    rank = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int") if 0 < percent < 100 else F.col("n").cast("int")
+    sized = written(placed.join(narrow(large), "component", "left_semi").withColumn("z", rank), "large-sets")
+    if not sized.head(1):
+        return links(docs, whole, size, percent).where(F.col("kind") == _LINK).select("a", "b")
+
+    def cut(rows: DataFrame, name: str) -> DataFrame:
+        """The component's number of blocks in each class of sizes, as a map."""
+        per = rows.groupBy("component", "z").agg(over.alias("blocks"))
+        return per.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("z", "blocks"))).alias(name))
+
+    blocks = written(cut(sized, "blocks"), "blocks")
+    at = written(sized.join(narrow(blocks), "component").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")[F.col("z")]).cast("int")), "large-blocks")
+    first = links(docs, whole.union(at.select(*own(F.concat_ws(":", F.lit(_BLOCK), "component", "z", "i")))), size, percent)
+    heads = at.join(first.where(F.col("kind") == _LEADER).select(F.col("a").alias("rep")).distinct(), "rep")
+    several = heads.groupBy("component").agg(over.alias("parts"))
+    heads = heads.join(several, "component").select(*own(F.concat_ws(":", F.lit(_WHOLE), F.lit("leaders"), "component", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")))))
+    found = first.where(F.col("kind") == _LINK).select("a", "b").union(links(docs, heads, size, percent).where(F.col("kind") == _LINK).select("a", "b"))
+    found = written(found, "links-by-leaders")
+
+    groups_ = components(found)
+    grouped = written(at.join(groups_, at.rep == groups_.node, "left").withColumn("grp", F.coalesce(groups_.component, "rep")).select(at.component, "rep", "n", "z", "i", "grp"), "grouped")
+    counts = grouped.groupBy("component", "grp").agg(F.count("*").alias("k"))
+    main = written(counts.groupBy("component").agg(F.max_by("grp", F.struct("k", "grp")).alias("main"), F.count("*").alias("groups")), "main")
+    open_ = grouped.join(narrow(main.where("groups > 1")), "component")
+    rest = written(open_.where("grp != main").drop("main", "groups"), "rest")
+    rest_blocks = written(cut(rest, "rest_blocks"), "rest-blocks")
+    near = "array(z - 1, z, z + 1)"
+    numbers = "if(coalesce({m}[y], 0) > 0, sequence(0, {m}[y] - 1), cast(array() as array<int>))"
+    queries = rest.join(narrow(rest_blocks), "component").join(narrow(blocks), "component").withColumn("r", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("rest_blocks")[F.col("z")]).cast("int"))
+    asked = F.expr(f"flatten(transform({near}, y -> transform({numbers.format(m='blocks')}, j -> concat_ws(':', '{_PROBE}', component, z, r, y, j))))")
+    asked = queries.select(F.col("rep").alias("doc_id"), F.explode(asked).alias("task"), "grp", F.lit(True).alias("query"))
+    told = F.expr(f"flatten(transform({near}, y -> transform({numbers.format(m='rest_blocks')}, j -> concat_ws(':', '{_PROBE}', component, y, j, z, i))))")
+    told = open_.join(narrow(rest_blocks), "component").select(F.col("rep").alias("doc_id"), F.explode(told).alias("task"), "grp", F.lit(False).alias("query"))
+    last = links(docs, asked.unionByName(told), size, percent)
+    return found.union(last.where(F.col("kind") == _LINK).select("a", "b"))
 
 
 def _ranked(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their counts: at most RANKED."""
-    top = facts.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("df")).where(F.col("df") > FREQUENT).orderBy(F.desc("df"), "s1").limit(RANKED).toArrow()
+    return _sorted(facts.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("df")).where(F.col("df") > FREQUENT).orderBy(F.desc("df"), "s1").limit(RANKED).toArrow())
+
+
+def _sorted(top: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     hot = top.column("s1").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hot)
     return hot[order], top.column("df").to_numpy().astype(np.int64)[order]
@@ -470,13 +582,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     # few documents are left: among them the exact frequencies are affordable
     left = written(source.join(narrow(written(first.select(F.col("rep").alias("doc_id")).distinct(), "ids")), "doc_id", "left_semi"), "left")
     total = first.agg(F.sum("n")).head()[0] or 0
-    placed = _candidates(_exact_edges(left, buckets.count_for(total), shingle, percent, SHARED_AGAIN), first.select("s1", "rep", "n"), percent, SHARED_AGAIN)
-
-    blocks = placed.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    at = placed.join(blocks, "component").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "component", F.least("i", j), F.greatest("i", j)))
-    places = at.select(F.col("rep").alias("doc_id"), F.explode(pair).alias("task"))
-    linked = components(links(left, places, shingle, percent))
+    often = _facts(left, shingle).where("kind = 1").groupBy("s1").agg(F.sum("n").alias("df")).where(F.col("df") >= max(HOT_DOCS, total // HOT_SHINGLES))
+    hot = _sorted(often.orderBy(F.desc("df"), "s1").limit(HOT_SHINGLES).toArrow())
+    placed = _candidates(_exact_edges(left, buckets.count_for(total), shingle, percent, SHARED_AGAIN, *hot), first.select("s1", "rep", "n"), percent, SHARED_AGAIN)
+    linked = components(_found(left, placed.select("rep", "n", "component"), shingle, percent))
 
     by_class = classes.join(linked, classes.rep == linked.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = own.join(by_class, ["s1", "s2"], "left")
