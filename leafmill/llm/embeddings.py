@@ -3,9 +3,11 @@
 1. Equal vectors of one label form a class; only a representative goes on.
 2. Cluster centres, fitted on a bounded sample, deal all representatives into
    overlapping shards: the nearest centre's and those of every other centre that a
-   linked vector could have as its nearest, so that all linked vectors meet.  Close
-   centres are thinned as far as that makes the shards cheaper.  A shard over
-   SHARD_ROWS is split into blocks by a hash, and each pair of blocks is a task.
+   linked vector is likely to have as its nearest (see `_reach`).  Close centres are
+   thinned as far as that makes the shards cheaper.  A shard of more than SPLIT_ROWS
+   gets centres of its own, level by level, as long as that divides it; what a level
+   can't divide (a cluster that all links) is split into blocks of SHARD_ROWS by a
+   hash, and each pair of blocks is a task, so none is lost.
 3. In each task a graph is built: every vector's nearest ones, thinned by robust
    pruning.  The adjacency lists of all tasks are united per vector.
 4. On the united lists, each vector is searched in its nearest shard: a greedy beam
@@ -13,9 +15,9 @@
    everything near.  Candidates are verified by cosine in double precision.
 5. Each pair counts in exactly one task, so tasks return link counts per vector and
    connections, not pairs.
-
-`audit` measures recall against brute force for the vectors whose id is divisible by
-50.
+6. Recall is audited by brute force: up to AUDIT_QUERIES vectors whose id is divisible
+   by 50, against all rows.  While it is under MIN_RECALL, the overlap of the shards is
+   doubled and steps 2 to 5 run again, at last with the bound that no link can pass.
 
 Defined results: a vector that is null, zero, empty, or holds a null or non-finite
 component, or whose label is null, links with nothing; vectors of different lengths
@@ -25,6 +27,7 @@ repeats and each gets the class's result; an empty table stays empty.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +36,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import small_batches, written
+from leafmill.llm.common import narrow, small_batches, written
 from leafmill.llm.graph import components
 
+_log = logging.getLogger(__name__)
 THRESHOLD = 0.98
 #: Vectors that the centres are fitted on, at most; every row is indexed.
 SAMPLE_ROWS = 20_000
-SHARD_ROWS, CLUSTER_ROWS = 1500, 500
+SHARD_ROWS, CLUSTER_ROWS = 1500, 250
+#: Rows from which on a shard gets centres of its own, the rows those are fitted on, centres of one level, levels, rows of a task.
+SPLIT_ROWS, FIT_ROWS, FAN_OUT, LEVELS, DEAL_ROWS = 12_000, 2_000, 64, 4, 50_000
+#: Work of building a row's lists, as a share of searching it.
+BUILD_SHARE = 0.15
+#: Partitions that the tasks are dealt to, at most.
+MOST_TASKS = 100_000
+#: Standard deviations of a link's random direction that shards overlap by.
+SPREAD = 4.0
+#: Queries of the audit at most, and the recall below which the overlap is doubled.
+AUDIT_QUERIES, MIN_RECALL = 500, 0.95
 DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 12
 #: Similarity down to which the range expansion passes through vectors.
 SLACK = 0.03
@@ -77,20 +91,22 @@ def fit_centres(x: np.ndarray, k: int, steps: int = 6) -> np.ndarray:
     return c
 
 
-def _reach(x: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each unit vector, and whether a linked vector could have each centre as its nearest.
+def _reach(x: np.ndarray, centres: np.ndarray, threshold: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each unit vector, and whether a linked vector is likely to have each centre as its nearest.
 
     A linked vector nearer to c than to x's nearest centre b lies beyond their bisector,
-    from which x is at most the link's angle away: x (b - c) <= sin(angle) |b - c|.
+    from which x is at most the link's angle away: x (b - c) <= sin(angle) |b - c|.  A
+    link in a random direction of d dimensions moves x towards c by a normal share of
+    that with deviation 1 / sqrt(d), so `spread` deviations are enough, if that is less.
     """
     s = x @ centres.T
     first = s.argmax(axis=1)
     gap = np.sqrt(np.maximum(2 - 2 * (centres[first] @ centres.T), 0))
-    sine = np.sqrt(1 - max(threshold, 0.0) ** 2)
+    sine = np.sqrt(1 - max(threshold, 0.0) ** 2) * min(1.0, spread / np.sqrt(x.shape[1]))
     return first, s.max(axis=1, keepdims=True) - s <= sine * gap + 1e-6
 
 
-def thinned(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, threshold: float, scale: float) -> np.ndarray:
+def thinned(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, threshold: float, scale: float, spread: float = np.inf) -> np.ndarray:
     """The centres without close ones, as far apart as makes the shards of `scale` times x cheapest."""
     angle = np.arccos(np.clip(centres @ centres.T, -1, 1))
     names, code = np.unique(labels, return_inverse=True)
@@ -102,47 +118,53 @@ def thinned(x: np.ndarray, labels: np.ndarray, centres: np.ndarray, threshold: f
             left &= angle[kept[-1]] > apart
             left[kept[-1]] = False
         some = centres[kept]
-        rows = np.zeros((len(names), len(some)))
+        rows, home = np.zeros((len(names), len(some))), np.zeros((len(names), len(some)))
         for i in range(0, len(x), 2048):
-            np.add.at(rows, code[i : i + 2048], _reach(x[i : i + 2048], some, threshold)[1])
-        cost = (scale * rows * (scale * rows + SHARD_ROWS)).sum()
+            first, within = _reach(x[i : i + 2048], some, threshold, spread)
+            np.add.at(rows, code[i : i + 2048], within)
+            np.add.at(home, (code[i : i + 2048], first), 1)
+        # a row is built into the graph, and one at home searched, in as many tasks as its shard has blocks;
+        # beyond SPLIT_ROWS a shard is divided again
+        cost = ((BUILD_SHARE * rows + home) * np.ceil(np.minimum(scale * rows, SPLIT_ROWS) / SHARD_ROWS)).sum()
         if cost < least:
             best, least = some, cost
     return best
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray, threshold: float) -> list[list[int]]:
-    """Per unit vector, its nearest centre first, then all others a linked vector could have as nearest."""
-    first, within = _reach(x, centres, threshold)
+def shards_of(x: np.ndarray, centres: np.ndarray, threshold: float, spread: float = np.inf) -> list[list[int]]:
+    """Per unit vector, its nearest centre first, then all others a linked vector is likely to have as nearest."""
+    first, within = _reach(x, centres, threshold, spread)
     within[np.arange(len(x)), first] = False
     return [[f, *np.flatnonzero(w).tolist()] for f, w in zip(first.tolist(), within)]
 
 
 def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Robust-pruned neighbours of each unit vector."""
+    """Robust-pruned neighbours of each unit vector: the nearest first, without those that a kept one is much nearer to."""
     n = len(x)
+    m = min(CANDIDATES, n - 1)
+    if m < 1:
+        return [np.zeros(0, np.int64)] * n
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    m = min(CANDIDATES, n - 1)
     out = []
-    for p in range(n):
-        if m < 1:
-            out.append(np.zeros(0, np.int64))
-            continue
-        c = np.argpartition(-s[p], m - 1)[:m]
-        c = c[np.argsort(-s[p, c], kind="stable")]
-        away = np.maximum(2 - 2 * s[p, c], 0)  # squared distances
-        among = np.maximum(2 - 2 * s[np.ix_(c, c)], 0)
-        alive = np.ones(m, bool)
-        kept = []
-        while len(kept) < DEGREE:
-            k = int(alive.argmax())
-            if not alive[k]:
+    for lo in range(0, n, 256):
+        part = s[lo : lo + 256]
+        row = np.arange(len(part))
+        c = np.argpartition(-part, m - 1, axis=1)[:, :m]
+        c = np.take_along_axis(c, np.argsort(-np.take_along_axis(part, c, 1), axis=1, kind="stable"), 1)
+        away = np.maximum(2 - 2 * np.take_along_axis(part, c, 1), 0)  # squared distances
+        among = np.maximum(2 - 2 * s[c[:, :, None], c[:, None, :]], 0)
+        alive = np.ones(c.shape, bool)
+        kept = np.zeros(c.shape, bool)
+        for _ in range(DEGREE):
+            k = alive.argmax(axis=1)
+            some = alive[row, k]
+            if not some.any():
                 break
-            kept.append(c[k])
-            alive[k] = False
-            alive &= ALPHA * ALPHA * among[k] > away
-        out.append(np.array(kept))
+            kept[row[some], k[some]] = True
+            alive &= ~some[:, None] | (ALPHA * ALPHA * among[row, k] > away)
+            alive[row, k] = False
+        out += [a[b] for a, b in zip(c, kept)]
     return out
 
 
@@ -205,7 +227,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """(kind, a, b): kind 0: b links of a counted in this task; kind 1: a and b are connected."""
     for task, rows in _tasks(batches):
-        leaf, lo, hi = (int(x) for x in task.split("/")[-3:])
+        leaf, lo, hi = task.rsplit("/", 3)[1:]
         raw, x = _matrix(rows["v"])
         norm = np.sqrt((raw * raw).sum(axis=1))
         reps, leaves, block = rows["rep"], rows["leaves"], rows["block"]
@@ -244,19 +266,8 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([own[c], own[e]])), pa.array(np.concatenate([count[c], own[root[e]]]))], ["kind", "a", "b"])
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector with an id."""
-    small_batches(vectors.sparkSession)
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).where("vec_id is not null")
-    clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary")
-    keys = written(clean.drop("v"), "vector-keys")
-    same = ["label", "dim", "h1", "h2"]
-    classes = written(keys.where("dim > 0").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
-    # the id is part of the key, so that a very common vector's rows don't meet in one task
-    chosen = classes.withColumn("vec_id", F.col("rep"))
-    reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
-    reps = written(reps, "vectors")
-
+def _dealt(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> DataFrame:
+    """reps with their leaves, the shard that each is at home in first."""
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "v", "label").toArrow()
     by_dim: dict[int, list[tuple[bytes, str]]] = {}
     for d, *row in zip(*(c.to_pylist() for c in sample.columns)):
@@ -266,47 +277,143 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for d, rows in by_dim.items():
         x, labels = _matrix([v for v, _ in rows])[1], np.array([n for _, n in rows])
         fitted = fit_centres(x, max(1, min(len(x) // 8, -(-largest // CLUSTER_ROWS))))
-        centres[d] = thinned(x, labels, fitted, threshold, total / len(sample))
+        centres[d] = thinned(x, labels, fitted, threshold, total / len(sample), spread)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = b.column(2).to_numpy()
             raw = b.column(4).to_pylist()
-            leaves: list[list[int]] = [[0]] * len(raw)
+            leaves: list[list[str]] = [["0"]] * len(raw)
             for d in set(dims.tolist()) & set(centres):
                 k = np.flatnonzero(dims == d)
-                for i, ls in zip(k.tolist(), shards_of(_matrix([raw[i] for i in k])[1], centres[d], threshold)):
-                    leaves[i] = ls
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int32()))], ["rep", "label", "dim", "k", "v", "leaves"])
+                for i, ls in zip(k.tolist(), shards_of(_matrix([raw[i] for i in k])[1], centres[d], threshold, spread)):
+                    leaves[i] = [str(x) for x in ls]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.string()))], ["rep", "label", "dim", "k", "v", "leaves"])
+
+    dealt = written(reps.mapInArrow(deal, "rep long, label string, dim int, k long, v binary, leaves array<string>"), "vectors-dealt")
+    final = None  # shards that can't be divided
+    for _ in range(LEVELS):
+        dealt, final = _divided(dealt, final, threshold, spread)
+        if final is None:
+            break
+    return dealt
+
+
+_SHARD = ["label", "dim", "leaf"]
+
+
+def _divided(dealt: DataFrame, final: DataFrame | None, threshold: float, spread: float) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with each shard of over SPLIT_ROWS replaced by its own shards, and the shards that stay; no shards when nothing was left to do."""
+    sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*_SHARD).agg(F.count("*").alias("size"))
+    over = sizes.where(F.col("size") > SPLIT_ROWS)
+    over = written(over if final is None else over.join(final, _SHARD, "left_anti"), "vector-shards")
+    if not over.head(1):
+        return dealt, None
+    rows = dealt.select("rep", "label", "dim", "v", F.explode("leaves").alias("leaf")).join(narrow(over), _SHARD)
+
+    def fit(part: pa.Table) -> pa.Table:
+        x, size = _matrix(part.column("v").to_pylist())[1], part.column("size")[0].as_py()
+        fitted = fit_centres(x, max(1, min(len(x) // 8, FAN_OUT, -(-size // CLUSTER_ROWS))))
+        kept = thinned(x, np.zeros(len(x)), fitted, threshold, size / len(x), spread)
+        return pa.table({**{n: part.column(n)[:1] for n in _SHARD}, "size": pa.array([size]), "n": pa.array([len(kept)], pa.int32()), "centres": pa.array([kept.tobytes()], pa.binary())})
+
+    some = rows.where(F.pmod(F.xxhash64("rep", F.lit(13)), F.col("size")) < FIT_ROWS).select(*_SHARD, "size", "v")
+    fitted = written(some.groupBy(*_SHARD).applyInArrow(fit, "label string, dim int, leaf string, size long, n int, centres binary"), "vector-centres")
+    split = fitted.where("n > 1")
+    stay = over.join(split, _SHARD, "left_anti").select(*_SHARD)
+    final = written(stay if final is None else stay.union(final), "vector-shards-whole")
+    if not split.head(1):
+        return dealt, None
+
+    # a shard's rows go to several tasks, each of which reads the centres first
+    tasks = F.ceil(F.col("size") / DEAL_ROWS).cast("int")
+    heads = split.select(*_SHARD, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), F.lit(-1).cast("long").alias("rep"), "centres", F.lit(0).alias("kind"))
+    body = rows.join(narrow(split.select(*_SHARD)), _SHARD).select(*_SHARD, F.pmod(F.xxhash64("rep"), tasks).cast("int").alias("salt"), "rep", F.col("v").alias("centres"), F.lit(1).alias("kind"))
+    both = heads.unionByName(body).repartition(*_SHARD, "salt").sortWithinPartitions(*_SHARD, "salt", "kind")
 
-    dealt = written(reps.mapInArrow(deal, "rep long, label string, dim int, k long, v binary, leaves array<int>"), "vectors-dealt")
-    shard = ["label", "dim", "leaf"]
-    sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*shard).count().select(*shard, F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("blocks"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for b in batches:
+            kind = b.column(6).to_numpy()
+            cuts = [0, *(np.flatnonzero(kind == 0)).tolist(), len(kind)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi and kind[lo] == 0:
+                    now = np.frombuffer(b.column(5)[lo].as_buffer()).reshape(-1, b.column(1)[lo].as_py())
+                    lo += 1
+                if lo == hi:
+                    continue
+                leaf = b.column(2)[lo].as_py()
+                found = shards_of(_matrix(b.column(5)[lo:hi].to_pylist())[1], now, threshold, spread)
+                names = pa.array([[f"{leaf}.{k}" for k in ls] for ls in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(4)[lo:hi], b.column(2)[lo:hi], names], ["label", "rep", "leaf", "own"])
+
+    own = both.mapInArrow(deal, "label string, rep long, leaf string, own array<string>")
+    each = dealt.select("rep", "label", F.posexplode("leaves").alias("place", "leaf")).join(own, ["rep", "label", "leaf"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce("own", F.array("leaf")).alias("own"))))
+    leaves = each.groupBy("rep", "label").agg(F.flatten(F.transform(parts, lambda p: p["own"])).alias("leaves"))
+    return written(dealt.drop("leaves").join(leaves, ["rep", "label"]).select(*dealt.columns), "vectors-dealt"), final
+
+
+def _links(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> DataFrame:
+    """(kind, a, b): kind 0: a links with b other vectors (to be added up); kind 1: a and b are connected."""
+    dealt = _dealt(reps, threshold, sample_rows, spread)
+    sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*_SHARD).count().select(*_SHARD, F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("blocks"))
+    sizes = written(sizes, "vector-blocks")
+    # a stated number of partitions, so that few bytes of much work aren't put together
+    pairs = int(sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).head()[0] or 1)
+    n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs, MOST_TASKS))
+    sizes = narrow(sizes)
 
     def tasks(rows: DataFrame, *more: str) -> DataFrame:
-        each = rows.select("*", F.explode("leaves").alias("leaf")).join(sizes, shard)
+        each = rows.select("*", F.explode("leaves").alias("leaf")).join(sizes, _SHARD)
         each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         key = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("/", "label", "dim", "leaf", F.least("block", j), F.greatest("block", j)))
         each = each.select(F.explode(key).alias("task"), "rep", "k", "v", "leaves", "block", *more)
-        return each.repartition("task").sortWithinPartitions("task", "rep")
+        return each.repartition(n, "task").sortWithinPartitions("task", "rep")
 
     lists = tasks(dealt).mapInArrow(_build, "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = tasks(dealt.join(united, "rep"), "near").mapInArrow(lambda b: _search(b, threshold), "kind int, a long, b long")
-    found = written(found, "vector-links")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+    return written(found, "vector-links")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, min_recall: float = MIN_RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector with an id."""
+    small_batches(vectors.sparkSession)
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).where("vec_id is not null")
+    clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary")
+    keys = written(clean.drop("v"), "vector-keys")
+    same = ["label", "dim", "h1", "h2"]
+    classes = written(keys.where("dim > 0").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
+    # the id is part of the key, so that a very common vector's rows don't meet in one task
+    chosen = classes.withColumn("vec_id", F.col("rep"))
+    reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
+    reps = written(reps, "vectors")
+    widest, spread = reps.agg(F.max("dim")).head()[0] or 1, SPREAD
+    while True:
+        found = _links(reps, threshold, sample_rows, spread)
+        counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+        linked = classes.join(counts, "rep", "left").select("rep", *same, (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        linked = written(linked, "vector-counts")
+        recall = audit(vectors, keys.join(linked, same).select("vec_id", "n_links"), id_col, vector_col, label_col, threshold, AUDIT_QUERIES)
+        _log.info("recall %.4f with shards that overlap by %.1f deviations", recall, spread)
+        if recall >= min_recall or spread * spread >= widest:
+            break
+        spread *= 2
     parts = components(found.where("kind = 1").select("a", "b"))
-    result = classes.join(counts, "rep", "left").join(parts, classes.rep == parts.node, "left")
-    result = result.select(*same, (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    result = linked.join(parts, linked.rep == parts.node, "left").select(*same, "n_links", F.coalesce("component", "rep").alias("component_id"))
     out = keys.join(result, same, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> float:
-    """Share of the brute-force links of the vectors with ids divisible by 50 that `found` counts; queries go in blocks."""
+def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, max_queries: int | None = None) -> float:
+    """Share of the brute-force links of the vectors with ids divisible by 50 (max_queries of them) that `found` counts; queries go in blocks."""
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).where("vec_id is not null")
     clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary").where("dim > 0")
     queries = clean.where("vec_id % 50 = 0").select("vec_id", "label", "dim", "v")
+    if max_queries is not None:
+        queries = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_queries)
+    queries = written(queries, "audit")
     blocks = max(1, -(-queries.count() // 2000))
     truth = got = 0
     for k in range(blocks):
@@ -314,17 +421,18 @@ def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_c
 
         def scan(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = b.to_pylist()
                 out: dict[int, int] = {}
-                for key in {(r["label"], r["dim"]) for r in block}:
+                held: dict[tuple, tuple[list, list]] = {}
+                for i, *key, v in zip(*(c.to_pylist() for c in b.columns)):
+                    ids, raw = held.setdefault(tuple(key), ([], []))
+                    ids.append(i)
+                    raw.append(v)
+                for key in {(r["label"], r["dim"]) for r in block} & set(held):
                     q = [r for r in block if (r["label"], r["dim"]) == key]
-                    r = [r for r in rows if (r["label"], r["dim"]) == key]
-                    if not r:
-                        continue
-                    x, y = _matrix([i["v"] for i in q])[1], _matrix([i["v"] for i in r])[1]
-                    hit = x @ y.T >= threshold
+                    ids, y = np.array(held[key][0]), _matrix(held[key][1])[1]
+                    hit = _matrix([i["v"] for i in q])[1] @ y.T >= threshold
                     for i, one in enumerate(q):
-                        out[one["vec_id"]] = out.get(one["vec_id"], 0) + sum(1 for j in np.flatnonzero(hit[i]) if r[j]["vec_id"] != one["vec_id"])
+                        out[one["vec_id"]] = out.get(one["vec_id"], 0) + int((ids[hit[i]] != one["vec_id"]).sum())
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["vec_id", "n"])
 
         sums = clean.select("vec_id", "label", "dim", "v").mapInArrow(scan, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
