@@ -104,12 +104,34 @@ def near_texts(n, seed):
 @pytest.mark.parametrize("block", [1_000_000, 400])
 def test_jaccard_groups(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard, "HOT_DOCS", 2000 if block > 400 else 4)
     rows = near_texts(300, 3)
     rows += [(1000 + i, (t or "").upper() + " ") for i, t in rows[:60]]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r[0]: (r[1], r[2]) for r in jaccard.groups(df).collect()} == linked_groups(rows)
 
 
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """Near copies of one text and of one that shares half of it, beside sets that only share passages, in many small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 20)
+    monkeypatch.setattr(jaccard, "HOT_DOCS", 10)
+    rng = random.Random(12)
+    one = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    two = one[:60] + [f"v{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(240):
+        w = list(two if i % 3 == 0 else one)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [f"x{rng.randint(0, 9)}"], [w[k], "y"]])
+        if i % 10 == 9:
+            w = w[: rng.randint(20, 110)] + [f"u{rng.randint(0, 99)}" for _ in range(rng.randint(0, 30))]
+        rows.append((i * 7 % 241, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = linked_groups(rows)
+    assert {r[0]: (r[1], r[2]) for r in jaccard.groups(df).collect()} == want and len({c for _, c in want.values()}) > 5
+
+
 def test_jaccard_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "one two", 1), (5, "ONE  two", 1), (6, "one two three", 2), (4, "one two", 1), (7, "z " * 20_000, 3), (8, "z " * 90, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component int")
@@ -127,6 +149,8 @@ def test_divide_skip_finds_all_occurrences():
             for need in (1, 5, 12):
                 want = {j for j, t in enumerate(sets) if len(np.intersect1d(s, t)) >= need} - {i}
                 assert set(lists.divide_skip(s, need)) - {i} == want
+        q = np.array(sorted(rng.sample(range(40), 20)), np.uint64)  # a query that is none of the sets
+        assert set(jaccard.Lists(sets, least=1).divide_skip(q, 5)) == {j for j, t in enumerate(sets) if len(np.intersect1d(q, t)) >= 5}
 
 
 @pytest.mark.parametrize("last", [1_000_000, 20])
@@ -201,6 +225,22 @@ def test_vector_links_of_a_hot_cluster(spark, monkeypatch, shard):
     assert {got[i]["component_id"] for i in range(300)} == {0}
 
 
+def test_vector_links_over_levels(spark, monkeypatch):
+    """Shards are divided level by level; where they overlap too little, the audit has the overlap widened."""
+    for name, value in (("SPLIT_ROWS", 150), ("SHARD_ROWS", 300), ("CLUSTER_ROWS", 200), ("FAN_OUT", 2), ("DEAL_ROWS", 100), ("LEVELS", 2), ("SPREAD", 2.5), ("MIN_RECALL", 0.9999), ("FIT_ROWS", 100)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(150, 64))
+    every = np.concatenate([base, *(base + rng.normal(size=base.shape) * 0.1 for _ in range(2))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int").repartition(3)
+    seen, divided = [], embeddings._divided
+    monkeypatch.setattr(embeddings, "_divided", lambda *a: seen.append(1) or divided(*a))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    want = brute_links([(i, v, 1) for i, v in enumerate(every.tolist())])
+    assert all(got[i]["n_links"] <= len(want[i]) for i in want) and len(seen) > 1
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(map(len, want.values())) > 300
+
+
 def test_linked_vectors_meet_in_a_shard():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(500, 8)), 1 + rng.normal(size=(700, 8)) * 0.3])
