@@ -1,28 +1,38 @@
 """Main text of HTML pages by a site style tree.
 
 The DOMs of a host's pages are merged by element path (tag names, classes and ids,
-digits dropped).  A node's content importance is 1 minus the entropy of its content
-over the pages: a block whose text stands on c of the host's m distinct pages has
-importance 1 - log c / log m, and a path has the mean of its blocks.  Presentation
-sets what an element is for: menus, headers, footers, asides, forms, scripts, notices,
-adverts and reader comments have no importance; what lies in an article or main
-element has part of it, so that there only content below MAIN_THRESHOLD is low.
-Branches of low importance are removed from each page; where a page has an article or
-main element, what is left of that is its text (all of it, if nothing were left).
+digits dropped; inline elements aren't part of it).  Over the host's m distinct pages
+a node has
+* content importance: 1 minus the mean share of pages that hold its texts; a block
+  whose text stands on c of m pages has 1 - log c / log m, a path the mean of its blocks;
+* presentation importance: the entropy, in units of log m, of the layouts (sequences of
+  children) seen at it.
+The composite importance of a path is 0.9 of its content's and 0.05 each of its own
+presentation's and its parent's.
+
+On a page, a branch's composite is multiplied by what its elements say: by MAIN inside
+an article or main element, by LOW outside of it and in menus, headers, footers, asides,
+forms, notices, adverts and reader comments.  Branches under THRESHOLD are removed.
+Names say so only if all words of a class or id do (`cookie-notice`, not
+`menu-of-the-day`), and not of an element with most of the page's text.  No name, and
+no form, says anything about an article or main or what is around it, if the page
+has no other.  If nothing is left of an article, all of it is.
 
 Text: character references decoded, white space within a block one space, trimmed,
 blocks joined in page order by two newlines.
 
 Defined results: null or empty html, or no important block, gives an empty text; a
-host with fewer than MIN_PAGES distinct pages has no content statistics, so only
-presentation counts; a null or malformed url is a host of its own name; repeated rows
-count as one page in the statistics and get equal results; an empty table stays empty.
+host with fewer than MIN_PAGES distinct pages has no statistics, so that all its
+branches have composite importance 1; a null or malformed url is a host of its own
+name; repeated rows count as one page in the statistics and get equal results; an
+empty table stays empty.  Work and memory are linear in a page's length.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -33,7 +43,11 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import small_batches, written
 
-THRESHOLD, MAIN_THRESHOLD, MIN_PAGES = 0.3, 0.1, 4
+THRESHOLD, MIN_PAGES = 0.3, 4
+#: What elements multiply the composite importance by.
+MAIN, LOW = 3.0, 0.25
+#: Share of a page's text that an element has at most whose names alone say that it is of no use.
+MOST_TEXT = 0.8
 #: Rows of the table of unimportant branches that may be broadcast (about 100 bytes each); a larger one is joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -44,135 +58,181 @@ _RAW = frozenset("script style textarea title noscript xmp".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ENDS_SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_NO_USE = frozenset("head script style noscript template nav footer aside form iframe svg canvas object audio video button select option textarea input dialog menu".split())
+_NO_TEXT = frozenset("head script style noscript template iframe svg canvas object audio video select option textarea input".split())
+_NO_USE = frozenset("nav footer aside form button dialog menu".split())
 _NO_USE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 _NO_USE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead topbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies popup modal overlay toolbar widget pagination pager skip".split()
 )
-#: Words beside which another name rules nothing out: the tree's statistics decide.
+#: Words that take nothing from the names they stand with.
+_PARTS = frozenset("list box block item items wrapper wrap container section area left right top bottom inner outer posts articles link links button buttons bar group panel unit slot site primary secondary global main content form thread".split())
+#: Words beside which another name says nothing.
 _USE_NAMES = frozenset("content article main post entry story body text page".split())
-#: A name that begins with one of these says what else the page has, not what the element is.
-_STATES = frozenset("no not has have with without is".split())
 _MAIN = frozenset(("article", "main"))
+#: What an element says: nothing, that it is of no use by its names or as a form, that it is by its tag or role.
+_NOTHING, _BY_NAME, _BY_TAG = 0, 1, 2
 
 
 def _words(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
 
 
-def _no_use(tag: str, attrs: str, in_main: bool) -> tuple[int, str, bool]:
-    """Whether presentation rules the element out (1 by its names, 2 for good), its name in paths, and whether it is a main part."""
-    out, name, main = 0, tag, tag in _MAIN
+def _says(tag: str, attrs: str, in_main: bool) -> tuple[int, str, bool]:
+    """What the element says, its name in paths, and whether it is a main part."""
+    out, name, main = _NOTHING, tag, tag in _MAIN
     if tag in _NO_USE or (tag == "header" and not in_main):
-        return 2, tag, False
+        out = _BY_NAME if tag == "form" else _BY_TAG
     if not attrs.strip(" /"):
-        return 0, tag, main
-    names: list[list[str]] = []
+        return out, name, main
+    tokens: list[list[str]] = []
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
             name += ("." if key == "class" else "#") + "-".join(_words(value))
-            names += [w for w in map(_words, value.split()) if w and w[0] not in _STATES]
+            tokens += [w for w in map(_words, value.split()) if w]
         elif key == "role":
             role = value.strip().lower()
             main = main or role == "main"
-            out = 2 if role in _NO_USE_ROLES else out
+            out = _BY_TAG if role in _NO_USE_ROLES else out
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            out = 2
-    if not out and tag not in ("html", "body") and not any(len(w) == 1 and w[0] in _USE_NAMES for w in names):
-        out = int(any(not _NO_USE_NAMES.isdisjoint(w) or (not in_main and "header" in w) for w in names))
+            out = _BY_TAG
+    if not out and tag not in ("html", "body") and not any(len(w) == 1 and w[0] in _USE_NAMES for w in tokens):
+        known = _NO_USE_NAMES if in_main else _NO_USE_NAMES | {"header"}
+        out = _BY_NAME if any(not known.isdisjoint(w) and known.union(_PARTS).issuperset(w) for w in tokens) else _NOTHING
     return out, name, main
 
 
-def blocks(html: str) -> list[tuple[str, bool, str]]:
-    """The blocks of _blocks(); names rule no article or main out, nor what is around one, if the page has no other."""
-    found, vetoed = _blocks(html, False)
-    return _blocks(html, True)[0] if vetoed and not any(inside for _, inside, _ in found) else found
-
-
-def _blocks(html: str, loose: bool) -> tuple[list[tuple[str, bool, str]], bool]:
-    """(path, whether in an article or main element, text) of the page's blocks that presentation leaves; paths inside begin with *; and whether names alone ruled an article or main out."""
-    out: list[tuple[str, bool, str]] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, name, no use, in main
-    vetoed = False
-    text: list[str] = []
-
-    def flush() -> None:
-        if text:
-            joined = " ".join(unescape("".join(text)).split())
-            text.clear()
-            if joined:
-                top = stack[-1] if stack else None
-                inside = bool(top and top[3])
-                out.append(("*" * inside + "/".join(s[1] for s in stack if s[0] not in _INLINE), inside, joined))
-
-    def close(k: int) -> None:
-        if any(s[0] not in _INLINE for s in stack[k:]):
-            flush()
-        del stack[k:]
-
-    at, n = 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else n
-        if end > at and not (stack and stack[-1][2]):
-            text.append(html[at:end])
-        if not m:
-            break
-        at = m.end()
-        raw_tag = m[2]
-        if raw_tag is None:
-            continue
-        tag = raw_tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in _INLINE and stack[k][0] not in _INLINE:
-                    break
-            continue
-        if tag == "br":
-            if not (stack and stack[-1][2]):
-                text.append(" ")
-            continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
-        if tag in _ENDS_SAME:
-            ends, fence = _ENDS_SAME[tag]
-            found = None
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in fence:
-                    break
-                if stack[k][0] in ends.split():
-                    found = k
-            if found is not None:
-                close(found)
-        if tag not in _INLINE:
-            flush()
-        if tag in _VOID:
-            continue
-        up = stack[-1] if stack else ("", "", 0, False)
-        off, name, is_main = _no_use(tag, m[3], up[3])
-        off = max(off, up[2])
-        if is_main and off == 1:
-            vetoed = True
-            off = 0 if loose else 1
-        if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if not off and tag not in ("title",):
-                text.append(html[at : stop.start() if stop else n])
+class Page:
+    """A parsed page: its elements in order (parent, path, what they say, whether main), layouts and blocks (element, text)."""
+
+    def __init__(self, html: str):
+        self.parent, self.path, self.says, self.main = [-1], [0], [_NOTHING], [False]
+        self.layout: dict[int, int] = {}
+        self.blocks: list[tuple[int, str]] = []
+        self._parse(html)
+
+    def _parse(self, html: str) -> None:
+        stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, element, its block's element, no text, in main
+        opened: Counter[str] = Counter()
+        text: list[str] = []
+
+        def flush() -> None:
+            if text:
+                joined = " ".join(unescape("".join(text)).split())
+                text.clear()
+                if joined:
+                    self.blocks.append((stack[-1][2], joined))
+
+        def close(k: int) -> None:
+            if any(s[0] not in _INLINE for s in stack[k:]):
+                flush()
+            opened.subtract(s[0] for s in stack[k:])
+            del stack[k:]
+
+        at, n = 0, len(html)
+        while at < n:
+            m = _TOKEN.search(html, at)
+            end = m.start() if m else n
+            if end > at and not stack[-1][3]:
+                text.append(html[at:end])
+            if not m:
+                break
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
+                    if stack[k][0] == tag:
+                        close(k)
+                        break
+                    if tag in _INLINE and stack[k][0] not in _INLINE:
+                        break
+                continue
+            if tag == "br":
+                if not stack[-1][3]:
+                    text.append(" ")
+                continue
+            if tag in _ENDS_P and opened["p"] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == "p":
+                        close(k)
+                        break
+                    if stack[k][0] not in _INLINE:
+                        break
+            if tag in _ENDS_SAME:
+                ends, fence = _ENDS_SAME[tag]
+                found = None
+                for k in range(len(stack) - 1, 0, -1) if any(opened[e] > 0 for e in ends.split()) else ():
+                    if stack[k][0] in fence:
+                        break
+                    if stack[k][0] in ends.split():
+                        found = k
+                if found is not None:
+                    close(found)
+            inline = tag in _INLINE
+            if not inline:
                 flush()
-            at = stop.end() if stop else n
-            continue
-        stack.append((tag, name, off, (up[3] or is_main) and not off))
-    flush()
-    return out, vetoed
+            if tag in _VOID:
+                continue
+            _, _, block, silent, in_main = stack[-1]
+            says, name, is_main = _says(tag, m[3], in_main)
+            # what an inline element holds belongs to a block with other text, so it goes by itself
+            silent = silent or tag in _NO_TEXT or (inline and says != _NOTHING)
+            if tag in _RAW:
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                if not silent and tag != "title":
+                    text.append(html[at : stop.start() if stop else n])
+                    flush()
+                at = stop.end() if stop else n
+                continue
+            element = block
+            if not inline:
+                element = len(self.path)
+                self.parent.append(block)
+                self.path.append(_key(f"{self.path[block]}/{name}"))
+                self.says.append(says)
+                self.main.append(is_main)
+                self.layout[block] = _key(f"{self.layout.get(block, 0)} {name}")
+            stack.append((tag, element, element, silent, in_main or is_main))
+            opened[tag] += 1
+        flush()
+
+    def factors(self) -> list[float]:
+        """What each element multiplies the importance of its blocks by."""
+        n = len(self.path)
+        size = [0] * n
+        for k, t in self.blocks:
+            size[k] += len(t)
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+        says = [_NOTHING if s == _BY_NAME and size[k] > MOST_TEXT * size[0] else s for k, s in enumerate(self.says)]
+
+        def low_and_main() -> tuple[list[bool], list[bool]]:
+            low, main = [False] * n, [False] * n
+            for k in range(1, n):
+                low[k] = low[self.parent[k]] or says[k] != _NOTHING
+                main[k] = (main[self.parent[k]] or self.main[k]) and not low[k]
+            return low, main
+
+        low, main = low_and_main()
+        if not any(main) and any(self.main):
+            around: set[int] = set()
+            for k in range(1, n):
+                up = k if self.main[k] else 0
+                while up > 0 and up not in around:
+                    around.add(up)
+                    up = self.parent[up]
+            says = [_NOTHING if s == _BY_NAME and k in around else s for k, s in enumerate(says)]
+            low, main = low_and_main()
+        other = LOW if any(main) else 1.0
+        return [LOW if low[k] else MAIN if main[k] else other for k in range(n)]
+
+    def kept(self, composite: Mapping[int, float]) -> list[str]:
+        """Texts of the blocks that are important; composite: the importance of paths, where it is under THRESHOLD."""
+        factor = self.factors()
+        found = [t for k, t in self.blocks if composite.get(self.path[k], 1.0) * factor[k] >= THRESHOLD]
+        return found or [t for k, t in self.blocks if factor[k] == MAIN]
 
 
 def host_of(url: str | None) -> str:
@@ -186,61 +246,64 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def unimportant(pages: DataFrame) -> DataFrame:
-    """(host, path) branches of low importance: the merged trees' statistics, added up over all pages."""
+def tree(pages: DataFrame) -> DataFrame:
+    """(host, path, composite): the importance of the merged trees' paths that have texts, on hosts with enough pages."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["host", "page", "path", "parent", "kind", "content"]
         for batch in batches:
-            rows: dict[str, list] = {"host": [], "page": [], "path": [], "content": []}
+            rows: set[tuple] = set()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = blocks(html or "")
-                page = _key("\n".join(t for _, _, t in found))
-                host = host_of(url)
-                rows["host"] += [host] * (len(found) + 1)
-                rows["page"] += [page] * (len(found) + 1)
-                rows["path"] += ["", *(p for p, _, _ in found)]
-                rows["content"] += [page, *(_key(t) for _, _, t in found)]
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("content", pa.int64())]))
-
-    # each distinct page of a host counts once for each of its (path, content)
-    seen = pages.select("url", "html").mapInArrow(parse, "host string, page long, path string, content long").distinct()
-    c = seen.groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    per_path = written(c.groupBy("host", "path").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("e")), "site-paths")
-    m = per_path.where("path = ''").select("host", F.col("n").alias("m"))
-    importance = 1 - F.col("e") / F.col("n") / F.log("m")
-    scored = per_path.where("path != ''").join(m, "host").where(F.col("m") >= MIN_PAGES)
-    return scored.where(importance < F.when(F.col("path").startswith("*"), MAIN_THRESHOLD).otherwise(THRESHOLD)).select("host", "path")
+                page, host = Page(html or ""), host_of(url)
+                factor = page.factors()
+                # pages that differ in branches of no use only are one page
+                key = _key("\n".join(t for k, t in page.blocks if factor[k] != LOW))
+                rows.add((host, key, 0, 0, 2, key))
+                rows.update((host, key, page.path[k], page.path[page.parent[k]], 0, _key(t)) for k, t in page.blocks)
+                rows.update((host, key, page.path[k], page.path[page.parent[k]], 1, x) for k, x in page.layout.items())
+            columns = list(zip(*rows)) or [()] * len(names)
+            kinds = [pa.string(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    # each distinct page of a host counts once for each of its contents and layouts
+    seen = pages.select("url", "html").mapInArrow(parse, "host string, page long, path long, parent long, kind int, content long").distinct()
+    c = seen.groupBy("host", "path", "kind", "content").agg(F.count("*").alias("c"), F.min("parent").alias("parent"))
+    sums = lambda kind, name: (F.sum(F.when(F.col("kind") == kind, F.col("c"))).alias(f"n{name}"), F.sum(F.when(F.col("kind") == kind, F.col("c") * F.log("c"))).alias(f"e{name}"))
+    per_path = written(c.groupBy("host", "path").agg(F.min("parent").alias("parent"), *sums(0, 0), *sums(1, 1), *sums(2, 2)), "site-paths")
+    m = per_path.where("n2 is not null").select("host", F.col("n2").alias("m")).where(F.col("m") >= MIN_PAGES)
+    nodes = per_path.join(m, "host")
+    shape = F.coalesce((F.log("n1") - F.col("e1") / F.col("n1")) / F.log("m"), F.lit(0.0))
+    up = nodes.select("host", F.col("path").alias("parent"), shape.alias("up"))
+    scored = nodes.where("n0 is not null").withColumn("own", shape).join(up, ["host", "parent"], "left")
+    composite = 0.9 * (1 - F.col("e0") / F.col("n0") / F.log("m")) + 0.05 * F.col("own") + 0.05 * F.coalesce("up", F.lit(0.0))
+    return scored.select("host", "path", composite.alias("composite"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    low = written(unimportant(source), "site-tree")
+    low = written(tree(source).where(F.col("composite") < THRESHOLD), "site-tree")
 
-    def text_of(html: str | None, gone: frozenset) -> str:
-        found = blocks(html or "")
-        main = [(p, t) for p, inside, t in found if inside]
-        kept = [t for p, t in main or ((p, t) for p, _, t in found) if p not in gone]
-        return "\n\n".join(kept or [t for _, t in main])
+    def text_of(html: str | None, composite: Mapping[int, float]) -> str:
+        return "\n\n".join(Page(html or "").kept(composite))
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def rows(ids: list, urls: list, htmls: list, gones: Iterator[frozenset]) -> pa.RecordBatch:
-        texts = [text_of(h, g) for h, g in zip(htmls, gones)]
+    def rows(ids: list, urls: list, htmls: list, trees: Iterable[Mapping[int, float]]) -> pa.RecordBatch:
+        texts = [text_of(h, g) for h, g in zip(htmls, trees)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     out = "page_id long, url string, text string, n_chars long"
     if low.count() <= BROADCAST_ROWS:
-        by_host: dict[str, set] = {}
+        by_host: dict[str, dict[int, float]] = {}
         for r in low.collect():
-            by_host.setdefault(r["host"], set()).add(r["path"])
-        trees = {h: frozenset(p) for h, p in by_host.items()}
+            by_host.setdefault(r["host"], {})[r["path"]] = r["composite"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, urls, htmls = (c.to_pylist() for c in b.columns)
-                yield rows(ids, urls, htmls, [trees.get(host_of(u), frozenset()) for u in urls])
+                yield rows(ids, urls, htmls, [by_host.get(host_of(u), {}) for u in urls])
 
         return source.mapInArrow(run, out)
 
@@ -251,9 +314,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, urls, htmls, gones = (c.to_pylist() for c in b.columns)
-            yield rows(ids, urls, htmls, [frozenset(g or ()) for g in gones])
+            ids, urls, htmls, lows = (c.to_pylist() for c in b.columns)
+            yield rows(ids, urls, htmls, [{g["path"]: g["composite"] for g in x or ()} for x in lows])
 
-    hosts = low.groupBy("host").agg(F.collect_list("path").alias("gone"))
+    hosts = low.groupBy("host").agg(F.collect_list(F.struct("path", "composite")).alias("low"))
     named = source.mapInArrow(add_host, "page_id long, url string, html string, host string")
-    return named.join(hosts, "host", "left").select("page_id", "url", "html", "gone").mapInArrow(run_joined, out)
+    return named.join(hosts, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run_joined, out)

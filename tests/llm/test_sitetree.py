@@ -25,12 +25,64 @@ def test_template_is_learned_without_marks(spark):
     assert got[99]["text"].startswith("Welcome")  # one page tells nothing of its host
 
 
+def kept(html):
+    return sitetree.Page(html).kept({})
+
+
 def test_names_and_values_do_not_veto_the_article():
     opens = ['<body class="no-sidebar"><article>', '<body style="overflow-x:hidden"><article title="hidden gems">', '<div class="content with-sidebar"><article>', '<article class="post sponsored">', '<article class="sponsored">', '<div class="has-related"><main>', '<div class="layout sidebar-left"><div class="menu">M</div><article>', "<div data-hidden='x' data-class='ad'><article>"]
+    opens += ['<body class="has-sidebar"><article>', '<body class="post-template single no-comments"><article>', '<div class="page-with-sidebar"><main>', '<article class="post has-sidebar">', "<form><article>"]
     for start in opens:
-        assert [t for _, inside, t in sitetree.blocks(f"{start}<p>One.</p><div class='ad'>Buy</div><p hidden>no</p></article></main></div>") if inside] == ["One."], start
-    assert [t for *_, t in sitetree.blocks("<div class='content with-sidebar'><p>One.</p><div class=sidebar>no</div></div>")] == ["One."]
-    assert [t for *_, t in sitetree.blocks("<article>A</article><section id=comments><article class=comment>no</article></section>")] == ["A"]
+        assert kept(f"{start}<p>One.</p><div class='ad'>Buy</div><p hidden>no</p></article></main></div>") == ["One."], start
+    for name in ('class="related-work"', 'class="social-history"', 'class="menu-of-the-day"', 'id="comments-on-kant"'):
+        assert kept(f"<article><p>One.</p><section {name}>Two.</section><div class='related-posts'>no</div></article>") == ["One.", "Two."], name
+    assert kept("<div class='content with-sidebar'><p>One.</p><div class=sidebar>no</div></div>") == ["One."]
+    assert kept("<article>A</article><section id=comments><article class=comment>no</article></section>") == ["A"]
+    assert kept("<div class=menu>All the text of the page.</div><p>.</p>") == ["All the text of the page.", "."]
+
+
+def test_tree_against_brute_force(spark):
+    import math
+
+    page = lambda i: f"<body><nav><a>Home</a><a>{i % 2}</a></nav><article>{'<p>Same.</p>' if i % 3 else ''}<p>Story {i}</p>{'<ul><li>x</li></ul>' * (i % 4)}</article><div class=b{i}>Deal {i // 4}</div></body>"
+    rows = [(i % 11, f"http://h{i % 11 % 2}/{i}", page(i % 11)) for i in range(30)]
+    got = {(r["host"], r["path"]): r["composite"] for r in sitetree.tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host in ("h0", "h1"):
+        trees = {h: sitetree.Page(h) for _, u, h in rows if host in u}.values()
+        m = len(trees)
+        texts, shapes, parents = {}, {}, {}
+        for t in trees:
+            for k, x in {(t.path[k], x) for k, x in t.blocks}:
+                texts.setdefault(k, []).append(x)
+            children = {}
+            for k in range(1, len(t.path)):
+                parents[t.path[k]] = t.path[t.parent[k]]
+                children.setdefault(t.parent[k], []).append(t.path[k])
+            for k, x in {(t.path[k], tuple(x)) for k, x in children.items()}:
+                shapes.setdefault(k, []).append(x)
+        spread = lambda k: -sum(shapes[k].count(x) / len(shapes[k]) * math.log(shapes[k].count(x) / len(shapes[k])) for x in set(shapes[k])) / math.log(m) if k in shapes else 0.0  # noqa: B023, E731
+        for k, x in texts.items():
+            content = sum(1 - math.log(x.count(y)) / math.log(m) for y in x) / len(x)
+            want[host, k] = 0.9 * content + 0.05 * spread(k) + 0.05 * spread(parents[k])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_the_tree_decides(spark):
+    """Without the tree, what stands on all pages of the host comes back."""
+    page = lambda i: f"<body><div class=top>Welcome to the shop</div><article><p>Story {i}.</p><p class=more>Read us daily</p></article></body>"
+    rows = [(i, f"http://h/{i}", page(i), "") for i in range(12)]
+    assert run(spark, rows)[3]["text"] == "Story 3."
+    assert kept(page(3)) == ["Story 3.", "Read us daily"]
+
+
+def test_long_and_deep_pages_are_linear():
+    import time
+
+    for html in ("<div>" * 40_000 + "deep", "<b>" * 20_000 + "x" + "</b>" * 20_000, "<p>word " * 100_000, "<ul><li>" * 8_000 + "x", "<article>" * 5_000 + "y", "<" * 3_000_00, "<p>" + "long text " * 500_000):
+        t0 = time.time()
+        assert len(kept(html)) >= (0 if html.startswith("<<") else 1)
+        assert time.time() - t0 < 20, html[:20]
 
 
 def test_repeated_blocks_inside_an_article_go(spark):
