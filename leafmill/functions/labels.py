@@ -13,7 +13,7 @@ LANGUAGE_NAMES = {
     "fr-FR": "french", "de-DE": "german", "ru-RU": "russian", "pt-PT": "portuguese", "es-ES": "spanish", "it-IT": "italian",
 }
 CHARS_PER_SECOND = {"chinese": 4, "japanese": 5, "korean": 5, "english": 15, "french": 14, "german": 13, "russian": 12, "portuguese": 13, "spanish": 13, "italian": 13}
-SHORT_CODES = "en ko ja ar bg cs da de el es et fi fr hi hr hu id it lt lv nl pl pt ro ru sk sl sv tr uk vi".split()
+SHORT_CODES = ("en", "ko", "ja", "ar", "bg", "cs", "da", "de", "el", "es", "et", "fi", "fr", "hi", "hr", "hu", "id", "it", "lt", "lv", "nl", "pl", "pt", "ro", "ru", "sk", "sl", "sv", "tr", "uk", "vi")
 CHUNK_CHARS = {"edge": 3000, "baidu": 500, "iflytek": 500, "elevenlabs": 2500, "supertonic": 300, "kokoro": 300}
 
 def safe_filename(c: Column) -> Column:

@@ -96,13 +96,13 @@ BUILT_IN = (
 
 # The languages that each provider declares, in order.
 DECLARED = {
-    "edge": "zh-CN en-US ja-JP ko-KR fr-FR de-DE ru-RU es-ES",
-    "qwen3_mlx": "zh-CN en-US ja-JP ko-KR fr-FR de-DE ru-RU pt-PT es-ES it-IT",
-    "elevenlabs": "zh-CN en-US ja-JP ko-KR fr-FR de-DE ru-RU pt-PT es-ES it-IT",
-    "supertonic": "en-US en-GB ko-KR ja-JP ar-SA bg-BG cs-CZ da-DK de-DE el-GR es-ES et-EE fi-FI fr-FR hi-IN hr-HR hu-HU id-ID it-IT lt-LT lv-LV nl-NL pl-PL pt-PT pt-BR ro-RO ru-RU sk-SK sl-SI sv-SE tr-TR uk-UA vi-VN",
-    "kokoro": "zh-CN en-US en-GB",
-    "baidu": "zh-CN",
-    "iflytek": "zh-CN",
+    "edge": ("zh-CN", "en-US", "ja-JP", "ko-KR", "fr-FR", "de-DE", "ru-RU", "es-ES"),
+    "qwen3_mlx": ("zh-CN", "en-US", "ja-JP", "ko-KR", "fr-FR", "de-DE", "ru-RU", "pt-PT", "es-ES", "it-IT"),
+    "elevenlabs": ("zh-CN", "en-US", "ja-JP", "ko-KR", "fr-FR", "de-DE", "ru-RU", "pt-PT", "es-ES", "it-IT"),
+    "supertonic": ("en-US", "en-GB", "ko-KR", "ja-JP", "ar-SA", "bg-BG", "cs-CZ", "da-DK", "de-DE", "el-GR", "es-ES", "et-EE", "fi-FI", "fr-FR", "hi-IN", "hr-HR", "hu-HU", "id-ID", "it-IT", "lt-LT", "lv-LV", "nl-NL", "pl-PL", "pt-PT", "pt-BR", "ro-RO", "ru-RU", "sk-SK", "sl-SI", "sv-SE", "tr-TR", "uk-UA", "vi-VN"),
+    "kokoro": ("zh-CN", "en-US", "en-GB"),
+    "baidu": ("zh-CN",),
+    "iflytek": ("zh-CN",),
 }
 KOKORO_ENGLISH = ("af_maple", "af_sol", "bf_vale")
 
@@ -112,7 +112,7 @@ def built_in(spark: SparkSession) -> DataFrame:
 
 
 def declared_languages(spark: SparkSession) -> DataFrame:
-    rows = [(p, i, t) for p, tags in DECLARED.items() for i, t in enumerate(tags.split())]
+    rows = [(p, i, t) for p, tags in DECLARED.items() for i, t in enumerate(tags)]
     return spark.createDataFrame(rows, "provider string, ord int, language string")
 
 

@@ -15,7 +15,7 @@ from leafmill.plans.text_queries import clean_sql, language_sql, seconds_sql, st
 from leafmill.sources.settings import setting
 
 _VOICES = "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in v) + ")" for v in vo.BUILT_IN) + ") AS v(id, name, gender, language, provider, description))"
-_DECLARED = "(SELECT provider, ord::INTEGER AS ord, language FROM (VALUES " + ", ".join(f"('{p}', {i}, '{tag}')" for p, tags in vo.DECLARED.items() for i, tag in enumerate(tags.split())) + ") AS d(provider, ord, language))"
+_DECLARED = "(SELECT provider, ord::INTEGER AS ord, language FROM (VALUES " + ", ".join(f"('{p}', {i}, '{tag}')" for p, tags in vo.DECLARED.items() for i, tag in enumerate(tags)) + ") AS d(provider, ord, language))"
 _SAFE = "substring(translate({x}, '/\\:*?\"<>|', '---------'), 1, 200)"
 _TEXTS = f"""texts AS (SELECT c.book_id, c.idx, c.title, CASE WHEN e.book_id IS NOT NULL THEN e.text ELSE coalesce(nullif(c.text, ''), p.text) END AS text
   FROM {t.CHAPTERS.sql} c LEFT JOIN {t.EDITS.sql} e USING (book_id, idx) LEFT JOIN {t.PARSED.sql} p USING (book_id, idx))"""

@@ -21,6 +21,8 @@ from leafmill.operators.structure import txt_chapters
 FORMATS = {".epub": "epub", ".mobi": "mobi", ".azw3": "mobi", ".pdf": "pdf", ".txt": "txt"}
 CONTAINER = "META-INF/container.xml"
 NAV_DEPTH = 3
+#: Media types of spine entries that hold text.
+DOCUMENTS = ("application/xhtml+xml", "text/html")
 
 
 def format_of(path: Column) -> Column:
@@ -80,13 +82,14 @@ def _item(z: zipfile.ZipFile, name: str) -> bytes:
 
 
 def _ncx(raw: bytes) -> list[tuple[str, str]]:
-    """Top-level entries of an NCX."""
+    """Top-level entries of an NCX that have a title and a place."""
     out = []
     for nav in _find(ET.fromstring(raw), "navMap"):
         for point in (p for p in nav if _local(p.tag) == "navPoint"):
             label = next((t.text or "" for n in point if _local(n.tag) == "navLabel" for t in _find(n, "text")), "")
-            src = next((c.get("src", "") for c in point if _local(c.tag) == "content"), "")
-            out.append((label.strip(), src))
+            src = next((c.get("src", "") for c in point if _local(c.tag) == "content"), None)
+            if label.strip() and src is not None:
+                out.append((label.strip(), src))
     return out
 
 
@@ -100,8 +103,8 @@ def _nav(raw: bytes) -> list[tuple[str, str]]:
     def walk(ol: ET.Element, depth: int) -> None:
         for li in (c for c in ol if _local(c.tag) == "li"):
             a = next((c for c in li if _local(c.tag) == "a"), None)
-            if a is not None:
-                out.append(((a.text or "").strip(), a.get("href", "")))
+            if a is not None and (a.text or "").strip() and a.get("href"):
+                out.append((a.text.strip(), a.get("href")))
             if depth < NAV_DEPTH:
                 for sub in (c for c in li if _local(c.tag) == "ol"):
                     walk(sub, depth + 1)
@@ -112,23 +115,28 @@ def _nav(raw: bytes) -> list[tuple[str, str]]:
 
 
 class _Body(HTMLParser):
-    """Text nodes of the body (of all, if there is none), and the title candidates."""
+    """Text nodes of the body (of all, if there is none), and the texts of the first title, h1, h2 and h3."""
 
     def __init__(self) -> None:
         super().__init__()
         self.all: list[str] = []
         self.body: list[str] = []
         self.heads: dict[str, str] = {}
+        self.taken: set[str] = set()
         self.open: list[str] = []
         self.has_body = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.has_body = self.has_body or tag == "body"
         self.open.append(tag)
+        if tag in ("title", "h1", "h2", "h3") and tag not in self.heads:
+            self.heads[tag] = ""
+            self.taken.add(tag)
 
     def handle_endtag(self, tag: str) -> None:
         while tag in self.open and self.open.pop() != tag:
             pass
+        self.taken.discard(tag)
 
     def handle_data(self, data: str) -> None:
         text = data.strip()
@@ -136,9 +144,8 @@ class _Body(HTMLParser):
             self.all.append(text)
             if "body" in self.open:
                 self.body.append(text)
-            for h in ("title", "h1", "h2", "h3"):
-                if h in self.open:
-                    self.heads[h] = f"{self.heads.get(h, '')} {text}".strip()
+            for h in self.taken:
+                self.heads[h] += text
 
 
 def xhtml_parts(raw: bytes) -> tuple[str, str]:
@@ -157,32 +164,34 @@ def parse_epub(raw: bytes) -> dict[str, list[dict]]:
     base, root = posixpath.dirname(opf), ET.fromstring(z.read(opf))
     at = lambda href: posixpath.normpath(posixpath.join(base, unquote(href))) if href else ""
     meta = [{"key": _local(e.tag), "value": (e.text or "").strip()} for m in _find(root, "metadata") for e in m if (e.text or "").strip()]
-    items = [{"item_id": e.get("id", ""), "href": e.get("href", ""), "media_type": e.get("media-type", ""), "properties": e.get("properties", "")} for m in _find(root, "manifest") for e in m if _local(e.tag) == "item"]
+    items = [{"ord": i, "item_id": e.get("id", ""), "href": e.get("href", ""), "media_type": e.get("media-type", ""), "properties": e.get("properties", "")} for i, e in enumerate(e for m in _find(root, "manifest") for e in m if _local(e.tag) == "item")]
     by_id = {i["item_id"]: i for i in items}
     spine_node = next(_find(root, "spine"), None)
     refs = [e.get("idref", "") for e in spine_node] if spine_node is not None else []
     spine = []
-    for ref in (r for r in refs if r in by_id):
+    for ref in (r for r in refs if r in by_id and by_id[r]["media_type"] in DOCUMENTS):
         text, title = xhtml_parts(_item(z, at(by_id[ref]["href"])))
         spine.append({"ord": len(spine), "href": by_id[ref]["href"], "title": title, "text": text})
     toc: list[tuple[str, str]] = []
     ncx = by_id.get(spine_node.get("toc", "")) if spine_node is not None else None
-    for item, read in ((ncx, _ncx), (next((i for i in items if "nav" in i["properties"].split()), None), _nav)):
-        if item and not toc:
+    # the first that can be read counts, even if it has no entries
+    for item, read in [(ncx, _ncx), *((i, _nav) for i in items if "nav" in i["properties"])]:
+        if item:
             try:
                 toc = read(_item(z, at(item["href"])))
+                break
             except ET.ParseError:
-                toc = []
+                continue
     return {"meta": meta, "items": items, "spine": spine, "toc": [{"ord": i, "title": t, "href": h} for i, (t, h) in enumerate(toc)]}
 
 
-_EPUB = "struct<meta:array<struct<key:string,value:string>>,items:array<struct<item_id:string,href:string,media_type:string,properties:string>>,spine:array<struct<ord:int,href:string,title:string,text:string>>,toc:array<struct<ord:int,title:string,href:string>>>"
+_EPUB = "struct<meta:array<struct<key:string,value:string>>,items:array<struct<ord:int,item_id:string,href:string,media_type:string,properties:string>>,spine:array<struct<ord:int,href:string,title:string,text:string>>,toc:array<struct<ord:int,title:string,href:string>>>"
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
     """(book_id, path, epub struct) of all EPUB files; a broken file has a null struct and its error."""
     strings = lambda *names: pa.list_(pa.struct([(n, pa.int32() if n == "ord" else pa.string()) for n in names]))
-    kind = pa.struct([("meta", strings("key", "value")), ("items", strings("item_id", "href", "media_type", "properties")), ("spine", strings("ord", "href", "title", "text")), ("toc", strings("ord", "title", "href"))])
+    kind = pa.struct([("meta", strings("key", "value")), ("items", strings("ord", "item_id", "href", "media_type", "properties")), ("spine", strings("ord", "href", "title", "text")), ("toc", strings("ord", "title", "href"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,7 +200,7 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     books.append(parse_epub(raw or b""))
                     errors.append(None)
-                except (zipfile.BadZipFile, KeyError, StopIteration, ET.ParseError) as e:
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a book is its row's error
                     books.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(books, kind), pa.array(errors, pa.string())], ["path", "epub", "error"])
@@ -215,8 +224,8 @@ def metadata(books: DataFrame) -> DataFrame:
 
 
 def covers(items: DataFrame) -> DataFrame:
-    """Cover of each book: the first image named so, else the only image."""
+    """Cover of each book: the first image of the manifest named so, else the only image."""
     images = items.where(F.col("media_type").startswith("image/"))
     named = F.lower(F.concat_ws(" ", "item_id", "href")).contains("cover")
-    agg = images.groupBy("book_id").agg(F.min(F.when(named, F.col("href"))).alias("named"), F.count("*").alias("n"), F.min("href").alias("only"))
+    agg = images.groupBy("book_id").agg(F.min_by("href", F.when(named, F.col("ord"))).alias("named"), F.count("*").alias("n"), F.min("href").alias("only"))
     return agg.select("book_id", F.coalesce("named", F.when(F.col("n") == 1, F.col("only"))).alias("cover"))

@@ -45,6 +45,27 @@ def test_epub(spark, tmp_path):
     assert [r["title"] for r in chapters.where("book_id = 'a'").orderBy("idx").collect()] == ["First", "Nested"]
 
 
+def test_epub_readings(spark, tmp_path):
+    """First cover of the manifest, first heading, entries with title and place, empty NCX, pictures in the spine, damage."""
+    page = "<html><body><h1>Fi<i>rst</i></h1><h1>Second</h1><p>Some text.</p></body></html>"
+    opf = """<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest><item id="z" href="z-cover.png" media-type="image/png"/><item id="a" href="a-cover.png" media-type="image/png"/>
+<item id="c" href="c.xhtml" media-type="application/xhtml+xml"/><item id="n" href="n.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="x" href="t.ncx" media-type="x"/></manifest><spine{}><itemref idref="z"/><itemref idref="c"/></spine></package>"""
+    nav = '<html xmlns="http://www.w3.org/1999/xhtml"><body><nav><ol><li><a href="">No place</a></li><li><a href="c.xhtml"> </a></li><li><a href="c.xhtml">Named</a></li></ol></nav></body></html>'
+    for name, toc in (("nav", ""), ("ncx", ' toc="x"')):
+        with zipfile.ZipFile(tmp_path / f"{name}.epub", "w") as z:
+            for path, text in (("META-INF/container.xml", '<container><rootfile full-path="b.opf"/></container>'), ("b.opf", opf.format(toc)), ("c.xhtml", page), ("n.xhtml", nav), ("t.ncx", "<ncx><navMap/></ncx>")):
+                z.writestr(path, text)
+    raw = bytearray((tmp_path / "nav.epub").read_bytes())
+    at = raw.find(b"Some text.")
+    raw[at : at + 4] = b"SOME"  # the member's checksum fails
+    (tmp_path / "damaged.epub").write_bytes(bytes(raw))
+    found = books.read_epub(spark, str(tmp_path)).cache()
+    assert [r["book_id"] for r in found.where("error is not null").collect()] == ["damaged"]
+    assert {(r["book_id"], r["cover"]) for r in books.covers(books.epub_table(found, "items")).collect()} == {("nav", "z-cover.png"), ("ncx", "z-cover.png")}
+    assert {(r["href"], r["title"], r["text"]) for r in books.epub_table(found, "spine").collect()} == {("c.xhtml", "First", "Fi rst Second Some text.")}
+    assert [(r["book_id"], r["title"]) for r in books.epub_table(found, "toc").collect()] == [("nav", "Named")]
+
+
 def test_txt(spark, tmp_path):
     (tmp_path / "u.txt").write_bytes("Chapter 1\r\nHello there.\r\nChapter 2\r\nBye.".encode())
     (tmp_path / "g.txt").write_bytes("第一章 开始\n正文在此。".encode("gbk"))
