@@ -227,15 +227,15 @@ def test_vector_links_of_a_hot_cluster(spark, monkeypatch, shard):
 
 def test_vector_links_over_levels(spark, monkeypatch):
     """Shards are divided level by level; where they overlap too little, the audit has the overlap widened."""
-    for name, value in (("SPLIT_ROWS", 150), ("SHARD_ROWS", 300), ("CLUSTER_ROWS", 200), ("FAN_OUT", 2), ("DEAL_ROWS", 100), ("LEVELS", 2), ("SPREAD", 2.5), ("MIN_RECALL", 0.9999), ("FIT_ROWS", 100)):
+    for name, value in (("SPLIT_ROWS", 150), ("SHARD_ROWS", 50), ("CLUSTER_ROWS", 200), ("FAN_OUT", 2), ("DEAL_ROWS", 100), ("LEVELS", 2), ("SPREAD", 2.5), ("FIT_ROWS", 100)):
         monkeypatch.setattr(embeddings, name, value)
     rng = np.random.default_rng(6)
-    base = rng.normal(size=(150, 64))
-    every = np.concatenate([base, *(base + rng.normal(size=base.shape) * 0.1 for _ in range(2))])
+    base = rng.normal(size=(200, 64)) + 3 * np.tile(rng.normal(size=(4, 64)), (50, 1))
+    every = np.concatenate([base, *(base + rng.normal(size=base.shape) * 0.3 for _ in range(2))])
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int").repartition(3)
     seen, divided = [], embeddings._divided
     monkeypatch.setattr(embeddings, "_divided", lambda *a: seen.append(1) or divided(*a))
-    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df, min_recall=0.9999).collect()}
     want = brute_links([(i, v, 1) for i, v in enumerate(every.tolist())])
     assert all(got[i]["n_links"] <= len(want[i]) for i in want) and len(seen) > 1
     assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(map(len, want.values())) > 300
