@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import narrow, small_batches, written
 from leafmill.llm.graph import components
+from leafmill.llm.textkit import give_back
 
 _log = logging.getLogger(__name__)
 THRESHOLD = 0.98
@@ -144,6 +145,7 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
     m = min(CANDIDATES, n - 1)
     if m < 1:
         return [np.zeros(0, np.int64)] * n
+    x = x.astype(np.float32)  # the lists only steer the search; links are verified in double precision
     s = x @ x.T
     np.fill_diagonal(s, -2)
     out = []
@@ -153,7 +155,6 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
         c = np.argpartition(-part, m - 1, axis=1)[:, :m]
         c = np.take_along_axis(c, np.argsort(-np.take_along_axis(part, c, 1), axis=1, kind="stable"), 1)
         away = np.maximum(2 - 2 * np.take_along_axis(part, c, 1), 0)  # squared distances
-        among = np.maximum(2 - 2 * s[c[:, :, None], c[:, None, :]], 0)
         alive = np.ones(c.shape, bool)
         kept = np.zeros(c.shape, bool)
         for _ in range(DEGREE):
@@ -162,7 +163,8 @@ def pruned_graph(x: np.ndarray) -> list[np.ndarray]:
             if not some.any():
                 break
             kept[row[some], k[some]] = True
-            alive &= ~some[:, None] | (ALPHA * ALPHA * among[row, k] > away)
+            among = np.maximum(2 - 2 * s[c[row, k][:, None], c], 0)
+            alive &= ~some[:, None] | (ALPHA * ALPHA * among > away)
             alive[row, k] = False
         out += [a[b] for a, b in zip(c, kept)]
     return out
@@ -188,27 +190,45 @@ def range_search(q: int, x: np.ndarray, near: list[np.ndarray], entry: int, thre
         if not len(todo):
             return ids
         done[todo] = True
-        new = np.unique(np.concatenate([near[i] for i in todo.tolist()]).astype(np.int64))
+        new = np.unique(np.concatenate([near[i] for i in todo.tolist()]))
         new = new[sim[new] < -1.5]
         if len(new):
             sim[new] = x[new] @ x[q]
             seen += new.tolist()
 
 
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, list]]]:
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
     """Rows of each task; the rows arrive sorted by task."""
-    now, held = None, {}
+    now, held = None, []
     for batch in batches:
-        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        for i, t in enumerate(columns["task"]):
-            if t != now:
+        names = batch.column(batch.schema.get_field_index("task")).to_pylist()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if names[lo:hi] and names[lo] != now:
                 if held:
-                    yield now, held
-                now, held = t, {n: [] for n in columns}
-            for n in columns:
-                held[n].append(columns[n][i])
+                    yield now, pa.Table.from_batches(held).combine_chunks()
+                now, held = names[lo], []
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield now, held
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def _vectors(rows: pa.Table) -> np.ndarray:
+    """The components of a task's vectors, all of one length."""
+    v = rows.column("v").combine_chunks()
+    at = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+    return np.frombuffer(v.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.float64).reshape(len(v), -1)
+
+
+def _placed(rows: pa.Table, reps: np.ndarray) -> list[np.ndarray]:
+    """Each row's list as places among reps, which are sorted; others are left out."""
+    lists = rows.column("near").combine_chunks()
+    length = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ids = lists.flatten().to_numpy()
+    place = np.minimum(np.searchsorted(reps, ids), len(reps) - 1)
+    here = reps[place] == ids
+    ends = np.concatenate([[0], np.cumsum(here)])[np.cumsum(length)]
+    return np.split(place[here], ends[:-1])
 
 
 def _matrix(v: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,20 +239,24 @@ def _matrix(v: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _tasks(batches):
-        reps = np.array(rows["rep"])
-        near = pruned_graph(_matrix(rows["v"])[1])
-        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array([reps[k].tolist() for k in near], pa.list_(pa.int64()))], ["rep", "near"])
+        raw, reps = _vectors(rows), rows.column("rep").to_numpy()
+        near = pruned_graph(raw / np.sqrt((raw * raw).sum(axis=1))[:, None])
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in near])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(reps[np.concatenate(near)]))
+        yield pa.RecordBatch.from_arrays([pa.array(reps), lists], ["rep", "near"])
+    give_back()
 
 
 def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """(kind, a, b): kind 0: b links of a counted in this task; kind 1: a and b are connected."""
     for task, rows in _tasks(batches):
         leaf, lo, hi = task.rsplit("/", 3)[1:]
-        raw, x = _matrix(rows["v"])
+        raw = _vectors(rows)
         norm = np.sqrt((raw * raw).sum(axis=1))
-        reps, leaves, block = rows["rep"], rows["leaves"], rows["block"]
-        place = {r: i for i, r in enumerate(reps)}
-        near = [np.array([place[r] for r in ns if r in place], np.int64) for ns in rows["near"]]
+        x = raw / norm[:, None]
+        own = rows.column("rep").to_numpy()
+        reps, leaves, block = own.tolist(), rows.column("leaves").to_pylist(), rows.column("block").to_pylist()
+        near = _placed(rows, own)
         entry = int((x @ x.mean(axis=0)).argmax())
         n = len(reps)
         links = np.zeros((n, n), bool)
@@ -247,10 +271,9 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 if leaves[y][0] != leaf and reps[y] < reps[q] and leaves[y][0] in leaves[q]:
                     continue  # counted in the shard of the smaller one
                 links[q, y] = links[y, q] = True
-        weight = np.array(rows["k"])
+        weight = rows.column("k").to_numpy()
         count = links @ weight
         a, b = np.nonzero(np.triu(links))
-        own = np.array(reps)
         c = np.flatnonzero(count)
         root = np.arange(n)
         for i, j in zip(a.tolist(), b.tolist()):
@@ -264,6 +287,7 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         e = np.flatnonzero(root != np.arange(n))
         kind = np.concatenate([np.zeros(len(c), np.int32), np.ones(len(e), np.int32)])
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([own[c], own[e]])), pa.array(np.concatenate([count[c], own[root[e]]]))], ["kind", "a", "b"])
+    give_back()
 
 
 def _dealt(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> DataFrame:
