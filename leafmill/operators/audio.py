@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +30,11 @@ def is_valid(size: Column, has_stream: Column, seconds: Column) -> Column:
     return F.coalesce((size >= MIN_BYTES) & has_stream & (seconds >= MIN_SECONDS), F.lit(False))
 
 
-def tempo_chain(speed: float) -> str:
-    """Filter chain of a tempo: factors within 0.5 to 2."""
-    if not speed > 0:
-        raise ValueError("speed must be positive")
-    halves = max(0, math.ceil(math.log2(speed) - 1e-12) - 1) if speed > 2 else 0
-    doubles = max(0, math.ceil(-math.log2(speed) - 1e-12) - 1) if speed < 0.5 else 0
-    rest = speed / 2**halves * 2**doubles
-    return ",".join(f"atempo={x:.4f}" for x in [2.0] * halves + [0.5] * doubles + [rest])
+def tempo_chain(speed: Column) -> Column:
+    """Filter chain of a tempo: factors within 0.5 to 2; a speed that isn't positive raises an error."""
+    speed = F.when(speed > 0, speed.cast("double")).otherwise(F.raise_error(F.lit("speed must be positive")).cast("double"))
+    spare = lambda x: F.greatest(F.ceil(F.log2(x) - 1e-12).cast("int") - 1, F.lit(0))  # noqa: E731  factors beyond the first
+    doubled, halved = spare(speed), spare(1 / speed)
+    rest = F.format_string("%.4f", speed / F.pow(F.lit(2.0), doubled) * F.pow(F.lit(2.0), halved))
+    factors = F.concat(F.array_repeat(F.lit("2.0000"), doubled), F.array_repeat(F.lit("0.5000"), halved), F.array(rest))
+    return F.concat_ws(",", F.transform(factors, lambda x: F.concat(F.lit("atempo="), x)))

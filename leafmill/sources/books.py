@@ -52,13 +52,18 @@ def decode_text(raw: bytes) -> str | None:
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, path, text): book_id is the file's stem; undecodable files have null text."""
+    return txt_texts(binary_files(spark, path, "*.[tT][xX][tT]"))
+
+
+def txt_texts(files: DataFrame) -> DataFrame:
+    """(book_id, path, text) of (path, content) rows: book_id is the file's stem; undecodable files have null text."""
+    reachable(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_text(x or b"") for x in b.column(1).to_pylist()], pa.string())], ["path", "text"])
 
-    rows = binary_files(spark, path, "*.[tT][xX][tT]").mapInArrow(run, "path string, text string")
+    rows = files.mapInArrow(run, "path string, text string")
     return rows.select(stem(F.col("path")).alias("book_id"), "path", "text")
 
 
@@ -189,7 +194,12 @@ _EPUB = "struct<meta:array<struct<key:string,value:string>>,items:array<struct<o
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, path, epub struct) of all EPUB files; a broken file has a null struct and its error."""
+    return epub_books(binary_files(spark, path, "*.[eE][pP][uU][bB]"))
+
+
+def epub_books(files: DataFrame) -> DataFrame:
+    """(book_id, path, epub struct, error) of (path, content) rows of EPUB files; a broken file has a null struct and its error."""
+    reachable(files.sparkSession)
     strings = lambda *names: pa.list_(pa.struct([(n, pa.int32() if n == "ord" else pa.string()) for n in names]))
     kind = pa.struct([("meta", strings("key", "value")), ("items", strings("ord", "item_id", "href", "media_type", "properties")), ("spine", strings("ord", "href", "title", "text")), ("toc", strings("ord", "title", "href"))])
 
@@ -205,7 +215,7 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(books, kind), pa.array(errors, pa.string())], ["path", "epub", "error"])
 
-    rows = binary_files(spark, path, "*.[eE][pP][uU][bB]").mapInArrow(run, f"path string, epub {_EPUB}, error string")
+    rows = files.mapInArrow(run, f"path string, epub {_EPUB}, error string")
     return rows.select(stem(F.col("path")).alias("book_id"), "*")
 
 

@@ -25,15 +25,23 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return ordered(read_json(spark, path, MANIFEST, "book_id"))
+
+
+def ordered(manifests: DataFrame) -> DataFrame:
     """Manifests; completed chapters lose repeats and keep their order."""
-    return read_json(spark, path, MANIFEST, "book_id").withColumn("completed_chapters", F.array_distinct("completed_chapters"))
+    return manifests.withColumn("completed_chapters", F.array_distinct("completed_chapters"))
 
 
-def write_books(books: DataFrame, path: str) -> None:
-    """Books as JSON lines; chapters are written without their text."""
+def slim(books: DataFrame) -> DataFrame:
+    """Books as they are saved: chapters without their text."""
     keep = ("index", "title", "char_count", "estimated_duration_seconds", "edited")
-    slim = F.transform("chapters", lambda c: F.struct(*(c[k].alias(k) for k in keep)))
-    books.withColumn("chapters", slim).write.mode("overwrite").json(path)
+    return books.withColumn("chapters", F.transform("chapters", lambda c: F.struct(*(c[k].alias(k) for k in keep))))
+
+
+def write_books(books: DataFrame, path: str) -> None:
+    """Books as JSON lines."""
+    slim(books).write.mode("overwrite").json(path)
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:

@@ -83,8 +83,9 @@ def test_labels(spark):
     assert column(spark, ["x" * 300], F.length(lb.safe_filename(F.col("s")))) == [200]
 
 
-def test_tempo_chain():
-    assert audio.tempo_chain(1.0) == "atempo=1.0000"
-    assert audio.tempo_chain(2.0) == "atempo=2.0000"
-    assert audio.tempo_chain(5.0) == "atempo=2.0000,atempo=2.0000,atempo=1.2500"
-    assert audio.tempo_chain(0.2) == "atempo=0.5000,atempo=0.5000,atempo=0.8000"
+def test_tempo_chain(spark):
+    speeds = [(1.0,), (2.0,), (5.0,), (0.2,)]
+    want = ["atempo=1.0000", "atempo=2.0000", "atempo=2.0000,atempo=2.0000,atempo=1.2500", "atempo=0.5000,atempo=0.5000,atempo=0.8000"]
+    assert [r[0] for r in spark.createDataFrame(speeds, "s double").select(audio.tempo_chain(F.col("s"))).collect()] == want
+    with pytest.raises(Exception, match="positive"):
+        spark.createDataFrame([(0.0,)], "s double").select(audio.tempo_chain(F.col("s"))).collect()
