@@ -34,3 +34,20 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddi
   links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) >= 0.98::DOUBLE * x.n * y.n),
   nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
 SELECT r.id AS vec_id, (SELECT count(*) FROM links WHERE a = r.id) AS n_links, min(other) AS component_id, min(other) = r.id AS kept FROM reach r GROUP BY r.id"""
+
+_FAR = "list_sum(list_transform(list_zip(p, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_ASSIGN = "{out} AS (SELECT r, j, any_value(p) AS p, min({far} * 64 + k) AS z FROM parts JOIN {books} USING (j) GROUP BY r, j)"
+_UPDATE = """{out} AS (SELECT {books}.j, {books}.k, coalesce(m, {books}.e) AS e FROM {books} LEFT JOIN (SELECT j, k, list(floor_mean ORDER BY i) AS m FROM (
+    SELECT j, z % 64 AS k, i, (CASE WHEN sum(x) < 0 THEN -((count(*) - 1 - sum(x)) // count(*)) ELSE sum(x) // count(*) END)::BIGINT AS floor_mean FROM (SELECT j, z, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM {found}) GROUP BY ALL) GROUP BY ALL) means ON means.j = {books}.j AND means.k = {books}.k)"""
+CODES = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS r, len(v) // 16 AS w FROM kept),
+  parts AS MATERIALIZED (SELECT r, j, v[j * w + 1:(j + 1) * w] AS p FROM ranked, range(0, 16) AS t(j)),
+  book0 AS MATERIALIZED (SELECT j, r - 1 AS k, p AS e FROM parts WHERE r <= 64),
+  {_ASSIGN.format(out="found0", books="book0", far=_FAR)}, {_UPDATE.format(out="book1", books="book0", found="found0")},
+  {_ASSIGN.format(out="found1", books="book1", far=_FAR)}, {_UPDATE.format(out="book2", books="book1", found="found1")},
+  {_ASSIGN.format(out="found2", books="book2", far=_FAR)},
+  codes AS (SELECT r, string_agg(format('{{:02x}}', z % 64), '' ORDER BY j) AS code, sum(z // 64)::BIGINT AS error FROM found2 GROUP BY r),
+  flat AS (SELECT j, k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM book2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY j, k, i)) FROM flat) AS codebooks_sha256
+FROM ranked JOIN codes USING (r)"""
