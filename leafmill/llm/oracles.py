@@ -51,3 +51,17 @@ WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(25
   flat AS (SELECT j, k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM book2)
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY j, k, i)) FROM flat) AS codebooks_sha256
 FROM ranked JOIN codes USING (r)"""
+
+_SHARE = "(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY {by}) + 2 * count(*) OVER (PARTITION BY {by})))::BIGINT"
+DIVERGENCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+  words AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+  vocab AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 10), groups AS (SELECT DISTINCT lang, source FROM docs),
+  counts AS (SELECT lang, source, term, count(*) AS k FROM words SEMI JOIN vocab USING (lang, term) GROUP BY ALL),
+  dense AS (SELECT lang, source, term, coalesce(k, 0) AS n FROM groups JOIN vocab USING (lang) LEFT JOIN counts USING (lang, source, term)),
+  own AS (SELECT *, {_SHARE.format(by="lang, source")} AS p FROM dense), whole AS (SELECT lang, term, {_SHARE.format(by="lang")} AS q FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL)),
+  pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+  terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+  ranked AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM ranked QUALIFY part = 'pair' OR rank <= 10"""

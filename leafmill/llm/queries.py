@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, codes, decontaminate, embeddings, jaccard, language, oracles, secrets, sitetree, substrings, token_files, toxicity
+from leafmill.llm import bpe, codes, decontaminate, divergence, embeddings, jaccard, language, oracles, secrets, sitetree, substrings, token_files, toxicity
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_ids(spark, out))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op12_source_divergence": op12_source_divergence,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -86,5 +91,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": oracles.SUBSTRINGS,
     "op6_ngram_jaccard": oracles.JACCARD,
     "op8_embedding_graph": oracles.VECTORS,
+    "op12_source_divergence": oracles.DIVERGENCE,
     "op13_vector_codes": oracles.CODES,
 }
