@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, codes, decontaminate, divergence, embeddings, jaccard, language, oracles, secrets, sitetree, substrings, token_files, toxicity
+from leafmill.llm import bpe, codes, decontaminate, divergence, embeddings, jaccard, language, oracles, secrets, sitetree, substrings, token_files, toxicity, urls
 from leafmill.llm.common import fresh_path, held_out, table
 
 
@@ -64,6 +64,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read_ids(spark, out))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.train(urls.labelled(spark)))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_embedding_graph": op8_embedding_graph,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_url_filter": op11_url_filter,
     "op12_source_divergence": op12_source_divergence,
     "op13_vector_codes": op13_vector_codes,
 }
