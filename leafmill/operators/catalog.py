@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.labels import metadata_escape, short_duration_label
+from leafmill.functions.numbers import tenths
 from leafmill.functions.text import detect_language, edited_seconds, strip
 
 # Language sampling and listing widths.
@@ -65,7 +66,7 @@ def book_list(books: DataFrame, chapters: DataFrame, conversions: DataFrame) ->
 
 def book_detail(books: DataFrame, chapters: DataFrame) -> DataFrame:
     rows = chapters.join(books.select(F.col("id").alias("book_id"), F.col("title").alias("book")), "book_id")
-    return rows.select("book_id", "book", "idx", "title", "char_count", F.bround("seconds", 1).alias("seconds"), short_duration_label(F.col("seconds")).alias("label"), "edited")
+    return rows.select("book_id", "book", "idx", "title", "char_count", tenths("seconds").alias("seconds"), short_duration_label(F.col("seconds")).alias("label"), "edited")
 
 
 def book_totals(chapters: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.labels import chapter_file, contiguous_label, safe_filename
+from leafmill.functions.numbers import tenths
 from leafmill.functions.text import clean, is_blank
 from leafmill.operators.catalog import chapter_texts
 
@@ -40,7 +41,7 @@ def resumable(manifests: DataFrame, books: DataFrame) -> DataFrame:
     """Manifests of unfinished jobs whose book exists, with progress."""
     rows = manifests.where(F.col("state").isin(*RESUMABLE)).join(books.select(F.col("id").alias("book_id"), "title"), "book_id")
     total, done = F.size("selected"), F.size(F.array_distinct("completed"))
-    percent = F.when(total > 0, F.bround(done / total * 100, 1)).otherwise(0.0)
+    percent = F.when(total > 0, tenths(done / total * 100)).otherwise(0.0)
     return rows.select("book_id", "title", total.alias("total"), done.alias("completed"), percent.alias("progress_percent"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.numbers import tenths
 from leafmill.functions.text import collapse, strip
 
 # Heading patterns, noise patterns and thresholds of the structure rules.
@@ -21,12 +22,64 @@ BODY_MARKS = "[，。；：！？,.;:!?]"
 MIN_CHAPTER, MIN_PREAMBLE, SECTION_CHARS, PAGE_GROUP = 10, 50, 2000, 5
 TITLE_CHARS = 100
 
+#: Rows of a group that one task takes; more are cut into blocks of so many values of the order.
+GROUP_ROWS, BLOCK = 1_000_000, 1 << 16
+#: Places of a block in which points and spans meet.
+SPAN_BLOCK = 16
+#: Bytes of the longest text that a row can hold.
+MOST_BYTES = (1 << 31) - 64
 
-def ordered_text(rows: DataFrame, by: list[str], order: list[str], text: str, separator: str, out: str = "text") -> DataFrame:
-    """Concatenate a text column per group in a stated order; blank parts are skipped."""
-    parts = F.array_sort(F.collect_list(F.struct(*order, text)))
-    kept = F.filter(F.transform(parts, lambda p: p[text]), lambda t: t != "")
-    return rows.groupBy(*by).agg(F.array_join(kept, separator).alias(out))
+
+def _split_hot(rows: DataFrame, by: list[str], sized: DataFrame | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that one task takes, and those of groups of more than `most` rows.
+
+    Group sizes come from the columns `by` alone, of `sized` if its rows are cheaper to read
+    than these (a superset of them).  There is at most one hot group in `most` rows, so their
+    names are broadcast; where there are none, adaptive execution drops the second branch.
+    """
+    hot = (rows if sized is None else sized).groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*(F.col(c).alias(f"_hot_{c}") for c in by))
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in by]
+    return rows.join(F.broadcast(hot), same, "left_anti"), rows.join(F.broadcast(hot), same, "left_semi")
+
+
+def running_sum(rows: DataFrame, by: list[str], order: list[str], value: str, out: str, sized: DataFrame | None = None, most: int = GROUP_ROWS, width: int = BLOCK) -> DataFrame:
+    """Sum of `value` over a group's rows up to each row in order, for groups of any size.
+
+    The first order column is an integer.  A hot group is cut into blocks of `width` of its
+    values; each block is summed by itself and shifted by the total of the blocks before it,
+    so blocks, not rows, of a group meet in one task.
+    """
+    small, hot = _split_hot(rows, by, sized, most)
+    whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    small = small.withColumn(out, F.sum(value).over(whole))
+    hot = hot.withColumn("_block", F.floor(F.col(order[0]) / width))
+    own = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = hot.groupBy(*by, "_block").agg(F.sum(value).alias("_total"))
+    shifts = totals.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_block").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_block") == F.col("_at")]
+    hot = hot.withColumn(out, F.sum(value).over(own)).join(shifts, same).withColumn(out, F.col(out) + F.col("_shift"))
+    return small.unionByName(hot.select(*small.columns))
+
+
+def ordered_text(rows: DataFrame, by: list[str], order: list[str], text: str, separator: str, out: str = "text", width: int = BLOCK) -> DataFrame:
+    """Concatenate a text column per group in a stated order; blank parts are skipped.
+
+    The first order column is an integer.  Each block of `width` of its values is joined
+    first, then a group's blocks are, so a group of any size is dealt to many tasks and one
+    row per block reaches the last one.  A text of more than 2 GB, which no row can hold, is
+    an error that names the group.
+    """
+
+    def joined(place: list[str], part: str):
+        kept = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(*place, part))), lambda p: p[part]), lambda t: t != "")
+        return F.array_join(kept, separator)
+
+    blocks = rows.withColumn("_block", F.floor(F.col(order[0]) / width)).groupBy(*by, "_block").agg(joined(order, text).alias("_text"))
+    names = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in by))
+    too_long = F.sum(F.octet_length("_text") + len(separator.encode())) > MOST_BYTES
+    error = F.raise_error(F.concat(F.lit("a text of more than 2 GB: "), names)).cast("string")
+    return blocks.groupBy(*by).agg(F.when(too_long, error).otherwise(joined(["_block"], "_text")).alias(out))
 
 
 def reindex(rows: DataFrame, by: list[str], order: list[str], out: str = "idx") -> DataFrame:
@@ -34,22 +87,20 @@ def reindex(rows: DataFrame, by: list[str], order: list[str], out: str = "idx")
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
-def numbered(rows: DataFrame, by: list[str], order: str, out: str = "idx", ranges: int = 256) -> DataFrame:
-    """reindex() for groups of any size, by a numeric column: keys without the rest of the row are numbered.
+def numbered(rows: DataFrame, by: list[str], order: list[str], out: str = "idx", sized: DataFrame | None = None, most: int = GROUP_ROWS, width: int = BLOCK) -> DataFrame:
+    """reindex() for groups of any size; the order is a total one and begins with an integer column."""
+    return running_sum(rows.withColumn("_one", F.lit(1)), by, order, "_one", "_sum", sized, most, width).withColumn(out, (F.col("_sum") - 1).cast("int")).drop("_one", "_sum")
+
+
+def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, stop: str, width: int = SPAN_BLOCK) -> DataFrame:
+    """The points joined with the spans that hold them, start <= at < stop; spans may overlap.
 
-    The order column is cut at approximate quantiles of the whole table; each
-    (group, range) is numbered on its own and shifted by the rows of the ranges before
-    it, so that a group that holds most rows is spread over all ranges.  Rows of equal
-    (by, order) would be confused: the pair must be unique, and not null.
+    Places are ordinals.  A span goes to each block of `width` places that it touches, a
+    point to its own, and they meet by group and block: at most the spans that touch its
+    block are tried for a point, and the blocks of a large group spread over all tasks.
     """
-    cuts = sorted(set(rows.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    keys = rows.select(*by, order, at.alias("_range"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = keys.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(*by, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = keys.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(order)))
-    places = own.join(shifts, [*by, "_range"]).select(*by, order, (F.col("_own") + F.col("_shift") - 1).cast("int").alias(out))
-    return rows.join(places, [*by, order])
+    touched = spans.where(F.col(start) < F.col(stop)).withColumn("_block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(stop) - 1) / width))))
+    return points.withColumn("_block", F.floor(F.col(at) / width)).join(touched, [*by, "_block"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(stop))).drop("_block")
 
 
 def txt_chapters(books: DataFrame) -> DataFrame:
@@ -117,9 +168,7 @@ def epub_chapters(spine: DataFrame, toc: DataFrame) -> DataFrame:
     first = ranges.groupBy("book_id").agg(F.min("start").alias("first"))
     front = spine.join(first, "book_id").where((F.col("ord") < F.col("first")) & (F.length("text") >= MIN_PREAMBLE))
     front = front.select("book_id", F.col("ord").alias("start"), F.lit(-1).alias("toc_ord"), "title", "text")
-    docs = spine.select("book_id", "ord", F.col("text").alias("part"))
-    # the range join stays within a book: an equi join on book_id, the bounds as its condition
-    inside = ranges.join(docs, "book_id").where("ord >= start and ord < stop")
+    inside = within(spine.select("book_id", "ord", F.col("text").alias("part")), ranges, ["book_id"], "ord", "start", "stop")
     text = ordered_text(inside, ["book_id", "start", "toc_ord", "title"], ["ord"], "part", " ").where(F.length("text") >= MIN_CHAPTER)
     rows = reindex(front.unionByName(text), ["book_id"], ["start", "toc_ord"])
     title = F.when(F.col("toc_ord") < 0, document_title("title", "idx")).otherwise(F.col("title"))
@@ -133,15 +182,10 @@ def document_title(title: str, idx: str) -> Column:
     return F.coalesce(F.nullif(F.substring(title, 1, TITLE_CHARS), F.lit("")), F.concat(F.lit("Chapter "), (F.col(idx) + 1).cast("string")))
 
 
-def spine_chapters(spine: DataFrame, number=reindex) -> DataFrame:
-    """One chapter per spine document with 10 characters or more; number=by_ranges for books of any size."""
+def spine_chapters(spine: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """One chapter per spine document with 10 characters or more; `sized`: rows with each document's book_id, if they are cheaper to count."""
     rows = spine.where(F.length("text") >= MIN_CHAPTER)
-    return number(rows, ["book_id"], ["ord"]).select("book_id", "idx", document_title("title", "idx").alias("title"), "text")
-
-
-def by_ranges(rows: DataFrame, by: list[str], order: list[str], out: str = "idx") -> DataFrame:
-    """reindex() by way of numbered(), for one numeric order column."""
-    return numbered(rows, by, *order, out)
+    return numbered(rows, ["book_id"], ["ord"], sized=sized).select("book_id", "idx", document_title("title", "idx").alias("title"), "text")
 
 
 def html_title(html: Column) -> Column:
@@ -162,12 +206,12 @@ def page_text(text: Column) -> Column:
 
 
 def line_sessions(chars: DataFrame) -> DataFrame:
-    """Characters with the line they lie on: a step of more than 3 between places rounded to 0.1 starts one.
+    """Characters with the line they lie on: a step of more than 3 between places rounded to tenths starts one.
 
     chars: book_id, page, seq, text, size, top, x0.
     """
     page = Window.partitionBy("book_id", "page").orderBy("y", "x0", "seq")
-    rows = chars.withColumn("y", F.round("top", 1))
+    rows = chars.withColumn("y", tenths("top"))
     rows = rows.withColumn("new", F.coalesce((F.abs(F.col("y") - F.lag("y").over(page)) > 3).cast("int"), F.lit(0)))
     return rows.withColumn("line_no", F.sum("new").over(page.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -182,7 +226,7 @@ def pdf_lines(chars: DataFrame) -> DataFrame:
 def body_size(chars: DataFrame) -> DataFrame:
     """The commonest font size of each book; of equals the one met first."""
     w = Window.partitionBy("book_id").orderBy(F.desc("n"), "first")
-    sized = chars.withColumn("size", F.round("size", 1))
+    sized = chars.withColumn("size", tenths("size"))
     counts = sized.groupBy("book_id", "size").agg(F.count("*").alias("n"), F.min(F.struct("page", "seq")).alias("first"))
     return counts.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("book_id", F.col("size").alias("body_size"))
 
@@ -298,19 +342,23 @@ def chapters_by_page(headings: DataFrame, pages: DataFrame) -> DataFrame:
     size = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n"))
     several = headings.groupBy("book_id").agg(F.count("*").alias("k")).where("k >= 2").select("book_id")
     spans = headings.join(several, "book_id", "left_semi").join(size, "book_id").withColumn("stop", F.coalesce(F.lead("page").over(w), "n")).withColumnRenamed("page", "start")
-    inside = spans.join(pages.select("book_id", "page", F.col("text").alias("part")), "book_id").where("page >= start and page < stop")
+    inside = within(pages.select("book_id", "page", F.col("text").alias("part")), spans, ["book_id"], "page", "start", "stop")
     text = ordered_text(inside, ["book_id", "start", "pos", "title"], ["page"], "part", "\n").withColumn("text", collapse("text"))
     rows = reindex(text.where(F.length("text") >= MIN_CHAPTER), ["book_id"], ["start", "pos"])
     return rows.select("book_id", "idx", F.substring("title", 1, TITLE_CHARS).alias("title"), "text")
 
 
 def chapters_by_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
-    """Chapters of level-1 outline entries (pages from 1); an entry ends before the next of any level."""
+    """Chapters of level-1 outline entries (pages from 1); an entry ends before the next of any level.
+
+    Entries out of page order may hold the same pages.
+    """
     pages = without_numbers(pages)
     w = Window.partitionBy("book_id").orderBy("ord")
     size = pages.groupBy("book_id").agg((F.max("page") + 1).alias("n"))
-    spans = outline.join(size, "book_id").withColumn("stop", F.coalesce(F.lead("page").over(w) - 1, "n")).withColumnRenamed("page", "start").where("level = 1")
-    inside = spans.join(pages.select("book_id", "page", F.col("text").alias("part")), "book_id").where("page + 1 >= start and page + 1 <= stop")
+    spans = outline.join(size, "book_id").withColumn("stop", F.coalesce(F.lead("page").over(w) - 1, "n")).where("level = 1")
+    spans = spans.select("book_id", "ord", "title", (F.col("page") - 1).alias("start"), "stop")
+    inside = within(pages.select("book_id", "page", F.col("text").alias("part")), spans, ["book_id"], "page", "start", "stop")
     text = ordered_text(inside, ["book_id", "ord", "title"], ["page"], "part", "\n").withColumn("text", collapse("text"))
     rows = reindex(text.where(F.length("text") >= MIN_CHAPTER), ["book_id"], ["ord"])
     return rows.select("book_id", "idx", F.substring("title", 1, TITLE_CHARS).alias("title"), "text")

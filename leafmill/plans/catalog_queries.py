@@ -23,7 +23,7 @@ _LEFT = "list_filter(selected, lambda x: NOT list_contains(completed, x))"
 _LABELS = f"""tot AS (SELECT book_id, count(*) AS total FROM {t.CHAPTERS.sql} GROUP BY 1),
   chosen AS (SELECT c.book_id, count(*) AS n, min(c.idx) AS lo, max(c.idx) AS hi, arg_min(c.title, c.idx) AS a, arg_max(c.title, c.idx) AS b FROM {t.CHAPTERS.sql} c JOIN {{sel}} s USING (book_id, idx) GROUP BY 1),
   labels AS (SELECT b.id AS book_id, CASE WHEN n IS NULL OR n = total THEN title WHEN n = 1 THEN title || ' - ' || a WHEN hi - lo + 1 = n THEN title || ' - ' || a || '~' || b ELSE title || ' - ' || a || '等' || n || '章' END AS label FROM {t.BOOKS.sql} b JOIN tot ON tot.book_id = b.id LEFT JOIN chosen ON chosen.book_id = b.id)"""
-_RESUMABLE = f"SELECT m.book_id, title, len(selected)::INTEGER AS total, len(list_distinct(completed))::INTEGER AS completed, CASE WHEN len(selected) > 0 THEN round_even(len(list_distinct(completed)) / len(selected)::DOUBLE * 100, 1) ELSE 0.0 END::DOUBLE AS progress_percent FROM {t.MANIFESTS.sql} m JOIN {t.BOOKS.sql} b ON b.id = m.book_id WHERE state IN ('running', 'failed', 'cancelled')"
+_RESUMABLE = f"SELECT m.book_id, title, len(selected)::INTEGER AS total, len(list_distinct(completed))::INTEGER AS completed, CASE WHEN len(selected) > 0 THEN {t.tenths_sql('len(list_distinct(completed)) / len(selected)::DOUBLE * 100')} ELSE 0.0 END::DOUBLE AS progress_percent FROM {t.MANIFESTS.sql} m JOIN {t.BOOKS.sql} b ON b.id = m.book_id WHERE state IN ('running', 'failed', 'cancelled')"
 _NAMED = _SAFE.format(x="b.title || ' - ' || printf('%04d', c.idx) || ' - ' || c.title || '.mp3'")
 _LEGACY = _SAFE.format(x="b.title || ' - ' || c.title || '.mp3'")
 _TEMP = "'_tmp_' || printf('%04d', c.idx) || '.mp3'"
@@ -104,7 +104,7 @@ SELECT c.book_id, idx, title, edited, coalesce(known, languages) AS detected_lan
     ),
     "p2_book_detail": Query(
         lambda spark, d: catalog.book_detail(t.BOOKS.frame(spark), _chapters(spark)),
-        f"SELECT book_id, b.title AS book, idx, c.title, char_count, round_even(seconds, 1)::DOUBLE AS seconds, CASE WHEN seconds >= 60 THEN round_even(seconds / 60, 0)::INT || ' min' ELSE greatest(1, round_even(seconds, 0)::INT) || 's' END AS label, edited FROM {t.CHAPTERS.sql} c JOIN {t.BOOKS.sql} b ON b.id = c.book_id",
+        f"SELECT book_id, b.title AS book, idx, c.title, char_count, {t.tenths_sql('seconds')}::DOUBLE AS seconds, CASE WHEN seconds >= 60 THEN round_even(seconds / 60, 0)::INT || ' min' ELSE greatest(1, round_even(seconds, 0)::INT) || 's' END AS label, edited FROM {t.CHAPTERS.sql} c JOIN {t.BOOKS.sql} b ON b.id = c.book_id",
     ),
     "p3_voice_list": Query(lambda spark, d: vo.built_in(spark).select("id", "name", "gender", "language", "description"), f"SELECT id, name, gender, language, description FROM {_VOICES}"),
     "p4_voices_hidden": Query(lambda spark, d: vo.with_hidden_flag(vo.built_in(spark), t.HIDDEN.frame(spark)).select("provider", "id", "hidden"), f"SELECT provider, id, EXISTS (SELECT 1 FROM {t.HIDDEN.sql} h WHERE h.provider = v.provider AND h.id = v.id) AS hidden FROM {_VOICES} v"),

@@ -36,6 +36,14 @@ def _literal(v: object) -> str:
     return repr(v)
 
 
+def tenths_sql(x: str) -> str:
+    """A double to the nearest tenth by its exact value, ties to even: as an integer of 60 binary places (for up to a million)."""
+    m = f"(({x}) * 1152921504606846976)::HUGEINT"
+    half = "1152921504606846976::HUGEINT"
+    down = f"(({m} * 20 + {half}) - (({m} * 20 + {half}) % (2 * {half}) + 2 * {half}) % (2 * {half})) // (2 * {half})"
+    return f"((({down}) - CASE WHEN ({m} * 20 + {half}) % (2 * {half}) = 0 AND ({down}) % 2 <> 0 THEN 1 ELSE 0 END)::DOUBLE / 10)"
+
+
 TEXTS = Rows(
     "id int, s string",
     (1, "Plain words, nothing else."), (2, "  spaced\t\tout \n text  "), (3, ""), (4, "   "), (5, None),
@@ -112,7 +120,9 @@ _LINES = [
 ]
 LINES = Rows("book_id string, page int, line_no int, text string, max_size double", *[(b, p, i, t, s) for b, p, ls in _LINES for i, (t, s) in enumerate(ls)])
 CHARS = Rows("book_id string, page int, seq int, text string, size double, top double, x0 double", *[(b, p, i * 100 + k, c, s, 20.0 * i + (0.02 if k % 2 else 0.0), 5.0 * k) for b, p, ls in _LINES for i, (t, s) in enumerate(ls) for k, c in enumerate(t)],
-    ("q5", 0, 0, "a", 10.0, 10.06, 0.0), ("q5", 0, 1, "b", 10.0, 13.1, 0.0), ("q5", 0, 2, "c", 10.0, 16.2, 0.0), ("q5", 0, 3, "\t", 10.0, 30.0, 0.0))
+    ("q5", 0, 0, "a", 10.0, 10.06, 0.0), ("q5", 0, 1, "b", 10.0, 13.1, 0.0), ("q5", 0, 2, "c", 10.0, 16.2, 0.0), ("q5", 0, 3, "\t", 10.0, 30.0, 0.0),
+    # exact halves: 11.25 is the tie that goes to 11.2, where the other 11.2 is; 10.25 and 13.3 are more than 3 apart
+    ("q6", 0, 0, "d", 11.25, 10.25, 0.0), ("q6", 0, 1, "e", 11.2, 13.3, 0.0), ("q6", 0, 2, "f", 11.3, 40.0, 0.0), ("q6", 0, 3, "g", 11.35, 40.0, 1.0), ("q6", 0, 4, "h", 10.75, 40.0, 2.0), ("q6", 0, 5, "i", 11.25, 40.0, 3.0))
 PROBES = Rows("path string, size bigint, has_stream boolean, seconds double", ("a", 2048, True, 3.0), ("b", 100, True, 3.0), ("c", 4096, False, 3.0), ("d", 4096, True, 0.4), ("e", 1024, True, 0.5), ("f", None, None, None))
 SEGMENTS = Rows("chunk int, seg int, samples array<double>, rate int", (1, 0, [0.5, -0.5, 0.25, 0.0, 0.0, 0.0], 10), (1, 1, [0.001, -0.001, 0.002], 10), (2, 0, [0.0, 0.0], 10), (3, 0, [0.125, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], 10), (3, 1, [0.0, 0.02], 20))
 HIDDEN = Rows("provider string, id string", ("edge", "en-US-GuyNeural"), ("kokoro", "zf_003"), ("edge", "nobody"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import structure as st
 from leafmill.plans.base import Query, table
-from leafmill.plans.inline import CHARS, ITEMS, LINES, OUTLINE, PAGES, REFS, SPINE, TOC, TXT
+from leafmill.plans.inline import CHARS, ITEMS, LINES, OUTLINE, PAGES, REFS, SPINE, TOC, TXT, tenths_sql
 from leafmill.plans.text_queries import W, collapse_sql, strip_sql
 
 _HEADING = r"(?im)^(?:chapter\s+\d+|part\s+\d+|第[一二三四五六七八九十百千\d]+[章节回]|卷[一二三四五六七八九十百千\d]+)"
@@ -33,7 +33,7 @@ _BY_TOC = """ranges AS (SELECT * FROM spans WHERE book_id IN (FROM usable)), hea
   places AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY start, toc_ord) - 1)::INTEGER AS idx FROM joined),
   by_toc AS (SELECT book_id, idx, CASE WHEN toc_ord >= 0 THEN title ELSE coalesce(nullif(substring(title, 1, 100), ''), 'Chapter ' || (idx + 1)) END AS title, text FROM places)"""
 _BY_SPINE = "SELECT book_id, idx, coalesce(nullif(substring(title, 1, 100), ''), 'Chapter ' || (idx + 1)) AS title, text FROM (SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1)::INTEGER AS idx, title, text FROM spine WHERE length(text) >= 10 {where})"
-_FONT = f"SELECT book_id, round(size, 1) AS size, count(*) AS n, min(page * 100000 + seq) AS first FROM {CHARS.sql} GROUP BY ALL"
+_FONT = f"SELECT book_id, {tenths_sql('size')} AS size, count(*) AS n, min(page * 100000 + seq) AS first FROM {CHARS.sql} GROUP BY ALL"
 _BODY = f"body AS (SELECT book_id, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, first) AS k FROM ({_FONT})) WHERE k = 1)"
 _BASE = "trim(regexp_replace({x}, '\\d{{1,4}}$', ''))"
 _TOCP = "tocp AS (SELECT book_id, page FROM lines JOIN body USING (book_id) GROUP BY ALL HAVING count(*) FILTER (max_size >= body_size * 1.15 AND length(text) > 2 AND length(text) < 60) >= 4)"
@@ -68,6 +68,10 @@ _GROUPS = f"""gtext AS (SELECT book_id, page // 5 AS g, {collapse_sql("string_ag
 _PAGE_HOST = "regexp_extract(url, '://([^/]+)', 1)"
 
 
+def _page_hosts(spark, d):
+    return table(spark, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("book_id"))
+
+
 def _page_spine(spark, d):
     """Pages as the spine of a book per host."""
     return table(spark, d, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("book_id"), F.col("page_id").alias("ord"), st.html_title(F.col("html")).alias("title"), st.html_text(F.col("html")).alias("text"))
@@ -85,7 +89,7 @@ def _text_sql(x: str) -> str:
 
 def _bounds(places):
     """Where each place of a book ends: the next one, or nowhere, by the ranges that number them."""
-    at = st.numbered(places, ["book_id"], "ord")
+    at = st.numbered(places, ["book_id"], ["ord"])
     after = at.select("book_id", F.col("ord").alias("next"), (F.col("idx") - 1).alias("idx"))
     return at.join(after, ["book_id", "idx"], "left").select("book_id", "ord", "next")
 
@@ -115,7 +119,7 @@ QUERIES: dict[str, Query] = {
     "s11_page_text": Query(lambda spark, d: PAGES.frame(spark).select("book_id", "page", st.page_text(F.col("text")).alias("text")), f"SELECT book_id, page, {_NO_NUMBERS} AS text FROM {PAGES.sql}"),
     "s12_lines": Query(
         lambda spark, d: st.pdf_lines(CHARS.frame(spark)).select("book_id", "page", "text", "max_size"),
-        f"WITH c AS (SELECT *, round(top, 1) AS y FROM {CHARS.sql}), s AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) > 3 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY book_id, page ORDER BY y, x0, seq)), l AS (SELECT *, sum(new) OVER (PARTITION BY book_id, page ORDER BY y, x0, seq ROWS UNBOUNDED PRECEDING) AS line FROM s) SELECT book_id, page, regexp_replace(string_agg(text, '' ORDER BY y, x0, seq), '^\\s+|\\s+$', '', 'g') AS text, max(size) AS max_size FROM l GROUP BY book_id, page, line HAVING regexp_replace(string_agg(text, '' ORDER BY y, x0, seq), '^\\s+|\\s+$', '', 'g') <> ''",
+        f"WITH c AS (SELECT *, {tenths_sql('top')} AS y FROM {CHARS.sql}), s AS (SELECT *, CASE WHEN abs(y - lag(y) OVER w) > 3 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY book_id, page ORDER BY y, x0, seq)), l AS (SELECT *, sum(new) OVER (PARTITION BY book_id, page ORDER BY y, x0, seq ROWS UNBOUNDED PRECEDING) AS line FROM s) SELECT book_id, page, regexp_replace(string_agg(text, '' ORDER BY y, x0, seq), '^\\s+|\\s+$', '', 'g') AS text, max(size) AS max_size FROM l GROUP BY book_id, page, line HAVING regexp_replace(string_agg(text, '' ORDER BY y, x0, seq), '^\\s+|\\s+$', '', 'g') <> ''",
     ),
     "a3_body_size": Query(lambda spark, d: st.body_size(CHARS.frame(spark)), f"WITH {_BODY} SELECT * FROM body"),
     "a4_line_frequency": Query(lambda spark, d: st.line_frequency(LINES.frame(spark), st.toc_pages(LINES.frame(spark), st.body_size(CHARS.frame(spark)))), f"WITH lines AS {LINES.sql}, {_BODY}, {_TOCP}, {_FREQ} SELECT * FROM freq"),
@@ -164,17 +168,17 @@ QUERIES: dict[str, Query] = {
         lambda spark, d: st.epub_chapters(SPINE.frame(spark).join(_usable(spark), "book_id", "left_semi"), TOC.frame(spark)), f"WITH {_TOC}, {_SPANS}, {_USABLE}, {_BY_TOC} SELECT * FROM by_toc"
     ),
     "c4_spine_chapters": Query(
-        lambda spark, d: st.spine_chapters(_page_spine(spark, d), st.by_ranges),
+        lambda spark, d: st.spine_chapters(_page_spine(spark, d), _page_hosts(spark, d)),
         f"WITH spine AS (SELECT {_PAGE_HOST} AS book_id, page_id AS ord, {_title_sql('html')} AS title, {_text_sql('html')} AS text FROM pages) {_BY_SPINE.format(where='')}",
     ),
     "c5_epub_chapters": Query(lambda spark, d: st.epub_chapters(SPINE.frame(spark), TOC.frame(spark)), f"WITH {_TOC}, {_SPANS}, {_USABLE}, {_BY_TOC} SELECT * FROM by_toc UNION ALL {_BY_SPINE.format(where='AND book_id NOT IN (SELECT book_id FROM by_toc)')}"),
     "w3_reindex": Query(
-        lambda spark, d: st.numbered(table(spark, d, "documents").where(F.length("text") >= 1000).select("source", "doc_id"), ["source"], "doc_id"),
+        lambda spark, d: st.numbered(table(spark, d, "documents").where(F.length("text") >= 1000).select("source", "doc_id"), ["source"], ["doc_id"], sized=table(spark, d, "documents").select("source")),
         "SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS idx FROM documents WHERE length(text) >= 1000",
     ),
     "w8_line_sessions": Query(
         lambda spark, d: st.line_sessions(CHARS.frame(spark)).groupBy("book_id", "page").agg(F.countDistinct("line_no").alias("n")),
-        f"WITH c AS (SELECT *, round(top, 1) AS y FROM {CHARS.sql}), s AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY book_id, page ORDER BY y, x0, seq)) > 3 THEN 1 ELSE 0 END AS new FROM c) SELECT book_id, page, 1 + sum(new)::BIGINT AS n FROM s GROUP BY ALL",
+        f"WITH c AS (SELECT *, {tenths_sql('top')} AS y FROM {CHARS.sql}), s AS (SELECT *, CASE WHEN abs(y - lag(y) OVER (PARTITION BY book_id, page ORDER BY y, x0, seq)) > 3 THEN 1 ELSE 0 END AS new FROM c) SELECT book_id, page, 1 + sum(new)::BIGINT AS n FROM s GROUP BY ALL",
     ),
     "l1_toc_order": Query(
         lambda spark, d: st.reindex(st.toc_starts(TOC.frame(spark), SPINE.frame(spark)), ["book_id"], ["start", "toc_ord"], "place").select("book_id", "title", "place"), f"WITH {_TOC} SELECT book_id, title, (row_number() OVER (PARTITION BY book_id ORDER BY start, toc_ord) - 1)::INTEGER AS place FROM starts"

@@ -1,6 +1,8 @@
 """Structure and job rules beside the SQL comparison: folds, ties, fallbacks."""
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from leafmill.operators import catalog, jobs
 from leafmill.operators import structure as st
@@ -98,10 +100,78 @@ def test_text_that_is_nowhere_is_null(spark):
     assert rows(text.where("book_id = 'b6' and idx = 1"), "text") == [(None,)]
 
 
-def test_numbering_by_ranges_equals_a_window(spark):
-    df = spark.range(5000).selectExpr("id * 7 % 5003 AS k", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 50) END AS g")
-    assert rows(st.numbered(df, ["g"], "k"), "g", "k", "idx") == rows(st.reindex(df, ["g"], ["k"]), "g", "k", "idx")
-    assert st.numbered(df.limit(0), ["g"], "k").count() == 0
+def test_numbering_of_hot_groups_equals_a_window(spark):
+    df = spark.createDataFrame([(("hot" if i % 4 else f"g{i % 7}") if i % 31 else None, i * 3 % 1009, i) for i in range(900)], "g string, k long, x int")
+    want = rows(df.withColumn("idx", F.row_number().over(Window.partitionBy("g").orderBy("k", "x")) - 1).fillna("-", ["g"]), "g", "k", "x", "idx")
+    for most, width in ((10**6, 64), (50, 64), (0, 1), (50, 10**6)):
+        assert rows(st.numbered(df, ["g"], ["k", "x"], most=most, width=width).fillna("-", ["g"]), "g", "k", "x", "idx") == want
+    assert st.numbered(df.limit(0), ["g"], ["k"], most=5).count() == 0
+    several = st.numbered(df.where("x < 400"), ["g"], ["k", "x"], sized=df.select("g"), most=50, width=100)
+    assert rows(several.where("g = 'hot'"), "idx") == [(i,) for i in range(df.where("x < 400 and g = 'hot'").count())]
+
+
+def test_sums_of_hot_groups_with_ties(spark):
+    df = spark.createDataFrame([("a", i // 3, i % 3, i % 5 - 2) for i in range(300)], "g string, k int, j int, v int")
+    want = rows(df.withColumn("s", F.sum("v").over(Window.partitionBy("g").orderBy("k", "j"))), "k", "j", "s")
+    assert rows(st.running_sum(df, ["g"], ["k", "j"], "v", "s", most=10, width=8), "k", "j", "s") == want
+
+
+def test_spans_of_a_large_book_are_tried_by_block(spark):
+    """100,000 pages and 20,000 entries of one book: each page meets the few entries of its block."""
+    pages = spark.range(100_000).select(F.lit("b").alias("book_id"), F.col("id").cast("int").alias("page"))
+    starts = [i * 5 + (i * i) % 4 for i in range(20_000)]
+    spans = spark.createDataFrame([("b", i, s, t) for i, (s, t) in enumerate(zip(starts, [*starts[1:], 100_000]))], "book_id string, ord int, start int, stop int")
+    got = st.within(pages, spans, ["book_id"], "page", "start", "stop")
+    assert got.count() == 100_000 and got.where("page < start or page >= stop").count() == 0 and got.select("page").distinct().count() == 100_000
+    block = lambda c: F.floor(c / st.SPAN_BLOCK)
+    tried = spans.select(F.explode(F.sequence(block(F.col("start")), block(F.col("stop") - 1))).alias("k")).groupBy("k").agg((F.count("*") * st.SPAN_BLOCK).alias("n")).agg(F.sum("n")).head()[0]
+    assert tried < 6 * 100_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_overlapping_empty_and_outer_spans(spark):
+    points = spark.createDataFrame([(b, p) for b in ("x", "y") for p in range(-3, 60)] + [("x", None), (None, 3)], "b string, p int")
+    spans = spark.createDataFrame([("x", 0, 5, 40), ("x", 1, 10, 12), ("x", 2, 12, 12), ("x", 3, 30, 20), ("x", 4, -2, 1), ("x", 5, 50, 900), ("x", 6, 10, 12), ("z", 7, 0, 9), ("x", 8, None, 9), ("x", 9, 3, None)], "b string, i int, lo int, hi int")
+    want = sorted((r.b, r.p, s.i) for r in points.collect() for s in spans.collect() if r.b == s.b and None not in (r.p, s.lo, s.hi) and s.lo <= r.p < s.hi)
+    for width in (1, 16, 1000):
+        assert rows(st.within(points, spans, ["b"], "p", "lo", "hi", width), "b", "p", "i") == want
+
+
+def test_outline_entries_out_of_page_order_share_pages(spark):
+    pages = spark.createDataFrame([("b", i, f"text of page {i}") for i in range(6)], "book_id string, page int, text string")
+    outline = spark.createDataFrame([("b", 0, 1, "A", 2), ("b", 1, 1, "B", 6), ("b", 2, 1, "C", 1), ("b", 3, 1, "D", 4)], "book_id string, ord int, level int, title string, page int")
+    text = lambda a, b: " ".join(f"text of page {i}" for i in range(a, b))
+    # A holds pages 2-5 and C 1-3; B, whose successor comes earlier, holds none
+    assert rows(st.chapters_by_outline(outline, pages), "idx", "title", "text") == [(0, "A", text(1, 5)), (1, "C", text(0, 3)), (2, "D", text(3, 6))]
+
+
+def test_text_of_a_hot_group_is_joined_by_blocks(spark):
+    parts = [(("hot" if i % 10 else "cold"), i, i % 2, ["", f"p{i}", " ", None][i % 4]) for i in range(2000)]
+    df = spark.createDataFrame(parts, "g string, k int, j int, t string").repartition(7)
+    want = sorted((g, "|".join(t for h, _, _, t in parts if h == g and t)) for g in ("hot", "cold"))
+    for width in (1, 64, 10**6):
+        assert rows(st.ordered_text(df, ["g"], ["k", "j"], "t", "|", width=width), "g", "text") == want
+    blank = spark.createDataFrame([("a", 1, ""), ("a", 900_000, None), (None, 2, "x")], "g string, k int, t string")
+    assert sorted(map(str, (r["text"] for r in st.ordered_text(blank, ["g"], ["k"], "t", " ").collect()))) == ["", "x"]
+    # most rows of one group, dealt: the largest task of the first step reads a small part of them
+    big = spark.range(40_000).select(F.lit("g").alias("g"), F.col("id").alias("k"), F.lit("t").alias("t"))
+    share = big.groupBy("g", F.floor(F.col("k") / 512).alias("b")).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
+    assert share / 40_000 < 0.05 and len(st.ordered_text(big, ["g"], ["k"], "t", "", width=512).head()["text"]) == 40_000
+
+
+def test_text_beyond_a_row_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(st, "MOST_BYTES", 50)
+    df = spark.createDataFrame([("long one", i, "x" * 20) for i in range(4)], "g string, k int, t string")
+    with pytest.raises(Exception, match="more than 2 GB: long one"):
+        st.ordered_text(df, ["g"], ["k"], "t", " ").collect()
+    assert st.ordered_text(df.where("k < 2"), ["g"], ["k"], "t", " ").head()["text"] == "x" * 20 + " " + "x" * 20
+
+
+def test_lines_and_sizes_at_exact_halves(spark):
+    assert rows(st.body_size(t.CHARS.frame(spark).where("book_id = 'q6'")), "body_size") == [(11.2,)]
+    assert rows(st.pdf_lines(t.CHARS.frame(spark).where("book_id = 'q6'")), "line_no", "text") == [(0, "d"), (1, "e"), (2, "fghi")]
+
 
 
 def test_empty_edit_wins(spark):
@@ -111,8 +181,7 @@ def test_empty_edit_wins(spark):
 
 @pytest.mark.parametrize("n,want", [(0, "a\nb\nc"), (2, "a\nb\n... (1 more lines)"), (3, "a\nb\nc")])
 def test_head_lines(spark, n, want):
-    from pyspark.sql import functions as F
-
+    
     df = spark.createDataFrame([("a\r\nb\x0bc",)], "s string")
     assert df.select(jobs.head_lines(F.col("s"), n)).head()[0] == want
 
