@@ -109,6 +109,15 @@ TXT = Rows(
 )
 PAGES = Rows("book_id string, page int, text string", *[("p1", i, f"Text of page {i} goes here.\n{i + 1}\nmore of it") for i in range(12)], *[("p2", i, f"Body {i} of the second book") for i in range(4)], ("p3", 0, "  "), ("p3", 1, ""), *[("q4", i, f"Page {i} of a book with sub-entries only\n{i}") for i in range(3)])
 OUTLINE = Rows("book_id string, ord int, level int, title string, page int", ("p1", 0, 1, "Alpha", 1), ("p1", 1, 2, "Alpha sub", 3), ("p1", 2, 1, "Beta", 5), ("p1", 3, 1, "Gamma", 5), ("p1", 4, 1, "Delta", 9), ("q4", 0, 2, "Sub one", 1), ("q4", 1, 2, "Sub two", 2))
+OBJECTS = Rows(
+    "book_id string, obj int, title string, first int, next int, page int",
+    # nested entries, an untitled one with a child, one without a page but with a child, a reference to nothing
+    ("p1", 10, "Alpha", 11, 12, 1), ("p1", 11, "Alpha sub", None, None, 3), ("p1", 12, "", 13, 14, 4), ("p1", 13, "under nothing", None, None, 4), ("p1", 14, "No page", 15, 16, None), ("p1", 15, "Beta", None, 99, 5), ("p1", 16, "Gamma", 98, 17, 6), ("p1", 17, "Delta", None, None, 9),
+    # cycles: back to a sibling, to an ancestor, to itself; an entry of two parents
+    ("p2", 1, "One", 4, 2, 1), ("p2", 2, "Two", 2, 3, 2), ("p2", 3, "Three", 4, 1, 3), ("p2", 4, "Child", 1, 5, 1), ("p2", 5, "Second child", None, 4, 2),
+    ("p3", 7, None, None, None, 1), ("q4", 1, "Unreached", None, None, 1),
+)
+STARTS = Rows("book_id string, obj int", ("p1", 10), ("p2", 1), ("p3", 7), ("p4", 5))
 _LINES = [
     ("p1", 0, [("Contents", 18.0), ("Chapter 1 5", 14.0), ("Chapter 2 9", 14.0), ("Chapter 3 11", 14.0), ("Index", 14.0)]), ("p1", 1, [("Chapter 1", 18.0), ("The body of the page is here.", 10.0), ("Running head", 10.0)]),
     ("p1", 2, [("Running head", 10.0), ("More body text of the page.", 10.0)]), ("p1", 4, [("Chapter 2", 18.0), ("Some more body text, it is long.", 10.0)]), ("p1", 8, [("CHAPTER", 18.0), ("IV", 16.0), ("Body text once again.", 10.0)]),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill.operators import outline
 from leafmill.operators import structure as st
 from leafmill.plans.base import Query, table
-from leafmill.plans.inline import CHARS, ITEMS, LINES, OUTLINE, PAGES, REFS, SPINE, TOC, TXT, tenths_sql
+from leafmill.plans.inline import CHARS, ITEMS, LINES, OBJECTS, OUTLINE, PAGES, REFS, SPINE, STARTS, TOC, TXT, tenths_sql
 from leafmill.plans.text_queries import W, collapse_sql, strip_sql
 
 _HEADING = r"(?im)^(?:chapter\s+\d+|part\s+\d+|第[一二三四五六七八九十百千\d]+[章节回]|卷[一二三四五六七八九十百千\d]+)"
@@ -113,6 +114,19 @@ _CHOSEN = """rich AS (SELECT book_id FROM ol GROUP BY 1 HAVING count(*) >= 2),
   found AS (SELECT * FROM by_outline WHERE book_id IN (FROM rich) UNION ALL SELECT * FROM by_head WHERE book_id NOT IN (FROM rich)),
   chosen AS (SELECT * FROM found UNION ALL SELECT book_id, idx, title, text FROM by_group WHERE book_id NOT IN (SELECT book_id FROM found))"""
 
+# A walk's place is a list of steps, 0 to the first child and 1 to the next sibling: lists in order are the walk in pre-order.
+_WALK = f"""WITH RECURSIVE o AS {OBJECTS.sql}, s AS {STARTS.sql},
+  walk AS (SELECT o.book_id, o.obj, 1 AS level, []::INTEGER[] AS place, [o.obj] AS met, title, first, next, page FROM s JOIN o ON o.book_id = s.book_id AND o.obj = s.obj
+    UNION ALL SELECT w.book_id, o.obj, w.level + 1 - step, list_append(w.place, step), list_append(w.met, o.obj), o.title, o.first, o.next, o.page FROM (SELECT *, unnest(CASE WHEN title <> '' THEN [0, 1] ELSE [1] END) AS step FROM walk) w
+      JOIN o ON o.book_id = w.book_id AND o.obj = CASE step WHEN 0 THEN w.first ELSE w.next END WHERE NOT list_contains(w.met, o.obj)),
+  once AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY book_id, obj ORDER BY place) = 1),
+  outline AS (SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY place) - 1)::INTEGER AS ord, level::INTEGER AS level, title, page FROM once WHERE title <> '' AND page IS NOT NULL)"""
+
+
+def _outline(spark):
+    return outline.outline_rows(OBJECTS.frame(spark), STARTS.frame(spark))
+
+
 QUERIES: dict[str, Query] = {
     "s7_html_text": Query(lambda spark, d: table(spark, d, "pages").select("page_id", st.html_text(F.col("html")).alias("text")), f"SELECT page_id, {_text_sql('html')} AS text FROM pages"),
     "s8_title": Query(lambda spark, d: table(spark, d, "pages").select("page_id", st.html_title(F.col("html")).alias("title")), f"SELECT page_id, {_title_sql('html')} AS title FROM pages"),
@@ -141,6 +155,8 @@ QUERIES: dict[str, Query] = {
     "j4_page_ranges": Query(
         lambda spark, d: st.chapters_by_outline(OUTLINE.frame(spark), PAGES.frame(spark)).select("book_id", "idx", "title", F.length("text").alias("chars")), f"WITH {_PAGED}, {_BY_OUTLINE} SELECT book_id, idx, title, length(text)::INTEGER AS chars FROM by_outline"
     ),
+    "s13_outline": Query(lambda spark, d: _outline(spark), f"{_WALK} SELECT * FROM outline"),
+    "s13_outline_chapters": Query(lambda spark, d: st.chapters_by_outline(_outline(spark), PAGES.frame(spark)), f"{_WALK}, {_PAGED}, {_BY_OUTLINE.replace(OUTLINE.sql, '(FROM outline)')} SELECT * FROM by_outline"),
     "c9_page_groups": Query(lambda spark, d: st.page_groups(PAGES.frame(spark)), f"WITH {_PAGED}, {_GROUPS} SELECT * FROM by_group"),
     "w4_page_groups": Query(
         lambda spark, d: st.page_groups(table(spark, d, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").cast("int").alias("page"), "text")),

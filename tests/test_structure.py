@@ -189,3 +189,17 @@ def test_head_lines(spark, n, want):
 def test_built_in_voices(spark):
     counts = {r["provider"]: r["count"] for r in vo.built_in(spark).groupBy("provider").count().collect()}
     assert counts == {"qwen3_mlx": 9, "edge": 21, "baidu": 9, "iflytek": 5, "supertonic": 10, "elevenlabs": 12, "kokoro": 15}
+
+
+def test_outline_walk(spark):
+    from leafmill.operators.outline import outline_rows
+
+    got = rows(outline_rows(t.OBJECTS.frame(spark), t.STARTS.frame(spark)), "book_id", "ord", "level", "title", "page")
+    assert got == [
+        ("p1", 0, 1, "Alpha", 1), ("p1", 1, 2, "Alpha sub", 3), ("p1", 2, 2, "Beta", 5), ("p1", 3, 1, "Gamma", 6), ("p1", 4, 1, "Delta", 9),
+        ("p2", 0, 1, "One", 1), ("p2", 1, 2, "Child", 1), ("p2", 2, 2, "Second child", 2), ("p2", 3, 1, "Two", 2), ("p2", 4, 1, "Three", 3),
+    ]
+    chain = spark.range(30_000).selectExpr("'b' AS book_id", "cast(id AS int) AS obj", "concat('t', id) AS title", "if(id % 2 = 0, cast(id + 1 AS int), null) AS first", "if(id % 2 = 1, cast(id + 1 AS int), null) AS next", "1 AS page")
+    deep = outline_rows(chain, spark.createDataFrame([("b", 0)], "book_id string, obj int"))
+    assert deep.count() == 30_000 and deep.agg(F.max("level")).head()[0] == 15_001
+    assert outline_rows(chain.limit(0), spark.createDataFrame([], "book_id string, obj int")).count() == 0
