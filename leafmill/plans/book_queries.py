@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators import audio
-from leafmill.plans.base import Query
+from leafmill.plans.base import Query, table
 from leafmill.plans.inline import Rows
-from leafmill.sources import books, documents
+from leafmill.sources import books, documents, reader
+from leafmill.sources.shared import shared_path
 
 _PACKAGE = """<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{meta}</metadata>
 <manifest>{items}</manifest><spine{ncx}>{refs}</spine></package>"""
@@ -126,6 +127,18 @@ def _manifests(spark: SparkSession, d: str) -> DataFrame:
     return back.select("book_id", F.to_json("selected_chapters").alias("selected"), F.to_json("completed_chapters").alias("completed"))
 
 
+def _book_source(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as plain text files of their languages, read back as books by the data source."""
+    folder = shared_path(spark, "book-files")
+    texts = table(spark, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    texts.write.option("maxRecordsPerFile", 5000).partitionBy("lang").text(folder)
+    reader.register(spark)
+    files = spark.read.format("book").schema("path string, format string, text string, error string").load(folder)
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    return files.groupBy(lang.alias("lang"), "format").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"\n"))).alias("lines"), F.count("error").alias("errors"))
+
+
+_LF = "replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _SPARE = "greatest(ceil(log2({x}) - 1e-12)::INTEGER - 1, 0)"
 _UP, _DOWN = _SPARE.format(x="speed"), _SPARE.format(x="(1 / speed)")
 
@@ -134,6 +147,10 @@ QUERIES = {
         lambda spark, d: _PATHS.frame(spark).select("path", books.format_of(F.col("path")).alias("format")),
         f"SELECT path, CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) WHEN '.epub' THEN 'epub' WHEN '.mobi' THEN 'mobi' WHEN '.azw3' THEN 'mobi' WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'txt' END AS format FROM {_PATHS.sql}",
     ),
+    "s1_book_source": Query(
+        _book_source,
+        f"SELECT coalesce(lang, 'none') AS lang, 'txt' AS format, sum(length({_LF}) + 1)::BIGINT AS chars, sum(length({_LF}) - length(replace({_LF}, chr(10), '')) + 1)::BIGINT AS lines, 0::BIGINT AS errors FROM documents GROUP BY 1",
+    ),
     "s2_txt_read": Query(lambda spark, d: books.txt_texts(_files(spark, _TXT_FILES)).select("book_id", "text"), f"SELECT * FROM {_TXT_ROWS.sql}"),
     "s3_epub_read": Query(_read, f"SELECT * FROM {_READ.sql}"),
     "s3_epub_spine": Query(lambda spark, d: books.epub_table(_books(spark), "spine").select("book_id", "ord", "href", "title", "text"), f"SELECT * FROM {_SPINE.sql}"),

@@ -162,9 +162,19 @@ def xhtml_parts(raw: bytes) -> tuple[str, str]:
     return text, next((p.heads[h] for h in ("title", "h1", "h2", "h3") if p.heads.get(h)), "")[:100]
 
 
-def parse_epub(raw: bytes) -> dict[str, list[dict]]:
-    """meta, items, spine and toc rows of one EPUB."""
-    z = zipfile.ZipFile(io.BytesIO(raw))
+def cover_href(items: list[dict]) -> str | None:
+    """The first image of the manifest that is named so, else the only image."""
+    images = [i for i in items if i["media_type"].startswith("image/")]
+    named = [i["href"] for i in images if "cover" in f"{i['item_id']} {i['href']}".lower()]
+    return named[0] if named else images[0]["href"] if len(images) == 1 else None
+
+
+def parse_epub(raw: bytes | io.IOBase, parts: frozenset[str] = frozenset(("meta", "items", "spine", "toc"))) -> dict:
+    """meta, items, spine and toc rows of one EPUB, given as bytes or an open file; `cover`, its bytes, if asked for.
+
+    Only the members that the asked parts need are read.
+    """
+    z = zipfile.ZipFile(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
     opf = next(e.get("full-path", "") for e in _find(ET.fromstring(z.read(CONTAINER)), "rootfile"))
     base, root = posixpath.dirname(opf), ET.fromstring(z.read(opf))
     at = lambda href: posixpath.normpath(posixpath.join(base, unquote(href))) if href else ""
@@ -174,20 +184,24 @@ def parse_epub(raw: bytes) -> dict[str, list[dict]]:
     spine_node = next(_find(root, "spine"), None)
     refs = [e.get("idref", "") for e in spine_node] if spine_node is not None else []
     spine = []
-    for ref in (r for r in refs if r in by_id and by_id[r]["media_type"] in DOCUMENTS):
+    for ref in (r for r in refs if "spine" in parts and r in by_id and by_id[r]["media_type"] in DOCUMENTS):
         text, title = xhtml_parts(_item(z, at(by_id[ref]["href"])))
         spine.append({"ord": len(spine), "href": by_id[ref]["href"], "title": title, "text": text})
     toc: list[tuple[str, str]] = []
     ncx = by_id.get(spine_node.get("toc", "")) if spine_node is not None else None
     # the first that can be read counts, even if it has no entries
     for item, read in [(ncx, _ncx), *((i, _nav) for i in items if "nav" in i["properties"])]:
-        if item:
+        if item and "toc" in parts:
             try:
                 toc = read(_item(z, at(item["href"])))
                 break
             except ET.ParseError:
                 continue
-    return {"meta": meta, "items": items, "spine": spine, "toc": [{"ord": i, "title": t, "href": h} for i, (t, h) in enumerate(toc)]}
+    out = {"meta": meta, "items": items, "spine": spine, "toc": [{"ord": i, "title": t, "href": h} for i, (t, h) in enumerate(toc)]}
+    if "cover" in parts:
+        href = cover_href(items)
+        out["cover"] = _item(z, at(href)) or None if href else None
+    return out
 
 
 _EPUB = "struct<meta:array<struct<key:string,value:string>>,items:array<struct<ord:int,item_id:string,href:string,media_type:string,properties:string>>,spine:array<struct<ord:int,href:string,title:string,text:string>>,toc:array<struct<ord:int,title:string,href:string>>>"
