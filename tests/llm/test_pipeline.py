@@ -58,3 +58,24 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Names that the stages use themselves, dotted and spaced ones pass through every stage with their values and types."""
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    more = ["_key", "_token", "a.b", "with space", "id", "c0", "component_id", "spans", "item_id", "score", "lang_pred", "node", "h", "`"]
+    item, twin = say(30), say(80)
+    texts = [say(60), twin, twin, f"{say(20)} {item}", f"{say(9)} password = hunter2hunter2 {say(9)}", say(50)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, t, "en", "s", len(t), *(f"{n}{i}" for n in more)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS.split(", ")[0].split(" ")[:1] + ["text", "lang", "source", "n_chars", *more])
+    now = docs
+    for k, (_, stage) in enumerate(cp.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        now = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if k < 4:
+            assert now.dtypes == docs.dtypes
+            for r in now.collect():
+                assert list(r)[5:] == [f"{n}{r[0]}" for n in more]
+    assert {r["doc_id"] for r in now.collect()} == {0, 1, 4, 5}
