@@ -13,8 +13,9 @@
 4. On the united lists, each vector is searched in its nearest shard: a greedy beam
    from the medoid (and from the vector's own node), then a range expansion through
    everything near.  Candidates are verified by cosine in double precision.
-5. Each pair counts in exactly one task, so tasks return link counts per vector and
-   connections, not pairs.
+5. A pair that only one task can find is counted there.  Pairs that several tasks may
+   find are returned as matrices of bits over blocks of the shards, which are united
+   before they are counted, so every pair that any search found counts, and once.
 6. Recall is audited by brute force: up to AUDIT_QUERIES vectors whose id is divisible
    by 50, against all rows.  While it is under MIN_RECALL, the overlap of the shards is
    doubled and steps 2 to 5 run again, at last with the bound that no link can pass.
@@ -247,46 +248,93 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _stars(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of each connected set of a symmetric matrix, roots aside: what connects it."""
+    a, b = np.nonzero(np.triu(links))
+    root = np.arange(len(links))
+    for i, j in zip(a.tolist(), b.tolist()):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    e = np.flatnonzero(root != np.arange(len(links)))
+    return e, root[e]
+
+
+#: Rows of the search: counts and connections, or a matrix of pairs that other tasks may find too.
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("task", pa.string()), ("rows", pa.list_(pa.int64())), ("columns", pa.list_(pa.int64())), ("row_k", pa.list_(pa.int64())), ("column_k", pa.list_(pa.int64())), ("bits", pa.binary())])
+_FOUND_DDL = "kind int, a long, b long, task string, rows array<long>, columns array<long>, row_k array<long>, column_k array<long>, bits binary"
+
+
+def _counted(own: np.ndarray, count: np.ndarray, members: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    c = np.flatnonzero(count)
+    n = len(c) + len(members)
+    kind = np.concatenate([np.zeros(len(c), np.int32), np.ones(len(members), np.int32)])
+    first = [pa.array(kind), pa.array(np.concatenate([own[c], own[members]])), pa.array(np.concatenate([count[c], own[roots]]))]
+    return pa.RecordBatch.from_arrays([*first, *(pa.nulls(n, f.type) for f in list(_FOUND)[3:])], schema=_FOUND)
+
+
 def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(kind, a, b): kind 0: b links of a counted in this task; kind 1: a and b are connected."""
+    """(kind, a, b): kind 0: b links of a counted in this task; kind 1: a and b are connected; kind 2: pairs to be united.
+
+    A vector is searched in all tasks of its nearest shard.  A pair that no other task can
+    find is counted here.  One that another task may find as well (the other's nearest shard
+    holds both, or several tasks hold both's block) goes to a matrix of bits over the two
+    blocks that they are from; matrices of the same blocks are united before they are counted.
+    """
     for task, rows in _tasks(batches):
-        leaf, lo, hi = task.rsplit("/", 3)[1:]
+        label, leaf, _, _ = task.rsplit("/", 3)
         raw = _vectors(rows)
         norm = np.sqrt((raw * raw).sum(axis=1))
         x = raw / norm[:, None]
-        own = rows.column("rep").to_numpy()
-        reps, leaves, block = own.tolist(), rows.column("leaves").to_pylist(), rows.column("block").to_pylist()
+        own, weight, block = rows.column("rep").to_numpy(), rows.column("k").to_numpy(), rows.column("block").to_numpy()
+        leaves, home = rows.column("leaves").to_pylist(), np.array([f"{h[0]}/{k}" for h, k in zip(rows.column("leaves").to_pylist(), rows.column("home_block").to_pylist())])
+        many = rows.column("blocks")[0].as_py() > 1
         near = _placed(rows, own)
         entry = int((x @ x.mean(axis=0)).argmax())
-        n = len(reps)
-        links = np.zeros((n, n), bool)
+        n = len(own)
+        links, shared = np.zeros((n, n), bool), np.zeros((n, n), bool)
+        nearest = [h[0] for h in leaves]
         for q in range(n):
-            if leaves[q][0] != leaf:
+            if nearest[q] != leaf:
                 continue
             found = range_search(q, x, near, entry, threshold)
             found = found[(found != q) & (raw[found] @ raw[q] >= threshold * norm[found] * norm[q])]
+            elsewhere = set(leaves[q])
             for y in found.tolist():
-                if lo != hi and block[q] == block[y]:
-                    continue  # counted in the task of their own block
-                if leaves[y][0] != leaf and reps[y] < reps[q] and leaves[y][0] in leaves[q]:
-                    continue  # counted in the shard of the smaller one
-                links[q, y] = links[y, q] = True
-        weight = rows.column("k").to_numpy()
-        count = links @ weight
-        a, b = np.nonzero(np.triu(links))
-        c = np.flatnonzero(count)
-        root = np.arange(n)
-        for i, j in zip(a.tolist(), b.tolist()):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            while root[j] != j:
-                root[j] = root[root[j]]
-                j = root[j]
-            root[max(i, j)] = min(i, j)
-        e = np.flatnonzero(root != np.arange(n))
-        kind = np.concatenate([np.zeros(len(c), np.int32), np.ones(len(e), np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([own[c], own[e]])), pa.array(np.concatenate([count[c], own[root[e]]]))], ["kind", "a", "b"])
+                to = shared if (many and block[q] == block[y]) or (nearest[y] != leaf and nearest[y] in elsewhere) else links
+                to[q, y] = to[y, q] = True
+        yield _counted(own, links @ weight, *_stars(links))
+        names, at = np.unique(home, return_inverse=True)
+        for i in range(len(names)):
+            for j in range(i, len(names)):
+                part = shared[np.ix_(at == i, at == j)]
+                r, c = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                if not len(r):
+                    continue
+                here, there = np.flatnonzero(at == i)[r], np.flatnonzero(at == j)[c]
+                lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (own[here], own[there], weight[here], weight[there])]
+                bits = pa.array([np.packbits(part[np.ix_(r, c)]).tobytes()], pa.binary())
+                ids = [pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([f"{label}|{names[i]}|{names[j]}"])]
+                yield pa.RecordBatch.from_arrays([*ids, *lists, bits], schema=_FOUND)
+    give_back()
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and connections of the pairs in the matrices of each two blocks, each pair once."""
+    for _, rows in _tasks(batches):
+        ids, weights = (np.concatenate([rows.column(c).combine_chunks().flatten().to_numpy() for c in pair]) for pair in (("rows", "columns"), ("row_k", "column_k")))
+        own, first = np.unique(ids, return_index=True)
+        links = np.zeros((len(own), len(own)), bool)
+        for r, c, bits in zip(*(rows.column(k) for k in ("rows", "columns", "bits"))):
+            i, j = (np.searchsorted(own, v.values.to_numpy()) for v in (r, c))
+            part = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(i) * len(j)).reshape(len(i), len(j)).astype(bool)
+            links[np.ix_(i, j)] |= part
+            links[np.ix_(j, i)] |= part.T
+        yield _counted(own, links @ weights[first], *_stars(links))
     give_back()
 
 
@@ -387,18 +435,23 @@ def _links(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -
     pairs = int(sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).head()[0] or 1)
     n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs, MOST_TASKS))
     sizes = narrow(sizes)
+    # the block that each row has in its nearest shard
+    homes = sizes.select("label", "dim", F.col("leaf").alias("home"), F.col("blocks").alias("home_blocks"))
+    dealt = dealt.withColumn("home", F.get("leaves", F.lit(0))).join(homes, ["label", "dim", "home"]).withColumn("home_block", F.pmod(F.xxhash64("rep"), F.col("home_blocks")).cast("int"))
+    dealt = dealt.drop("home", "home_blocks")
 
     def tasks(rows: DataFrame, *more: str) -> DataFrame:
         each = rows.select("*", F.explode("leaves").alias("leaf")).join(sizes, _SHARD)
         each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         key = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("/", "label", "dim", "leaf", F.least("block", j), F.greatest("block", j)))
-        each = each.select(F.explode(key).alias("task"), "rep", "k", "v", "leaves", "block", *more)
+        each = each.select(F.explode(key).alias("task"), "rep", "k", "v", "leaves", "block", "blocks", "home_block", *more)
         return each.repartition(n, "task").sortWithinPartitions("task", "rep")
 
     lists = tasks(dealt).mapInArrow(_build, "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = tasks(dealt.join(united, "rep"), "near").mapInArrow(lambda b: _search(b, threshold), "kind int, a long, b long")
-    return written(found, "vector-links")
+    found = written(tasks(dealt.join(united, "rep"), "near").mapInArrow(lambda b: _search(b, threshold), _FOUND_DDL), "vector-links")
+    again = found.where("kind = 2").repartition(n, "task").sortWithinPartitions("task").mapInArrow(_united, _FOUND_DDL)
+    return written(found.where("kind < 2").unionByName(again).select("kind", "a", "b"), "vector-sums")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, min_recall: float = MIN_RECALL) -> DataFrame:
