@@ -14,9 +14,12 @@ On a page, a branch's composite is multiplied by what its elements say: by MAIN
 an article or main element, by LOW outside of it and in menus, headers, footers, asides,
 forms, notices, adverts and reader comments.  Branches under THRESHOLD are removed.
 Names say so only if all words of a class or id do (`cookie-notice`, not
-`menu-of-the-day`), and not of an element with most of the page's text.  No name, and
-no form, says anything about an article or main or what is around it, if the page
-has no other.  If nothing is left of an article, all of it is.
+`menu-of-the-day`).  Inside an article, a footer of its own and names that its parts may
+bear (a menu of dishes, a notice) multiply by SOFT, so that the tree decides: what differs
+from page to page stays, what the host repeats goes.  No name, and no form, says anything
+about an article or main or what is around it, if the page has no other; nor, if the page
+has none, where nothing with a letter would be left otherwise.  Reader comments are never
+content.  If nothing is left of an article, all of it is.
 
 Text: character references decoded, white space within a block one space, trimmed,
 blocks joined in page order by two newlines.
@@ -44,10 +47,10 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import small_batches, written
 
 THRESHOLD, MIN_PAGES = 0.3, 4
-#: What elements multiply the composite importance by.
-MAIN, LOW = 3.0, 0.25
-#: Share of a page's text that an element has at most whose names alone say that it is of no use.
-MOST_TEXT = 0.8
+#: What elements multiply the composite importance by; SOFT leaves it to the tree.
+MAIN, LOW, SOFT = 3.0, 0.25, 0.35
+#: Composite importance from which on any branch that isn't LOW stays: the table of unimportant branches needs no others.
+SURE = THRESHOLD / SOFT
 #: Rows of the table of unimportant branches that may be broadcast (about 100 bytes each); a larger one is joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -69,8 +72,12 @@ _PARTS = frozenset("list box block item items wrapper wrap container section are
 #: Words beside which another name says nothing.
 _USE_NAMES = frozenset("content article main post entry story body text page".split())
 _MAIN = frozenset(("article", "main"))
-#: What an element says: nothing, that it is of no use by its names or as a form, that it is by its tag or role.
-_NOTHING, _BY_NAME, _BY_TAG = 0, 1, 2
+#: Names and tags that parts of an article may have too.
+_SOFT_NAMES = frozenset(("menu", "notice", "notices", "social", "banner"))
+_SOFT_TAGS = frozenset(("footer",))
+_COMMENTS = frozenset(("comment", "comments", "disqus", "respond", "replies"))
+#: What an element says: nothing, that it is of no use by its names or as a form, that it is by its tag or role, or, inside an article, that it may be.
+_NOTHING, _BY_NAME, _BY_TAG, _MAYBE = 0, 1, 2, 3
 
 
 def _words(value: str) -> list[str]:
@@ -81,7 +88,7 @@ def _says(tag: str, attrs: str, in_main: bool) -> tuple[int, str, bool]:
     """What the element says, its name in paths, and whether it is a main part."""
     out, name, main = _NOTHING, tag, tag in _MAIN
     if tag in _NO_USE or (tag == "header" and not in_main):
-        out = _BY_NAME if tag == "form" else _BY_TAG
+        out = _BY_NAME if tag == "form" else _MAYBE if in_main and tag in _SOFT_TAGS else _BY_TAG
     if not attrs.strip(" /"):
         return out, name, main
     tokens: list[list[str]] = []
@@ -96,9 +103,14 @@ def _says(tag: str, attrs: str, in_main: bool) -> tuple[int, str, bool]:
             out = _BY_TAG if role in _NO_USE_ROLES else out
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             out = _BY_TAG
-    if not out and tag not in ("html", "body") and not any(len(w) == 1 and w[0] in _USE_NAMES for w in tokens):
+    if out in (_NOTHING, _MAYBE) and tag not in ("html", "body") and not any(len(w) == 1 and w[0] in _USE_NAMES for w in tokens):
         known = _NO_USE_NAMES if in_main else _NO_USE_NAMES | {"header"}
-        out = _BY_NAME if any(not known.isdisjoint(w) and known.union(_PARTS).issuperset(w) for w in tokens) else _NOTHING
+        beside = {True: known.union(_PARTS, _USE_NAMES, ("user", "reader")), False: known.union(_PARTS)}
+        found = [w for w in tokens if not known.isdisjoint(w) and beside[not _COMMENTS.isdisjoint(w)].issuperset(w)]
+        if any(not _COMMENTS.isdisjoint(w) for w in found):
+            out = _BY_TAG  # no size and no place makes comments content
+        elif found:
+            out = _MAYBE if in_main and all(known.intersection(w) <= _SOFT_NAMES for w in found) else _BY_NAME
     return out, name, main
 
 
@@ -200,22 +212,17 @@ class Page:
 
     def factors(self) -> list[float]:
         """What each element multiplies the importance of its blocks by."""
-        n = len(self.path)
-        size = [0] * n
-        for k, t in self.blocks:
-            size[k] += len(t)
-        for k in range(n - 1, 0, -1):
-            size[self.parent[k]] += size[k]
-        says = [_NOTHING if s == _BY_NAME and size[k] > MOST_TEXT * size[0] else s for k, s in enumerate(self.says)]
-
-        def low_and_main() -> tuple[list[bool], list[bool]]:
-            low, main = [False] * n, [False] * n
+        n, says = len(self.path), self.says
+
+        def low_and_main() -> tuple[list[bool], list[bool], list[bool]]:
+            low, main, soft = [False] * n, [False] * n, [False] * n
             for k in range(1, n):
-                low[k] = low[self.parent[k]] or says[k] != _NOTHING
+                low[k] = low[self.parent[k]] or says[k] in (_BY_NAME, _BY_TAG)
                 main[k] = (main[self.parent[k]] or self.main[k]) and not low[k]
-            return low, main
+                soft[k] = soft[self.parent[k]] or says[k] == _MAYBE
+            return low, main, soft
 
-        low, main = low_and_main()
+        low, main, soft = low_and_main()
         if not any(main) and any(self.main):
             around: set[int] = set()
             for k in range(1, n):
@@ -224,15 +231,18 @@ class Page:
                     around.add(up)
                     up = self.parent[up]
             says = [_NOTHING if s == _BY_NAME and k in around else s for k, s in enumerate(says)]
-            low, main = low_and_main()
+            low, main, soft = low_and_main()
+        elif not any(main) and not any(any(c.isalpha() for c in t) for k, t in self.blocks if not low[k]):
+            says = [_NOTHING if s == _BY_NAME else s for s in says]
+            low, main, soft = low_and_main()
         other = LOW if any(main) else 1.0
-        return [LOW if low[k] else MAIN if main[k] else other for k in range(n)]
+        return [LOW if low[k] else SOFT if soft[k] and main[k] else MAIN if main[k] else other for k in range(n)]
 
     def kept(self, composite: Mapping[int, float]) -> list[str]:
-        """Texts of the blocks that are important; composite: the importance of paths, where it is under THRESHOLD."""
+        """Texts of the blocks that are important; composite: the importance of paths, where it is under SURE."""
         factor = self.factors()
         found = [t for k, t in self.blocks if composite.get(self.path[k], 1.0) * factor[k] >= THRESHOLD]
-        return found or [t for k, t in self.blocks if factor[k] == MAIN]
+        return found or [t for k, t in self.blocks if factor[k] in (MAIN, SOFT)]
 
 
 def host_of(url: str | None) -> str:
@@ -247,7 +257,11 @@ def _key(text: str) -> int:
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """(host, path, composite): the importance of the merged trees' paths that have texts, on hosts with enough pages."""
+    """(host, path, composite): the importance of the merged trees' paths that have texts, on hosts with enough pages.
+
+    A host with fewer than MIN_PAGES distinct pages has no rows; null html is a page without text.
+    """
+    small_batches(pages.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["host", "page", "path", "parent", "kind", "content"]
@@ -283,7 +297,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars of every page."""
     small_batches(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    low = written(tree(source).where(F.col("composite") < THRESHOLD), "site-tree")
+    low = written(tree(source).where(F.col("composite") < SURE), "site-tree")
 
     def text_of(html: str | None, composite: Mapping[int, float]) -> str:
         return "\n\n".join(Page(html or "").kept(composite))

@@ -76,6 +76,28 @@ def test_the_tree_decides(spark):
     assert kept(page(3)) == ["Story 3.", "Read us daily"]
 
 
+def test_comments_are_never_content(spark):
+    long = "<p>reader says a lot</p>" * 60
+    for name in ('id="comments"', 'class="comment-list"', 'id="disqus_thread"', 'class="post-comments"'):
+        assert kept(f"<main><article>Short.</article><div {name}>{long}</div></main>") == ["Short."], name
+        assert kept(f"<div>Short.</div><div {name}>{long}</div>") == ["Short."], name
+        assert kept(f"<article>Short.<div {name}>{long}</div></article>") == ["Short."], name
+        assert kept(f"<div {name}>{long}</div>") == [], name
+    assert kept(f"<div class='text'><p>Short.</p></div><div class='newsletter'>{long}</div>") == ["Short."]
+
+
+def test_the_tree_decides_what_names_leave_open(spark, monkeypatch):
+    """Inside an article, a menu of dishes, a notice, a box or a footer stays if it differs from page to page."""
+    page = lambda i, own: f"""<body><div class=x{i % 3}>Neutral words of all pages</div><article><p>Story {i}.</p><section class="menu">{f"Soup {i} and bread" if own else "Our usual menu"}</section>
+        <p class="notice">{f"Closed on day {i}" if own else "All rights are ours"}</p><section id="social">{f"Club {i} met" if own else "Follow our club"}</section><div class="ad">Buy {i}</div><footer>{f"Written in {1900 + i}" if own else "Thanks for reading"}</footer></article></body>"""
+    rows = [(100 * own + i, f"http://{'own' if own else 'same'}.example/{i}", page(i, own), "") for own in (0, 1) for i in range(12)]
+    got = run(spark, rows)
+    assert got[103]["text"] == "Story 3.\n\nSoup 3 and bread\n\nClosed on day 3\n\nClub 3 met\n\nWritten in 1903"
+    assert got[3]["text"] == "Story 3."
+    monkeypatch.setattr(sitetree, "MIN_PAGES", 1000)  # no host has a tree
+    assert run(spark, rows)[3]["text"] == "Story 3.\n\nOur usual menu\n\nAll rights are ours\n\nFollow our club\n\nThanks for reading"
+
+
 def test_long_and_deep_pages_are_linear():
     import time
 
