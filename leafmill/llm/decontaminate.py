@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. One scan counts, over all documents, how often each word of the benchmark
-   occurs.  A seed (n consecutive words of an item) is rare if words that frequent
-   would form it by chance less than once per `chance_docs` documents; that an item
-   is copied often doesn't make its seeds common.  An item without a rare seed keeps
-   all of its seeds.
+1. One scan counts, for each seed (n consecutive words of an item), the documents that
+   hold it.  Rare seeds are judged against the item's own: those in at most `rarer`
+   times as many documents (and one) as the lower quartile of its seeds.  So the rarest
+   quarter of an item's seeds always counts, however often the item is copied, and a
+   phrase that many items and documents share brings no pair that only it would.
 2. One scan finds seed hits by bitmaps of the seeds' hashes, one for each power of
    two of the items' lengths, so that the passage cut out around a hit is as wide as
    items of that length need.  Bitmaps are of fixed size, whatever the benchmark's.
@@ -35,7 +35,8 @@ from leafmill.llm.textkit import NOT_LETTER, buffers, grams, pieces, starts_insi
 
 SEED_WORDS = 4
 MIN_SCORE = 0.6
-CHANCE_DOCS = 1000
+#: How many times the documents of the item's lower quartile a rare seed may be in.
+RARER = 10
 #: Words of a longer item that are enough.
 LONG_WORDS = 80
 #: Pairs that a task aligns, about.
@@ -115,8 +116,7 @@ def _bitmaps(hashes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _item_tables(bench: DataFrame, seed_words: int) -> tuple[DataFrame, DataFrame]:
-    """(item, item_id, words) per item with words, and (item, n, width, seed, inside) per seed; a seed holds its own words only."""
-    many = pa.list_(pa.int64())
+    """(item, item_id, words) per item with words, and (item, n, width, seed) per seed."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,50 +125,43 @@ def _item_tables(bench: DataFrame, seed_words: int) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), kept], ["item_id", "words"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("item", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("seed", pa.int64()), ("inside", many)]
+        kinds = [("item", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), ("seed", pa.int64())]
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.column(1)[i].values.to_numpy().view(np.uint64)
                 n = min(seed_words, len(own))
-                g, at = np.unique(grams(own, n), return_index=True)
-                inside = np.stack([own[at + j] for j in range(n)], axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1, dtype=np.int32) * n), pa.array(inside.ravel()))
+                g = np.unique(grams(own, n))
                 same = lambda x, t: pa.array(np.full(len(g), x), t)  # noqa: B023, E731
                 width = max(5, int(len(own) - 1).bit_length())
-                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py(), pa.int64()), same(n, pa.int32()), same(width, pa.int32()), pa.array(g.view(np.int64)), lists], schema=pa.schema(kinds))
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py(), pa.int64()), same(n, pa.int32()), same(width, pa.int32()), pa.array(g.view(np.int64))], schema=pa.schema(kinds))
 
     items = bench.mapInArrow(whole, "item_id long, words array<long>").where(F.size("words") > 0)
     items = written(items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words").distinct(), "items")
-    return items, written(items.select("item", "words").mapInArrow(cut, "item long, n int, width int, seed long, inside array<long>"), "seeds")
+    return items, written(items.select("item", "words").mapInArrow(cut, "item long, n int, width int, seed long"), "seeds")
 
 
-def _rare(source: DataFrame, seeds: DataFrame, chance_docs: int) -> DataFrame:
-    """The seeds to look for: rare ones, and all of the items that have none."""
-    inside = seeds.select("item", "seed", F.explode("inside").alias("h"))
-    bits = _bitmaps(inside.select(F.lit(0).alias("kind"), "h"))[0]
+def _rare(source: DataFrame, seeds: DataFrame, rarer: int) -> DataFrame:
+    """The seeds to look for: those that are rare among the seeds of their item."""
+    bits = _bitmaps(seeds.select(F.col("n").alias("kind"), F.col("seed").alias("h")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = rows = 0
         for batch in batches:
-            rows += batch.num_rows
             for part in pieces(batch, "text"):
-                h = tokens(*buffers(part.column(0)))[3]
-                total += len(h)
-                h, n = np.unique(h[_maybe(bits, h)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h), np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["kind", "h", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([total, rows], pa.int64())], ["kind", "h", "n"])
-
-    seen = source.select("text").mapInArrow(count, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counts = written(seen, "word-counts")
-    sums = {r["kind"]: r["n"] for r in counts.where("kind > 0").collect()}
-    total, rows = max(sums.get(1, 0), 1), max(sums.get(2, 0), 1)
-    known = counts.where("kind = 0").join(inside.select("h").distinct(), "h", "left_semi").select("h", "n")
-    share = F.coalesce(F.log(F.col("n") / total), F.lit(-1e6))  # a word that no document has makes the seed rare
-    chance = inside.join(narrow(written(known, "counts")), "h", "left").groupBy("item", "seed").agg((F.sum(share) + float(np.log(total))).alias("chance"))
-    judged = chance.withColumn("rare", F.col("chance") + float(np.log(chance_docs)) < float(np.log(rows)))
-    without = judged.groupBy("item").agg(F.max("rare").alias("some")).where("not some").select("item")
-    kept = judged.join(without, "item", "left_semi").union(judged.where("rare")).select("item", "seed").distinct()
-    return written(seeds.join(kept, ["item", "seed"], "left_semi").select("item", "n", "width", "seed"), "rare-seeds")
+                _, _, first, h = tokens(*buffers(part.column(0)))
+                for n, known in bits.items():
+                    g, _, doc = seed_rows(h, first, n)
+                    k = np.flatnonzero(_maybe(known, g))
+                    pairs = np.unique(np.stack([doc[k].astype(np.uint64), g[k]], axis=1), axis=0) if len(k) else np.zeros((0, 2), np.uint64)
+                    seed, docs = np.unique(pairs[:, 1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seed), n, np.int32)), pa.array(seed.view(np.int64)), pa.array(docs)], ["n", "seed", "docs"])
+
+    seen = source.select("text").mapInArrow(count, "n int, seed long, docs long").groupBy("n", "seed").agg(F.sum("docs").alias("docs"))
+    # bitmaps let other n-grams pass: only seeds themselves are kept
+    known = written(seen.join(seeds.select("n", "seed").distinct(), ["n", "seed"], "left_semi"), "seed-counts")
+    counted = seeds.select("item", "n", "width", "seed").join(narrow(known), ["n", "seed"], "left").fillna(0, ["docs"])
+    usual = counted.groupBy("item").agg(F.percentile("docs", F.lit(0.25)).alias("quartile"))
+    kept = counted.join(usual, "item").where(F.col("docs") <= rarer * (F.col("quartile") + 1))
+    return written(kept.select("item", "n", "width", "seed"), "rare-seeds")
 
 
 def _passages(source: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -209,7 +202,7 @@ def _passages(source: DataFrame, seeds: DataFrame) -> DataFrame:
     return written(found.withColumn("same", F.xxhash64("passage")), "passages")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, chance_docs: int = CHANCE_DOCS, long_words: int = LONG_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seed_words: int = SEED_WORDS, min_score: float = MIN_SCORE, rarer: int = RARER, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): the best alignment of each item in each document, where it counts.
 
     `score` is the share of the best possible score (of long_words words of a longer item, 1 at most);
@@ -223,7 +216,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     table, seeds = _item_tables(bench, seed_words)
     if not table.head(1):
         return spark.createDataFrame([], schema)
-    seeds = _rare(source, seeds, chance_docs)
+    seeds = _rare(source, seeds, rarer)
     passages = _passages(source, seeds)
 
     # only ids meet by seed; hot passages and seeds are rows of ids, and each distinct case is aligned once

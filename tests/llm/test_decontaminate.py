@@ -93,10 +93,41 @@ def test_item_of_common_seeds_keeps_them_all(spark):
     """Every seed of the item is common, and the copy holds only one that isn't among the rarest few."""
     base = "a b c d e f g h i j"
     docs = [(i, base) for i in range(50)] + [(90, "x " * 40)]
-    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, base)], "item_id long, text string"), chance_docs=10**9)
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, base)], "item_id long, text string"))
     assert {r["doc_id"] for r in found.collect()} == set(range(50))
 
 
+def test_a_phrase_of_many_items_brings_no_pairs(spark, monkeypatch):
+    """40 items and 60 documents share six words: only the documents that hold more of an item are aligned with it."""
+    rng = random.Random(12)
+    phrase = "photosynthesis converts sunlight into chemical energy".split()
+    items = [(i, words(rng, 12) + phrase + words(rng, 12)) for i in range(40)]
+    docs = [(d, words(rng, 20) + (phrase if d < 60 else []) + words(rng, 20)) for d in range(100)]
+    docs += [(200 + i, words(rng, 9) + items[i][1] + words(rng, 9)) for i in range(5)] + [(300 + k, items[7][1]) for k in range(200)]
+    held, write = {}, dc.written
+    monkeypatch.setattr(dc, "written", lambda df, name: held.setdefault(name, write(df, name)))
+    found = dc.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(200 + i, i) for i in range(5)} | {(300 + k, 7) for k in range(200)}
+    assert held["cases"].count() <= 2 * (len(items) + 5)  # not items x documents
+
+
+def test_recall_against_all_pairs(spark):
+    """Copies with every kind of edit, all pairs aligned, those without a common seed too."""
+    rng = random.Random(31)
+    items = [(i, words(rng, 24)) for i in range(12)]
+    docs = []
+    for d in range(120):
+        p = list(items[d % 12][1])
+        for _ in range(rng.randint(0, 7)):
+            k = rng.randrange(len(p))
+            p[k : k + 1] = rng.choice([[], words(rng, 1), [p[k], *words(rng, 1)]])
+        docs.append((d, words(rng, 6) + p + words(rng, 6)))
+    code = {x: i for i, x in enumerate(sorted({x for _, w in items + docs for x in w}))}
+    want = {(d, i) for d, w in docs for i, v in items if textbook([code[x] for x in v], [code[x] for x in w]) >= dc.MIN_SCORE * dc.MATCH * len(v)}
+    got = {(r["doc_id"], r["item_id"]) for r in dc.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 60
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "some text", 0)], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(1, "some text")], "item_id long, text string")
