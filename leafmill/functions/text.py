@@ -36,6 +36,17 @@ SENTENCE_END = r"(?Ud)(?<=[.!?。！？])\s+"
 CLAUSE_END = r"(?Ud)(?<=[,;:，；：])\s*"
 
 
+# Abbreviations after which a sentence goes on, by language; single capitals are initials in all of them.
+ABBREVIATIONS = {
+    "en": ("Mr", "Mrs", "Ms", "Dr", "Prof", "Rev", "Gen", "Col", "Capt", "Lt", "Sgt", "St", "Mt", "Jr", "Sr", "Inc", "Ltd", "Co", "Corp", "No", "Nos", "Vol", "vs", "etc", "cf", "al", "approx", "dept", "est", "e.g", "i.e", "a.m", "p.m", "Fig", "fig", "vol", "ch", "pp"),
+    "de": ("Hr", "Fr", "Dr", "Prof", "Nr", "Bd", "St", "Str", "Abb", "Abs", "Art", "bzw", "ca", "ggf", "inkl", "evtl", "usw", "usf", "vgl", "z.B", "d.h", "u.a", "z", "d", "h", "u", "a", "i", "o", "v", "S", "Jh", "geb", "gest"),
+    "fr": ("M", "MM", "Mme", "Mlle", "Dr", "Pr", "Me", "St", "Ste", "av", "bd", "cf", "chap", "env", "etc", "ex", "fig", "p.ex", "p. ex", "vol", "art", "apr", "janv", "févr", "juill", "sept"),
+    "es": ("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Prof", "Lic", "Ing", "D", "Dña", "Ud", "Uds", "Vd", "núm", "pág", "págs", "vol", "cap", "fig", "etc", "p.ej", "p. ej", "aprox", "av", "avda", "c", "tel"),
+}
+#: Closing marks that stay with the sentence before them.
+CLOSING, CLOSING_WIDE = "\"'”’»)\\]", "”’」』）"
+
+
 def _as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -102,6 +113,24 @@ def sentences(c: Column | str) -> Column:
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
+def rule_breaks(language: str) -> str:
+    """The pattern between sentences of a language: where text is cut, all behind and ahead of it looked at."""
+    known = "|".join(a.replace(".", r"\.").replace(" ", r"\s") for a in ABBREVIATIONS.get(language, ()))
+    apart = r"(?<![\p{L}\p{N}])"
+    never = [rf"{apart}\p{{Lu}}\."] + ([rf"{apart}(?:{known})\."] if known else []) + ([r"(?<!\d)\d{1,2}\."] if language == "de" else [])
+    spaced = rf"(?<=[.!?…][{CLOSING}]{{0,3}})" + "".join(f"(?<!{n})" for n in never) + r"(?!\s+\p{Ll})\s+"
+    return rf"(?Ud)(?:{spaced}|(?<=[。！？][{CLOSING_WIDE}]{{0,3}})(?![{CLOSING_WIDE}。！？])\s*)"
+
+
+def rule_sentences(c: Column | str, language: str = "en") -> Column:
+    """Sentences by rules: white space after a final mark and what closes it, unless an abbreviation,
+    an initial or (in German) an ordinal stands before it or a small letter follows; wide final marks
+    need no space.  A language of no list has the rules that need none.
+    """
+    parts = F.transform(F.split(_as_column(c), rule_breaks(language.split("-")[0].lower())), lambda s: F.regexp_replace(s, r"(?Ud)^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: F.length(s) > 0)
+
+
 def _strings(*items: Column) -> Column:
     return F.array(*items).cast("array<string>")
 

@@ -93,6 +93,35 @@ def _chunked(limit: int, frame, sql_from: str, key: str, s: str) -> Query:
 
 
 
+def _rule_sentences(spark, d):
+    """Sentences of the documents by the rules of their language."""
+    by_lang = F.lit(None).cast("array<string>")
+    for lang in tx.ABBREVIATIONS:
+        by_lang = F.when(F.col("lang") == lang, tx.rule_sentences("t", lang)).otherwise(by_lang)
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("doc_id", F.coalesce(by_lang, tx.rule_sentences("t", "")).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("sentences"), F.array_join(F.transform("l", lambda x: F.length(x).cast("string")), ",").alias("lengths"))
+
+
+def _rule_sql() -> str:
+    """The same by marks: every place that may be a break gets one, then those that are none lose it."""
+    q = lambda x: x.replace("'", "''")
+    out = f"regexp_replace(coalesce(text, ''), '([.!?…][{q(tx.CLOSING)}]{{0,3}}{W}+)', '\\1' || chr(1), 'g')"
+    out = f"regexp_replace({out}, chr(1) || '(\\p{{Ll}})', '\\1', 'g')"
+    without = lambda x, never: f"regexp_replace({x}, '(^|[^\\p{{L}}\\p{{N}}])({never}\\.{W}+)' || chr(1), '\\1\\2', 'g')"
+    cases = []
+    for lang, known in tx.ABBREVIATIONS.items():
+        never = "(?:\\p{Lu}|" + "|".join(a.replace(".", "\\.").replace(" ", W) for a in known) + ")"
+        found = without(without(out, never), never)  # twice: the first pass takes the character before
+        if lang == "de":
+            found = f"regexp_replace({found}, '(^|[^0-9])([0-9]{{1,2}}\\.{W}+)' || chr(1), '\\1\\2', 'g')"
+        cases.append(f"WHEN '{lang}' THEN {found}")
+    initial = without(without(out, "\\p{Lu}"), "\\p{Lu}")
+    marked = f"CASE lang {' '.join(cases)} ELSE {initial} END"
+    wide = f"regexp_replace({marked}, '([。！？][{tx.CLOSING_WIDE}]{{0,3}})', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({wide}, chr(1)), lambda x: {strip_sql('x')}), lambda x: x <> '')"
+
+
 QUERIES: dict[str, Query] = {
     "e1_language": _docs(f"SELECT doc_id, {language_sql('text')} AS language FROM documents", lambda: (tx.detect_language("text").alias("language"),)),
     "e1_language_inline": _inline(TEXTS, f"SELECT id, {language_sql('s')} AS language FROM {{t}}", lambda: (F.col("id"), tx.detect_language("s").alias("language"),)),
@@ -106,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "e4_chunk_long": _chunked(300, lambda spark, d: table(spark, d, "documents").withColumnRenamed("text", "s"), "documents", "doc_id", "text"),
     "e4_chunk_inline": _chunked(10, lambda spark, d: TEXTS.frame(spark), TEXTS.sql, "id", "coalesce(s, '')"),
     "e6_sentences": _inline(TEXTS, f"SELECT id, array_to_string({sentences_sql("coalesce(s, '')")}, '|') AS parts FROM {{t}}", lambda: (F.col("id"), F.array_join(tx.sentences(F.coalesce("s", F.lit(""))), "|").alias("parts"),)),
+    "e5_rule_sentences": Query(_rule_sentences, f"WITH parts AS (SELECT doc_id, {_rule_sql()} AS l FROM documents) SELECT doc_id, len(l)::INTEGER AS sentences, array_to_string(list_transform(l, lambda x: length(x)), ',') AS lengths FROM parts"),
     "e7_split_long": _chunked(12, lambda spark, d: TEXTS.frame(spark), TEXTS.sql, "id", "coalesce(s, '')"),
     "e8_filename": _inline(NAMES, "SELECT id, substring(translate(s, '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", lambda: (F.col("id"), lb.safe_filename(F.col("s")).alias("name"),)),
     "e9_chapter_file": _inline(NAMES, "SELECT id, substring(translate(s || ' - ' || printf('%04d', id) || ' - ' || s || '.mp3', '/\\:*?\"<>|', '---------'), 1, 200) AS name FROM {t}", lambda: (F.col("id"), lb.chapter_file(F.col("s"), F.col("id"), F.col("s")).alias("name"),)),

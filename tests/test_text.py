@@ -89,3 +89,24 @@ def test_tempo_chain(spark):
     assert [r[0] for r in spark.createDataFrame(speeds, "s double").select(audio.tempo_chain(F.col("s"))).collect()] == want
     with pytest.raises(Exception, match="positive"):
         spark.createDataFrame([(0.0,)], "s double").select(audio.tempo_chain(F.col("s"))).collect()
+
+
+RULED = [
+    ("en", "Dr. Smith met Mr. Jones at 5 p.m. on Main St. yesterday. They left.", ["Dr. Smith met Mr. Jones at 5 p.m. on Main St. yesterday.", "They left."]),
+    ("en", 'He asked, "Why?" She said nothing. "Stop!" he cried. J. R. Hand wrote 3.5 pages... and slept. Wait... What?', ['He asked, "Why?"', "She said nothing.", '"Stop!" he cried.', "J. R. Hand wrote 3.5 pages... and slept.", "Wait...", "What?"]),
+    ("en", "  (It ended.)  Then, e.g. later, vol. 2 came.\n\nNew line! ", ["(It ended.)", "Then, e.g. later, vol. 2 came.", "New line!"]),
+    ("de", "Am 3. Oktober kam Prof. Braun, z. B. mit Hr. Lang. Er blieb bzw. ging. Gut!", ["Am 3. Oktober kam Prof. Braun, z. B. mit Hr. Lang.", "Er blieb bzw. ging.", "Gut!"]),
+    ("fr", "M. Dupont et Mme. Petit, p. ex. hier, sont venus. Voir chap. 3. Fin ?", ["M. Dupont et Mme. Petit, p. ex. hier, sont venus.", "Voir chap. 3.", "Fin ?"]),
+    ("es", "El Sr. Gómez vive en la Avda. Central, núm. 4. ¿Quién es? Nadie.", ["El Sr. Gómez vive en la Avda.", "Central, núm. 4.", "¿Quién es?", "Nadie."]),
+    ("es", "La Dra. Ruiz vio la pág. 9 etc. con Ud. ayer. Fin.", ["La Dra. Ruiz vio la pág. 9 etc. con Ud. ayer.", "Fin."]),
+    ("zh-CN", "你好。他说：“走吧！”我们走了。真的吗？？是", ["你好。", "他说：“走吧！”", "我们走了。", "真的吗？？", "是"]),
+    ("xx", "No. list here. Next", ["No. list here.", "Next"]), ("en", "", []), ("en", "   ", []), ("en", "no mark at all", ["no mark at all"]),
+]
+
+
+@pytest.mark.parametrize("language,text,want", RULED)
+def test_sentences_by_rules(spark, language, text, want):
+    df = spark.createDataFrame([(text,), (None,)], "s string")
+    got = [r[0] for r in df.select(tx.rule_sentences("s", language)).collect()]
+    assert got == [want, None]
+    assert got[0] is None or "".join("".join(got[0]).split()) == "".join(text.split())  # nothing is lost
