@@ -484,7 +484,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 
 def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, max_queries: int | None = None) -> float:
-    """Share of the brute-force links of the vectors with ids divisible by 50 (max_queries of them) that `found` counts; queries go in blocks."""
+    """Share of the brute-force links of the vectors with ids divisible by 50 (max_queries of them) that `found` counts; queries go in blocks.
+
+    found: vec_id and n_links.  Vectors that can link with nothing are no queries; ids that
+    `found` lacks count as missed; without any brute-force link the share is 1.
+    """
+    small_batches(vectors.sparkSession)
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")).where("vec_id is not null")
     clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary").where("dim > 0")
     queries = clean.where("vec_id % 50 = 0").select("vec_id", "label", "dim", "v")
@@ -513,6 +518,6 @@ def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_c
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["vec_id", "n"])
 
         sums = clean.select("vec_id", "label", "dim", "v").mapInArrow(scan, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
-        t, g = sums.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).head()
+        t, g = sums.join(found.select("vec_id", "n_links"), "vec_id", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("n_links", F.lit(0))))).head()
         truth, got = truth + (t or 0), got + (g or 0)
     return got / truth if truth else 1.0

@@ -157,7 +157,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The rows of some ids; the filter prunes stripes and row groups by statistics and Bloom filters."""
+    """The rows of some ids; the filter prunes stripes and row groups by statistics and Bloom filters.
+
+    Ids that the files lack, and null, give no row; an id of several documents gives each.
+    """
+    small_batches(spark)
     return spark.read.orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "ids", "n_tokens")
 
 

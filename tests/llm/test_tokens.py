@@ -81,3 +81,55 @@ def test_token_files(spark):
     empty = fresh_path(spark, "t")
     token_files.write_ids(df.limit(0), empty, vocabulary("word_bpe_49k.json"))
     assert token_files.read_ids(spark, empty).count() == 0
+
+
+def test_orc_files_hold_indexes_and_runs(spark):
+    """What the ORC footers say: integer run-length encoding, row indexes and Bloom filters on ids, ids in order over the files."""
+    df = spark.range(25_000).selectExpr("id * 3 AS doc_id", "concat('word ', id) AS text").repartition(4)
+    out = fresh_path(spark, "t")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # several files, small as they are
+    token_files.write_ids(df, out, vocabulary("word_bpe_49k.json"))
+    spark.conf.unset(key)
+    jvm, orc, conf = spark._jvm, spark._jvm.org.apache.orc, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    spans, rows = [], 0
+    for f in folder.getFileSystem(conf).listStatus(folder):
+        if not f.getPath().getName().endswith(".orc"):
+            continue
+        reader = orc.OrcFile.createReader(f.getPath(), orc.OrcFile.readerOptions(conf))
+        if not reader.getNumberOfRows():
+            continue
+        names = list(reader.getSchema().getFieldNames())
+        column = reader.getSchema().getChildren().get(names.index("doc_id")).getId()
+        ids = next(c for c in range(reader.getSchema().getMaximumId() + 1) if c == reader.getSchema().getChildren().get(names.index("ids")).getId()) + 1  # the list's elements
+        found = reader.rows()
+        for stripe in reader.getStripes():
+            footer = found.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert footer.getColumns(column).getKind().toString() == footer.getColumns(ids).getKind().toString() == "DIRECT_V2"
+            assert (column, "ROW_INDEX") in kinds and (ids, "ROW_INDEX") in kinds
+            assert any(c == column and k.startswith("BLOOM_FILTER") for c, k in kinds) and not any(c == ids and k.startswith("BLOOM_FILTER") for c, k in kinds)
+        assert reader.getRowIndexStride() > 0
+        least = reader.getStatistics()[column]
+        spans.append((least.getMinimum(), least.getMaximum()))
+        rows += reader.getNumberOfRows()
+        found.close()
+    assert rows == 25_000 and len(spans) > 1
+    spans.sort()
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert token_files.lookup(spark, out, [30, 31, 33]).count() == 2
+
+
+def test_repeated_ids_in_token_files(spark):
+    df = spark.createDataFrame([(5, "one two"), (5, "one two"), (5, "three"), (2, "first"), (None, "no id")], "doc_id long, text string")
+    out = fresh_path(spark, "t")
+    token_files.write_ids(df, out, vocabulary("word_bpe_49k.json"))
+    got = token_files.digests(token_files.read_ids(spark, out)).collect()
+    by_start = sorted(got, key=lambda r: (r["start"], r["n_tokens"]))
+    at = 0
+    for r in by_start:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [2, 5, 5, 5]
+    assert token_files.lookup(spark, out, [5]).count() == 3
