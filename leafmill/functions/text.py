@@ -156,8 +156,8 @@ def split_long(c: Column, limit: int) -> Column:
     return F.aggregate(F.split(c, CLAUSE_END), start, step, lambda acc: _flush(acc["done"], acc["text"]))
 
 
-def chunk(c: Column | str, max_chars: int | None = None) -> Column:
-    """Chunks of at most max_chars code points, by sentence, then clause, then hard cut."""
+def chunk(c: Column | str, max_chars: int | None = None, language: str | None = None) -> Column:
+    """Chunks of at most max_chars code points, by sentence, then clause, then hard cut; with a language, by its rules."""
     limit = max_chars or DEFAULT_CHUNK_CHARS
     c = F.coalesce(_as_column(c), F.lit(""))
 
@@ -170,5 +170,5 @@ def chunk(c: Column | str, max_chars: int | None = None) -> Column:
         )
 
     start = F.struct(_strings().alias("done"), F.lit("").alias("text"))
-    many = F.aggregate(sentences(c), start, step, lambda acc: _flush(acc["done"], acc["text"]))
+    many = F.aggregate(sentences(c) if language is None else rule_sentences(c, language), start, step, lambda acc: _flush(acc["done"], acc["text"]))
     return F.when(F.length(c) > limit, many).when(is_blank(c), _strings()).otherwise(F.array(c))

@@ -57,9 +57,8 @@ def _system(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _names(path: str) -> dict[str, str]:
-    base = posixpath.basename(path)
-    stem, ext = re.fullmatch(r"(.*?)(\.[^.]*)?", base, re.S).groups() if "." not in base else posixpath.splitext(base)
-    return {"book_id": stem, "path": path, "format": FORMATS.get(ext.lower(), ext.lower().lstrip(".")) if ext else ""}
+    stem, ext = posixpath.splitext(posixpath.basename(path))
+    return {"book_id": stem, "path": path, "format": FORMATS.get(ext.lower(), ext.lower().lstrip("."))}
 
 
 class Files(InputPartition):

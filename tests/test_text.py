@@ -110,3 +110,10 @@ def test_sentences_by_rules(spark, language, text, want):
     got = [r[0] for r in df.select(tx.rule_sentences("s", language)).collect()]
     assert got == [want, None]
     assert got[0] is None or "".join("".join(got[0]).split()) == "".join(text.split())  # nothing is lost
+
+
+def test_chunks_by_rules(spark):
+    text = "Dr. Smith met Mr. Jones. They left at once."
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(tx.chunk("s", 26, "en")).head()[0] == ["Dr. Smith met Mr. Jones.", "They left at once."]
+    assert df.select(tx.chunk("s", 10)).head()[0] != df.select(tx.chunk("s", 10, "en")).head()[0]
