@@ -57,6 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Shuffle files are deleted when the query that wrote them is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def released(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """written(), but the shuffle files of the job go with it; with a path, rows are added to those there."""
+    spark, path = df.sparkSession, path or fresh_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("append").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Rows of a narrow frame (ids and the like) that may be broadcast, once they are counted; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -8,11 +8,13 @@
    gets centres of its own, level by level, as long as that divides it; what a level
    can't divide (a cluster that all links) is split into blocks of SHARD_ROWS by a
    hash, and each pair of blocks is a task, so none is lost.
-3. In each task a graph is built: every vector's nearest ones, thinned by robust
-   pruning.  The adjacency lists of all tasks are united per vector.
-4. On the united lists, each vector is searched in its nearest shard: a greedy beam
-   from the medoid (and from the vector's own node), then a range expansion through
-   everything near.  Candidates are verified by cosine in double precision.
+3. The tasks run in waves of about as many rows as there are vectors, so that the disk
+   that their exchange takes doesn't grow with the overlap of the shards.
+4. In each task a graph is built: every vector's nearest ones, thinned by robust
+   pruning, and those whose lists it is in.  On it, each vector is searched in its
+   nearest shard: a greedy beam from the medoid (and from the vector's own node), then a
+   range expansion through everything near.  Candidates are verified by cosine in double
+   precision.
 5. A pair that only one task can find is counted there.  Pairs that several tasks may
    find are returned as matrices of bits over blocks of the shards, which are united
    before they are counted, so every pair that any search found counts, and once.
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import narrow, small_batches, written
+from leafmill.llm.common import forget, fresh_path, narrow, released, small_batches, written
 from leafmill.llm.graph import components
 from leafmill.llm.textkit import give_back
 
@@ -50,7 +52,9 @@ SHARD_ROWS, CLUSTER_ROWS = 1500, 250
 SPLIT_ROWS, FIT_ROWS, FAN_OUT, LEVELS, DEAL_ROWS = 12_000, 2_000, 64, 4, 50_000
 #: Work of building a row's lists, as a share of searching it.
 BUILD_SHARE = 0.15
-#: Partitions that the tasks are dealt to, at most.
+#: Rows of a wave of tasks, if there are no more vectors than that.
+WAVE_ROWS = 500_000
+#: Partitions that the tasks of a wave are dealt to, at most.
 MOST_TASKS = 100_000
 #: Standard deviations of a link's random direction that shards overlap by.
 SPREAD = 4.0
@@ -61,8 +65,22 @@ DEGREE, CANDIDATES, ALPHA, BEAM = 16, 48, 1.2, 12
 SLACK = 0.03
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The components in single precision if that holds them exactly, else in double."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return (y if (y == x).all() else x).tobytes()
+
+
+def _unpacked(v: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of _packed(), a row each, in double precision."""
+    if all(len(b) == 4 * dim for b in v):
+        return np.frombuffer(b"".join(v), np.float32).reshape(len(v), dim).astype(np.float64)
+    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64).astype(np.float64) for b in v])
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, label, dim, hashes and the components as doubles; dim 0 if the vector links with nothing."""
+    """vec_id, label, dim, hashes and the packed components; dim 0 if the vector links with nothing."""
     for batch in batches:
         dims, h1, h2, raw = [], [], [], []
         for label, v in zip(batch.column(1).to_pylist(), batch.column(2)):
@@ -75,7 +93,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dims.append(len(b) // 8)
             h1.append(xxhash.xxh64_intdigest(b, 1) - (1 << 63))
             h2.append(xxhash.xxh64_intdigest(b, 2) - (1 << 63))
-            raw.append(b)
+            raw.append(b if x is None else _packed(x))
         cols = [batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(raw, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["vec_id", "label", "dim", "h1", "h2", "v"])
 
@@ -214,38 +232,18 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
         yield now, pa.Table.from_batches(held).combine_chunks()
 
 
-def _vectors(rows: pa.Table) -> np.ndarray:
-    """The components of a task's vectors, all of one length."""
-    v = rows.column("v").combine_chunks()
-    at = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
-    return np.frombuffer(v.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.float64).reshape(len(v), -1)
-
-
-def _placed(rows: pa.Table, reps: np.ndarray) -> list[np.ndarray]:
-    """Each row's list as places among reps, which are sorted; others are left out."""
-    lists = rows.column("near").combine_chunks()
-    length = lists.value_lengths().to_numpy(zero_copy_only=False)
-    ids = lists.flatten().to_numpy()
-    place = np.minimum(np.searchsorted(reps, ids), len(reps) - 1)
-    here = reps[place] == ids
-    ends = np.concatenate([[0], np.cumsum(here)])[np.cumsum(length)]
-    return np.split(place[here], ends[:-1])
-
-
-def _matrix(v: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.stack([np.frombuffer(b) for b in v])
+def _matrix(v: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = _unpacked(v, dim)
     norm = np.sqrt((raw * raw).sum(axis=1))
     return raw, raw / norm[:, None]
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _tasks(batches):
-        raw, reps = _vectors(rows), rows.column("rep").to_numpy()
-        near = pruned_graph(raw / np.sqrt((raw * raw).sum(axis=1))[:, None])
-        ends = np.concatenate([[0], np.cumsum([len(k) for k in near])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(reps[np.concatenate(near)]))
-        yield pa.RecordBatch.from_arrays([pa.array(reps), lists], ["rep", "near"])
-    give_back()
+def two_way(near: list[np.ndarray]) -> list[np.ndarray]:
+    """Each vector's list, with the vectors whose lists it is in."""
+    n = len(near)
+    a, b = np.repeat(np.arange(n), [len(k) for k in near]), np.concatenate(near)
+    edges = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(edges % n, np.searchsorted(edges, np.arange(1, n) * n))
 
 
 def _stars(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,17 +285,19 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     """
     for task, rows in _tasks(batches):
         label, leaf, _, _ = task.rsplit("/", 3)
-        raw = _vectors(rows)
+        leaves = [h.split(",") for h in rows.column("leaves").to_pylist()]
+        nearest = [h[0] for h in leaves]
+        if leaf not in nearest:
+            continue
+        raw, x = _matrix(rows.column("v").to_pylist(), int(label.rpartition("/")[2]))
         norm = np.sqrt((raw * raw).sum(axis=1))
-        x = raw / norm[:, None]
         own, weight, block = rows.column("rep").to_numpy(), rows.column("k").to_numpy(), rows.column("block").to_numpy()
-        leaves, home = rows.column("leaves").to_pylist(), np.array([f"{h[0]}/{k}" for h, k in zip(rows.column("leaves").to_pylist(), rows.column("home_block").to_pylist())])
-        many = rows.column("blocks")[0].as_py() > 1
-        near = _placed(rows, own)
+        home = np.array([f"{h}/{k}" for h, k in zip(nearest, rows.column("home_block").to_pylist())])
+        many = rows.column("blocks")[0].as_py() > 2  # of two blocks, there is one task
+        near = two_way(pruned_graph(x))
         entry = int((x @ x.mean(axis=0)).argmax())
         n = len(own)
         links, shared = np.zeros((n, n), bool), np.zeros((n, n), bool)
-        nearest = [h[0] for h in leaves]
         for q in range(n):
             if nearest[q] != leaf:
                 continue
@@ -309,17 +309,20 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                 to[q, y] = to[y, q] = True
         yield _counted(own, links @ weight, *_stars(links))
         names, at = np.unique(home, return_inverse=True)
-        for i in range(len(names)):
-            for j in range(i, len(names)):
-                part = shared[np.ix_(at == i, at == j)]
-                r, c = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
-                if not len(r):
-                    continue
-                here, there = np.flatnonzero(at == i)[r], np.flatnonzero(at == j)[c]
-                lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (own[here], own[there], weight[here], weight[there])]
-                bits = pa.array([np.packbits(part[np.ix_(r, c)]).tobytes()], pa.binary())
-                ids = [pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([f"{label}|{names[i]}|{names[j]}"])]
-                yield pa.RecordBatch.from_arrays([*ids, *lists, bits], schema=_FOUND)
+        p, q = np.nonzero(shared)
+        some = at[p] <= at[q]
+        p, q = p[some], q[some]
+        both, which = np.unique(at[p] * len(names) + at[q], return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        for m, k in zip(both.tolist(), np.split(order, np.searchsorted(which[order], np.arange(1, len(both))))):
+            if not len(k):
+                continue
+            (here, r), (there, c) = (np.unique(e[k], return_inverse=True) for e in (p, q))
+            part = np.zeros((len(here), len(there)), bool)
+            part[r, c] = True
+            lists = [pa.array([v.tolist()], pa.list_(pa.int64())) for v in (own[here], own[there], weight[here], weight[there])]
+            ids = [pa.array([2], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([f"{label}|{names[m // len(names)]}|{names[m % len(names)]}"])]
+            yield pa.RecordBatch.from_arrays([*ids, *lists, pa.array([np.packbits(part).tobytes()], pa.binary())], schema=_FOUND)
     give_back()
 
 
@@ -339,7 +342,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> DataFrame:
-    """reps with their leaves, the shard that each is at home in first."""
+    """reps with their leaves, the shard that each is at home in first; they take the place of reps, which go."""
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "v", "label").toArrow()
     by_dim: dict[int, list[tuple[bytes, str]]] = {}
     for d, *row in zip(*(c.to_pylist() for c in sample.columns)):
@@ -347,7 +350,7 @@ def _dealt(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -
     largest, total = reps.groupBy("label").count().agg(F.max("count"), F.sum("count")).head()
     centres = {}
     for d, rows in by_dim.items():
-        x, labels = _matrix([v for v, _ in rows])[1], np.array([n for _, n in rows])
+        x, labels = _matrix([v for v, _ in rows], d)[1], np.array([n for _, n in rows])
         fitted = fit_centres(x, max(1, min(len(x) // 8, -(-largest // CLUSTER_ROWS))))
         centres[d] = thinned(x, labels, fitted, threshold, total / len(sample), spread)
 
@@ -358,14 +361,18 @@ def _dealt(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -
             leaves: list[list[str]] = [["0"]] * len(raw)
             for d in set(dims.tolist()) & set(centres):
                 k = np.flatnonzero(dims == d)
-                for i, ls in zip(k.tolist(), shards_of(_matrix([raw[i] for i in k])[1], centres[d], threshold, spread)):
+                for i, ls in zip(k.tolist(), shards_of(_matrix([raw[i] for i in k], d)[1], centres[d], threshold, spread)):
                     leaves[i] = [str(x) for x in ls]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.string()))], ["rep", "label", "dim", "k", "v", "leaves"])
 
-    dealt = written(reps.mapInArrow(deal, "rep long, label string, dim int, k long, v binary, leaves array<string>"), "vectors-dealt")
+    dealt = released(reps.mapInArrow(deal, "rep long, label string, dim int, k long, v binary, leaves array<string>"), "vectors-dealt")
+    forget(reps)
     final = None  # shards that can't be divided
     for _ in range(LEVELS):
-        dealt, final = _divided(dealt, final, threshold, spread)
+        before = dealt
+        dealt, final = _divided(before, final, threshold, spread)
+        if dealt is not before:
+            forget(before)
         if final is None:
             break
     return dealt
@@ -378,22 +385,22 @@ def _divided(dealt: DataFrame, final: DataFrame | None, threshold: float, spread
     """The rows with each shard of over SPLIT_ROWS replaced by its own shards, and the shards that stay; no shards when nothing was left to do."""
     sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*_SHARD).agg(F.count("*").alias("size"))
     over = sizes.where(F.col("size") > SPLIT_ROWS)
-    over = written(over if final is None else over.join(final, _SHARD, "left_anti"), "vector-shards")
+    over = released(over if final is None else over.join(final, _SHARD, "left_anti"), "vector-shards")
     if not over.head(1):
         return dealt, None
     rows = dealt.select("rep", "label", "dim", "v", F.explode("leaves").alias("leaf")).join(narrow(over), _SHARD)
 
     def fit(part: pa.Table) -> pa.Table:
-        x, size = _matrix(part.column("v").to_pylist())[1], part.column("size")[0].as_py()
+        x, size = _matrix(part.column("v").to_pylist(), part.column("dim")[0].as_py())[1], part.column("size")[0].as_py()
         fitted = fit_centres(x, max(1, min(len(x) // 8, FAN_OUT, -(-size // CLUSTER_ROWS))))
         kept = thinned(x, np.zeros(len(x)), fitted, threshold, size / len(x), spread)
         return pa.table({**{n: part.column(n)[:1] for n in _SHARD}, "size": pa.array([size]), "n": pa.array([len(kept)], pa.int32()), "centres": pa.array([kept.tobytes()], pa.binary())})
 
     some = rows.where(F.pmod(F.xxhash64("rep", F.lit(13)), F.col("size")) < FIT_ROWS).select(*_SHARD, "size", "v")
-    fitted = written(some.groupBy(*_SHARD).applyInArrow(fit, "label string, dim int, leaf string, size long, n int, centres binary"), "vector-centres")
+    fitted = released(some.groupBy(*_SHARD).applyInArrow(fit, "label string, dim int, leaf string, size long, n int, centres binary"), "vector-centres")
     split = fitted.where("n > 1")
     stay = over.join(split, _SHARD, "left_anti").select(*_SHARD)
-    final = written(stay if final is None else stay.union(final), "vector-shards-whole")
+    final = released(stay if final is None else stay.union(final), "vector-shards-whole")
     if not split.head(1):
         return dealt, None
 
@@ -415,7 +422,7 @@ def _divided(dealt: DataFrame, final: DataFrame | None, threshold: float, spread
                 if lo == hi:
                     continue
                 leaf = b.column(2)[lo].as_py()
-                found = shards_of(_matrix(b.column(5)[lo:hi].to_pylist())[1], now, threshold, spread)
+                found = shards_of(_matrix(b.column(5)[lo:hi].to_pylist(), b.column(1)[lo].as_py())[1], now, threshold, spread)
                 names = pa.array([[f"{leaf}.{k}" for k in ls] for ls in found], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(4)[lo:hi], b.column(2)[lo:hi], names], ["label", "rep", "leaf", "own"])
 
@@ -423,35 +430,43 @@ def _divided(dealt: DataFrame, final: DataFrame | None, threshold: float, spread
     each = dealt.select("rep", "label", F.posexplode("leaves").alias("place", "leaf")).join(own, ["rep", "label", "leaf"], "left")
     parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce("own", F.array("leaf")).alias("own"))))
     leaves = each.groupBy("rep", "label").agg(F.flatten(F.transform(parts, lambda p: p["own"])).alias("leaves"))
-    return written(dealt.drop("leaves").join(leaves, ["rep", "label"]).select(*dealt.columns), "vectors-dealt"), final
-
-
-def _links(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> DataFrame:
-    """(kind, a, b): kind 0: a links with b other vectors (to be added up); kind 1: a and b are connected."""
-    dealt = _dealt(reps, threshold, sample_rows, spread)
-    sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*_SHARD).count().select(*_SHARD, F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("blocks"))
-    sizes = written(sizes, "vector-blocks")
-    # a stated number of partitions, so that few bytes of much work aren't put together
-    pairs = int(sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).head()[0] or 1)
-    n = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(pairs, MOST_TASKS))
-    sizes = narrow(sizes)
+    return released(dealt.drop("leaves").join(leaves, ["rep", "label"]).select(*dealt.columns), "vectors-dealt"), final
+
+
+def _links(reps: DataFrame, threshold: float, sample_rows: int, spread: float) -> tuple[DataFrame, DataFrame]:
+    """(kind, a, b): kind 0: a links with b other vectors (to be added up); kind 1: a and b are connected; and reps with their leaves."""
+    spark = reps.sparkSession
+    given = dealt = _dealt(reps, threshold, sample_rows, spread)
+    sizes = dealt.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*_SHARD).count().select(*_SHARD, "count", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("blocks"))
+    sizes = released(sizes, "vector-blocks")
     # the block that each row has in its nearest shard
-    homes = sizes.select("label", "dim", F.col("leaf").alias("home"), F.col("blocks").alias("home_blocks"))
+    near = narrow(sizes)
+    homes = near.select("label", "dim", F.col("leaf").alias("home"), F.col("blocks").alias("home_blocks"))
     dealt = dealt.withColumn("home", F.get("leaves", F.lit(0))).join(homes, ["label", "dim", "home"]).withColumn("home_block", F.pmod(F.xxhash64("rep"), F.col("home_blocks")).cast("int"))
     dealt = dealt.drop("home", "home_blocks")
-
-    def tasks(rows: DataFrame, *more: str) -> DataFrame:
-        each = rows.select("*", F.explode("leaves").alias("leaf")).join(sizes, _SHARD)
-        each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        key = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws("/", "label", "dim", "leaf", F.least("block", j), F.greatest("block", j)))
-        each = each.select(F.explode(key).alias("task"), "rep", "k", "v", "leaves", "block", "blocks", "home_block", *more)
-        return each.repartition(n, "task").sortWithinPartitions("task", "rep")
-
-    lists = tasks(dealt).mapInArrow(_build, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = written(tasks(dealt.join(united, "rep"), "near").mapInArrow(lambda b: _search(b, threshold), _FOUND_DDL), "vector-links")
+    wave_rows, path = max(given.count(), WAVE_ROWS), fresh_path(spark, "vector-links")
+    released(spark.createDataFrame([], _FOUND_DDL), "", path)
+    n = least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # shards that can't be divided have as many copies of a row as blocks: of those, a wave has some pairs of blocks; of the others, whole shards
+    for whole in (True, False):
+        some = F.col("count") <= SPLIT_ROWS if whole else F.col("count") > SPLIT_ROWS
+        rows, pairs = sizes.where(some).agg(F.sum(F.col("count") * F.greatest(F.col("blocks") - 1, F.lit(1))), F.sum(F.greatest(F.col("blocks") * (F.col("blocks") - 1) / 2, F.lit(1)))).head()
+        waves = -(-(rows or 0) // wave_rows)
+        for wave in range(waves):
+            mine = lambda *c, wave=wave, waves=waves: F.pmod(F.xxhash64(*c), F.lit(waves)) == wave
+            each = dealt.select("*", F.explode(F.filter("leaves", lambda leaf: mine("label", "dim", leaf)) if whole else "leaves").alias("leaf")).join(near.where(some), _SHARD)
+            each = each.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+            others = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block"))).otherwise(F.array(F.lit(0)))
+            key = F.transform(others, lambda j: F.concat_ws("/", "label", "dim", "leaf", F.least("block", j), F.greatest("block", j)))
+            each = each.select(F.explode(key if whole else F.filter(key, lambda task: mine(task))).alias("task"), "rep", "k", "v", F.array_join("leaves", ",").alias("leaves"), "block", "blocks", "home_block")
+            # a stated number of partitions, so that few bytes of much work aren't put together
+            n = max(least, min(int(pairs) // waves, MOST_TASKS))
+            released(each.repartition(n, "task").sortWithinPartitions("task", "rep").mapInArrow(lambda b: _search(b, threshold), _FOUND_DDL), "", path)
+    found = spark.read.schema(_FOUND_DDL).parquet(path)
     again = found.where("kind = 2").repartition(n, "task").sortWithinPartitions("task").mapInArrow(_united, _FOUND_DDL)
-    return written(found.where("kind < 2").unionByName(again).select("kind", "a", "b"), "vector-sums")
+    sums = released(found.where("kind < 2").unionByName(again).select("kind", "a", "b"), "vector-sums")
+    forget(found)
+    return sums, given
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, min_recall: float = MIN_RECALL) -> DataFrame:
@@ -461,22 +476,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     clean = source.mapInArrow(_clean, "vec_id long, label string, dim int, h1 long, h2 long, v binary")
     keys = written(clean.drop("v"), "vector-keys")
     same = ["label", "dim", "h1", "h2"]
-    classes = written(keys.where("dim > 0").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
+    classes = released(keys.where("dim > 0").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
     # the id is part of the key, so that a very common vector's rows don't meet in one task
-    chosen = classes.withColumn("vec_id", F.col("rep"))
-    reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates(["rep", "label"]).select("rep", "label", "dim", "k", "v")
-    reps = written(reps, "vectors")
+    chosen = classes.groupBy("label", F.col("rep").alias("vec_id")).agg(F.min(F.struct("dim", "h1", "h2", "k")).alias("one")).select("label", "vec_id", "one.*")
+    reps = clean.join(chosen, [*same, "vec_id"]).dropDuplicates([*same, "vec_id"]).select(F.col("vec_id").alias("rep"), "label", "dim", "k", "v")
+    reps = released(reps, "vectors")
     widest, spread = reps.agg(F.max("dim")).head()[0] or 1, SPREAD
     while True:
-        found = _links(reps, threshold, sample_rows, spread)
+        found, dealt = _links(reps, threshold, sample_rows, spread)
         counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
         linked = classes.join(counts, "rep", "left").select("rep", *same, (F.col("k") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-        linked = written(linked, "vector-counts")
+        linked = released(linked, "vector-counts")
         recall = audit(vectors, keys.join(linked, same).select("vec_id", "n_links"), id_col, vector_col, label_col, threshold, AUDIT_QUERIES)
         _log.info("recall %.4f with shards that overlap by %.1f deviations", recall, spread)
         if recall >= min_recall or spread * spread >= widest:
             break
         spread *= 2
+        reps = dealt.drop("leaves")
+        forget(found)
+        forget(linked)
+    forget(dealt)
     parts = components(found.where("kind = 1").select("a", "b"))
     result = linked.join(parts, linked.rep == parts.node, "left").select(*same, "n_links", F.coalesce("component", "rep").alias("component_id"))
     out = keys.join(result, same, "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
@@ -511,8 +530,8 @@ def audit(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_c
                     raw.append(v)
                 for key in {(r["label"], r["dim"]) for r in block} & set(held):
                     q = [r for r in block if (r["label"], r["dim"]) == key]
-                    ids, y = np.array(held[key][0]), _matrix(held[key][1])[1]
-                    hit = _matrix([i["v"] for i in q])[1] @ y.T >= threshold
+                    ids, y = np.array(held[key][0]), _matrix(held[key][1], key[1])[1]
+                    hit = _matrix([i["v"] for i in q], key[1])[1] @ y.T >= threshold
                     for i, one in enumerate(q):
                         out[one["vec_id"]] = out.get(one["vec_id"], 0) + int((ids[hit[i]] != one["vec_id"]).sum())
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["vec_id", "n"])

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from leafmill.llm import embeddings, graph, jaccard, substrings
+from leafmill.llm import common, embeddings, graph, jaccard, substrings
 
 
 def removed(rows, window):
@@ -241,6 +241,23 @@ def test_vector_links_over_levels(spark, monkeypatch):
     assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(map(len, want.values())) > 300
 
 
+def test_vector_tasks_go_in_waves(spark, monkeypatch, tmp_path):
+    """The exchange of a wave is bounded, vectors take no more bytes than they came in, and their tables go."""
+    for name, value in (("SHARD_ROWS", 40), ("SPLIT_ROWS", 100), ("LEVELS", 1), ("WAVE_ROWS", 100)):
+        monkeypatch.setattr(embeddings, name, value)
+    waves, released = [], embeddings.released
+    monkeypatch.setattr(embeddings, "released", lambda df, name, path=None: waves.append(name == "") or released(df, name, path))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i, np.float32(v).tolist(), label) for i, v, label in vectors(7)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    want = brute_links(rows)
+    assert all(got[i]["n_links"] <= len(want[i]) for i in want) and sum(r["n_links"] for r in got.values()) >= 0.97 * sum(map(len, want.values()))
+    assert sum(waves) > 3 and not [p for p in tmp_path.rglob("*.parquet") if "leafmill-vectors" in str(p) or "vector-links" in str(p)]
+    single, double = np.float32([0.1, -2.5, 0]).astype(float), np.array([0.1, 1e300, -0.25])
+    packed = [embeddings._packed(single), embeddings._packed(double)]
+    assert [len(b) for b in packed] == [12, 24] and (embeddings._unpacked(packed, 3) == [single, double]).all()
+
+
 def test_linked_vectors_meet_in_a_shard():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=(500, 8)), 1 + rng.normal(size=(700, 8)) * 0.3])
