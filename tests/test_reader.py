@@ -90,3 +90,19 @@ def test_the_queries_rows_through_the_source(spark, tmp_path):
     found = spark.read.format("book").load(str(tmp_path))
     spine = found.where("error is null").select("book_id", F.inline("spine")).select("book_id", "ord", "href", "title", "text")
     assert sorted(map(tuple, spine.collect())) == sorted(map(tuple, book_queries.QUERIES["s3_epub_spine"].run(spark, "").collect()))
+
+
+def test_a_text_is_held_about_once():
+    import io
+    import tracemalloc
+
+    raw = ("wide \U0001f600 text, " * 200_000).encode()
+    file = io.BytesIO(raw)
+    tracemalloc.start()
+    got = reader._text(file, frozenset())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["error"] is None and bytes(got["text"]) == raw and most < 1.5 * len(raw)
+    for content, text in ((b"a\r\nb\rc", "a\nb\nc"), ("中\r文".encode("gbk"), "中\n文"), (b"", ""), (b"\xed\xa0\x80", None), (b"\xff\xff\xff", None)):
+        found = reader._text(io.BytesIO(content), frozenset())["text"]
+        assert (found.decode() if isinstance(found, bytes) else found) == text == books.decode_text(content)
