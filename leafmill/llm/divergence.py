@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import narrow, small_batches, written
+from leafmill.llm.common import narrow, released, small_batches, written
 from leafmill.llm.textkit import NOT_LETTER, buffers, give_back, pieces, words
 
 MIN_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: Rows of a task's table between merges, and rows of a shard.
 HELD_ROWS, SHARD_ROWS = 400_000, 500_000
+#: Characters of text that give a row to a shard, at least about: what the number of shards goes by.
+ROW_CHARS = 16
 #: Rows of an Arrow batch that a task returns.
 OUT_ROWS = 50_000
 
@@ -170,10 +172,11 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     given = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counts = written(given.mapInArrow(_count, "lang string, source string, term string, n long, docs long"), "terms")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD_ROWS))
+    chars = given.agg(F.sum(F.length("text"))).head()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (ROW_CHARS * SHARD_ROWS)))
+    counts = given.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
     kept = counts.repartition(shards, "lang", "term").mapInArrow(lambda b: _kept(b, min_docs), "lang string, source string, term string, n long, first boolean")
-    return written(kept, "kept-terms"), written(given.select("lang", "source").distinct(), "sources")
+    return released(kept, "kept-terms"), written(given.select("lang", "source").distinct(), "sources")
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS, scale: int = SCALE, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -91,3 +91,12 @@ def test_edges(spark):
     assert divergence.audit(frame(spark, [("one", "en", "a")])).count() == 0
     long = divergence.audit(frame(spark, [("word " * 300_000 + "x" * 100_000, "en", "a")] * 10 + [("word", "en", "b")])).collect()
     assert {(r["source"], r["item"]) for r in long if r["part"] == "pair"} == {("a", "b"), ("b", "a")}
+
+
+def test_counts_go_to_their_shards_without_a_table_between(spark, monkeypatch):
+    names = []
+    for f in ("written", "released"):
+        make = getattr(divergence, f)
+        monkeypatch.setattr(divergence, f, lambda df, name, make=make: names.append(name) or make(df, name))
+    kept, _ = divergence.term_counts(frame(spark, [("word other", "en", "a")] * 12))
+    assert sorted(r["term"] for r in kept.collect()) == ["other", "word"] and sorted(names) == ["kept-terms", "sources"]
